@@ -5,11 +5,13 @@ from __future__ import annotations
 from pairloom.llm.decontaminate import OP7_SQL, op7_decontamination
 from pairloom.llm.minhash import op2_minhash
 from pairloom.llm.quality import op6_quality
+from pairloom.llm.sentencepiece_bpe import op4_sentencepiece
 from pairloom.llm.sharding import OP1_SQL, op1_sharding
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_minhash": op2_minhash,
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
 }
