@@ -32,6 +32,7 @@ RULES = (
     ("length", lambda c: c["n_words"], 50, 80, np.inf, np.inf),
     ("word_length", lambda c: c["word_chars"] / max(c["n_words"], 1), 2.0, 3.0, 10.0, 14.0),
     ("symbols", lambda c: c["n_symbols"] / max(c["n_words"], 1), 0, 0, 0.1, 0.3),
+    ("symbol_share", lambda c: c["n_symbols"] / max(c["word_chars"], 1), 0, 0, 0.03, 0.08),
     ("repeated_lines", lambda c: c["n_dup_lines"] / max(c["n_lines"], 1), 0, 0, 0.1, 0.3),
     ("repeated_words", lambda c: c["n_repeat_words"] / max(c["n_words"], 1), 0, 0, 0.2, 0.4),
     ("distinct_words", lambda c: c["n_distinct"] / max(min(c["n_words"], 400), 1), 0.1, 0.25, np.inf, np.inf),
@@ -88,8 +89,11 @@ def posteriors(patterns: list[tuple[int, int]], rounds: int = 100) -> dict[int,
     """P(good | votes) for each pattern of ``patterns`` (pattern, documents), by expectation-maximisation.
 
     A rule's vote is right with probability a on good and b on bad documents,
-    given that it votes; both start at 0.8 and are kept in 0.55 .. 0.99, so a
-    rule can't turn against its own meaning.  The share of good starts at 0.7.
+    given that it votes.  They start at 0.95 and 0.4: most rules see one kind of
+    bad document and call the others good.  a stays in 0.98 .. 0.995 and b above
+    0.05, so that a vote never turns against its own meaning and kinds of bad
+    documents too rare to be the main one are not taken for good.  The share of
+    good starts at 0.8.
     """
     patterns = sorted(patterns)
     if not patterns:
@@ -97,15 +101,15 @@ def posteriors(patterns: list[tuple[int, int]], rounds: int = 100) -> dict[int,
     code, weight = np.array([p for p, _ in patterns]), np.array([n for _, n in patterns], float)
     digits = np.stack([code // 3 ** (len(RULES) - 1 - i) % 3 for i in range(len(RULES))], axis=1)
     good, bad = digits == 2, digits == 1
-    share, a, b = 0.7, np.full(len(RULES), 0.8), np.full(len(RULES), 0.8)
+    share, a, b = 0.8, np.full(len(RULES), 0.95), np.full(len(RULES), 0.4)
     for _ in range(rounds):
         log_good = np.log(share) + good @ np.log(a) + bad @ np.log(1 - a)
         log_bad = np.log(1 - share) + good @ np.log(1 - b) + bad @ np.log(b)
         p = 1 / (1 + np.exp(np.clip(log_bad - log_good, -500, 500)))
         of_good, of_bad = weight * p, weight * (1 - p)
         share = np.clip(of_good.sum() / weight.sum(), 0.05, 0.95)
-        a = np.clip((of_good @ good + 8) / (of_good @ (good | bad) + 10), 0.55, 0.99)
-        b = np.clip((of_bad @ bad + 8) / (of_bad @ (good | bad) + 10), 0.55, 0.99)
+        a = np.clip((of_good @ good + 9.5) / (of_good @ (good | bad) + 10), 0.98, 0.995)
+        b = np.clip((of_bad @ bad + 4) / (of_bad @ (good | bad) + 10), 0.05, 0.99)
     return dict(zip(code.tolist(), p.tolist(), strict=True))
 
 
