@@ -3,12 +3,13 @@
 1. Each text becomes its set of five-word shingles, 128 minima of that set, 32
    band keys of 4 minima each, and the minima's low 4 bits packed in 8 longs.
    Texts with equal sets are one class from here on, with the smallest doc_id.
-2. Classes that share a band key are candidates.  A bucket is never expanded
-   into its pairs: each round takes a few of its members as pivots, compares
-   all other members with them, and joins what is linked.  A pivot has then
-   met its whole bucket and leaves it; a bucket whose members are all in one
-   component is done.  Rounds go on until no bucket is left, so every pair of
-   candidates is either compared or already linked through others.
+2. Classes that share a band key are candidates.  A large bucket is never
+   expanded into its pairs: first its smallest member, then in each round a few
+   members of different components are its pivots; all other members are
+   compared with them, and what is linked is joined.  A pivot has then met its
+   whole bucket and leaves it; a bucket whose members are all in one component
+   is done.  Rounds go on until no bucket is left, so every pair of candidates
+   is either compared or already linked through others.
 3. A candidate pair is kept if its estimated similarity, from the bit counts
    of the packed signatures corrected for chance collisions, is not far below
    the threshold (0.2, which is over five standard errors), and its set sizes
@@ -34,7 +35,8 @@ from pairloom.llm.shingles import MinHasher, WordHashes, shingle_set
 
 SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, sig array<long>, bands array<long>"
 SETS = "id long, n long, shingles array<long>"
-PIVOTS = 4
+#: Members up to which a bucket is compared pair by pair, and pivots a round of a larger one.
+SMALL, PIVOTS = 100, 24
 
 
 def _long_lists(rows: list[np.ndarray]) -> pa.Array:
@@ -114,13 +116,42 @@ class _Store:
         return out
 
 
+def _first_pairs(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every member of a bucket with the bucket's smallest id, and the members that are left."""
+    live = cut(live.join(live.groupBy("bucket").agg(F.min("id").alias("pivot")), "bucket").where("id <> pivot"))
+    return live.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), live.select("id", "bucket")
+
+
+def _more_pairs(live: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs across the components of each bucket that has several, and the members that are left.
+
+    A bucket of at most SMALL members gives all its pairs and is done.  A larger
+    one gives PIVOTS pivots, of components drawn by hash, with all members of
+    other components; the pivots leave it.  So a round makes at most
+    max(SMALL, PIVOTS) pairs for each member.
+    """
+    picks = [F.min(F.struct(F.xxhash64("component", F.lit(turn * PIVOTS + j)).alias("h"), "component", "id")).alias(f"p{j}") for j in range(PIVOTS)]
+    pivots = F.array_distinct(F.array(*[F.struct(F.col(f"p{j}.id").alias("id"), F.col(f"p{j}.component").alias("component")) for j in range(PIVOTS)]))
+    buckets = live.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), *picks).where("lo < hi")
+    live = cut(live.join(buckets.select("bucket", "m", F.when(F.col("m") > SMALL, pivots).alias("pivots")), "bucket"))
+    small = live.where(F.col("m") <= SMALL).select("bucket", "id", "component")
+    across = small.alias("x").join(small.alias("y"), F.expr("x.bucket = y.bucket AND x.id < y.id AND x.component <> y.component"))
+    large = live.where(F.col("m") > SMALL)
+    star = large.select("id", "component", F.explode("pivots").alias("pivot")).where("component <> pivot.component")
+    pairs = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).union(
+        star.select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
+    )
+    left = large.where(~F.array_contains(F.transform("pivots", lambda p: p["id"]), F.col("id")))
+    return pairs.distinct(), left.select("id", "bucket")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
     Rows are linked if 100 * intersection >= percent * union of their shingle
     sets; component_id is the smallest key reachable.  Null, empty and blank
     texts have no shingles and are linked with nothing.  Rows that repeat a key
-    are versions of one document.  A null key is linked with nothing: its
+    are judged each by its own text.  A null key is linked with nothing: its
     component is null, and it is kept.  Other columns are not read; an empty
     table gives no rows.
     """
@@ -136,33 +167,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
     members = cut(members.join(shared, "bucket").distinct())
     sigs = nodes.select("id", "n", "sig")
-    store, edges, components = _Store(docs), None, None
-    # Rows of one key with several texts, or classes met under one key, are one id already.
-    turn = 0
+    store, edges, components, turn = _Store(docs), None, None, 0
     while True:
         if components is None:
             live = members.withColumn("component", F.col("id"))
         else:
             live = members.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        picks = [F.min(F.struct(F.xxhash64("component", F.lit(turn * PIVOTS + j)).alias("h"), "component", "id")).alias(f"p{j}") for j in range(1 if turn == 0 else PIVOTS)]
-        if turn == 0:
-            picks = [F.min(F.struct("id", "component")).alias("p0")]
-        pivots = (
-            live.groupBy("bucket")
-            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *picks)
-            .where("lo < hi")
-            .select("bucket", F.array_distinct(F.array(*[F.struct(F.col(f"p{j}.id").alias("id"), F.col(f"p{j}.component").alias("component")) for j in range(len(picks))])).alias("pivots"))
-        )
-        live = cut(live.join(pivots, "bucket"))
-        if live.isEmpty():
-            break
-        pairs = (
-            live.select("id", "component", F.explode("pivots").alias("pivot"))
-            .where("component <> pivot.component")
-            .select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
-            .distinct()
-        )
-        members = live.where(~F.array_contains(F.transform("pivots", lambda p: p["id"]), F.col("id"))).select("id", "bucket")
+        pairs, members = _first_pairs(live) if turn == 0 else _more_pairs(live, turn)
+        turn += 1
         side = lambda s: sigs.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
         likely = cut(
             pairs.join(side("a"), "a")
@@ -172,20 +184,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
             .select("a", "b")
             .distinct()
         )
-        turn += 1
-        if likely.isEmpty():
-            continue
-        sets = store.of(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        whole = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"set_{s}"))
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        linked = cut(
-            likely.join(whole("a"), "a")
-            .join(whole("b"), "b")
-            .where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent)
-            .select("a", "b")
-        )
-        edges = linked if edges is None else edges.union(linked)
-        components = connected_components(edges)
+        if not likely.isEmpty():
+            sets = store.of(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+            whole = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"set_{s}"))
+            both = F.size(F.array_intersect("set_a", "set_b"))
+            linked = cut(
+                likely.join(whole("a"), "a")
+                .join(whole("b"), "b")
+                .where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent)
+                .select("a", "b")
+            )
+            if not linked.isEmpty():
+                edges = linked if edges is None else edges.union(linked)
+                components = connected_components(edges)
+        if members.isEmpty():
+            break
     found = signed.join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("id")).alias("id"))
     if components is not None:
         found = found.join(components, "id", "left").withColumn("id", F.coalesce("component", "id"))
