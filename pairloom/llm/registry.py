@@ -5,18 +5,26 @@ from __future__ import annotations
 from pairloom.llm.decontaminate import OP7_SQL, op7_decontamination
 from pairloom.llm.minhash import op2_minhash
 from pairloom.llm.quality import op6_quality
+from pairloom.llm.secrets import op5_secrets
 from pairloom.llm.sentencepiece_bpe import op4_sentencepiece
 from pairloom.llm.sharding import OP1_SQL, op1_sharding
+from pairloom.llm.urls import OP3_SQL, op3_urls
+from pairloom.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_minhash": op2_minhash,
+    "op3_urls": op3_urls,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
+    "op8_warc": op8_warc,
 }
 
 ORACLE_SQL = {
     "op1_sharding": OP1_SQL,
+    "op3_urls": OP3_SQL,
     "op7_decontamination": OP7_SQL,
+    "op8_warc": OP8_SQL,
 }
