@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pairloom.llm.decontaminate import OP7_SQL, op7_decontamination
+from pairloom.llm.langid import op9_langid
 from pairloom.llm.minhash import op2_minhash
 from pairloom.llm.quality import op6_quality
 from pairloom.llm.secrets import op5_secrets
 from pairloom.llm.sentencepiece_bpe import op4_sentencepiece
 from pairloom.llm.sharding import OP1_SQL, op1_sharding
+from pairloom.llm.token_counts import op10_token_counts
 from pairloom.llm.urls import OP3_SQL, op3_urls
 from pairloom.llm.warc import OP8_SQL, op8_warc
 
@@ -20,6 +22,8 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
+    "op9_langid": op9_langid,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL = {
