@@ -14,6 +14,7 @@ short ones; a cut ends a phrase in every language alike.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,7 +161,7 @@ def training_sample(docs: DataFrame, trains: F.Column, lang: str = "lang", text:
     return out
 
 
-_parsers: dict[int, CrossParser] = {}
+_parsers: dict[str, CrossParser] = {}
 
 
 def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -178,11 +179,13 @@ def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     held_out = F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
     sample = docs.sparkSession.sparkContext.broadcast(training_sample(docs, ~held_out, lang, text))
 
+    fitted = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if sample.id not in _parsers:
+        if fitted not in _parsers:  # one parser for each worker process
             _parsers.clear()
-            _parsers[sample.id] = CrossParser(sample.value)
-        parser = _parsers[sample.id]
+            _parsers[fitted] = CrossParser(sample.value)
+        parser = _parsers[fitted]
         for batch in batches:
             clean = [letters_of(t.as_py()) for t in batch.column(2)]
             found = parser.phrases(clean)
