@@ -9,7 +9,8 @@
    compared with them, and what is linked is joined.  A pivot has then met its
    whole bucket and leaves it; a bucket whose members are all in one component
    is done.  Rounds go on until no bucket is left, so every pair of candidates
-   is either compared or already linked through others.
+   is compared, or already linked through others, or cannot be linked because
+   too many of a member's shingles are in no other set (_open_members).
 3. A candidate pair is kept if its estimated similarity, from the bit counts
    of the packed signatures corrected for chance collisions, is not far below
    the threshold (0.2, which is over five standard errors), and its set sizes
@@ -106,7 +107,7 @@ class _Store:
             ids = ids.join(part.select("id"), "id", "left_anti")
         ids = cut(ids)
         n = ids.count()
-        if n:
+        if n or not self.parts:
             keys = F.broadcast(ids) if n <= BROADCAST_ROWS else ids
             read = self.docs.join(keys, self.docs["doc_id"] == keys["id"], "left_semi")
             self.parts.append(cut(read.mapInArrow(_sets, SETS)))
@@ -116,13 +117,40 @@ class _Store:
         return out
 
 
+def _with_component(members: DataFrame, components: DataFrame | None) -> DataFrame:
+    if components is None:
+        return members.withColumn("component", F.col("id"))
+    return members.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
 def _first_pairs(live: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every member of a bucket with the bucket's smallest id, and the members that are left."""
     live = cut(live.join(live.groupBy("bucket").agg(F.min("id").alias("pivot")), "bucket").where("id <> pivot"))
     return live.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), live.select("id", "bucket")
 
 
-def _more_pairs(live: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+def _open_members(live: DataFrame, store: _Store, percent: int) -> DataFrame:
+    """Members of buckets that still have several components, with size n and shared size s, that can have a partner.
+
+    A shingle that no other class of these buckets has lies in no intersection,
+    so two sets have at most min(s) shingles in common, and a link asks for
+    s * (100 + percent) >= percent * (n + n of the partner).  Edits that occur
+    once show in s, so copies too far from all others leave here, uncompared.
+    """
+    mixed = live.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    live = cut(live.join(mixed, "bucket"))
+    ids = live.select("id").distinct()
+    sets = store.of(ids).join(ids, "id")
+    once = sets.select("id", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    sizes = sets.select("id", "n").dropDuplicates(["id"]).join(once.groupBy("id").agg(F.count("*").alias("u")), "id", "left")
+    live = live.join(sizes.select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s")), "id")
+    live = live.where(F.col("s") * (100 + percent) * 100 >= F.col("n") * percent * (100 + percent))  # a partner has at least percent of n
+    least = live.groupBy("bucket").agg(F.min("n").alias("least"))
+    live = live.join(least, "bucket").where(F.col("s") * (100 + percent) >= (F.col("n") + F.col("least")) * percent)
+    return cut(live.select("bucket", "id", "n", "s"))
+
+
+def _more_pairs(live: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs across the components of each bucket that has several, and the members that are left.
 
     A bucket of at most SMALL members gives all its pairs and is done.  A larger
@@ -130,19 +158,19 @@ def _more_pairs(live: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     other components; the pivots leave it.  So a round makes at most
     max(SMALL, PIVOTS) pairs for each member.
     """
-    picks = [F.min(F.struct(F.xxhash64("component", F.lit(turn * PIVOTS + j)).alias("h"), "component", "id")).alias(f"p{j}") for j in range(PIVOTS)]
-    pivots = F.array_distinct(F.array(*[F.struct(F.col(f"p{j}.id").alias("id"), F.col(f"p{j}.component").alias("component")) for j in range(PIVOTS)]))
+    picks = [F.min(F.struct(F.xxhash64("component", F.lit(turn * PIVOTS + j)).alias("h"), "component", "id", "n", "s")).alias(f"p{j}") for j in range(PIVOTS)]
+    pivots = F.array_distinct(F.array(*[F.struct(*[F.col(f"p{j}.{c}").alias(c) for c in ("id", "component", "n", "s")]) for j in range(PIVOTS)]))
     buckets = live.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), *picks).where("lo < hi")
     live = cut(live.join(buckets.select("bucket", "m", F.when(F.col("m") > SMALL, pivots).alias("pivots")), "bucket"))
-    small = live.where(F.col("m") <= SMALL).select("bucket", "id", "component")
-    across = small.alias("x").join(small.alias("y"), F.expr("x.bucket = y.bucket AND x.id < y.id AND x.component <> y.component"))
+    small = live.where(F.col("m") <= SMALL).select("bucket", "id", "component", "n", "s")
+    able = f"least(x.s, y.s) * {100 + percent} >= (x.n + y.n) * {percent}"
+    across = small.alias("x").join(small.alias("y"), F.expr(f"x.bucket = y.bucket AND x.id < y.id AND x.component <> y.component AND {able}"))
     large = live.where(F.col("m") > SMALL)
-    star = large.select("id", "component", F.explode("pivots").alias("pivot")).where("component <> pivot.component")
-    pairs = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).union(
-        star.select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
-    )
-    left = large.where(~F.array_contains(F.transform("pivots", lambda p: p["id"]), F.col("id")))
-    return pairs.distinct(), left.select("id", "bucket")
+    met = F.filter("pivots", lambda y: (y["component"] != F.col("component")) & (F.least("s", y["s"]) * (100 + percent) >= (F.col("n") + y["n"]) * percent))
+    star = large.select("id", F.explode(F.transform(met, lambda y: y["id"])).alias("pivot"))
+    pairs = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).union(star.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
+    left = large.where(~F.array_contains(F.transform("pivots", lambda y: y["id"]), F.col("id")))
+    return pairs.distinct(), left.select("bucket", "id", "n", "s")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -169,11 +197,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     sigs = nodes.select("id", "n", "sig")
     store, edges, components, turn = _Store(docs), None, None, 0
     while True:
-        if components is None:
-            live = members.withColumn("component", F.col("id"))
-        else:
-            live = members.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        pairs, members = _first_pairs(live) if turn == 0 else _more_pairs(live, turn)
+        live = _with_component(members, components)
+        if turn == 1:
+            live = _with_component(_open_members(live, store, percent), components)
+        pairs, members = _first_pairs(live) if turn == 0 else _more_pairs(live, turn, percent)
         turn += 1
         side = lambda s: sigs.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
         likely = cut(
