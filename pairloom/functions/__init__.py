@@ -1,0 +1,6 @@
+"""Column functions that the operators share."""
+
+from pairloom.functions.numbers import finite, float_label, missing_to_null, ratio
+from pairloom.functions.uniform import normal, uniform, uniform_of
+
+__all__ = ["finite", "float_label", "missing_to_null", "normal", "ratio", "uniform", "uniform_of"]

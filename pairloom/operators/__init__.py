@@ -1,0 +1 @@
+"""Operators of matching studies: distances, kernels, estimators, chains, diagnostics, summaries."""

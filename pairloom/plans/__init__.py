@@ -1,0 +1 @@
+"""Logical plans that many queries start from."""
