@@ -98,20 +98,22 @@ class CrossParser:
         base = 0
         self.roots, parts = [], []
         for states in tables:
-            # Where a phrase ends, the character begins the next one: that move is marked with _PHRASE.
-            root = np.full(self.width, base, np.int32) | _PHRASE
+            # A character that does not lengthen the phrase begins the next one: that move is marked with
+            # _PHRASE.  One more state stands for no phrase, at the start and after a character not in the sample.
+            idle = base + len(states)
+            begin = np.full(self.width, idle, np.int32) | _PHRASE
             for s, to in states[0].items():
                 if s >= 0:
-                    root[s] = (base + to) | _PHRASE
-            moves = np.repeat(root[None, :], len(states), axis=0)
+                    begin[s] = (base + to) | _PHRASE
+            moves = np.repeat(begin[None, :], len(states) + 1, axis=0)
             for i, following in enumerate(states):
                 for s, to in following.items():
                     if s >= 0:
                         moves[i, s] = base + to
-            moves[:, self.width - 1] = np.arange(base, base + len(states))  # padding moves nothing
-            self.roots.append(base)
+            moves[:, self.width - 1] = np.arange(base, idle + 1)  # padding moves nothing
+            self.roots.append(idle)
             parts.append(moves)
-            base += len(states)
+            base = idle + 1
         self.moves = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
 
     def symbols(self, text: str) -> np.ndarray:
@@ -137,7 +139,7 @@ class CrossParser:
 
     def _parse(self, lane: np.ndarray) -> np.ndarray:
         state = np.repeat(np.array(self.roots, np.int32)[:, None], lane.shape[1], axis=1)
-        count = np.ones(state.shape, np.int32)
+        count = np.zeros(state.shape, np.int32)
         for symbols in lane:
             moved = self.moves[state * np.int32(self.width) + symbols]
             count += moved >> np.int32(30)
