@@ -3,14 +3,15 @@
 1. Each text becomes its set of five-word shingles, 128 minima of that set, 32
    band keys of 4 minima each, and the minima's low 4 bits packed in 8 longs.
    Texts with equal sets are one class from here on, with the smallest doc_id.
-2. Classes that share a band key are candidates.  A large bucket is never
-   expanded into its pairs: first its smallest member, then in each round a few
-   members of different components are its pivots; all other members are
-   compared with them, and what is linked is joined.  A pivot has then met its
-   whole bucket and leaves it; a bucket whose members are all in one component
-   is done.  Rounds go on until no bucket is left, so every pair of candidates
-   is compared, or already linked through others, or cannot be linked because
-   too many of a member's shingles are in no other set (_open_members).
+2. Classes that share a band key are candidates.  A bucket is never expanded
+   into all its pairs.  First its members are compared with its smallest one,
+   and what is linked is joined.  Members of buckets that are not one component
+   after that are dealt into new buckets, by the rare shingles that any link
+   between them has to share (_open_members).  Small buckets are compared pair
+   by pair across components; in large ones all members run past an index of
+   those that are not in the bucket's main component, block by block.  So every
+   pair of candidates is compared, or linked through others, or cannot be
+   linked.
 3. A candidate pair is kept if its estimated similarity, from the bit counts
    of the packed signatures corrected for chance collisions, is not far below
    the threshold (0.2, which is over five standard errors), and its set sizes
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.components import connected_components
@@ -36,8 +37,8 @@ from pairloom.llm.shingles import MinHasher, WordHashes, shingle_set
 
 SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, sig array<long>, bands array<long>"
 SETS = "id long, n long, shingles array<long>"
-#: Members up to which a bucket is compared pair by pair, and pivots a round of a larger one.
-SMALL, PIVOTS = 100, 24
+#: Members up to which a bucket is compared pair by pair, and bytes of shingles broadcast at a time for larger ones.
+SMALL, BLOCK_BYTES = 50, 8_000_000
 
 
 def _long_lists(rows: list[np.ndarray]) -> pa.Array:
@@ -117,60 +118,134 @@ class _Store:
         return out
 
 
-def _with_component(members: DataFrame, components: DataFrame | None) -> DataFrame:
-    if components is None:
-        return members.withColumn("component", F.col("id"))
+def _with_component(members: DataFrame, components: DataFrame) -> DataFrame:
     return members.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _first_pairs(live: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every member of a bucket with the bucket's smallest id, and the members that are left."""
-    live = cut(live.join(live.groupBy("bucket").agg(F.min("id").alias("pivot")), "bucket").where("id <> pivot"))
-    return live.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), live.select("id", "bucket")
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """Every member of a bucket with the bucket's smallest id."""
+    least = members.groupBy("bucket").agg(F.min("id").alias("a"))
+    return members.join(least, "bucket").where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
 def _open_members(live: DataFrame, store: _Store, percent: int) -> DataFrame:
-    """Members of buckets that still have several components, with size n and shared size s, that can have a partner.
-
-    A shingle that no other class of these buckets has lies in no intersection,
-    so two sets have at most min(s) shingles in common, and a link asks for
-    s * (100 + percent) >= percent * (n + n of the partner).  Edits that occur
-    once show in s, so copies too far from all others leave here, uncompared.
+    """Members of buckets that still have several components, in new buckets: the rare shingles that a link needs.
+
+    Order a set of n shingles by how many of these members have them, rare ones
+    first.  A link takes at least percent of n in common, so two linked sets
+    have one of their n - ceil(n * percent / 100) + 1 first shingles in common.
+    Shingles of one member only are in nobody else's set and make no bucket;
+    their number also bounds what two sets can have in common: s = n less
+    those, and a link asks for s * (100 + percent) >= percent * (both sizes).
+    So texts that share a passage but not three quarters of their words, and
+    copies with too many edits, leave here without being compared.
     """
     mixed = live.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    live = cut(live.join(mixed, "bucket"))
-    ids = live.select("id").distinct()
-    sets = store.of(ids).join(ids, "id")
-    once = sets.select("id", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-    sizes = sets.select("id", "n").dropDuplicates(["id"]).join(once.groupBy("id").agg(F.count("*").alias("u")), "id", "left")
-    live = live.join(sizes.select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s")), "id")
-    live = live.where(F.col("s") * (100 + percent) * 100 >= F.col("n") * percent * (100 + percent))  # a partner has at least percent of n
-    least = live.groupBy("bucket").agg(F.min("n").alias("least"))
-    live = live.join(least, "bucket").where(F.col("s") * (100 + percent) >= (F.col("n") + F.col("least")) * percent)
-    return cut(live.select("bucket", "id", "n", "s"))
-
-
-def _more_pairs(live: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs across the components of each bucket that has several, and the members that are left.
-
-    A bucket of at most SMALL members gives all its pairs and is done.  A larger
-    one gives PIVOTS pivots, of components drawn by hash, with all members of
-    other components; the pivots leave it.  So a round makes at most
-    max(SMALL, PIVOTS) pairs for each member.
-    """
-    picks = [F.min(F.struct(F.xxhash64("component", F.lit(turn * PIVOTS + j)).alias("h"), "component", "id", "n", "s")).alias(f"p{j}") for j in range(PIVOTS)]
-    pivots = F.array_distinct(F.array(*[F.struct(*[F.col(f"p{j}.{c}").alias(c) for c in ("id", "component", "n", "s")]) for j in range(PIVOTS)]))
-    buckets = live.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), *picks).where("lo < hi")
-    live = cut(live.join(buckets.select("bucket", "m", F.when(F.col("m") > SMALL, pivots).alias("pivots")), "bucket"))
+    ids = cut(live.join(mixed, "bucket").select("id").distinct())
+    sets = store.of(ids).join(ids, "id").dropDuplicates(["id"])
+    rows = sets.select("id", "n", F.explode("shingles").alias("bucket"))
+    often = rows.groupBy("bucket").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = rows.join(often, "bucket", "left").withColumns(
+        {
+            "place": F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "bucket")),
+            "s": F.count("df").over(Window.partitionBy("id")),
+        }
+    )
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    able = F.col("s") * (100 + percent) * 100 >= F.col("n") * percent * (100 + percent)  # a partner has at least percent of n
+    return cut(ranked.where(F.col("df").isNotNull() & (F.col("place") <= first) & able).select("bucket", "id", "n", "s"))
+
+
+def _small_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """The pairs of different components of each bucket of at most SMALL members: at most SMALL for each member."""
     small = live.where(F.col("m") <= SMALL).select("bucket", "id", "component", "n", "s")
     able = f"least(x.s, y.s) * {100 + percent} >= (x.n + y.n) * {percent}"
-    across = small.alias("x").join(small.alias("y"), F.expr(f"x.bucket = y.bucket AND x.id < y.id AND x.component <> y.component AND {able}"))
+    pairs = small.alias("x").join(small.alias("y"), F.expr(f"x.bucket = y.bucket AND x.id < y.id AND x.component <> y.component AND {able}"))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def _large_links(live: DataFrame, store: _Store, percent: int) -> list[DataFrame]:
+    """Links between the components of larger buckets.
+
+    Each bucket's most frequent component is its main one.  Members of all
+    others are the query set: in blocks of about BLOCK_BYTES of shingles they
+    are broadcast as an inverted index, and the sets of all members of large
+    buckets run past it.  Whole sets are compared, so a link is a link.  Rows
+    are members, not pairs.
+    """
     large = live.where(F.col("m") > SMALL)
-    met = F.filter("pivots", lambda y: (y["component"] != F.col("component")) & (F.least("s", y["s"]) * (100 + percent) >= (F.col("n") + y["n"]) * percent))
-    star = large.select("id", F.explode(F.transform(met, lambda y: y["id"])).alias("pivot"))
-    pairs = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).union(star.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
-    left = large.where(~F.array_contains(F.transform("pivots", lambda y: y["id"]), F.col("id")))
-    return pairs.distinct(), left.select("bucket", "id", "n", "s")
+    parts = large.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
+    odd = cut(large.join(main, "bucket").where("component <> main").select("id", "component", "n").distinct())
+    total = odd.agg(F.sum("n")).first()[0]
+    if not total:
+        return []
+    sets = store.of(large.select("id").distinct()).dropDuplicates(["id"])
+    members = cut(large.select("id", "component").distinct().join(sets, "id").select("id", "component", "shingles"))
+    blocks = -(-total * 8 // BLOCK_BYTES)
+    found = []
+    for block in range(blocks):
+        queries = odd.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).join(members.select("id", "shingles"), "id")
+        index = _Index([(r["id"], r["component"], r["shingles"]) for r in queries.select("id", "component", "shingles").collect()], percent)
+        known = live.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b, component = [], [], []
+                for id_, own, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    linked = known.value.links(own, shingles.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                    a += linked.tolist()
+                    b += [id_] * len(linked)
+                    component += [own] * len(linked)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, component)], ["a", "b", "component"])
+
+        links = members.mapInArrow(run, "a long, b long, component long")
+        found.append(cut(links.groupBy("a", "component").agg(F.min("b").alias("b")).select("a", "b")))
+    return found
+
+
+class _Index:
+    """Shingle to the query sets that have it."""
+
+    def __init__(self, queries: list[tuple[int, int, list[int]]], percent: int) -> None:
+        self.percent = percent
+        self.ids = np.array([i for i, _, _ in queries], np.int64)
+        self.components = np.array([c for _, c, _ in queries], np.int64)
+        sets = [np.array(s, np.int64).view(np.uint64) for _, _, s in queries]
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        shingles = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        order = np.argsort(shingles, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.keys, first = np.unique(shingles[order], return_index=True)
+        self.first = np.append(first, len(shingles))
+
+    def links(self, component: int, shingles: np.ndarray) -> np.ndarray:
+        """Ids of the queries of other components that are linked with the set."""
+        at = np.searchsorted(self.keys, shingles)
+        at = at[(at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == shingles)] if len(self.keys) else at[:0]
+        if not len(at):
+            return self.ids[:0]
+        both = np.bincount(np.concatenate([self.owner[self.first[i] : self.first[i + 1]] for i in at]), minlength=len(self.ids))
+        linked = (both * 100 >= (self.sizes + len(shingles) - both) * self.percent) & (self.components != component)
+        return self.ids[linked]
+
+
+def _verify(pairs: DataFrame, sigs: DataFrame, store: _Store, percent: int) -> DataFrame:
+    """The pairs that are linked: first by estimate and size, then by whole sets."""
+    side = lambda s: sigs.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
+    likely = cut(
+        pairs.join(side("a"), "a")
+        .join(side("b"), "b")
+        .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        .where(_estimate() >= percent / 100 - 0.2)
+        .select("a", "b")
+        .distinct()
+    )
+    sets = store.of(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    whole = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"set_{s}"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    linked = likely.join(whole("a"), "a").join(whole("b"), "b").where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent)
+    return cut(linked.select("a", "b").distinct())
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -195,40 +270,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
     members = cut(members.join(shared, "bucket").distinct())
     sigs = nodes.select("id", "n", "sig")
-    store, edges, components, turn = _Store(docs), None, None, 0
-    while True:
-        live = _with_component(members, components)
-        if turn == 1:
-            live = _with_component(_open_members(live, store, percent), components)
-        pairs, members = _first_pairs(live) if turn == 0 else _more_pairs(live, turn, percent)
-        turn += 1
-        side = lambda s: sigs.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
-        likely = cut(
-            pairs.join(side("a"), "a")
-            .join(side("b"), "b")
-            .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-            .where(_estimate() >= percent / 100 - 0.2)
-            .select("a", "b")
-            .distinct()
-        )
-        if not likely.isEmpty():
-            sets = store.of(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-            whole = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"set_{s}"))
-            both = F.size(F.array_intersect("set_a", "set_b"))
-            linked = cut(
-                likely.join(whole("a"), "a")
-                .join(whole("b"), "b")
-                .where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent)
-                .select("a", "b")
-            )
-            if not linked.isEmpty():
-                edges = linked if edges is None else edges.union(linked)
-                components = connected_components(edges)
-        if members.isEmpty():
-            break
+    store = _Store(docs)
+    edges = _verify(_first_pairs(members), sigs, store, percent)
+    components = connected_components(edges)
+    live = _with_component(_open_members(_with_component(members, components), store, percent), components)
+    sizes = live.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    live = cut(live.join(sizes.select("bucket", "m"), "bucket"))
+    more = [_verify(_small_pairs(live, percent), sigs, store, percent), *_large_links(live, store, percent)]
+    for links in more:
+        edges = edges.union(links)
+    components = connected_components(edges)
     found = signed.join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("id")).alias("id"))
-    if components is not None:
-        found = found.join(components, "id", "left").withColumn("id", F.coalesce("component", "id"))
+    found = found.join(components, "id", "left").withColumn("id", F.coalesce("component", "id"))
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("id")), F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

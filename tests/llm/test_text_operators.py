@@ -115,9 +115,9 @@ def test_components_are_those_of_all_pairs(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_large_buckets_take_several_rounds(spark, monkeypatch):
+def test_large_buckets_run_past_an_index_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", 3)
-    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 4000)
     rows = made_copies(3, 40, 7)
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
