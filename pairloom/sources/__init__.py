@@ -1,0 +1,6 @@
+"""Reading and writing study data: replications, result files, numbered outputs."""
+
+from pairloom.sources.datasets import generate, get_or_create, read_npz, read_units
+from pairloom.sources.results import next_number, read_results, run_folder, write_results
+
+__all__ = ["generate", "get_or_create", "next_number", "read_npz", "read_results", "read_units", "run_folder", "write_results"]
