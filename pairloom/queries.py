@@ -38,8 +38,8 @@ def r6(c: Column | str, name: str | None = None) -> Column:
 
 
 def off_ties(c: str) -> Column:
-    """Rounded with the border at 2/3: means of a few decimals often end in a 5, where engines round apart."""
-    return (F.floor(F.col(c) * 1e6 + F.lit(1.0) / 3) / 1e6).alias(c)
+    """Rounded with an odd border: means of few numbers often lie at 1/2 or 1/3, where engines would round apart."""
+    return (F.floor(F.col(c) * 1e6 + 0.381966) / 1e6).alias(c)
 
 
 def _ix(spark: SparkSession, d: str) -> DataFrame:
@@ -341,66 +341,72 @@ def _chain(trace: DataFrame) -> DataFrame:
     return trace.select("sim", F.col("proposal").alias("iter"), r6("d_total"), off_ties("tau"), "accepted", "accepted_count")
 
 
-_MH = f"""WITH RECURSIVE {_MAT}, {_greedy_sql("m.n", "m.dm[g.i % m.n + 1][j] < m.dm[g.i % m.n + 1][b]")},
+def _start_sql(k: int) -> str:
+    """Greedy matchings as one list, slot after slot: place (s - 1) * n + r has slot s of recipient r."""
+    return f"""{_MAT}, {_greedy_sql(f"{k} * m.n", "m.dm[g.i % m.n + 1][j] < m.dm[g.i % m.n + 1][b]")},
 start AS (SELECT g.sim, g.mt, m.* EXCLUDE (sim), list_filter(list_transform(range(1, m.m + 1), lambda z: z::INTEGER), lambda z: NOT list_contains(g.mt, z)) AS un
-          FROM greedy g JOIN mat m USING (sim) WHERE g.i = m.n),
+          FROM greedy g JOIN mat m USING (sim) WHERE g.i = {k} * m.n)"""
+
+
+_STATE = """round(list_sum(list_transform(c.mt, lambda v, i: s.dm[(i - 1) % s.n + 1][v])), 6) AS d_total,
+       floor((s.rbar - list_avg(list_transform(c.mt, lambda v: s.dyl[v]))) * 1e6 + 0.381966) / 1e6 AS tau"""
+
+
+def _mh_sql(k: int) -> str:
+    u = lambda tag: uniform_sql("(c.sim)", "1", "(c.t + 1)", tag)
+    slot = lambda tag: f"floor({u(tag)} * {k})::INTEGER" if k > 1 else "0"
+    return f"""WITH RECURSIVE {_start_sql(k)},
 chain AS (
   SELECT sim, 0::BIGINT AS t, mt, un, 0::BIGINT AS ok, 0::BIGINT AS total FROM start
   UNION ALL
-  SELECT sim, t, CASE WHEN ok = 0 THEN mt WHEN f THEN list_transform(mt, lambda v, i: CASE WHEN i = a THEN mt[b] WHEN i = b THEN mt[a] ELSE v END)
-                      ELSE list_transform(mt, lambda v, i: CASE WHEN i = a THEN un[q] ELSE v END) END,
-         CASE WHEN ok = 1 AND NOT f THEN list_transform(un, lambda v, i: CASE WHEN i = q THEN mt[a] ELSE v END) ELSE un END, ok, total + ok
-  FROM (SELECT sim, t, mt, un, total, f, a, b, q,
-               CASE WHEN NOT f AND len(un) = 0 THEN 0 WHEN delta <= 0 OR u = 0 THEN 1 WHEN ln(u) < -delta THEN 1 ELSE 0 END::BIGINT AS ok
-        FROM (SELECT *, CASE WHEN f THEN dm[a][mt[b]] + dm[b][mt[a]] - dm[a][mt[a]] - dm[b][mt[b]] ELSE dm[a][un[q]] - dm[a][mt[a]] END AS delta
-              FROM (SELECT *, b0 + CASE WHEN b0 >= a THEN 1 ELSE 0 END AS b
-                    FROM (SELECT c.sim, c.t + 1 AS t, c.mt, c.un, c.total, s.dm,
-                                 {uniform_sql("(c.sim)", "1", "(c.t + 1)", "f")} < 0.5 AS f,
-                                 floor({uniform_sql("(c.sim)", "1", "(c.t + 1)", "a")} * s.n)::INTEGER + 1 AS a,
-                                 floor({uniform_sql("(c.sim)", "1", "(c.t + 1)", "b")} * (s.n - 1))::INTEGER + 1 AS b0,
-                                 floor({uniform_sql("(c.sim)", "1", "(c.t + 1)", "q")} * len(c.un))::INTEGER + 1 AS q,
-                                 {uniform_sql("(c.sim)", "1", "(c.t + 1)", "u")} AS u
-                          FROM chain c JOIN start s USING (sim) WHERE c.t < {N_STEPS})))))
-SELECT c.sim, c.t AS iter, round(list_sum(list_transform(c.mt, lambda v, i: s.dm[i][v])), 6) AS d_total,
-       floor((s.rbar - list_avg(list_transform(c.mt, lambda v: s.dyl[v]))) * 1e6 + 1.0 / 3) / 1e6 AS tau, c.ok AS accepted, c.total AS accepted_count
-FROM chain c JOIN start s USING (sim)"""
-
-
-@query(_MH)
-def mh_c1to1(spark, d):
-    return _chain(C.run_chains(_ix(spark, d), lambda s, t: C.local_mh(s, t, 1.0, 0.5), N_STEPS))
-
-
-@query(f"""WITH RECURSIVE {_MAT}, {_greedy_sql("m.n", "m.dm[g.i % m.n + 1][j] < m.dm[g.i % m.n + 1][b]")},
-start AS (SELECT g.sim, g.mt, m.* EXCLUDE (sim), list_filter(list_transform(range(1, m.m + 1), lambda z: z::INTEGER), lambda z: NOT list_contains(g.mt, z)) AS un
-          FROM greedy g JOIN mat m USING (sim) WHERE g.i = m.n),
+  SELECT sim, t, CASE WHEN ok = 0 THEN mt WHEN f THEN list_transform(mt, lambda v, i: CASE WHEN i = x THEN mt[y] WHEN i = y THEN mt[x] ELSE v END)
+                      ELSE list_transform(mt, lambda v, i: CASE WHEN i = x THEN un[q] ELSE v END) END,
+         CASE WHEN ok = 1 AND NOT f THEN list_transform(un, lambda v, i: CASE WHEN i = q THEN mt[x] ELSE v END) ELSE un END, ok, total + ok
+  FROM (SELECT *, CASE WHEN NOT f AND len(un) = 0 THEN 0 WHEN delta <= 0 OR u = 0 THEN 1 WHEN ln(u) < -delta THEN 1 ELSE 0 END::BIGINT AS ok
+        FROM (SELECT *, CASE WHEN f THEN dm[a][mt[y]] + dm[b][mt[x]] - dm[a][mt[x]] - dm[b][mt[y]] ELSE dm[a][un[q]] - dm[a][mt[x]] END AS delta
+              FROM (SELECT *, s1 * n + a AS x, s2 * n + b AS y
+                    FROM (SELECT *, b0 + CASE WHEN b0 >= a THEN 1 ELSE 0 END AS b
+                          FROM (SELECT c.sim, c.t + 1 AS t, c.mt, c.un, c.total, s.dm, s.n, {u("f")} < 0.5 AS f, floor({u("a")} * s.n)::INTEGER + 1 AS a, {slot("s")} AS s1,
+                                       floor({u("b")} * (s.n - 1))::INTEGER + 1 AS b0, {slot("z")} AS s2, floor({u("q")} * len(c.un))::INTEGER + 1 AS q, {u("u")} AS u
+                                FROM chain c JOIN start s USING (sim) WHERE c.t < {N_STEPS}))))))
+SELECT c.sim, c.t AS iter, {_STATE}, c.ok AS accepted, c.total AS accepted_count FROM chain c JOIN start s USING (sim)"""
+
+
+def _gibbs_sql(k: int) -> str:
+    return f"""WITH RECURSIVE {_start_sql(k)},
 chain AS (
-  SELECT sim, 0::BIGINT AS k, mt, un, 0::BIGINT AS total FROM start
+  SELECT sim, 0::BIGINT AS j, mt, un, 0::BIGINT AS total FROM start
   UNION ALL
-  SELECT sim, k + 1, CASE WHEN slot = 1 THEN mt ELSE list_transform(mt, lambda v, i: CASE WHEN i = r THEN un[slot - 1] ELSE v END) END,
-         CASE WHEN slot = 1 THEN un ELSE list_transform(un, lambda v, i: CASE WHEN i = slot - 1 THEN mt[r] ELSE v END) END, total + (slot > 1)::BIGINT
-  FROM (SELECT *, 1 + len(list_filter(cdf[1:len(cdf) - 1], lambda x: x <= u * cdf[len(cdf)])) AS slot
+  SELECT sim, j + 1, CASE WHEN slot = 1 THEN mt ELSE list_transform(mt, lambda v, i: CASE WHEN i = x THEN un[slot - 1] ELSE v END) END,
+         CASE WHEN slot = 1 THEN un ELSE list_transform(un, lambda v, i: CASE WHEN i = slot - 1 THEN mt[x] ELSE v END) END, total + (slot > 1)::BIGINT
+  FROM (SELECT *, 1 + len(list_filter(cdf[1:len(cdf) - 1], lambda z: z <= u * cdf[len(cdf)])) AS slot
         FROM (SELECT *, list_transform(w, lambda z, i: list_sum(w[1:i])) AS cdf
               FROM (SELECT *, list_transform(dd, lambda z: exp(-1.0 * (z - list_min(dd)))) AS w
-                    FROM (SELECT *, list_transform(list_prepend(mt[r], un), lambda j: dr[j]) AS dd
-                          FROM (SELECT c.sim, c.k, c.mt, c.un, c.total, (c.k % s.n + 1)::INTEGER AS r, s.dm[(c.k % s.n + 1)::INTEGER] AS dr,
-                                       {uniform_sql("(c.sim)", "1", "(c.k // s.n + 1)", "g", "(c.k % s.n + 1)", "1")} AS u
-                                FROM chain c JOIN start s USING (sim) WHERE c.k < 5 * s.n))))))
-SELECT c.sim, c.k // s.n AS iter, round(list_sum(list_transform(c.mt, lambda v, i: s.dm[i][v])), 6) AS d_total,
-       floor((s.rbar - list_avg(list_transform(c.mt, lambda v: s.dyl[v]))) * 1e6 + 1.0 / 3) / 1e6 AS tau, c.total AS accepted_count
-FROM chain c JOIN start s USING (sim) WHERE c.k % s.n = 0""")
-def gibbs_c1to1(spark, d):
-    return _chain(C.run_chains(_ix(spark, d), lambda s, t: C.gibbs_sweep(s, t, 1.0), 5)).drop("accepted")
+                    FROM (SELECT *, list_transform(list_prepend(mt[x], un), lambda v: dr[v]) AS dd
+                          FROM (SELECT sim, j, mt, un, total, (s0 * n + r)::INTEGER AS x, dm[r] AS dr, {uniform_sql("(sim)", "1", "(t)", "g", "(r)", "(s0 + 1)")} AS u
+                                FROM (SELECT c.*, s.dm, s.n, (c.j // {k} % s.n + 1)::INTEGER AS r, c.j % {k} AS s0, c.j // ({k} * s.n) + 1 AS t
+                                      FROM chain c JOIN start s USING (sim) WHERE c.j < 5 * {k} * s.n)))))))
+SELECT c.sim, c.j // ({k} * s.n) AS iter, {_STATE}, c.total AS accepted_count FROM chain c JOIN start s USING (sim) WHERE c.j % ({k} * s.n) = 0"""
 
 
-@query()
+@query(_mh_sql(1))
+def mh_c1to1(spark, d):
+    return _chain(C.run_chains(_ix(spark, d), lambda s, t: C.local_mh(s, t, 1.0, 0.5), N_STEPS))
+
+
+@query(_mh_sql(2))
 def mh_c1tok(spark, d):
     return _chain(C.run_chains(_ix(spark, d), lambda s, t: C.local_mh(s, t, 1.0, 0.5), N_STEPS, k=2))
 
 
-@query()
+@query(_gibbs_sql(1))
+def gibbs_c1to1(spark, d):
+    return _chain(C.run_chains(_ix(spark, d), lambda s, t: C.gibbs_sweep(s, t, 1.0), 5)).drop("accepted")
+
+
+@query(_gibbs_sql(2))
 def gibbs_c1tok(spark, d):
-    return _chain(C.run_chains(_ix(spark, d), lambda s, t: C.gibbs_sweep(s, t, 1.0), 5, k=2))
+    return _chain(C.run_chains(_ix(spark, d), lambda s, t: C.gibbs_sweep(s, t, 1.0), 5, k=2)).drop("accepted")
 
 
 _U1TOK = f"""WITH RECURSIVE {KERNEL}, lists AS (SELECT sim, rp, list(dp ORDER BY dist, dp) AS dl, list(alpha / (1 - alpha) ORDER BY dist, dp) AS wl, count(*) AS m FROM kernel GROUP BY sim, rp),

@@ -1,0 +1,23 @@
+"""Chains that arrive as a stream of trace rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+
+def running_effects(trace: DataFrame) -> DataFrame:
+    """For each sim and chain, rows so far, mean effect and acceptance; state is one row a chain.
+
+    Use it with output mode ``update`` or ``complete``; rows may come in any order.
+    """
+    return trace.groupBy("sim", "chain").agg(
+        F.count("*").alias("n"), F.avg("tau").alias("running_tau"), F.avg(F.col("accepted").cast("double")).alias("running_acceptance"), F.max("proposal").alias("last")
+    )
+
+
+def append_results(rows: DataFrame, folder: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Append result rows to Parquet as they come, exactly once; without ``every`` what is there is written and the query ends."""
+    writer = rows.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
