@@ -29,9 +29,18 @@ def manhattan() -> Column:
     return F.abs(F.col("rx1") - F.col("dx1")) + F.abs(F.col("rx2") - F.col("dx2"))
 
 
-def pair_units(units: DataFrame, distance: Column | None = None) -> DataFrame:
+def salted_join(recipients: DataFrame, donors: DataFrame, salts: int, *spread: str) -> DataFrame:
+    """All recipients with all donors of their sim.  Donors are dealt over ``salts`` parts of each sim by a hash of
+    ``spread`` and recipients go to every part, so that one large replication is many join tasks."""
+    if salts == 1:
+        return recipients.join(donors, "sim")
+    parts = recipients.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return parts.join(donors.withColumn("_salt", F.pmod(F.hash(*spread), F.lit(salts))), ["sim", "_salt"]).drop("_salt")
+
+
+def pair_units(units: DataFrame, distance: Column | None = None, salts: int = 1) -> DataFrame:
     """Every recipient with every donor of its sim: (sim, rp, dp, ry, dy, rx1, rx2, dx1, dx2, dist)."""
-    pairs = _side(units, 1, "r").join(_side(units, 0, "d"), "sim")
+    pairs = salted_join(_side(units, 1, "r"), _side(units, 0, "d"), salts, "dp")
     return pairs.withColumn("dist", euclid() if distance is None else distance)
 
 

@@ -106,12 +106,13 @@ e AS (SELECT r.vec_id::BIGINT AS rid, d.vec_id::BIGINT AS did, list_distance(r.x
 
 
 def _vector_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of label 1 with all others.  There is one replication, so its key is a constant; recipients are broadcast only below a size."""
+    """Vectors of label 1 with all others.  There is one replication, so its donors are salted over the shuffle's partitions."""
     v = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"), F.lit(1).alias("sim"))
     r = v.where("label = 1").select("sim", F.col("vec_id").cast("long").alias("rid"), F.col("x").alias("rx"))
     o = v.where("label <> 1").select("sim", F.col("vec_id").cast("long").alias("did"), F.col("x").alias("dx"))
     squares = F.aggregate(F.zip_with("rx", "dx", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return o.join(r, "sim").select("rid", "did", F.sqrt(squares).alias("dist"))
+    pairs = M.salted_join(r, o, int(spark.conf.get("spark.sql.shuffle.partitions")), "did")
+    return pairs.select("rid", "did", F.sqrt(squares).alias("dist"))
 
 
 @query(f"WITH {_VEC} SELECT rid, count(*) AS n_pairs, round(avg(dist), 6) AS mean_dist, round(min(dist), 6) AS min_dist, round(max(dist), 6) AS max_dist FROM e GROUP BY rid")

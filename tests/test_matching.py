@@ -205,3 +205,9 @@ def test_trace_keeps_first_and_last(spark):
     trace = C.run_chains(make_units(spark), lambda s, t: C.local_mh(s, t, 1.0, 0.5), 7, k=2, starts=C.STARTS, thin=3).toPandas()
     assert isinstance(trace, pd.DataFrame)
     assert set(trace.proposal) == {0, 3, 6, 7} and len(trace) == 2 * 4 * 4
+
+
+def test_salted_pairs_are_all_pairs(spark):
+    units = make_units(spark)
+    rows = lambda salts: sorted(map(tuple, M.pair_units(units, salts=salts).select("sim", "rp", "dp", "dist").collect()))
+    assert rows(1) == rows(3) and len(rows(3)) == 2 * 3 * 7
