@@ -12,7 +12,7 @@ from pairloom.llm.minhash import near_duplicates
 from pairloom.llm.quality import quality_filter
 from pairloom.llm.secrets import new_ledger, redact
 from pairloom.llm.sentencepiece_bpe import decode_column, encode_column
-from pairloom.llm.shared import shared_folder, table
+from pairloom.llm.shared import BROADCAST_ROWS, cut, shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are linked with nothing and stay, as do documents
     without a doc_id.  Rows that repeat a kept doc_id all stay.
     """
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = cut(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
+    # Few ids are broadcast, and texts stay where they are; many are joined by shuffling both sides.
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(side, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
