@@ -298,17 +298,19 @@ def x_gap(spark, d):
 # Starts and chains
 
 
-_MAT = f"""{PAIRS}, rows AS (SELECT sim, rp, list(dist ORDER BY dp) AS dr, any_value(ry) AS ry, list(dy ORDER BY dp) AS dyl FROM pairs GROUP BY sim, rp),
-mat AS (SELECT sim, list(dr ORDER BY rp) AS dm, count(*)::INTEGER AS n, any_value(len(dr))::INTEGER AS m, avg(ry) AS rbar, any_value(dyl) AS dyl FROM rows GROUP BY sim)"""
+_MAT = f"""{PAIRS}, rows AS (SELECT sim, rp, list(dist ORDER BY dp) AS dr, any_value(ry) AS ry, list(dy ORDER BY dp) AS dyl,
+  any_value(rx1) AS r1, any_value(rx2) AS r2, list(dx1 ORDER BY dp) AS d1l, list(dx2 ORDER BY dp) AS d2l FROM pairs GROUP BY sim, rp),
+mat AS (SELECT sim, list(dr ORDER BY rp) AS dm, count(*)::INTEGER AS n, any_value(len(dr))::INTEGER AS m, avg(ry) AS rbar, any_value(dyl) AS dyl,
+  avg(r1) AS r1, avg(r2) AS r2, any_value(d1l) AS d1l, any_value(d2l) AS d2l FROM rows GROUP BY sim)"""
 
 
-def _greedy_sql(steps: str, better: str) -> str:
-    return f"""greedy AS (
+def _greedy_sql(steps: str, better: str, name: str = "greedy") -> str:
+    return f"""{name} AS (
   SELECT sim, 0 AS i, []::INTEGER[] AS mt FROM mat
   UNION ALL
   SELECT g.sim, g.i + 1, list_append(g.mt, list_reduce(list_transform(range(1, m.m + 1), lambda z: z::INTEGER),
       lambda b, j: CASE WHEN list_contains(g.mt, b) THEN j WHEN list_contains(g.mt, j) THEN b WHEN {better} THEN j ELSE b END))
-  FROM greedy g JOIN mat m USING (sim) WHERE g.i < {steps})"""
+  FROM {name} g JOIN mat m USING (sim) WHERE g.i < {steps})"""
 
 
 def _start_rows(sql: str) -> str:
@@ -333,7 +335,28 @@ def random_init(spark, d):
     return C.matchings(_ix(spark, d), "random")
 
 
-@query()
+_NEAR, _FAR = "m.dm[g.i % m.n + 1][j] < m.dm[g.i % m.n + 1][b]", "m.dm[g.i % m.n + 1][j] >= m.dm[g.i % m.n + 1][b]"
+_FREE = "list_filter(list_transform(range(1, m.m + 1), lambda z: z::INTEGER), lambda z: NOT list_contains(g.mt, z))"
+
+
+def _perturbed_sql(chain: str) -> str:
+    """``perturbed``: the greedy matching of two slots after 20 n unconditional edits."""
+    u = lambda tag: uniform_sql("(p.sim)", chain, tag, "(p.e)")
+    return f"""perturb AS (
+  SELECT g.sim, 0::BIGINT AS e, g.mt, {_FREE} AS un FROM greedy g JOIN mat m USING (sim) WHERE g.i = 2 * m.n
+  UNION ALL
+  SELECT sim, e + 1, CASE WHEN f THEN list_transform(mt, lambda v, i: CASE WHEN i = x THEN un[q] ELSE v END)
+                          ELSE list_transform(mt, lambda v, i: CASE WHEN i = x THEN mt[y] WHEN i = y THEN mt[x] ELSE v END) END,
+         CASE WHEN f THEN list_transform(un, lambda v, i: CASE WHEN i = q THEN mt[x] ELSE v END) ELSE un END
+  FROM (SELECT *, s1 * n + a AS x, s2 * n + b0 + CASE WHEN b0 >= a THEN 1 ELSE 0 END AS y
+        FROM (SELECT p.*, m.n, {u("pf")} < 0.5 AND len(p.un) > 0 AS f, floor({u("pr")} * m.n)::INTEGER + 1 AS a, floor({u("ps")} * 2)::INTEGER AS s1,
+                     floor({u("po")} * (m.n - 1))::INTEGER + 1 AS b0, floor({u("pt")} * 2)::INTEGER AS s2, floor({u("pq")} * len(p.un))::INTEGER + 1 AS q
+              FROM perturb p JOIN mat m USING (sim) WHERE p.e < 20 * m.n))),
+perturbed AS (SELECT p.sim, p.mt FROM perturb p JOIN mat m USING (sim) WHERE p.e = 20 * m.n)"""
+
+
+@query(f"""WITH RECURSIVE {_MAT}, {_greedy_sql("2 * m.n", _NEAR)}, {_perturbed_sql("1")}
+SELECT sim, (i - 1) % n + 1 AS rp, (i - 1) // n + 1 AS slot, mt[i]::BIGINT AS dp FROM (SELECT sim, mt, n, unnest(range(1, 2 * n + 1)) AS i FROM perturbed JOIN mat USING (sim))""")
 def perturbed_init(spark, d):
     return C.matchings(_ix(spark, d), "perturbed_greedy")
 
@@ -428,22 +451,98 @@ def mh_u1tok(spark, d):
     return C.run_unconstrained(M.kernel(_pairs(spark, d)), 10)
 
 
-def _diagnostic(step: C.Step) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        trace = C.run_chains(_ix(spark, d), step, N_STEPS, k=2, starts=C.STARTS, thin=5)
-        t = F.col("proposal")
-        return trace.select(
-            "sim", "chain", "start", "proposal", "accepted", "move_type", "accepted_count",
-            r6(F.when(t > 0, F.col("accepted_count") / t).otherwise(0.0), "running_acceptance"),
-            r6("tau"), r6("d_total"), r6(-1.0 * F.col("d_total"), "log_target"), r6("balance_l2"), "hamming", r6("fraction_retained"),
-        )
+#: Four chains of two slots a replication, one for each kind of start.
+_STARTS = f"""{_MAT}, {_greedy_sql("2 * m.n", _NEAR)}, {_greedy_sql("2 * m.n", _FAR, "far")}, {_perturbed_sql("4")},
+dealt AS (SELECT sim, p::INTEGER AS dp, row_number() OVER (PARTITION BY sim ORDER BY {uniform_sql("(sim)", "2", "start", "(p)")}, p) AS i FROM ix WHERE g = 0),
+random AS (SELECT d.sim, list(dp ORDER BY (i - 1) % 2, i) AS mt FROM dealt d JOIN mat m USING (sim) WHERE i <= 2 * m.n GROUP BY d.sim),
+four AS (SELECT g.sim, 1::BIGINT AS chain, 'greedy' AS start, g.mt FROM greedy g JOIN mat m USING (sim) WHERE g.i = 2 * m.n
+  UNION ALL SELECT sim, 2, 'random', mt FROM random
+  UNION ALL SELECT g.sim, 3, 'high_distance', g.mt FROM far g JOIN mat m USING (sim) WHERE g.i = 2 * m.n
+  UNION ALL SELECT sim, 4, 'perturbed_greedy', mt FROM perturbed),
+start AS (SELECT g.sim, g.chain, g.start, g.mt, {_FREE} AS un, m.* EXCLUDE (sim) FROM four g JOIN mat m USING (sim))"""
 
-    return run
+
+def _cu(*tag: str) -> str:
+    return uniform_sql("(c.sim)", "(c.chain)", "(c.t + 1)", *tag)
+
+
+def _ranked_sql(n: str, tag: str) -> str:
+    """0 .. n - 1 in the order of their uniform numbers."""
+    return f"list_transform(list_sort(list_transform(range(0, {n}), lambda i: {{'u': {_cu(tag, '(i)')}, 'i': i}})), lambda z: z.i)"
+
+
+#: What a step of each kind does: moves to (mt, un), whether accepted, and its name, from chain c and start s.
+_MH_STEP = f"""SELECT sim, chain, t, CASE WHEN ok = 0 THEN mt WHEN f THEN list_transform(mt, lambda v, i: CASE WHEN i = x THEN mt[y] WHEN i = y THEN mt[x] ELSE v END)
+                      ELSE list_transform(mt, lambda v, i: CASE WHEN i = x THEN un[q] ELSE v END) END,
+         CASE WHEN ok = 1 AND NOT f THEN list_transform(un, lambda v, i: CASE WHEN i = q THEN mt[x] ELSE v END) ELSE un END, ok, total + ok,
+         CASE WHEN f THEN 'matched_swap' WHEN len(un) = 0 THEN 'unmatched_swap_none' ELSE 'unmatched_swap' END
+  FROM (SELECT *, CASE WHEN NOT f AND len(un) = 0 THEN 0 WHEN delta <= 0 OR u = 0 THEN 1 WHEN ln(u) < -delta THEN 1 ELSE 0 END::BIGINT AS ok
+        FROM (SELECT *, CASE WHEN f THEN dm[a][mt[y]] + dm[b][mt[x]] - dm[a][mt[x]] - dm[b][mt[y]] ELSE dm[a][un[q]] - dm[a][mt[x]] END AS delta
+              FROM (SELECT *, s1 * n + a AS x, s2 * n + b AS y
+                    FROM (SELECT *, b0 + CASE WHEN b0 >= a THEN 1 ELSE 0 END AS b
+                          FROM (SELECT c.sim, c.chain, c.t + 1 AS t, c.mt, c.un, c.total, s.dm, s.n, {_cu("f")} < 0.5 AS f, floor({_cu("a")} * s.n)::INTEGER + 1 AS a,
+                                       floor({_cu("s")} * 2)::INTEGER AS s1, floor({_cu("b")} * (s.n - 1))::INTEGER + 1 AS b0, floor({_cu("z")} * 2)::INTEGER AS s2,
+                                       floor({_cu("q")} * len(c.un))::INTEGER + 1 AS q, {_cu("u")} AS u
+                                FROM chain c JOIN start s USING (sim, chain) WHERE c.t < {N_STEPS})))))"""
+_GIBBS_STEP = f"""SELECT sim, chain, t, CASE WHEN slot = 1 THEN mt ELSE list_transform(mt, lambda v, i: CASE WHEN i = x THEN un[slot - 1] ELSE v END) END,
+         CASE WHEN slot = 1 THEN un ELSE list_transform(un, lambda v, i: CASE WHEN i = slot - 1 THEN mt[x] ELSE v END) END, (slot > 1)::BIGINT, total + (slot > 1)::BIGINT,
+         CASE WHEN len(un) = 0 THEN 'gibbs_degenerate_no_unmatched' WHEN slot > 1 THEN 'gibbs_change' ELSE 'gibbs_stay' END
+  FROM (SELECT *, 1 + len(list_filter(cdf[1:len(cdf) - 1], lambda z: z <= u * cdf[len(cdf)])) AS slot
+        FROM (SELECT *, list_transform(w, lambda z, i: list_sum(w[1:i])) AS cdf
+              FROM (SELECT *, list_transform(dd, lambda z: exp(-1.0 * (z - list_min(dd)))) AS w
+                    FROM (SELECT *, list_transform(list_prepend(mt[x], un), lambda v: dr[v]) AS dd
+                          FROM (SELECT *, s1 * n + r AS x, dm[r] AS dr
+                                FROM (SELECT c.sim, c.chain, c.t + 1 AS t, c.mt, c.un, c.total, s.dm, s.n, floor({_cu("a")} * s.n)::INTEGER + 1 AS r, floor({_cu("s")} * 2)::INTEGER AS s1, {_cu("u")} AS u
+                                      FROM chain c JOIN start s USING (sim, chain) WHERE c.t < {N_STEPS}))))))"""
+_BLOCK_STEP = f"""SELECT sim, chain, t, CASE WHEN ok = 0 THEN mt ELSE list_transform(mt, lambda v, i: CASE WHEN i = x1 THEN pool[o[1] + 1] WHEN i = x2 THEN pool[o[2] + 1] ELSE v END) END,
+         CASE WHEN ok = 0 THEN un ELSE list_transform(un, lambda v, i: CASE WHEN i = q[1] + 1 THEN pool[o[3] + 1] WHEN i = q[2] + 1 THEN pool[o[4] + 1] ELSE v END) END, ok, total + ok,
+         CASE WHEN len(un) < 2 THEN 'block_pool_none' WHEN o[1] = 0 AND o[2] = 1 THEN 'block_pool_b2_stay' ELSE 'block_pool_b2' END
+  FROM (SELECT *, CASE WHEN len(un) < 2 OR o[1] = 0 AND o[2] = 1 THEN 0 WHEN delta <= 0 OR u = 0 THEN 1 WHEN ln(u) < -delta THEN 1 ELSE 0 END::BIGINT AS ok
+        FROM (SELECT *, dm[r[1] + 1][pool[o[1] + 1]] + dm[r[2] + 1][pool[o[2] + 1]] - dm[r[1] + 1][pool[1]] - dm[r[2] + 1][pool[2]] AS delta
+              FROM (SELECT *, [mt[x1], mt[x2], un[q[1] + 1], un[q[2] + 1]] AS pool
+                    FROM (SELECT *, z1 * n + r[1] + 1 AS x1, z2 * n + r[2] + 1 AS x2
+                          FROM (SELECT *, floor({_cu("bs", "(r[1])")} * 2)::INTEGER AS z1, floor({_cu("bs", "(r[2])")} * 2)::INTEGER AS z2, t0 + 1 AS t
+                                FROM (SELECT c.sim, c.chain, c.t AS t0, c.mt, c.un, c.total, s.dm, s.n, {_ranked_sql("s.n", "br")}[1:2] AS r, {_ranked_sql("len(c.un)", "bq")}[1:2] AS q,
+                                             {_ranked_sql("4", "bp")} AS o, {_cu("u")} AS u
+                                      FROM chain c JOIN start s USING (sim, chain) WHERE c.t < {N_STEPS}) AS c)))))""".replace("(c.t + 1)::VARCHAR, 'bs'", "(c.t0 + 1)::VARCHAR, 'bs'")
+
+
+def _diagnostic_sql(step: str) -> str:
+    return f"""WITH RECURSIVE {_STARTS},
+chain AS (SELECT sim, chain, 0::BIGINT AS t, mt, un, 0::BIGINT AS ok, 0::BIGINT AS total, 'start' AS move_type FROM start UNION ALL {step}),
+kept AS (SELECT c.*, s.* EXCLUDE (sim, chain, mt, un), s.mt AS first FROM chain c JOIN start s USING (sim, chain) WHERE c.t % 5 = 0),
+sums AS (SELECT *, list_sum(list_transform(mt, lambda v, i: dm[(i - 1) % n + 1][v])) AS dist,
+  list_sum(list_transform(mt, lambda v, i: (v = first[(i - 1) % n + 1] OR v = first[n + (i - 1) % n + 1])::INTEGER))::BIGINT AS retained FROM kept)
+SELECT sim, chain, start, t AS proposal, ok AS accepted, move_type, total AS accepted_count, CASE WHEN t > 0 THEN round(total::DOUBLE / t, 6) ELSE 0.0 END AS running_acceptance,
+  floor((rbar - list_avg(list_transform(mt, lambda v: dyl[v]))) * 1e6 + 0.381966) / 1e6 AS tau, round(dist, 6) AS d_total, round(-dist, 6) AS log_target,
+  floor(sqrt((r1 - list_avg(list_transform(mt, lambda v: d1l[v]))) ** 2 + (r2 - list_avg(list_transform(mt, lambda v: d2l[v]))) ** 2) * 1e6 + 0.381966) / 1e6 AS balance_l2,
+  2 * n - retained AS hamming, round(retained / (2 * n), 6) AS fraction_retained FROM sums"""
+
+
+def _diagnostic(spark: SparkSession, d: str, step: C.Step) -> DataFrame:
+    """Four chains with different starts; every fifth step of each."""
+    trace = C.run_chains(_ix(spark, d), step, N_STEPS, k=2, starts=C.STARTS, thin=5)
+    t = F.col("proposal")
+    return trace.select(
+        "sim", "chain", "start", "proposal", "accepted", "move_type", "accepted_count",
+        r6(F.when(t > 0, F.col("accepted_count") / t).otherwise(0.0), "running_acceptance"),
+        off_ties("tau"), r6("d_total"), r6(-1.0 * F.col("d_total"), "log_target"), off_ties("balance_l2"), "hamming", r6("fraction_retained"),
+    )
+
+
+@query(_diagnostic_sql(_MH_STEP))
+def diag_mh(spark, d):
+    return _diagnostic(spark, d, lambda s, t: C.local_mh(s, t, 1.0, 0.5))
+
+
+@query(_diagnostic_sql(_GIBBS_STEP))
+def diag_gibbs(spark, d):
+    return _diagnostic(spark, d, lambda s, t: C.gibbs_slot(s, t, 1.0))
 
 
-QUERIES["diag_mh"] = _diagnostic(lambda s, t: C.local_mh(s, t, 1.0, 0.5))
-QUERIES["diag_block"] = _diagnostic(lambda s, t: C.block_mh(s, t, 1.0, 2) if len(s.free) >= 2 else (0, "block_pool_none"))
-QUERIES["diag_gibbs"] = _diagnostic(lambda s, t: C.gibbs_slot(s, t, 1.0))
+@query(_diagnostic_sql(_BLOCK_STEP))
+def diag_block(spark, d):
+    return _diagnostic(spark, d, lambda s, t: C.block_mh(s, t, 1.0, 2) if len(s.free) >= 2 else (0, "block_pool_none"))
 
 
 # Traces: users of events are chains
