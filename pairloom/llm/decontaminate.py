@@ -172,9 +172,9 @@ def _by_join(docs: DataFrame, benchmark: DataFrame, item: str, text: str) -> Dat
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", most_bytes: int = MOST_BYTES) -> DataFrame:
     """The rows of ``docs`` without a word in any occurrence of a benchmark window, with all columns."""
     if not fits(benchmark, text, most_bytes):
-        tagged = docs.withColumn("_t", F.xxhash64(text))
-        bad = _by_join(tagged.select(F.col("_t").alias("doc_id"), F.col(text).alias("_text")), benchmark, item, text)
-        return tagged.join(bad.where("n_hit > 0").select(F.col("doc_id").alias("_t")).distinct(), "_t", "left_anti").drop("_t")
+        tagged = docs.select(F.struct("*").alias("d"), F.xxhash64(text).alias("t"))
+        bad = _by_join(tagged.select(F.col("t").alias("doc_id"), F.col(f"d.`{text}`").alias("_text")), benchmark, item, text)
+        return tagged.join(bad.where("n_hit > 0").select(F.col("doc_id").alias("t")).distinct(), "t", "left_anti").select("d.*")
     windows = _broadcast_windows(benchmark, item, text)
 
     @F.pandas_udf("boolean")

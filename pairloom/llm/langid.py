@@ -156,7 +156,10 @@ def training_sample(docs: DataFrame, trains: F.Column, lang: str = "lang", text:
     hashed = docs.where(trains & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     start = F.pmod("h", F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
     cut_out = hashed.select("lang", "h", F.substring("t", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("t"))
-    ranked = cut_out.dropDuplicates(["lang", "h"]).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    rank = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy("h"))
+    # A language's rows are ranked in parts first, so that few of them meet in one task.
+    few = cut_out.dropDuplicates(["lang", "h"]).withColumn("part", F.pmod("h", F.lit(64))).withColumn("k", rank("part")).where(F.col("k") <= SAMPLE_TEXTS)
+    ranked = few.withColumn("k", rank())
     out: dict[str, list[str]] = {}
     for r in ranked.where(F.col("k") <= SAMPLE_TEXTS).orderBy("lang", "k").collect():
         out.setdefault(r["lang"], []).append(r["t"])

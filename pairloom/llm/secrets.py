@@ -114,7 +114,7 @@ def findings(docs: DataFrame, ledger: str, key: str = "doc_id", text: str = "tex
     gives no rows.
     """
     update_ledger(docs, ledger, text)
-    spans = known_spans(docs.sparkSession, ledger)
+    spans = cut(known_spans(docs.sparkSession, ledger))  # staged, so that the join can split a blob that many rows share
     return docs.select(F.col(key).alias("doc_id"), _blob(text).alias("blob")).join(spans, "blob", "left").select("doc_id", "blob", "spans")
 
 
@@ -146,8 +146,8 @@ def redact(docs: DataFrame, ledger: str, text: str = "text") -> DataFrame:
         return pd.Series([t if s is None else cover(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
     side = F.broadcast(found) if found.count() <= BROADCAST_ROWS // 20 else found
-    columns = [covered(text, "_spans").alias(text) if c == text else F.col(c) for c in docs.columns]
-    return docs.withColumn("_blob", _blob(text)).join(side, "_blob", "left").select(*columns)
+    columns = [covered(f"d.`{c}`", "f._spans").alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns]
+    return docs.alias("d").join(side.alias("f"), _blob(f"d.`{text}`") == F.col("f._blob"), "left").select(*columns)
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.fixture(scope="module")
 def docs(spark):
     # Columns that operators use inside must not clash with those of the table.
-    more = ["id", "n", "size", "shard", "spans", "blob", "bucket", "component", "votes", "kept", "_text", "_key", "h", "t"]
+    more = ["id", "n", "size", "shard", "spans", "blob", "bucket", "component", "votes", "kept", "_text", "_key", "h", "t", "_blob", "_spans", "_t", "part", "k", "place", "df"]
     return spark.createDataFrame(DOCS, SCHEMA).select("*", *[F.lit("x").alias(c) for c in more])
 
 
