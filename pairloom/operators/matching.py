@@ -82,6 +82,20 @@ def cumulate(weighted: DataFrame) -> DataFrame:
     return weighted.withColumn("cdf", F.when(F.col("dp") == last, 1.0).otherwise(F.sum("alpha").over(upto)))
 
 
+def _reached(items: str, field: str, target: Column, low: Column | None = None) -> Column:
+    """How many leading items of an array, at least ``low``, have a ``field`` below the target; the field rises.  By halving."""
+    low = F.lit(0) if low is None else low
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(items) + F.lit(1.0))).cast("int") + 1)
+
+    def halve(state: Column, _: Column) -> Column:
+        lo, hi = state["lo"], state["hi"]
+        middle = F.floor((lo + hi) / 2).cast("int")
+        less = (lo < hi) & (F.element_at(items, F.least(middle + 1, F.size(items)))[field] < target)
+        return F.struct(F.when(less, middle + 1).otherwise(lo).alias("lo"), F.when((lo < hi) & ~less, middle).otherwise(hi).alias("hi"))
+
+    return F.aggregate(steps, F.struct(low.cast("int").alias("lo"), F.size(items).alias("hi")), halve)["lo"]
+
+
 def draw_one(cumulated: DataFrame, n_draws: int, tag: str = "u1") -> DataFrame:
     """A donor for each recipient and draw: the first whose cdf reaches the draw's uniform number.
 
@@ -93,8 +107,7 @@ def draw_one(cumulated: DataFrame, n_draws: int, tag: str = "u1") -> DataFrame:
     )
     rows = lists.withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
     rows = rows.withColumn("u", uniform(tag, F.col("sim"), F.col("rp"), F.col("iter")))
-    below = F.aggregate("donors", F.lit(0), lambda n, d: n + F.when(d["cdf"] < F.col("u"), 1).otherwise(0))
-    chosen = F.element_at("donors", below + 1)
+    chosen = F.element_at("donors", _reached("donors", "cdf", F.col("u")) + 1)
     return rows.select("sim", "rp", F.col("iter").cast("long").alias("iter"), chosen["dp"].alias("dp"), "ry", chosen["dy"].alias("dy"))
 
 
@@ -116,9 +129,9 @@ def draw_two(weighted: DataFrame, n_draws: int) -> DataFrame:
     )
     rows = lists.withColumn("iter", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n_draws).cast("long"))))
     rows = rows.withColumn("u", uniform("k1", F.col("sim"), F.col("rp"), F.col("iter")) * F.col("e2"))
-    first = F.aggregate("donors", F.lit(0), lambda n, d: n + F.when(d["c1"] < F.col("u"), 1).otherwise(0)) + 1
+    first = _reached("donors", "c1", F.col("u")) + 1
     rows = rows.withColumn("_i", F.least(first, F.size("donors") - 1)).withColumn("one", F.element_at("donors", F.col("_i")))
     rows = rows.withColumn("v", uniform("k2", F.col("sim"), F.col("rp"), F.col("iter")) * F.col("one.tail"))
-    second = F.aggregate("donors", F.lit(0), lambda n, d: n + F.when((d["dp"] <= F.col("one.dp")) | (d["cw"] - F.col("one.cw") < F.col("v")), 1).otherwise(0)) + 1
+    second = _reached("donors", "cw", F.col("one.cw") + F.col("v"), F.col("_i")) + 1
     two = F.element_at("donors", F.least(second, F.size("donors")))
     return rows.select("sim", "rp", "iter", "ry", F.col("one.dp").alias("d1"), two["dp"].alias("d2"), F.col("one.dy").alias("y1"), two["dy"].alias("y2"))
