@@ -25,6 +25,8 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +40,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 class PieceBpe:
     """A sentencepiece model of type BPE with identity normalisation, a dummy prefix and byte fallback."""
 
-    def __init__(self, model_file: str, most_chunks: int = 300_000, most_pairs: int = 1_000_000) -> None:
+    def __init__(self, model_file: str, most_chunks: int = 200_000, most_pairs: int = 300_000) -> None:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=model_file)
@@ -79,6 +81,7 @@ class PieceBpe:
         self.lengths = [len(p) for p in self.text]
         self.id_of = [self.ids.get(p) for p in self.text]
         self.shown = [p.replace(SPACE, " ") for p in self.pieces]
+        self.raw = [b"" if i in self.special else bytes([self.bytes_of[i]]) if i in self.bytes_of else p.encode() for i, p in enumerate(self.shown)]
         inner = "".join(map(re.escape, sorted(letters)))
         self.chunks = re.compile(f"{SPACE}+[{inner}]*|[{inner}]+|.", re.DOTALL)
         self.compatible_pairs: dict[int, bool] = {}
@@ -208,6 +211,18 @@ class PieceBpe:
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """The text of ids; a mark at the very beginning is dropped, bytes that are no UTF-8 become U+FFFD."""
+        lead = 0
+        while first and lead < len(ids) and ids[lead] in self.special:
+            lead += 1
+        ids = ids[lead:] if lead else ids
+        raw = b"".join(map(self.raw.__getitem__, ids))
+        try:
+            text = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            return self._decode_broken(ids, first)
+        return text[1:] if first and len(ids) and self.pieces[ids[0]][0] == SPACE and ids[0] not in self.special else text
+
+    def _decode_broken(self, ids: list[int], first: bool) -> str:
         out, held = [], bytearray()
         for k, i in enumerate(ids):
             if i in self.bytes_of:
@@ -262,8 +277,13 @@ class Chunks(dict):
     def _work_out(self, chunk: str) -> tuple[int, str, str]:
         model = self.model
         ids = model.encode_chunk(chunk)
-        plain = model.bytes_of.keys().isdisjoint(ids)
-        return len(ids), ",".join(map(str, ids)), "".join([model.shown[i] for i in ids]) if plain else model.decode(ids, first=False)
+        return len(ids), ",".join(map(str, ids)), model.decode(ids, first=False)
+
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+        self.model.compatible_pairs.clear()
 
 
 _models: dict[str, PieceBpe] = {}
@@ -297,9 +317,9 @@ def piece_digests(docs: DataFrame, model_file: str, key: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(model_file)
         for batch in batches:
-            rows = [round_trip(model, t.as_py() or "") for t in batch.column(1)]
+            rows = [(n, _sha(i), _sha(d)) for n, i, d in (round_trip(model, t.as_py() or "") for t in batch.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n for n, _, _ in rows], pa.int64()), pa.array([_sha(i) for _, i, _ in rows]), pa.array([_sha(d) for _, _, d in rows])],
+                [batch.column(0), pa.array([n for n, _, _ in rows], pa.int64()), pa.array([i for _, i, _ in rows], pa.string()), pa.array([d for _, _, d in rows], pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
@@ -310,12 +330,11 @@ def encode_column(docs: DataFrame, model_file: str, text: str = "text", into: st
     """``docs`` with the ids of each text in a further column ``into`` (replaced if it is there); null gives none."""
 
     @F.pandas_udf("array<int>")
-    def ids(texts):
-        import numpy as np
-        import pandas as pd
-
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = model_of(model_file)
-        return pd.Series([np.fromstring(round_trip(model, t)[1], np.int32, sep=",") if t else np.empty(0, np.int32) for t in texts])
+        for texts in batches:
+            yield pd.Series([np.fromstring(round_trip(model, t)[1], np.int32, sep=",") if t else np.empty(0, np.int32) for t in texts])
+        model.known.forget()  # the worker may go on with other stages
 
     return docs.withColumn(into, ids(text))
 
@@ -324,11 +343,10 @@ def decode_column(docs: DataFrame, model_file: str, ids: str = "token_ids", into
     """``docs`` with the text of the ids in a further column ``into``; null gives the empty text."""
 
     @F.pandas_udf("string")
-    def text(rows):
-        import pandas as pd
-
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = model_of(model_file)
-        return pd.Series([model.decode([int(i) for i in r]) if r is not None else "" for r in rows])
+        for rows in batches:
+            yield pd.Series([model.decode(r.tolist()) if r is not None else "" for r in rows], dtype=object)
 
     return docs.withColumn(into, text(ids))
 

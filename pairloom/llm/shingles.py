@@ -15,7 +15,7 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # s
 class WordHashes(dict):
     """Word to 64-bit hash; forgets everything when it holds ``most`` words."""
 
-    def __init__(self, most: int = 500_000) -> None:
+    def __init__(self, most: int = 150_000) -> None:
         super().__init__()
         self.most = most
 
