@@ -124,7 +124,7 @@ def _with_component(members: DataFrame, components: DataFrame) -> DataFrame:
 
 def _first_pairs(members: DataFrame) -> DataFrame:
     """Every member of a bucket with the bucket's smallest id."""
-    least = members.groupBy("bucket").agg(F.min("id").alias("a"))
+    least = cut(members.groupBy("bucket").agg(F.min("id").alias("a")))
     return members.join(least, "bucket").where("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
@@ -140,7 +140,7 @@ def _open_members(live: DataFrame, store: _Store, percent: int) -> DataFrame:
     So texts that share a passage but not three quarters of their words, and
     copies with too many edits, leave here without being compared.
     """
-    mixed = live.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    mixed = cut(live.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"))
     ids = cut(live.join(mixed, "bucket").select("id").distinct())
     sets = store.of(ids).join(ids, "id").dropDuplicates(["id"])
     rows = sets.select("id", "n", F.explode("shingles").alias("bucket"))
@@ -175,7 +175,7 @@ def _large_links(live: DataFrame, store: _Store, percent: int) -> list[DataFrame
     """
     large = live.where(F.col("m") > SMALL)
     parts = large.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-    main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
+    main = cut(parts.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main")))
     odd = cut(large.join(main, "bucket").where("component <> main").select("id", "component", "n").distinct())
     total = odd.agg(F.sum("n")).first()[0]
     if not total:
@@ -260,21 +260,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text"))
     signed = cut(docs.mapInArrow(_sign, SIGNED))
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
+    classes = cut(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("id")))
     nodes = cut(
         signed.join(classes.select("k1", "k2", F.col("id").alias("doc_id")), ["k1", "k2", "doc_id"])
         .select(F.col("doc_id").alias("id"), "k1", "k2", F.col("n_shingles").alias("n"), "sig", "bands")
         .dropDuplicates(["id", "k1", "k2"])
     )
     members = nodes.select("id", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    members = cut(members.join(shared, "bucket").distinct())
+    # Aggregates are staged before they are joined back: then the join has its own shuffle, and a bucket with many members is split.
+    shared = cut(members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket"))
+    members = cut(members.join(shared, "bucket"))
     sigs = nodes.select("id", "n", "sig")
     store = _Store(docs)
     edges = _verify(_first_pairs(members), sigs, store, percent)
     components = connected_components(edges)
     live = _with_component(_open_members(_with_component(members, components), store, percent), components)
-    sizes = live.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    sizes = cut(live.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"))
     live = cut(live.join(sizes.select("bucket", "m"), "bucket"))
     more = [_verify(_small_pairs(live, percent), sigs, store, percent), *_large_links(live, store, percent)]
     for links in more:
@@ -289,3 +290,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: All pairs by common shingles, then reachability; exact, so it also shows that no link is missed.
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS x
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
+"""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pairloom.llm.decontaminate import OP7_SQL, op7_decontamination
 from pairloom.llm.langid import op9_langid
-from pairloom.llm.minhash import op2_minhash
+from pairloom.llm.minhash import OP2_SQL, op2_minhash
 from pairloom.llm.quality import op6_quality
-from pairloom.llm.secrets import op5_secrets
+from pairloom.llm.secrets import OP5_SQL, op5_secrets
 from pairloom.llm.sentencepiece_bpe import op4_sentencepiece
 from pairloom.llm.sharding import OP1_SQL, op1_sharding
 from pairloom.llm.token_counts import op10_token_counts
@@ -28,7 +28,9 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_sharding": OP1_SQL,
+    "op2_minhash": OP2_SQL,
     "op3_urls": OP3_SQL,
+    "op5_secrets": OP5_SQL,
     "op7_decontamination": OP7_SQL,
     "op8_warc": OP8_SQL,
 }

@@ -157,3 +157,26 @@ def op5_secrets(spark, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, BASE), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def _spans_sql(kind: str, order: int, pattern: str, keep: str = "true") -> str:
+    """Spans of one kind: matches are set between chr(1) and chr(2), which no text of the tables has, and counted off."""
+    return f"""SELECT r, '{kind}' AS kind, {order} AS o, s, s + length(m) AS e FROM (
+  SELECT r, split_part(p[i], chr(2), 1) AS m, (list_sum(list_transform(p[1:i - 1], lambda x: length(x))) - (i - 2))::BIGINT AS s
+  FROM (SELECT r, p, unnest(range(2, len(p) + 1)) AS i FROM (SELECT r, string_split(regexp_replace(t, {pattern}, chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS p FROM d))) WHERE {keep}"""
+
+
+_EITHER = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token"))
+_ASSIGN_SQL = f"""'(?:{_EITHER}|[aA][pP][iI]_?[kK][eE][yY])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+f AS ({_spans_sql("assign", 0, _ASSIGN_SQL, f"length(regexp_extract(m, {_ASSIGN_SQL}, 1)) >= 6")}
+  UNION ALL {_spans_sql("access", 1, "'AKIA[A-Z0-9]+'", "length(m) >= 20")}
+  UNION ALL {_spans_sql("hex", 2, "'[0-9a-f]+'", "length(m) >= 24")}
+  UNION ALL {_spans_sql("pem", 3, "'-----BEGIN [A-Z ]*PRIVATE KEY-----'")}
+  UNION ALL {_spans_sql("github", 4, "'gh[pousr]_[A-Za-z0-9]{36,}'")})
+SELECT doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+       sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (o < 3), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (o IS NOT NULL), '') AS spans
+FROM d LEFT JOIN f USING (r) GROUP BY r, doc_id
+"""

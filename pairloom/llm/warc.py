@@ -148,7 +148,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = 8_000_000, key: str =
     rows = pages.select(
         F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8").alias("payload")
     ).withColumns({"length": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
-    first = (
+    first = cut(  # staged, so that the join below has a shuffle of its own and can split a payload that many pages share
         pages.select(F.col(key).cast("long").alias("page_id"), F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8").alias("payload"))
         .where(F.octet_length("payload") >= LEAST_REVISIT)
         .groupBy(F.sha2("payload", 256).alias("digest"))
