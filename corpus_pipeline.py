@@ -12,11 +12,12 @@ from pairloom.llm.minhash import near_duplicates
 from pairloom.llm.quality import quality_filter
 from pairloom.llm.secrets import new_ledger, redact
 from pairloom.llm.sentencepiece_bpe import decode_column, encode_column
-from pairloom.llm.shared import BROADCAST_ROWS, cut, shared_folder, table
+from pairloom.llm.shared import BROADCAST_ROWS, cut, shared_folder, table, text_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base or are more likely bad than good go."""
+    text_batches(spark)
     return quality_filter(docs)
 
 
@@ -26,6 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are linked with nothing and stay, as do documents
     without a doc_id.  Rows that repeat a kept doc_id all stay.
     """
+    text_batches(spark)
     gone = cut(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
     # Few ids are broadcast, and texts stay where they are; many are joined by shuffling both sides.
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
@@ -34,11 +36,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item go."""
+    text_batches(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts, and n_chars follows."""
+    text_batches(spark)
     found = redact(docs, new_ledger(spark))
     if "n_chars" not in found.columns:
         return found
@@ -49,6 +53,7 @@ def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Each document with the ids of its text, and whether they decode to the text again."""
     import public_tokenizers
 
+    text_batches(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
     encoded = decode_column(encode_column(docs, model), model)
     # The space mark itself reads as a space after decoding.

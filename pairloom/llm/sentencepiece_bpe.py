@@ -37,20 +37,58 @@ SPACE = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-class PieceBpe:
-    """A sentencepiece model of type BPE with identity normalisation, a dummy prefix and byte fallback."""
+class Decoder:
+    """The pieces of a model, and the text of ids."""
 
-    def __init__(self, model_file: str, most_chunks: int = 200_000, most_pairs: int = 300_000) -> None:
+    def __init__(self, model_file: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=model_file)
         size = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(size)]
         self.bytes_of = {i: int(self.pieces[i][3:5], 16) for i in range(size) if model.is_byte(i)}
+        self.plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+        self.special = set(range(size)) - set(self.plain) - set(self.bytes_of)
+        shown = [p.replace(SPACE, " ") for p in self.pieces]
+        self.raw = [b"" if i in self.special else bytes([self.bytes_of[i]]) if i in self.bytes_of else p.encode() for i, p in enumerate(shown)]
+        self.score = {i: model.get_score(i) for i in self.plain}
+
+    def decode(self, ids: list[int], first: bool = True) -> str:
+        """The text of ids; a mark at the very beginning is dropped, bytes that are no UTF-8 become U+FFFD."""
+        lead = 0
+        while first and lead < len(ids) and ids[lead] in self.special:
+            lead += 1
+        ids = ids[lead:] if lead else ids
+        raw = b"".join(map(self.raw.__getitem__, ids))
+        try:
+            text = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            return self._decode_broken(ids, first)
+        return text[1:] if first and len(ids) and self.pieces[ids[0]][0] == SPACE and ids[0] not in self.special else text
+
+    def _decode_broken(self, ids: list[int], first: bool) -> str:
+        out, held = [], bytearray()
+        for k, i in enumerate(ids):
+            if i in self.bytes_of:
+                held.append(self.bytes_of[i])
+                continue
+            if held:
+                out.append(_text_of(held))
+                held = bytearray()
+            if i not in self.special:
+                p = self.pieces[i]
+                out.append((p[1:] if first and k == 0 and p[0] == SPACE else p).replace(SPACE, " "))
+        return "".join(out) + (_text_of(held) if held else "")
+
+
+class PieceBpe(Decoder):
+    """A sentencepiece model of type BPE with identity normalisation, a dummy prefix and byte fallback."""
+
+    def __init__(self, model_file: str, most_chunks: int = 200_000, most_pairs: int = 300_000) -> None:
+        super().__init__(model_file)
         self.byte_ids = {b: i for i, b in self.bytes_of.items()}
-        plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        self.special = set(range(size)) - set(plain) - set(self.bytes_of)
-        self.rank = {self.pieces[i]: (-model.get_score(i), i) for i in plain}
+        plain = self.plain
+        self.rank = {self.pieces[i]: (-self.score[i], i) for i in plain}
         self.ids = {self.pieces[i]: i for i in plain}
         if any(SPACE in p.lstrip(SPACE) or (p[0] == SPACE and p[1:2] == SPACE and p.strip(SPACE)) for p in self.rank):
             raise ValueError("a piece has a space mark after another character, or two before a word")
@@ -80,8 +118,6 @@ class PieceBpe:
         self.automaton.make_automaton()
         self.lengths = [len(p) for p in self.text]
         self.id_of = [self.ids.get(p) for p in self.text]
-        self.shown = [p.replace(SPACE, " ") for p in self.pieces]
-        self.raw = [b"" if i in self.special else bytes([self.bytes_of[i]]) if i in self.bytes_of else p.encode() for i, p in enumerate(self.shown)]
         inner = "".join(map(re.escape, sorted(letters)))
         self.chunks = re.compile(f"{SPACE}+[{inner}]*|[{inner}]+|.", re.DOTALL)
         self.compatible_pairs: dict[int, bool] = {}
@@ -209,33 +245,6 @@ class PieceBpe:
         """The chunks of the normalised text: a space mark in front, and in place of each space."""
         return self.chunks.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def decode(self, ids: list[int], first: bool = True) -> str:
-        """The text of ids; a mark at the very beginning is dropped, bytes that are no UTF-8 become U+FFFD."""
-        lead = 0
-        while first and lead < len(ids) and ids[lead] in self.special:
-            lead += 1
-        ids = ids[lead:] if lead else ids
-        raw = b"".join(map(self.raw.__getitem__, ids))
-        try:
-            text = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            return self._decode_broken(ids, first)
-        return text[1:] if first and len(ids) and self.pieces[ids[0]][0] == SPACE and ids[0] not in self.special else text
-
-    def _decode_broken(self, ids: list[int], first: bool) -> str:
-        out, held = [], bytearray()
-        for k, i in enumerate(ids):
-            if i in self.bytes_of:
-                held.append(self.bytes_of[i])
-                continue
-            if held:
-                out.append(_text_of(held))
-                held = bytearray()
-            if i not in self.special:
-                p = self.pieces[i]
-                out.append((p[1:] if first and k == 0 and p[0] == SPACE else p).replace(SPACE, " "))
-        return "".join(out) + (_text_of(held) if held else "")
-
 
 def _text_of(held: bytearray) -> str:
     """Each byte that begins no whole character becomes one U+FFFD."""
@@ -280,12 +289,6 @@ class Chunks(dict):
         return len(ids), ",".join(map(str, ids)), model.decode(ids, first=False)
 
 
-    def forget(self) -> None:
-        self.clear()
-        self.old = {}
-        self.model.compatible_pairs.clear()
-
-
 _models: dict[str, PieceBpe] = {}
 
 
@@ -331,10 +334,9 @@ def encode_column(docs: DataFrame, model_file: str, text: str = "text", into: st
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = model_of(model_file)
+        model = PieceBpe(model_file, most_chunks=60_000)  # one a task: the worker may go on with other stages
         for texts in batches:
             yield pd.Series([np.fromstring(round_trip(model, t)[1], np.int32, sep=",") if t else np.empty(0, np.int32) for t in texts])
-        model.known.forget()  # the worker may go on with other stages
 
     return docs.withColumn(into, ids(text))
 
@@ -344,7 +346,7 @@ def decode_column(docs: DataFrame, model_file: str, ids: str = "token_ids", into
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = model_of(model_file)
+        model = Decoder(model_file)
         for rows in batches:
             yield pd.Series([model.decode(r.tolist()) if r is not None else "" for r in rows], dtype=object)
 

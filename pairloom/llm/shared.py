@@ -27,6 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send Python workers at most ``rows`` rows at a time: a batch of texts is held several times over, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder; later reads start from there."""
     shared_folder(df.sparkSession)
