@@ -5,9 +5,11 @@ against it into the longest phrases that occur in the sample: the more foreign
 the language, the more phrases.  The language that needs the fewest phrases,
 normalised by the text's length, is the text's.
 
-Parsing runs over many texts at once: the automata are one table of states by
-symbols, and one step moves every text of a batch by one character in every
-language.  Whole texts are cut into blocks so that a long one is parsed beside
+Parsing runs over many texts at once: one step moves every text of a batch by
+one character in every language.  Each character of the samples is a symbol of
+its own.  Moves by the most frequent ones are a table of states by symbols;
+those by all others, of which a state has few, are looked up by state and
+symbol in a sorted list.  Whole texts are cut into blocks so that a long one is parsed beside
 short ones; a cut ends a phrase in every language alike.
 """
 
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.shared import table
 
-#: Bounds of the sample: texts a language, characters of a text, symbols told apart (all others are one).
-SAMPLE_TEXTS, SAMPLE_CHARS, SYMBOLS = 150, 300, 62
+#: Bounds of the sample: texts a language, characters of a text.
+SAMPLE_TEXTS, SAMPLE_CHARS = 150, 300
+#: Symbols with a column in the table of moves; results do not depend on it.
+COLUMNS = 62
 BLOCK = 512
 #: Blocks parsed side by side.
 LANES = 2048
@@ -82,11 +86,13 @@ class CrossParser:
             for t in texts:
                 for c in t:
                     seen[c] = seen.get(c, 0) + 1
-        common = sorted(seen, key=lambda c: (-seen[c], c))[:SYMBOLS]
-        self.symbol = np.zeros(0x110000, np.uint8)  # 0: any character not told apart
-        for i, c in enumerate(common):
-            self.symbol[ord(c)] = i + 1
-        self.width = len(common) + 2  # the last symbol pads
+        letters = sorted(seen, key=lambda c: (-seen[c], c))
+        self.width = min(len(letters), COLUMNS) + 2
+        pad = self.width - 1  # between the symbols with a column and the others
+        self.symbol = np.zeros(0x110000, np.int32)  # 0: any character that is in no sample
+        for i, c in enumerate(letters, 1):
+            self.symbol[ord(c)] = i if i < pad else i + 1
+        self.others = max(len(letters) + 2 - self.width, 0)
         tables = []
         for language in self.languages:
             automaton = SuffixAutomaton()
@@ -97,24 +103,34 @@ class CrossParser:
             tables.append(automaton.next)
         base = 0
         self.roots, parts = [], []
+        keys: list[int] = []
+        targets: list[int] = []
+        begins = []
         for states in tables:
             # A character that does not lengthen the phrase begins the next one: that move is marked with
             # _PHRASE.  One more state stands for no phrase, at the start and after a character not in the sample.
             idle = base + len(states)
-            begin = np.full(self.width, idle, np.int32) | _PHRASE
+            begin = np.full(self.width + self.others, idle, np.int32) | _PHRASE
             for s, to in states[0].items():
                 if s >= 0:
                     begin[s] = (base + to) | _PHRASE
-            moves = np.repeat(begin[None, :], len(states) + 1, axis=0)
+            begins.append(begin[self.width :])
+            moves = np.repeat(begin[None, : self.width], len(states) + 1, axis=0)
             for i, following in enumerate(states):
                 for s, to in following.items():
-                    if s >= 0:
+                    if s >= self.width:
+                        keys.append((base + i) * self.others + s - self.width)
+                        targets.append(base + to)
+                    elif s >= 0:
                         moves[i, s] = base + to
-            moves[:, self.width - 1] = np.arange(base, idle + 1)  # padding moves nothing
+            moves[:, pad] = np.arange(base, idle + 1)  # padding moves nothing
             self.roots.append(idle)
             parts.append(moves)
             base = idle + 1
         self.moves = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.targets = np.array(keys, np.int64)[order], np.array(targets, np.int32)[order]
+        self.begins = np.array(begins, np.int32)
 
     def symbols(self, text: str) -> np.ndarray:
         return self.symbol[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
@@ -131,17 +147,32 @@ class CrossParser:
         order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
         for at in range(0, len(order), LANES):
             mine = order[at : at + LANES]
-            lane = np.full((len(blocks[mine[0]]), len(mine)), self.width - 1, np.uint8)
+            lane = np.full((len(blocks[mine[0]]), len(mine)), self.width - 1, np.int32)
             for k, b in enumerate(mine):
                 lane[: len(blocks[b]), k] = blocks[b]
             np.add.at(out, [owner[b] for b in mine], self._parse(lane).T)
         return out
 
+    def _moved(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The moves from ``state`` (languages by texts), some of them by symbols without a column."""
+        other = symbols >= self.width
+        moved = np.empty_like(state)
+        moved[:, ~other] = self.moves[state[:, ~other] * np.int32(self.width) + symbols[~other]]
+        s = symbols[other] - self.width
+        key = state[:, other].astype(np.int64) * self.others + s
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        moved[:, other] = np.where(self.keys[at] == key, self.targets[at], self.begins[:, s])
+        return moved
+
     def _parse(self, lane: np.ndarray) -> np.ndarray:
         state = np.repeat(np.array(self.roots, np.int32)[:, None], lane.shape[1], axis=1)
         count = np.zeros(state.shape, np.int32)
-        for symbols in lane:
-            moved = self.moves[state * np.int32(self.width) + symbols]
+        others = (lane >= self.width).any(axis=1)
+        for symbols, some in zip(lane, others, strict=True):
+            if some:
+                moved = self._moved(state, symbols)
+            else:
+                moved = self.moves[state * np.int32(self.width) + symbols]
             count += moved >> np.int32(30)
             state = moved & (_PHRASE - np.int32(1))
         return count

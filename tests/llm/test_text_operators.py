@@ -454,6 +454,30 @@ def test_held_out_accuracy(spark):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.95
 
 
+def test_phrases_of_more_characters_than_columns(monkeypatch):
+    rng = random.Random(8)
+    letters = [chr(0x4E00 + i) for i in range(300)] + list("abcdef")
+    samples = {k: ["".join(rng.choices(letters, k=200)) + " ab" * 20 for _ in range(4)] for k in ("x", "y", "z")}
+    texts = ["".join(rng.choices([*letters, " ", "q"], k=700)) for _ in range(5)] + [samples["y"][1][20:90] + samples["z"][0][5:60], "鿿" * 9, ""]
+    few = langid.CrossParser(samples).phrases(texts)
+    monkeypatch.setattr(langid, "COLUMNS", 1000)
+    assert (few == langid.CrossParser(samples).phrases(texts)).all() and few[5].argmin() > 0 and set(few[6]) == {9}
+
+
+def test_two_languages_of_one_large_script(spark):
+    rng = random.Random(9)
+    han = [chr(0x4E00 + i) for i in range(1200)]
+    # The same characters as often, in other pairs, so that only telling characters apart tells languages apart.
+    words = {}
+    for lang in ("p", "q"):
+        rng.shuffle(han)
+        words[lang] = [han[i] + han[i + 1] for i in range(0, len(han), 2)]
+    rows = [(i, "".join(rng.choices(words["pq"[i % 2]], k=20)), "pq"[i % 2]) for i in range(450)]
+    got = {r["doc_id"]: r for r in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    held = [(lang, got[i]["lang_pred"]) for i, _, lang in rows if got[i]["held_out"]]
+    assert len(held) > 30 and sum(a == b for a, b in held) > 0.95 * len(held)
+
+
 # Tokens of sections
 
 
