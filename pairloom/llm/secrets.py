@@ -98,7 +98,11 @@ def update_ledger(docs: DataFrame, ledger: str, text: str = "text") -> None:
 
 def known_spans(spark, ledger: str) -> DataFrame:
     """blob and spans that the present rule versions found, in order, for every blob of the ledger."""
-    known = spark.read.schema(LEDGER).parquet(ledger).where(F.arrays_overlap("rules", F.array(*map(F.lit, rule_names()))))
+    present = F.array(*map(F.lit, rule_names()))
+    known = spark.read.schema(LEDGER).parquet(ledger).where(F.arrays_overlap("rules", present))
+    # A row's spans are what its own rules found; those of rules that are no longer present are left out.
+    kinds = F.transform(F.array_intersect("rules", present), lambda r: F.substring_index(r, "@", 1))
+    known = known.withColumn("spans", F.filter("spans", lambda s: F.array_contains(kinds, s["kind"])))
     order = F.array(*[F.lit(k) for k, _, _ in RULES])
     # A blob has a row for each scan that brought it a new rule, so few.
     spans = known.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("all"))

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from pairloom.llm import decontaminate as dec
@@ -281,6 +282,28 @@ def test_ledger_scans_each_blob_once_for_each_rule(spark, docs, none, tmp_path,
     assert secrets.findings(none, str(tmp_path / "other")).count() == 0 if secrets._scan else True
 
 
+def test_spans_are_those_of_the_present_versions(spark, tmp_path, monkeypatch):
+    ledger = str(tmp_path / "ledger")
+    short, long, mixed = "c" * 24, "d" * 30, "password=abcdef " + "e" * 40
+    docs = spark.createDataFrame([(1, short), (2, long), (3, mixed), (4, "none")], "doc_id long, text string")
+    spans = lambda: {r["doc_id"]: [tuple(s)[2:] for s in r["spans"]] for r in secrets.findings(docs, ledger).collect()}
+    first = {1: [("hex", 24)], 2: [("hex", 30)], 3: [("assign", 15), ("hex", 56)], 4: []}
+    assert spans() == first
+    old, strict = secrets.RULES, re.compile("[0-9a-f]{28,}")
+    cloudpickle.register_pickle_by_value(secrets)  # workers get the changed rules, too
+    try:
+        monkeypatch.setattr(secrets, "RULES", tuple((k, 2, lambda t: (m.span() for m in strict.finditer(t))) if k == "hex" else (k, v, f) for k, v, f in old))
+        assert spans() == first | {1: []}
+        assert [r["text"] for r in secrets.redact(docs, ledger).orderBy("doc_id").collect()] == [short, "[hex]", "[assign] [hex]", "none"]
+        assert Counter(tuple(r["rules"]) for r in spark.read.parquet(ledger).collect())[("hex@2",)] == 4
+        monkeypatch.setattr(secrets, "RULES", old)
+        assert spans() == first and spark.read.parquet(ledger).count() == 8
+        monkeypatch.setattr(secrets, "RULES", old[:2])  # a rule that was taken out finds nothing any more
+        assert spans() == {1: [], 2: [], 3: [("assign", 15)], 4: []}
+    finally:
+        cloudpickle.unregister_pickle_by_value(secrets)
+
+
 def test_redaction(docs, tmp_path):
     rows = {r["doc_id"]: r for r in secrets.redact(docs, str(tmp_path / "ledger")).collect()}
     assert rows[7]["text"] == "[assign] [access] [hex]" and rows[2]["text"] is None and rows[5]["text"] == LONG
