@@ -3,7 +3,7 @@
 Rules look at counts of a text and vote good, bad or abstain.  How far each
 rule is to be believed is not set by hand: expectation-maximisation over all
 documents' votes estimates the share of good documents and, for each rule, how
-often its vote is right on good and on bad ones.  The posterior probability of
+often its vote is right on good ones and on several kinds of bad ones.  The posterior probability of
 being good then decides, so one failed rule does not reject a document.
 
 Votes are counted by pattern: with R rules there are at most 3**R patterns
@@ -40,6 +40,9 @@ RULES = (
     ("exclamations", lambda c: c["n_exclaim"] / max(c["n_words"], 1), 0, 0, 0.1, 0.3),
 )
 
+#: Mean, and documents it weighs as much as, of a rule's accuracy on good documents, on its own bad kind and on others.
+PRIOR = ((0.98, 50), (0.9, 10), (0.2, 5))
+
 
 def counts_of(text: str | None, hashes: WordHashes) -> dict[str, int]:
     """Counts of one whole text; null counts as empty."""
@@ -85,32 +88,42 @@ def base_failed(counts: dict[str, int]) -> bool:
     return counts["n_words"] < 50 or 100 * counts["n_repeat_words"] > 50 * counts["n_words"]
 
 
-def posteriors(patterns: list[tuple[int, int]], rounds: int = 100) -> dict[int, float]:
+def posteriors(patterns: list[tuple[int, int]], rounds: int = 300) -> dict[int, float]:
     """P(good | votes) for each pattern of ``patterns`` (pattern, documents), by expectation-maximisation.
 
-    A rule's vote is right with probability a on good and b on bad documents,
-    given that it votes.  They start at 0.95 and 0.4: most rules see one kind of
-    bad document and call the others good.  a stays in 0.98 .. 0.995 and b above
-    0.05, so that a vote never turns against its own meaning and kinds of bad
-    documents too rare to be the main one are not taken for good.  The share of
-    good starts at 0.8.
+    A document is good or of one of as many bad kinds as there are rules.  Given
+    that a rule votes, it is right with probability a on good documents and b on
+    those of a kind.  A kind begins as what one rule sees (b 0.9) and others
+    mostly don't (0.3), so rare kinds are found beside common ones: what tells a
+    kind from errors of a rule is that other rules see it more often than good
+    documents.  Bad votes that no other rule bears out are errors, and a falls
+    as low as they say (to 0.5, as below it a vote would turn against its own
+    meaning).  PRIOR has what is believed before any document is seen; it weighs
+    as much as a few documents and so gives way to the data.
     """
     patterns = sorted(patterns)
     if not patterns:
         return {}
     code, weight = np.array([p for p, _ in patterns]), np.array([n for _, n in patterns], float)
-    digits = np.stack([code // 3 ** (len(RULES) - 1 - i) % 3 for i in range(len(RULES))], axis=1)
-    good, bad = digits == 2, digits == 1
-    share, a, b = 0.8, np.full(len(RULES), 0.95), np.full(len(RULES), 0.4)
+    n = len(RULES)
+    digits = np.stack([code // 3 ** (n - 1 - i) % 3 for i in range(n)], axis=1)
+    good, bad = (digits == 2).astype(float), (digits == 1).astype(float)
+    own = np.eye(n, dtype=bool)
+    (a_mean, a_docs), (own_mean, own_docs), (mean, docs) = PRIOR
+    b_docs = np.where(own, own_docs, docs)
+    b_bad = np.where(own, own_mean, mean) * b_docs
+    share, a, b = np.array([0.8, *[0.2 / n] * n]), np.full(n, a_mean), np.where(own, 0.9, 0.3)
     for _ in range(rounds):
-        log_good = np.log(share) + good @ np.log(a) + bad @ np.log(1 - a)
-        log_bad = np.log(1 - share) + good @ np.log(1 - b) + bad @ np.log(b)
-        p = 1 / (1 + np.exp(np.clip(log_bad - log_good, -500, 500)))
-        of_good, of_bad = weight * p, weight * (1 - p)
-        share = np.clip(of_good.sum() / weight.sum(), 0.05, 0.95)
-        a = np.clip((of_good @ good + 9.5) / (of_good @ (good | bad) + 10), 0.98, 0.995)
-        b = np.clip((of_bad @ bad + 4) / (of_bad @ (good | bad) + 10), 0.05, 0.99)
-    return dict(zip(code.tolist(), p.tolist(), strict=True))
+        log_good = good @ np.log(a) + bad @ np.log(1 - a)
+        log_bad = good @ np.log(1 - b).T + bad @ np.log(b).T
+        log_p = np.log(share) + np.column_stack([log_good, log_bad])
+        p = np.exp(log_p - log_p.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        of = p * weight[:, None]
+        share = (of.sum(axis=0) + 1) / (weight.sum() + n + 1)
+        a = np.clip((of[:, 0] @ good + a_mean * a_docs) / (of[:, 0] @ (good + bad) + a_docs), 0.5, 0.999)
+        b = np.clip((of[:, 1:].T @ bad + b_bad) / (of[:, 1:].T @ (good + bad) + b_docs), 0.01, 0.99)
+    return dict(zip(code.tolist(), p[:, 0].tolist(), strict=True))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
