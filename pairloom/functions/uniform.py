@@ -7,7 +7,9 @@ or retry gives the same draw.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,13 @@ def uniform_of(*key: object) -> float:
     return int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:13], 16) / _SCALE
 
 
+def uniforms(before: str, names: Iterable[object], after: str = "") -> np.ndarray:
+    """The numbers of all keys ``before`` + name + ``after``, where these have the bars between the parts of a key."""
+    md5 = hashlib.md5
+    raw = b"".join([md5(f"{before}{n}{after}".encode()).digest() for n in names])
+    return (np.frombuffer(raw, ">u8")[::2] >> np.uint64(12)).astype(float) / _SCALE
+
+
 def normal(*key: Column | str | int) -> Column:
     """A standard normal draw for the key, by Box and Muller; u is moved off 0."""
     u, v = uniform(*key, "r"), uniform(*key, "a")

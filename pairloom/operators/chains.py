@@ -1,9 +1,10 @@
 """Markov chains over matchings, one group of rows a chain.
 
 A chain is sequential, so it runs inside one task; replications and chains are
-groups, which Spark deals out.  A group receives its units (not its pairs) and
-builds its distance matrix itself, so what is shuffled is linear in units and
-what a task holds is one replication's recipients times donors.  Every random
+groups, which Spark deals out.  A group receives its units (not its pairs), so
+what is shuffled is linear in units.  Distances of a replication with few pairs
+are a matrix; those of a large one are worked out from the covariates where a
+step asks for them, so a task holds what is linear in units, too.  Every random
 number is that of its key (sim, chain, step, purpose), so a rerun task repeats
 its chain exactly.
 
@@ -23,23 +24,46 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions import uniform_of
+from pairloom.functions import uniform_of, uniforms
+from pairloom.operators import draws
+from pairloom.plans.deal import deal
 
 STARTS = ("greedy", "random", "high_distance", "perturbed_greedy")
 
 
+class Distances:
+    """Distances of recipients to donors, indexed as a matrix is and never held as one."""
+
+    def __init__(self, x_r: np.ndarray, x_d: np.ndarray, kind: str) -> None:
+        self.x_r, self.x_d, self.kind, self.shape = x_r, x_d, kind, (len(x_r), len(x_d))
+
+    def __getitem__(self, at: tuple) -> np.ndarray:
+        r, d = at
+        return draws.distances(self.x_r[r], self.x_d[d], self.kind)
+
+
+def distances_of(x_r: np.ndarray, x_d: np.ndarray, kind: str = "l2") -> np.ndarray | Distances:
+    if len(x_r) * len(x_d) > draws.CELLS:
+        return Distances(x_r, x_d, kind)
+    return draws.distances(x_r[:, None, :], x_d[None, :, :], kind)
+
+
 @dataclass
 class Matching:
     """K donors for each recipient, the donors left over, and what is kept up with each move."""
 
-    dist: np.ndarray
+    dist: np.ndarray | Distances
     y_r: np.ndarray
     y_d: np.ndarray
     x_r: np.ndarray
     x_d: np.ndarray
     cols: np.ndarray
     key: tuple
-    free: list[int] = field(init=False)
+    #: Whether sums are kept up; a study works its effects out from the donors alone.
+    track: bool = True
+    #: A place for a slot's own donor, then the free donors.
+    pool: np.ndarray = field(init=False)
+    free: np.ndarray = field(init=False)
     distance: float = field(init=False)
     matched_y: float = field(init=False)
     matched_x: np.ndarray = field(init=False)
@@ -47,9 +71,11 @@ class Matching:
     retained: int = field(init=False)
 
     def __post_init__(self) -> None:
-        used = set(self.cols.ravel().tolist())
-        self.free = [d for d in range(self.dist.shape[1]) if d not in used]
-        self.distance = float(np.take_along_axis(self.dist, self.cols, axis=1).sum())
+        unused = np.ones(self.dist.shape[1], bool)
+        unused[self.cols] = False
+        self.pool = np.append(0, np.flatnonzero(unused))
+        self.free = self.pool[1:]
+        self.distance = float(sum(self.dist[r, row].sum() for r, row in enumerate(self.cols)))
         self.matched_y = float(self.y_d[self.cols].sum())
         self.matched_x = self.x_d[self.cols].sum(axis=(0, 1))
         self.initial = [set(row) for row in self.cols.tolist()]
@@ -76,6 +102,10 @@ class Matching:
 
     def put(self, moves: list[tuple[int, int, int]]) -> None:
         """Set (recipient, slot) to a donor, for each move; sums follow."""
+        if not self.track:
+            for r, s, new in moves:
+                self.cols[r, s] = new
+            return
         for r, s, new in moves:
             old = int(self.cols[r, s])
             self.distance += float(self.dist[r, new] - self.dist[r, old])
@@ -94,13 +124,13 @@ def greedy(dist: np.ndarray, k: int, largest: bool = False) -> np.ndarray:
     n_r, n_d = dist.shape
     if n_r * k > n_d:
         raise ValueError(f"{n_r} recipients need {n_r * k} donors, there are {n_d}")
-    cost = -dist[:, ::-1] if largest else dist
     cols, used = np.zeros((n_r, k), int), np.zeros(n_d, bool)
     for slot in range(k):
         for r in range(n_r):
-            best = int(np.where(used, np.inf, cost[r]).argmin())
+            own = dist[r, :]
+            best = n_d - 1 - int(np.where(used, -np.inf, own)[::-1].argmax()) if largest else int(np.where(used, np.inf, own).argmin())
             used[best] = True
-            cols[r, slot] = n_d - 1 - best if largest else best
+            cols[r, slot] = best
     return cols
 
 
@@ -117,9 +147,9 @@ def perturb(state: Matching, edits: int) -> None:
     n, k = state.cols.shape
     for e in range(edits):
         r, s = state.whole(n, "pr", e), state.whole(k, "ps", e)
-        if state.u("pf", e) < 0.5 and state.free:
+        if state.u("pf", e) < 0.5 and len(state.free):
             q = state.whole(len(state.free), "pq", e)
-            old, new = int(state.cols[r, s]), state.free[q]
+            old, new = int(state.cols[r, s]), int(state.free[q])
             state.put([(r, s, new)])
             state.free[q] = old
         elif n > 1:
@@ -139,10 +169,11 @@ def local_mh(state: Matching, t: int, beta: float, pstar: float) -> tuple[int, s
         b = int(state.cols[r2, s2])
         delta = state.dist[r, b] + state.dist[r2, a] - state.dist[r, a] - state.dist[r2, b]
         moves, name = [(r, s, b), (r2, s2, a)], "matched_swap"
-    elif state.free:
+    elif len(state.free):
         q = state.whole(len(state.free), t, "q")
-        delta = state.dist[r, state.free[q]] - state.dist[r, a]
-        moves, name = [(r, s, state.free[q])], "unmatched_swap"
+        new = int(state.free[q])
+        delta = state.dist[r, new] - state.dist[r, a]
+        moves, name = [(r, s, new)], "unmatched_swap"
     else:
         return 0, "unmatched_swap_none"
     if not accepts(state.u(t, "u"), -beta * float(delta)):
@@ -161,7 +192,7 @@ def block_mh(state: Matching, t: int, beta: float, block: int) -> tuple[int, str
     ranked = lambda m, tag: sorted(range(m), key=lambda i: (state.u(t, tag, i), i))
     rows, picks = ranked(n, "br")[:block], ranked(len(state.free), "bq")[:block]
     slots = [state.whole(k, t, "bs", r) for r in rows]
-    pool = [int(state.cols[r, s]) for r, s in zip(rows, slots, strict=True)] + [state.free[q] for q in picks]
+    pool = [int(state.cols[r, s]) for r, s in zip(rows, slots, strict=True)] + state.free[picks].tolist()
     shuffled = [pool[i] for i in ranked(2 * block, "bp")]
     name = f"block_pool_b{block}"
     if shuffled[:block] == pool[:block]:
@@ -177,20 +208,22 @@ def block_mh(state: Matching, t: int, beta: float, block: int) -> tuple[int, str
 
 def _resample(state: Matching, r: int, s: int, beta: float, u: float) -> bool:
     """A slot takes its own or a free donor by weight exp(-beta * distance); whether it changed."""
-    choices = [int(state.cols[r, s]), *state.free]
-    d = state.dist[r, choices]
-    c = np.cumsum(np.exp(-beta * (d - d.min())))
-    chosen = min(int(np.searchsorted(c, u * c[-1], "right")), len(choices) - 1)
+    pool, own = state.pool, int(state.cols[r, s])
+    pool[0] = own
+    logs = state.dist[r, pool] * -beta
+    logs -= logs.max()
+    c = np.add.accumulate(np.exp(logs, out=logs))
+    chosen = min(int(c.searchsorted(u * c[-1], "right")), len(c) - 1)
     if chosen == 0:
         return False
-    state.put([(r, s, choices[chosen])])
-    state.free[chosen - 1] = choices[0]
+    state.put([(r, s, int(pool[chosen]))])
+    pool[chosen] = own
     return True
 
 
 def gibbs_slot(state: Matching, t: int, beta: float) -> tuple[int, str]:
     """One slot of one recipient, both at random."""
-    if not state.free:
+    if not len(state.free):
         return 0, "gibbs_degenerate_no_unmatched"
     n, k = state.cols.shape
     changed = _resample(state, state.whole(n, t, "a"), state.whole(k, t, "s") if k > 1 else 0, beta, state.u(t, "u"))
@@ -200,7 +233,9 @@ def gibbs_slot(state: Matching, t: int, beta: float) -> tuple[int, str]:
 def gibbs_sweep(state: Matching, t: int, beta: float) -> tuple[int, str]:
     """Every recipient's slots in order; counts changes."""
     n, k = state.cols.shape
-    return sum(_resample(state, r, s, beta, state.u(t, "g", r + 1, s + 1)) for r in range(n) for s in range(k)), "gibbs_sweep"
+    slots = [(r, s) for r in range(n) for s in range(k)]
+    numbers = uniforms("|".join(map(str, (*state.key, t, "g", ""))), [f"{r + 1}|{s + 1}" for r, s in slots]).tolist()
+    return sum(_resample(state, r, s, beta, u) for (r, s), u in zip(slots, numbers, strict=True)), "gibbs_sweep"
 
 
 TRACE = (
@@ -210,24 +245,31 @@ TRACE = (
 Step = Callable[[Matching, int], tuple[int, str]]
 
 
-def _matrices(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+def covariates(units: DataFrame) -> DataFrame:
+    """Units with their covariates in an array x, if they have them as x1, x2."""
+    return units if "x" in units.columns else units.withColumn("x", F.array("x1", "x2"))
+
+
+def sides(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Covariates and outcomes of recipients and of donors, by place."""
     pdf = pdf.sort_values("p")
     r, d = pdf[pdf.g == 1], pdf[pdf.g == 0]
-    a, b = r.x1.to_numpy()[:, None] - d.x1.to_numpy()[None, :], r.x2.to_numpy()[:, None] - d.x2.to_numpy()[None, :]
-    return np.sqrt(a * a + b * b), r.y.to_numpy(), d.y.to_numpy(), r[["x1", "x2"]].to_numpy(), d[["x1", "x2"]].to_numpy()
+    stacked = lambda rows: np.stack(rows.x.to_list()) if len(rows) else np.zeros((0, 1))
+    return stacked(r), stacked(d), r.y.to_numpy(), d.y.to_numpy()
 
 
-def start_matching(pdf: pd.DataFrame, kind: str, k: int, key: tuple) -> Matching:
+def start_matching(pdf: pd.DataFrame, kind: str, k: int, key: tuple, distance: str = "l2", track: bool = True) -> Matching:
     """Units of one replication with a first matching of the named kind."""
     if kind not in STARTS:
         raise ValueError(f"start is one of {STARTS}")
-    parts = _matrices(pdf)
-    dist = parts[0]
+    x_r, x_d, y_r, y_d = sides(pdf)
+    dist = distances_of(x_r, x_d, distance)
+    parts = (dist, y_r, y_d, x_r, x_d)
     cols = random_start(*dist.shape, k, key) if kind == "random" else greedy(dist, k, kind == "high_distance")
-    state = Matching(*parts, cols, key)
+    state = Matching(*parts, cols, key, track)
     if kind == "perturbed_greedy":
         perturb(state, 10 * cols.size)
-        state = Matching(*parts, state.cols, key)
+        state = Matching(*parts, state.cols, key, track)
     return state
 
 
@@ -248,7 +290,7 @@ def run_chains(units: DataFrame, step: Step, n_steps: int, k: int = 1, starts: t
         return pd.DataFrame(rows, columns=[c.split()[0] for c in TRACE.split(", ")])
 
     chains = units.withColumn("chain", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(len(starts)).cast("long"))))
-    return chains.select("sim", "chain", "g", "p", "x1", "x2", "y").groupBy("sim", "chain").applyInPandas(run, TRACE)
+    return deal(covariates(chains).select("sim", "chain", "g", "p", "x", "y"), "sim", "chain").groupBy("sim", "chain").applyInPandas(run, TRACE)
 
 
 def matchings(units: DataFrame, kind: str, k: int = 2) -> DataFrame:
@@ -259,32 +301,47 @@ def matchings(units: DataFrame, kind: str, k: int = 2) -> DataFrame:
         r, s = np.indices(cols.shape)
         return pd.DataFrame({"sim": int(key[0]), "rp": r.ravel() + 1, "slot": s.ravel() + 1, "dp": cols.ravel() + 1})
 
-    return units.select("sim", "g", "p", "x1", "x2", "y").groupBy("sim").applyInPandas(run, "sim long, rp long, slot long, dp long")
+    return deal(covariates(units).select("sim", "g", "p", "x", "y"), "sim").groupBy("sim").applyInPandas(run, "sim long, rp long, slot long, dp long")
+
+
+#: Recipients of a replication that go to one task.
+RECIPIENTS = 128
+
+
+def parts(units: DataFrame) -> DataFrame:
+    """Units by ``part`` of their sim: RECIPIENTS recipients each, and all its donors; n_r is the sim's number of recipients."""
+    mine = F.when(F.col("g") == 1, F.array(F.floor((F.col("p") - 1) / RECIPIENTS))).otherwise(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_r") - 1) / RECIPIENTS)))
+    return deal(covariates(units).select("sim", "g", "p", "x", "y", F.explode(mine).alias("part")), "sim", "part")
+
+
+def chains_of_part(pdf: pd.DataFrame, sim: int, n_iter: int, k: int, beta: float, distance: str):
+    """For few recipients at a time: their places and outcomes, donors' outcomes, and the steps of their chains."""
+    pdf = pdf.sort_values("p")
+    x_r, x_d, y_r, y_d = sides(pdf)
+    places = pdf.p[pdf.g == 1].to_numpy()
+    few = max(1, draws.CELLS // max(1, len(x_d)))
+    for at in range(0, len(places), few):
+        own = slice(at, at + few)
+        dist = draws.distances(x_r[own, None, :], x_d[None, :, :], distance)
+        yield places[own], y_r[own], y_d, draws.k_set_chains(dist, beta, sim, places[own], n_iter, k)
 
 
-def run_unconstrained(pairs: DataFrame, n_iter: int, k: int = 2) -> DataFrame:
-    """(sim, rp, iter, slot, dp, accepted): each recipient's own chain of K-sets, from its K nearest donors.
+def run_unconstrained(units: DataFrame, n_iter: int, k: int = 2, beta: float = 1.0, distance: str = "l2") -> DataFrame:
+    """(sim, rp, iter, slot, dp, accepted): each recipient's own chain of k-sets, from its k nearest donors.
 
-    ``pairs`` has sim, rp, dp, dist and alpha.  Recipients are independent, so
-    each is a group of its own.
+    ``units`` have places p and the number n_r of recipients of their sim.
+    Recipients are independent, so a large replication is several groups.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sim, rp = int(key[0]), int(key[1])
-        pdf = pdf.sort_values(["dist", "dp"])
-        dp, w = pdf.dp.to_numpy(), pdf.alpha.to_numpy()
-        if len(dp) <= k:
-            raise ValueError("a recipient needs more donors than slots")
-        w = w / (1 - w)
-        order, out = np.arange(len(dp)), []
-        for t in range(1, n_iter + 1):
-            i = int(uniform_of(sim, rp, t, "i") * k)
-            j = k + int(uniform_of(sim, rp, t, "j") * (len(dp) - k))
-            ok = uniform_of(sim, rp, t, "u") < min(1.0, w[order[j]] / w[order[i]])
-            if ok:
-                order[[i, j]] = order[[j, i]]
-            out += [(sim, rp, t, s + 1, int(dp[order[s]]), int(ok)) for s in range(k)]
-        return pd.DataFrame(out, columns=["sim", "rp", "iter", "slot", "dp", "accepted"])
+        sim, kept = int(key[0]), []
+        for places, _, _, steps in chains_of_part(pdf, sim, n_iter, k, beta, distance):
+            found = [(sets.copy(), moved) for sets, moved in steps]
+            sets, moved = np.stack([x for x, _ in found]), np.stack([x for _, x in found])
+            t, r, s = np.indices(sets.shape)
+            kept.append((places[r].ravel(), t.ravel() + 1, s.ravel() + 1, sets.ravel() + 1, np.repeat(moved.ravel().astype(int), k)))
+        rp, t, slot, dp, accepted = map(np.concatenate, zip(*kept, strict=True))
+        return pd.DataFrame({"sim": sim, "rp": rp, "iter": t, "slot": slot, "dp": dp, "accepted": accepted})
 
     schema = "sim long, rp long, iter long, slot long, dp long, accepted long"
-    return pairs.select("sim", "rp", "dp", "dist", "alpha").groupBy("sim", "rp").applyInPandas(run, schema)
+    return parts(units).groupBy("sim", "part").applyInPandas(run, schema)

@@ -6,7 +6,7 @@ All are two partial aggregates: by recipient, then by draw.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions import finite
@@ -58,17 +58,40 @@ def effects(matches: DataFrame, *draw: str) -> DataFrame:
     )
 
 
-def pool(draws: DataFrame, keys: list[str], within: str) -> DataFrame:
-    """Multiple-imputation pooling by ``keys``: est, median, within, between and total variance (null for one draw)."""
+def effects_of_sums(sums: DataFrame, *keep: str) -> DataFrame:
+    """The same effects from sums of draws (``draws.SUMS``), with the columns ``keep``; k donors for each recipient."""
+    n, m, k = F.col("n"), F.col("m"), F.col("m") / F.col("n")
+    t_squares = F.col("stt") - F.col("st") * F.col("st") / n
+    c_squares = F.col("sdd") - F.col("sc") * F.col("sc") / m
+    tc = F.col("stc") - F.col("st") * F.col("sc") / n
+    ccs = F.col("scc") - F.col("sc") * F.col("sc") / n
+    # Sums of squares are not negative; rounding may say so of those that are 0.
+    cluster = F.greatest(t_squares / (n * n) - 2 * tc / (n * m) + ccs / (m * m), F.lit(0.0))
+    return sums.select(
+        *keep,
+        (F.col("st") / n - F.col("sc") / m).alias("est"),
+        ((t_squares + c_squares) / (n + m - 2) * (1 / n + 1 / m)).alias("ols_var"),
+        ((t_squares + c_squares / k) / (n + m - 2) * (2 / n)).alias("wls_var"),
+        F.sqrt(cluster).alias("cluster_se"),
+        (F.greatest(t_squares - 2 * tc / k + ccs / (k * k), F.lit(0.0)) / (n - 1) / n).alias("paired_var"),
+    )
+
+
+def pool(draws: DataFrame, keys: list[str], within: str, *more: Column, **others: str) -> DataFrame:
+    """Multiple-imputation pooling by ``keys``: est, median, within, between and total variance (null for one draw).
+
+    ``others`` (name=column) are further variances, pooled in the same pass as
+    within_name and total_name; ``more`` are further aggregates of it.
+    """
     m = F.count("*")
     between = F.var_samp("est")
-    return draws.groupBy(*keys).agg(
-        F.avg("est").alias("est"),
-        F.median("est").alias("est_med"),
-        F.avg(within).alias("within_var"),
-        between.alias("between_var"),
-        (F.avg(within) + (1 + 1 / m) * between).alias("total_var"),
-    )
+    variances = {"": within} | {f"_{name}": column for name, column in others.items()}
+    pooled = []
+    for name, column in variances.items():
+        kind = name.removeprefix("_")
+        tags = (f"within_{kind}", f"total_{kind}") if kind else ("within_var", "total_var")
+        pooled += [F.avg(column).alias(tags[0]), (F.avg(column) + (1 + 1 / m) * between).alias(tags[1])]
+    return draws.groupBy(*keys).agg(F.avg("est").alias("est"), F.median("est").alias("est_med"), between.alias("between_var"), *pooled, *more)
 
 
 def add_interval(rows: DataFrame, true_tau: float, variance: str = "total_var") -> DataFrame:

@@ -6,51 +6,117 @@ and every window and aggregate after it reuses that key.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from pairloom.functions import uniform
 
 RECIPIENT = ("sim", "rp")
+#: Pairs of a replication that go to one join task.
+PAIRS_A_TASK = 4_000_000
+
+
+def covariate_columns(units: DataFrame, dims: int | None = None) -> list[Column]:
+    """The covariates: x1, x2, ... or the entries of an array x (as many as the first row has, if ``dims`` doesn't say)."""
+    if "x" not in units.columns:
+        return [F.col(c) for c in units.columns if c[0] == "x" and c[1:].isdigit()]
+    if dims is None:
+        row = units.select(F.size("x").alias("n")).first()
+        dims = row["n"] if row else 0
+    return [F.col("x")[i] for i in range(dims)]
 
 
 def _side(units: DataFrame, g: int, prefix: str) -> DataFrame:
+    xs = [c for c in units.columns if c[0] == "x" and (c == "x" or c[1:].isdigit())]
     return units.where(F.col("g") == g).select(
-        "sim", F.col("p").alias(f"{prefix}p"), F.col("y").alias(f"{prefix}y"), F.col("x1").alias(f"{prefix}x1"), F.col("x2").alias(f"{prefix}x2")
+        "sim", F.col("p").alias(f"{prefix}p"), F.col("y").alias(f"{prefix}y"), *[F.col(c).alias(f"{prefix}{c}") for c in xs], "_parts"
     )
 
 
-def euclid() -> Column:
-    a, b = F.col("rx1") - F.col("dx1"), F.col("rx2") - F.col("dx2")
-    return F.sqrt(a * a + b * b)
+def distance(kind: str, recipient: list[Column], donor: list[Column]) -> Column:
+    """l1, l2 or l2_squared between covariates; one expression, so it is compiled with its plan."""
+    gaps = [a - b for a, b in zip(recipient, donor, strict=True)]
+    total = lambda parts: sum(parts[1:], parts[0])
+    if kind == "l1":
+        return total([F.abs(x) for x in gaps])
+    if kind not in ("l2", "l2_squared"):
+        raise ValueError("a distance is l1, l2 or l2_squared")
+    squares = total([x * x for x in gaps])
+    return squares if kind == "l2_squared" else F.sqrt(squares)
 
 
-def manhattan() -> Column:
-    return F.abs(F.col("rx1") - F.col("dx1")) + F.abs(F.col("rx2") - F.col("dx2"))
+def sized(units: DataFrame) -> DataFrame:
+    """Units with the numbers n_r and n_d of recipients and donors of their sim."""
+    if {"n_r", "n_d"} <= set(units.columns):
+        return units
+    sizes = units.groupBy("sim").agg(F.count_if(F.col("g") == 1).alias("n_r"), F.count_if(F.col("g") == 0).alias("n_d"))
+    return units.join(sizes, "sim")
 
 
-def salted_join(recipients: DataFrame, donors: DataFrame, salts: int, *spread: str) -> DataFrame:
-    """All recipients with all donors of their sim.  Donors are dealt over ``salts`` parts of each sim by a hash of
-    ``spread`` and recipients go to every part, so that one large replication is many join tasks."""
+def salted_join(recipients: DataFrame, donors: DataFrame, salts: int | str, *spread: str) -> DataFrame:
+    """All recipients with all donors of their sim.  Donors are dealt over ``salts`` parts of each sim (a number, or a
+    column that both sides have) by a hash of ``spread`` and recipients go to every part, so that one large replication
+    is many join tasks."""
     if salts == 1:
         return recipients.join(donors, "sim")
-    parts = recipients.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return parts.join(donors.withColumn("_salt", F.pmod(F.hash(*spread), F.lit(salts))), ["sim", "_salt"]).drop("_salt")
+    n = F.col(salts) if isinstance(salts, str) else F.lit(salts)
+    parts = recipients.withColumn("_salt", F.explode(F.sequence(F.lit(0), n.cast("int") - 1)))
+    dealt = donors.withColumn("_salt", F.pmod(F.hash(*spread), n.cast("int")))
+    if isinstance(salts, str):
+        dealt = dealt.drop(salts)
+    return parts.join(dealt, ["sim", "_salt"]).drop("_salt")
+
+
+def pair_units(units: DataFrame, kind: str = "l2", salts: int | None = None, dims: int | None = None) -> DataFrame:
+    """Every recipient with every donor of its sim: (sim, rp, dp, ry, dy, their covariates, dist).
+
+    Without ``salts`` each replication is as many join tasks as its pairs ask for.
+    """
+    if salts is None:
+        units = sized(units).withColumn("_parts", F.ceil(F.col("n_r") * F.col("n_d") / PAIRS_A_TASK))
+    else:
+        units = units.withColumn("_parts", F.lit(salts))
+    pairs = salted_join(_side(units, 1, "r"), _side(units, 0, "d"), "_parts", "dp").drop("_parts")
+    n = len(covariate_columns(units, dims))
+    named = lambda side: [F.col(f"{side}x")[i] if "x" in units.columns else F.col(f"{side}x{i + 1}") for i in range(n)]
+    return pairs.withColumn("dist", distance(kind, named("r"), named("d")))
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _half_inverse(covariances: pd.Series) -> pd.Series:
+    """For each covariance matrix (row after row) a matrix H with H H' its pseudo-inverse, row after row."""
 
+    def half(flat: np.ndarray) -> np.ndarray:
+        n = int(round(len(flat) ** 0.5))
+        values, vectors = np.linalg.eigh(np.asarray(flat, float).reshape(n, n))
+        some = values > 1e-15 * n * max(values.max(), 0.0)
+        return (vectors * np.where(some, 1 / np.sqrt(np.where(some, values, 1.0)), 0.0)).ravel()
 
-def pair_units(units: DataFrame, distance: Column | None = None, salts: int = 1) -> DataFrame:
-    """Every recipient with every donor of its sim: (sim, rp, dp, ry, dy, rx1, rx2, dx1, dx2, dist)."""
-    pairs = salted_join(_side(units, 1, "r"), _side(units, 0, "d"), salts, "dp")
-    return pairs.withColumn("dist", euclid() if distance is None else distance)
+    return pd.Series([half(c) for c in covariances])
 
 
-def squared_mahalanobis(units: DataFrame) -> DataFrame:
+def whitened(units: DataFrame, dims: int | None = None) -> DataFrame:
+    """Units whose covariates are turned so that squared L2 distance is squared Mahalanobis distance.
+
+    The covariance is that of the sim's recipients and donors together, and its
+    pseudo-inverse is used, so covariates may depend on each other.
+    """
+    xs = covariate_columns(units, dims)
+    n = len(xs)
+    cov = units.groupBy("sim").agg(F.array(*[F.covar_samp(a, b) for a in xs for b in xs]).alias("_c"))
+    cov = cov.select("sim", _half_inverse("_c").alias("_h"))
+    turned = [sum((xs[i] * F.col("_h")[i * n + j] for i in range(n)), F.lit(0.0)) for j in range(n)]
+    kept = [c for c in units.columns if not (c[0] == "x" and (c == "x" or c[1:].isdigit()))]
+    return units.join(cov, "sim").select(*kept, F.array(*turned).alias("x"))
+
+
+def squared_mahalanobis(units: DataFrame, salts: int | None = None, dims: int | None = None) -> DataFrame:
     """Pairs whose dist is the squared Mahalanobis distance under the sim's pooled sample covariance."""
-    cov = units.groupBy("sim").agg(F.var_samp("x1").alias("s11"), F.var_samp("x2").alias("s22"), F.covar_samp("x1", "x2").alias("s12"))
-    a, b = F.col("rx1") - F.col("dx1"), F.col("rx2") - F.col("dx2")
-    det = F.col("s11") * F.col("s22") - F.col("s12") * F.col("s12")
-    form = (F.col("s22") * a * a - 2 * F.col("s12") * a * b + F.col("s11") * b * b) / det
-    return _side(units, 1, "r").join(_side(units, 0, "d"), "sim").join(cov, "sim").withColumn("dist", form).drop("s11", "s22", "s12")
+    dims = len(covariate_columns(units, dims))
+    return pair_units(whitened(units, dims), "l2_squared", salts, dims)
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -111,27 +177,32 @@ def draw_one(cumulated: DataFrame, n_draws: int, tag: str = "u1") -> DataFrame:
     return rows.select("sim", "rp", F.col("iter").cast("long").alias("iter"), chosen["dp"].alias("dp"), "ry", chosen["dy"].alias("dy"))
 
 
-def draw_two(weighted: DataFrame, n_draws: int) -> DataFrame:
-    """An exact draw of two different donors, with weight the product of alpha / (1 - alpha).
+def draw_many(weighted: DataFrame, n_draws: int, k: int = 2) -> DataFrame:
+    """Exact draws of k different donors (d1, ..., dk with outcomes y1, ..., yk), with weight the product of alpha / (1 - alpha).
 
-    Suffix sums give the weight of all pairs that begin at a donor; one uniform
-    number picks the first donor by it and another picks the second among those
-    after it.
+    e_r of a donor is the weight of all sets of r donors from it on; it follows
+    from e_(r-1) by a sum from behind.  With r donors to go, one uniform number
+    picks the next one by its weight times e_(r-1) of the donor after it.
     """
-    own = Window.partitionBy(*RECIPIENT)
-    upto = own.orderBy("dp").rowsBetween(Window.unboundedPreceding, 0)
-    since = own.orderBy("dp").rowsBetween(0, Window.unboundedFollowing)
-    rows = weighted.withColumn("w", F.col("alpha") / (1 - F.col("alpha")))
-    rows = rows.withColumns({"tail": F.sum("w").over(since) - F.col("w"), "cw": F.sum("w").over(upto)})
-    rows = rows.withColumn("c1", F.sum(F.col("w") * F.col("tail")).over(upto))
+    ordered = Window.partitionBy(*RECIPIENT).orderBy("dp")
+    upto, since = ordered.rowsBetween(Window.unboundedPreceding, 0), ordered.rowsBetween(0, Window.unboundedFollowing)
+    rows = weighted.withColumn("w", F.col("alpha") / (1 - F.col("alpha"))).withColumn("after0", F.lit(1.0))
+    for r in range(1, k + 1):
+        each = F.col("w") * F.col(f"after{r - 1}")
+        rows = rows.withColumns({f"c{r}": F.sum(each).over(upto), f"e{r}": F.sum(each).over(since)})
+        rows = rows.withColumn(f"after{r}", F.lead(f"e{r}", 1, 0.0).over(ordered))
     lists = rows.groupBy(*RECIPIENT).agg(
-        F.first("ry").alias("ry"), F.sum(F.col("w") * F.col("tail")).alias("e2"), F.array_sort(F.collect_list(F.struct("dp", "c1", "cw", "tail", "dy"))).alias("donors")
-    )
+        F.first("ry").alias("ry"), F.max(f"c{k}").alias("total"),
+        F.array_sort(F.collect_list(F.struct("dp", "dy", *[f"c{r}" for r in range(1, k + 1)], *[f"after{r}" for r in range(1, k)]))).alias("donors"),
+    )
     rows = lists.withColumn("iter", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n_draws).cast("long"))))
-    rows = rows.withColumn("u", uniform("k1", F.col("sim"), F.col("rp"), F.col("iter")) * F.col("e2"))
-    first = _reached("donors", "c1", F.col("u")) + 1
-    rows = rows.withColumn("_i", F.least(first, F.size("donors") - 1)).withColumn("one", F.element_at("donors", F.col("_i")))
-    rows = rows.withColumn("v", uniform("k2", F.col("sim"), F.col("rp"), F.col("iter")) * F.col("one.tail"))
-    second = _reached("donors", "cw", F.col("one.cw") + F.col("v"), F.col("_i")) + 1
-    two = F.element_at("donors", F.least(second, F.size("donors")))
-    return rows.select("sim", "rp", "iter", "ry", F.col("one.dp").alias("d1"), two["dp"].alias("d2"), F.col("one.dy").alias("y1"), two["dy"].alias("y2"))
+    last, passed, total = F.lit(0), F.lit(0.0), F.col("total")
+    for i in range(1, k + 1):
+        r = k - i + 1
+        target = passed + uniform(f"k{i}", F.col("sim"), F.col("rp"), F.col("iter")) * total
+        at = F.least(_reached("donors", f"c{r}", target, last) + 1, F.size("donors") - (r - 1))
+        rows = rows.withColumn(f"_at{i}", at).withColumn(f"_one{i}", F.element_at("donors", F.col(f"_at{i}")))
+        if r > 1:
+            last, passed, total = F.col(f"_at{i}"), F.col(f"_one{i}.c{r - 1}"), F.col(f"_one{i}.after{r - 1}")
+    names = [F.col(f"_one{i}.{field}").alias(f"{name}{i}") for field, name in (("dp", "d"), ("dy", "y")) for i in range(1, k + 1)]
+    return rows.select("sim", "rp", "iter", "ry", *names)

@@ -27,9 +27,9 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indexed(all_units: DataFrame, k: int = 2) -> DataFrame:
-    """Units of sims with at least 2 recipients and k donors for each, with their place p in their group."""
+    """Units of sims with at least 2 recipients and k donors for each, with their place p in their group and the sizes n_r and n_d."""
     sizes = all_units.groupBy("sim").agg(F.count_if(F.col("g") == 1).alias("n_r"), F.count_if(F.col("g") == 0).alias("n_d"))
-    fit = sizes.where((F.col("n_r") >= 2) & (F.col("n_r") * k <= F.col("n_d"))).select("sim")
+    fit = sizes.where((F.col("n_r") >= 2) & (F.col("n_r") * k <= F.col("n_d")))
     place = F.row_number().over(Window.partitionBy("sim", "g").orderBy("unit")).cast("long")
     return all_units.join(fit, "sim").withColumn("p", place)
 

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.functions import finite, float_label, missing_to_null, normal, ratio, uniform
+from pairloom import study
+from pairloom.functions import finite, float_label, items, missing_to_null, ratio, size_map
 from pairloom.operators import chains as C
 from pairloom.operators import diagnostics as D
 from pairloom.operators import estimators as E
 from pairloom.operators import matching as M
 from pairloom.operators import summaries as S
+from pairloom.plans.storage import shared_folder
 from pairloom.plans.tables import DRAWS, INDEXED, KERNEL, KNN, PAIRS, UNITS, indexed, table, uniform_sql, units
+from pairloom.sources import draw_outcomes, next_names, read_results, write_results
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,7 +91,7 @@ _DIST = "SELECT sim, count(*) AS n_pairs, round(avg(dist), 6) AS mean_dist, roun
 
 @query(f"WITH {PAIRS}, p1 AS (SELECT sim, abs(rx1 - dx1) + abs(rx2 - dx2) AS dist FROM pairs) " + _DIST.format("p1"))
 def dist_l1(spark, d):
-    return _distance_summary(M.pair_units(_ix(spark, d), M.manhattan()))
+    return _distance_summary(M.pair_units(_ix(spark, d), "l1"))
 
 
 @query(f"WITH {PAIRS} " + _DIST.format("pairs"))
@@ -101,6 +105,13 @@ def dist_mahal2(spark, d):
     return _distance_summary(M.squared_mahalanobis(_ix(spark, d)))
 
 
+@query(f"""WITH {PAIRS}, cov AS (SELECT sim, var_samp(x1) AS a FROM ix GROUP BY sim),
+p3 AS (SELECT sim, 25 * a * (rx1 - dx1) ** 2 / (25 * a * a) AS dist FROM pairs JOIN cov USING (sim)) """ + _DIST.format("p3"))
+def dist_mahal2_dependent(spark, d):
+    """Covariates that depend on each other: x2 is twice x1, so the covariance a [[1, 2], [2, 4]] has the pseudo-inverse [[1, 2], [2, 4]] / (25 a)."""
+    return _distance_summary(M.squared_mahalanobis(_ix(spark, d).withColumn("x2", 2 * F.col("x1"))))
+
+
 _VEC = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
 e AS (SELECT r.vec_id::BIGINT AS rid, d.vec_id::BIGINT AS did, list_distance(r.x, d.x) AS dist FROM v r JOIN v d ON r.label = 1 AND d.label <> 1)"""
 
@@ -205,7 +216,31 @@ two AS (SELECT o.sim, o.rp, o.iter, any_value(o.ry) AS ry, any_value(d1) AS d1,
 
 @query(f"{_TWO} SELECT sim, rp, iter, d1, d2 FROM two")
 def mc_u1tok_draws(spark, d):
-    return M.draw_two(M.kernel(_pairs(spark, d)), N_DRAWS).select("sim", "rp", "iter", "d1", "d2")
+    return M.draw_many(M.kernel(_pairs(spark, d)), N_DRAWS).select("sim", "rp", "iter", "d1", "d2")
+
+
+def _many_sql(k: int) -> str:
+    """k donors of each recipient and draw: d1, ..., dk."""
+    ordered = "PARTITION BY sim, rp ORDER BY dp"
+    steps = ["s0 AS (SELECT *, alpha / (1 - alpha) AS w, 1.0::DOUBLE AS after0 FROM kernel)"]
+    for r in range(1, k + 1):
+        steps.append(f"""s{r} AS (SELECT *, lead(e{r}, 1, 0.0) OVER ({ordered}) AS after{r} FROM (SELECT *, sum(w * after{r - 1}) OVER ({ordered} ROWS UNBOUNDED PRECEDING) AS c{r},
+             sum(w * after{r - 1}) OVER ({ordered} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS e{r} FROM s{r - 1}))""")
+    steps.append(f"first AS (SELECT sim, rp, iter, 0 AS dp, 0.0::DOUBLE AS passed, max(c{k}) AS total FROM s{k}, (SELECT unnest(range(1, {N_DRAWS} + 1)) AS iter) GROUP BY 1, 2, 3)")
+    before = "first"
+    for i in range(1, k + 1):
+        r = k - i + 1
+        given = "".join(f", any_value(o.d{j}) AS d{j}" for j in range(1, i))
+        left = f", min_by(t.c{r - 1}, t.dp) AS passed, min_by(t.after{r - 1}, t.dp) AS total" if r > 1 else ""
+        steps.append(f"""p{i} AS (SELECT o.sim, o.rp, o.iter, min(t.dp) AS dp, min(t.dp) AS d{i}{given}{left} FROM {before} o
+        JOIN s{k} t ON o.sim = t.sim AND o.rp = t.rp AND t.dp > o.dp AND o.passed + {uniform_sql(f"k{i}", "(o.sim)", "(o.rp)", "(o.iter)")} * o.total <= t.c{r} GROUP BY 1, 2, 3)""")
+        before = f"p{i}"
+    return f"WITH {KERNEL}, {', '.join(steps)} SELECT sim, rp, iter, {', '.join(f'd{i}' for i in range(1, k + 1))} FROM p{k}"
+
+
+@query(_many_sql(3))
+def mc_u1tok_draws_of_three(spark, d):
+    return M.draw_many(M.kernel(_pairs(spark, d)), N_DRAWS, 3).select("sim", "rp", "iter", "d1", "d2", "d3")
 
 
 _EFFECTS = """sets AS (SELECT {draw}, rp, any_value(ry) AS t, avg(dy) AS c, sum(dy * dy) AS cc, count(*)::DOUBLE AS k FROM {rows} GROUP BY {draw}, rp),
@@ -225,7 +260,7 @@ def _pooled(effects: DataFrame, within: str) -> DataFrame:
 
 @query(f"""{_TWO}, long AS (SELECT sim, iter, rp, ry, unnest([y1, y2]) AS dy FROM two), {_EFFECTS.format(draw="sim, iter", rows="long")} {_POOL.format(within="wls_var")}""")
 def study_u1tok_mc(spark, d):
-    long = M.draw_two(M.kernel(_pairs(spark, d)), N_DRAWS).select("sim", "iter", "rp", "ry", F.explode(F.array("y1", "y2")).alias("dy"))
+    long = M.draw_many(M.kernel(_pairs(spark, d)), N_DRAWS).select("sim", "iter", "rp", "ry", F.explode(F.array("y1", "y2")).alias("dy"))
     return _pooled(E.effects(long, "sim", "iter"), "wls_var")
 
 
@@ -300,7 +335,7 @@ def x_gap(spark, d):
 
 _MAT = f"""{PAIRS}, rows AS (SELECT sim, rp, list(dist ORDER BY dp) AS dr, any_value(ry) AS ry, list(dy ORDER BY dp) AS dyl,
   any_value(rx1) AS r1, any_value(rx2) AS r2, list(dx1 ORDER BY dp) AS d1l, list(dx2 ORDER BY dp) AS d2l FROM pairs GROUP BY sim, rp),
-mat AS (SELECT sim, list(dr ORDER BY rp) AS dm, count(*)::INTEGER AS n, any_value(len(dr))::INTEGER AS m, avg(ry) AS rbar, any_value(dyl) AS dyl,
+mat AS (SELECT sim, list(dr ORDER BY rp) AS dm, count(*)::INTEGER AS n, any_value(len(dr))::INTEGER AS m, avg(ry) AS rbar, list(ry ORDER BY rp) AS ryl, any_value(dyl) AS dyl,
   avg(r1) AS r1, avg(r2) AS r2, any_value(d1l) AS d1l, any_value(d2l) AS d2l FROM rows GROUP BY sim)"""
 
 
@@ -392,8 +427,10 @@ chain AS (
                     FROM (SELECT *, b0 + CASE WHEN b0 >= a THEN 1 ELSE 0 END AS b
                           FROM (SELECT c.sim, c.t + 1 AS t, c.mt, c.un, c.total, s.dm, s.n, {u("f")} < 0.5 AS f, floor({u("a")} * s.n)::INTEGER + 1 AS a, {slot("s")} AS s1,
                                        floor({u("b")} * (s.n - 1))::INTEGER + 1 AS b0, {slot("z")} AS s2, floor({u("q")} * len(c.un))::INTEGER + 1 AS q, {u("u")} AS u
-                                FROM chain c JOIN start s USING (sim) WHERE c.t < {N_STEPS}))))))
-SELECT c.sim, c.t AS iter, {_STATE}, c.ok AS accepted, c.total AS accepted_count FROM chain c JOIN start s USING (sim)"""
+                                FROM chain c JOIN start s USING (sim) WHERE c.t < {N_STEPS}))))))"""
+
+
+_MH_TRACE = f" SELECT c.sim, c.t AS iter, {_STATE}, c.ok AS accepted, c.total AS accepted_count FROM chain c JOIN start s USING (sim)"
 
 
 def _gibbs_sql(k: int) -> str:
@@ -409,26 +446,29 @@ chain AS (
                     FROM (SELECT *, list_transform(list_prepend(mt[x], un), lambda v: dr[v]) AS dd
                           FROM (SELECT sim, j, mt, un, total, (s0 * n + r)::INTEGER AS x, dm[r] AS dr, {uniform_sql("(sim)", "1", "(t)", "g", "(r)", "(s0 + 1)")} AS u
                                 FROM (SELECT c.*, s.dm, s.n, (c.j // {k} % s.n + 1)::INTEGER AS r, c.j % {k} AS s0, c.j // ({k} * s.n) + 1 AS t
-                                      FROM chain c JOIN start s USING (sim) WHERE c.j < 5 * {k} * s.n)))))))
-SELECT c.sim, c.j // ({k} * s.n) AS iter, {_STATE}, c.total AS accepted_count FROM chain c JOIN start s USING (sim) WHERE c.j % ({k} * s.n) = 0"""
+                                      FROM chain c JOIN start s USING (sim) WHERE c.j < 5 * {k} * s.n))))))),
+sweeps AS (SELECT c.sim, c.j // ({k} * s.n) AS t, c.mt, c.total, c.total - lag(c.total) OVER (PARTITION BY c.sim ORDER BY c.j) AS ok FROM chain c JOIN start s USING (sim) WHERE c.j % ({k} * s.n) = 0)"""
 
 
-@query(_mh_sql(1))
+_GIBBS_TRACE = f" SELECT c.sim, c.t AS iter, {_STATE}, c.total AS accepted_count FROM sweeps c JOIN start s USING (sim)"
+
+
+@query(_mh_sql(1) + _MH_TRACE)
 def mh_c1to1(spark, d):
     return _chain(C.run_chains(_ix(spark, d), lambda s, t: C.local_mh(s, t, 1.0, 0.5), N_STEPS))
 
 
-@query(_mh_sql(2))
+@query(_mh_sql(2) + _MH_TRACE)
 def mh_c1tok(spark, d):
     return _chain(C.run_chains(_ix(spark, d), lambda s, t: C.local_mh(s, t, 1.0, 0.5), N_STEPS, k=2))
 
 
-@query(_gibbs_sql(1))
+@query(_gibbs_sql(1) + _GIBBS_TRACE)
 def gibbs_c1to1(spark, d):
     return _chain(C.run_chains(_ix(spark, d), lambda s, t: C.gibbs_sweep(s, t, 1.0), 5)).drop("accepted")
 
 
-@query(_gibbs_sql(2))
+@query(_gibbs_sql(2) + _GIBBS_TRACE)
 def gibbs_c1tok(spark, d):
     return _chain(C.run_chains(_ix(spark, d), lambda s, t: C.gibbs_sweep(s, t, 1.0), 5, k=2)).drop("accepted")
 
@@ -448,7 +488,60 @@ chain AS (
 
 @query(f"""{_U1TOK} SELECT sim, rp, t AS iter, s AS slot, dl[ord[s]] AS dp, ok AS accepted FROM (SELECT c.*, l.dl, unnest([1, 2])::BIGINT AS s FROM chain c JOIN lists l USING (sim, rp) WHERE t > 0)""")
 def mh_u1tok(spark, d):
-    return C.run_unconstrained(M.kernel(_pairs(spark, d)), 10)
+    return C.run_unconstrained(_ix(spark, d), 10)
+
+
+# Studies: run_study over the customers' replications, a query for each method
+
+
+def _study_sql(rows: str, within: str, variances: tuple[str, ...], counts: tuple[str, ...], difference: bool) -> str:
+    """What run_study gives, from ``rows``: expressions that end with long (sim, iter, rp, ry, dy) and, for counts, acc (sim, iter, a)."""
+    columns = {"paired": "wp", "clus": "wc"}
+    kinds = "".join(f', round({columns[v]}, 6) AS "wiVar{v}", round({columns[v]} + (1 + 1.0 / m) * bw, 6) AS "miVar{v}"' for v in variances)
+    counted = {"acceptance": "sum(a)::BIGINT AS acceptance_count", "change": "sum(a)::BIGINT AS change_count, count(*) FILTER (a > 0) AS changed_iteration_count"}
+    more = f", counts AS (SELECT sim, {counted[counts[0]]} FROM acc GROUP BY sim)" if counts else ""
+    names = {"acceptance": ", acceptance_count", "change": ", change_count, changed_iteration_count"}
+    return f"""{rows}, {_EFFECTS.format(draw="sim, iter", rows="long")},
+pooled AS (SELECT sim, avg(est) AS est, median(est) AS est_med, avg({within}) AS wi, avg(paired_var) AS wp, avg(cluster_se) AS wc, var_samp(est) AS bw, count(*) AS m FROM eff GROUP BY sim),
+total AS (SELECT *, wi + (1 + 1.0 / m) * bw AS total FROM pooled){more}
+SELECT sim, round(est, 6) AS est, floor(est_med * 1e6 + 0.381966) / 1e6 AS est_med, round(wi, 6) AS "wiVar", round(bw, 6) AS "bwVar", round(total, 6) AS "miVar"{kinds}{', round(est, 6) AS estdiff' if difference else ''},
+   round(est - 1.96 * sqrt(total), 6) AS ll, round(est + 1.96 * sqrt(total), 6) AS ul, (est - 1.96 * sqrt(total) <= 0.1 AND 0.1 <= est + 1.96 * sqrt(total))::INTEGER AS covers_true{names[counts[0]] if counts else ''}
+FROM total{' JOIN counts USING (sim)' if counts else ''}"""
+
+
+def _of_chain_sql(chain: str, table_: str, k: int) -> str:
+    return f"""{chain}, long AS (SELECT sim, iter, (i - 1) % n + 1 AS rp, ryl[(i - 1) % n + 1] AS ry, dyl[mt[i]] AS dy
+  FROM (SELECT c.sim, c.t AS iter, c.mt, s.n, s.ryl, s.dyl, unnest(range(1, {k} * s.n + 1)) AS i FROM {table_} c JOIN start s USING (sim) WHERE c.t > 0)),
+acc AS (SELECT sim, t AS iter, ok AS a FROM {table_} WHERE t > 0)"""
+
+
+def _units_x(spark: SparkSession, d: str) -> DataFrame:
+    return _ix(spark, d).select("sim", "unit", "g", F.array("x1", "x2").alias("x"), "y")
+
+
+def _run_study(method: str, n_iter: int) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = study.run_study(_units_x(spark, d), method, study.Options(n_iter=n_iter, true_tau=0.1)).drop("method", "beta", "n_mcmc", "k", "pstar")
+        return rows.select("sim", *[off_ties(c) if c == "est_med" else r6(c) if kind == "double" else F.col(c).cast("long").alias(c) if kind == "bigint" else F.col(c) for c, kind in rows.dtypes if c != "sim"])
+
+    return run
+
+
+_CHAINED = f"""{_U1TOK}, long AS (SELECT c.sim, c.t AS iter, c.rp, k.ry, k.dy FROM (SELECT c.*, l.dl, unnest([1, 2]) AS s FROM chain c JOIN lists l USING (sim, rp) WHERE t > 0) c
+  JOIN kernel k ON k.sim = c.sim AND k.rp = c.rp AND k.dp = c.dl[c.ord[c.s]]), acc AS (SELECT sim, t AS iter, max(ok) AS a FROM chain WHERE t > 0 GROUP BY 1, 2)"""
+_STUDIES = {
+    "unconstrained_1to1": (N_DRAWS, f"WITH {DRAWS}, long AS (SELECT sim, iter, rp, ry, dy FROM draws)"),
+    "unconstrained_1tok": (10, _CHAINED),
+    "unconstrained_1tok_mc": (N_DRAWS, f"{_TWO}, long AS (SELECT sim, iter, rp, ry, unnest([y1, y2]) AS dy FROM two)"),
+    "constrained_1to1": (N_STEPS, _of_chain_sql(_mh_sql(1), "chain", 1)),
+    "constrained_1to1_gibbs": (5, _of_chain_sql(_gibbs_sql(1), "sweeps", 1)),
+    "constrained_1tok": (N_STEPS, _of_chain_sql(_mh_sql(2), "chain", 2)),
+    "constrained_1tok_gibbs": (5, _of_chain_sql(_gibbs_sql(2), "sweeps", 2)),
+}
+for _name, (_n, _rows) in _STUDIES.items():
+    _how = study.METHODS[_name]
+    QUERIES[f"run_{_name}"] = _run_study(_name, _n)
+    SQL[f"run_{_name}"] = _study_sql(_rows, _how.within, _how.variances, _how.counts, _how.difference)
 
 
 #: Four chains of two slots a replication, one for each kind of start.
@@ -659,12 +752,12 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {_RESULTS} SELECT file, count(*) AS n_sim, round(avg(est), 6) AS mean_est, round(avg(est) - 1, 6) AS bias, round(avg(abs(est - 1)), 6) AS abs_bias,
+@query(f"""WITH {_RESULTS} SELECT file, count(*) AS n_sim, CASE WHEN count(DISTINCT method) = 1 THEN min(method) ELSE 'mixed' END AS method, '7' AS n_mcmc, round(avg(est), 6) AS mean_est, round(avg(est) - 1, 6) AS bias, round(avg(abs(est - 1)), 6) AS abs_bias,
   round(var_samp(est), 6) AS empirical_var_est, round(avg("wiVar"), 6) AS "mean_wiVar", round(avg(coalesce(ll <= 1 AND 1 <= ul, false)::INTEGER), 6) AS coverage,
   round(avg(ul - ll), 6) AS mean_ci_length, round(avg(n_acc / 7), 6) AS mean_acceptance_rate FROM results GROUP BY file""")
 def result_summary(spark, d):
     found = S.summarize_results(_results(spark, d), "file", 1.0)
-    return found.select("file", "n_sim", *[r6(c) for c in found.columns if c not in ("file", "n_sim")])
+    return found.select(*[r6(c) if kind == "double" else F.col(c) for c, kind in found.dtypes])
 
 
 @query(f"WITH {_RESULTS} SELECT file, method, round(avg(coalesce(ll <= 1.5 AND 1.5 <= ul, false)::INTEGER), 6) AS coverage FROM results GROUP BY file, method")
@@ -814,15 +907,13 @@ SELECT prefix, max(regexp_extract(name, '_([0-9]+)\\.csv$', 1)::BIGINT) + 1 AS n
 def next_number(spark, d):
     """The next free numbered file for each prefix."""
     name = F.concat_ws("", "p_brand", F.lit("_"), F.col("p_size").cast("string"), F.lit(".csv"))
-    found = table(spark, d, "part").groupBy(F.col("p_brand").alias("prefix")).agg((F.max(F.regexp_extract(name, r"_([0-9]+)\.csv$", 1).cast("long")) + 1).alias("next"))
-    return found.select("prefix", "next", F.concat_ws("", "prefix", F.lit("_"), F.col("next").cast("string"), F.lit(".csv")).alias("path"))
+    return next_names(table(spark, d, "part").select(F.col("p_brand").alias("prefix"), name.alias("name")), ".csv")
 
 
 @query("""SELECT p_partkey::BIGINT AS key, array_to_string(list_filter(list_transform(str_split(replace(p_name, ' ', ' ,'), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS items FROM part""")
 def list_parse(spark, d):
     """Comma lists split, trimmed, without empty items."""
-    parts = F.transform(F.split(F.replace("p_name", F.lit(" "), F.lit(" ,")), ","), lambda x: F.trim(x))
-    return table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("key"), F.array_join(F.filter(parts, lambda x: x != ""), "|").alias("items"))
+    return table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("key"), F.array_join(items(F.replace("p_name", F.lit(" "), F.lit(" ,"))), "|").alias("items"))
 
 
 def _normal_sql(*key: str) -> str:
@@ -830,30 +921,63 @@ def _normal_sql(*key: str) -> str:
 
 
 _GEN = f"""gen AS (SELECT c_nationkey::BIGINT AS sim, c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS g,
-  {', '.join(_normal_sql('x', str(i), '(c_custkey)') + f" + CASE WHEN c_mktsegment = 'BUILDING' THEN 0.1 ELSE 0 END AS x{i}" for i in (1, 2, 3, 4))}, {_normal_sql('e', '(c_custkey)')} AS e FROM customer)"""
+  {', '.join(_normal_sql('7', f'x{i}', '(c_nationkey)', '(c_custkey)') + f" + CASE WHEN c_mktsegment = 'BUILDING' THEN 0.1 ELSE 0 END AS x{i + 1}" for i in range(4))},
+  {_normal_sql('7', 'e', '(c_nationkey)', '(c_custkey)')} AS e FROM customer)"""
 
 
-def _generated(spark: SparkSession, d: str) -> DataFrame:
-    """A replication for each nation: covariates of its customers drawn by key, recipients shifted by 0.1."""
-    key, g = F.col("c_custkey"), F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(0)
-    xs = {f"x{i}": normal("x", i, key) + F.when(g == 1, 0.1).otherwise(0.0) for i in (1, 2, 3, 4)}
-    return table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("sim"), g.alias("g"), *[c.alias(n) for n, c in xs.items()], normal("e", key).alias("e"))
+def _generated(spark: SparkSession, d: str, model: str) -> DataFrame:
+    """A replication for each nation: its customers are units of a drawn data set."""
+    g = F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(0)
+    keys = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("sim"), F.col("c_custkey").cast("long").alias("unit"), g.alias("g"))
+    return draw_outcomes(keys, 0.1, 1.0, model, seed=7)
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("sim", "g").agg(F.count("*").alias("n"), r6(F.avg("x1"), "mean_x1"), r6(F.avg("y"), "mean_y"), r6(F.var_samp("y"), "var_y"))
+    return rows.groupBy("sim", "g").agg(F.count("*").alias("n"), r6(F.avg(F.col("x")[0]), "mean_x1"), r6(F.avg("y"), "mean_y"), r6(F.var_samp("y"), "var_y"), r6(F.avg("g0"), "mean_g0"))
 
 
-_MOMENTS = "SELECT sim, g, count(*) AS n, round(avg(x1), 6) AS mean_x1, round(avg(y), 6) AS mean_y, round(var_samp(y), 6) AS var_y FROM m GROUP BY sim, g"
+_MOMENTS = "SELECT sim, g, count(*) AS n, round(avg(x1), 6) AS mean_x1, round(avg(y), 6) AS mean_y, round(var_samp(y), 6) AS var_y, round(avg(g0), 6) AS mean_g0 FROM m GROUP BY sim, g"
 
 
-@query(f"WITH {_GEN}, m AS (SELECT *, 18 + g + 0.1 * x1 + 0.2 * x2 + 0.2 * x3 + 0.1 * x4 + e AS y FROM gen) {_MOMENTS}")
+@query(f"WITH {_GEN}, m AS (SELECT *, g0 + g + e AS y FROM (SELECT *, 18 + 0.1 * x1 + 0.2 * x2 + 0.2 * x3 + 0.1 * x4 AS g0 FROM gen)) {_MOMENTS}")
 def gen_linear(spark, d):
-    y = 18 + F.col("g") + 0.1 * F.col("x1") + 0.2 * F.col("x2") + 0.2 * F.col("x3") + 0.1 * F.col("x4") + F.col("e")
-    return _moments(_generated(spark, d).withColumn("y", y))
+    return _moments(_generated(spark, d, "linear"))
 
 
-@query(f"WITH {_GEN}, m AS (SELECT *, 18 + exp(0.1 * x1 + 0.2 * x2 + 0.2 * x3 + 0.1 * x4) / 10 + g + e AS y FROM gen) {_MOMENTS}")
+@query(f"WITH {_GEN}, m AS (SELECT *, g0 + g + e AS y FROM (SELECT *, 18 + exp(0.1 * x1 + 0.2 * x2 + 0.2 * x3 + 0.1 * x4) / 10 AS g0 FROM gen)) {_MOMENTS}")
 def gen_nonlinear(spark, d):
-    base = 18 + F.exp(0.1 * F.col("x1") + 0.2 * F.col("x2") + 0.2 * F.col("x3") + 0.1 * F.col("x4")) / 10
-    return _moments(_generated(spark, d).withColumn("y", base + F.col("g") + F.col("e")))
+    return _moments(_generated(spark, d, "nonlinear"))
+
+
+_FILES = """files AS (SELECT *, CASE WHEN o_orderpriority LIKE '1%' THEN 'a_1.csv' ELSE 'b_2.csv' END AS file, o_totalprice / 100000 AS est,
+  CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice / 200000 END AS wi, o_custkey % 2 AS covers FROM orders)"""
+
+
+@query(f"""WITH {_FILES} SELECT file, count(*) AS n_sim, CASE WHEN file = 'a_1.csv' THEN 'x,"y"' ELSE 'mixed' END AS method, CASE WHEN file = 'a_1.csv' THEN '7.0' END AS n_mcmc, round(avg(est), 6) AS mean_est, round(avg(est) - 1, 6) AS bias, round(avg(abs(est - 1)), 6) AS abs_bias,
+  round(var_samp(est), 6) AS empirical_var_est, CASE WHEN file = 'a_1.csv' THEN round(avg(wi), 6) END AS "mean_wiVar",
+  CASE WHEN file = 'a_1.csv' THEN round(avg(coalesce(wi <= 1 AND 1 <= est, false)::INTEGER), 6) ELSE round(avg(covers), 6) END AS coverage,
+  CASE WHEN file = 'a_1.csv' THEN round(avg(est - wi), 6) END AS mean_ci_length,
+  CASE WHEN file = 'a_1.csv' THEN round(avg(o_custkey % 7 / 7), 6) END AS mean_acceptance_rate, CASE WHEN file = 'b_2.csv' THEN round(avg(o_custkey % 7), 6) END AS mean_acceptance_count,
+  CASE WHEN file = 'a_1.csv' THEN 7.0 END AS mean_time_setup
+FROM files GROUP BY file""")
+def result_files(spark, d):
+    """Two result files with different columns, written as CSV, read back and summarised: each by the columns that it has."""
+    price = F.col("o_totalprice").cast("double")
+    wi = F.when(F.col("o_orderkey") % 7 > 0, price / 200000)
+    rows = table(spark, d, "orders").select(
+        F.col("o_orderpriority").startswith("1").alias("first"), (price / 100000).alias("est"), wi.alias("wiVar"), wi.alias("ll"), (price / 100000).alias("ul"),
+        (F.col("o_custkey") % 7).alias("acceptance_count"), F.lit(7).alias("n_mcmc"), F.lit("7.0").alias("time_setup"), (F.col("o_custkey") % 2).alias("covers_true"), "o_orderstatus",
+    )
+    folder = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    write_results(rows.where("first").select(F.lit('x,"y"').alias("method"), "est", "wiVar", "ll", "ul", "acceptance_count", "n_mcmc", "time_setup"), f"{folder}/a_1.csv")
+    write_results(rows.where("NOT first").select(F.col("o_orderstatus").alias("method"), "est", "covers_true", "acceptance_count"), f"{folder}/b_2.csv")
+    found = S.summarize_results(read_results(spark, folder=folder), "file", 1.0)
+    return found.select(*[r6(c) if kind == "double" else F.col(c) for c, kind in found.dtypes])
+
+
+@query("""WITH e AS (SELECT c_custkey, str_split(x, ':') AS p FROM (SELECT c_custkey, unnest([(c_custkey % 5 * 100 + 100)::VARCHAR || ':' || (c_nationkey + 1)::VARCHAR, '1000:120']) AS x FROM customer))
+SELECT c_custkey::BIGINT AS key, p[1]::BIGINT AS size, p[2]::BIGINT AS reps FROM e""")
+def reps_map_parse(spark, d):
+    """``N:reps, N:reps`` texts as maps from sizes to numbers of replications."""
+    text = F.concat((F.col("c_custkey") % 5 * 100 + 100).cast("string"), F.lit(":"), (F.col("c_nationkey") + 1).cast("string"), F.lit(" , 1000: 120,"))
+    return table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("key"), F.explode(size_map(text)).alias("size", "reps"))

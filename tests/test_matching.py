@@ -164,12 +164,12 @@ def test_two_draws_have_exact_frequencies(spark):
     weighted = M.kernel(M.pair_units(make_units(spark, n_r=1, n_d=4, sims=1)))
     w = {r["dp"]: r["alpha"] / (1 - r["alpha"]) for r in weighted.collect()}
     pairs = {p: w[p[0]] * w[p[1]] for p in itertools.combinations(sorted(w), 2)}
-    seen = Counter((r["d1"], r["d2"]) for r in M.draw_two(weighted, 4000).collect())
+    seen = Counter((r["d1"], r["d2"]) for r in M.draw_many(weighted, 4000).collect())
     assert max(abs(seen[p] / 4000 - v / sum(pairs.values())) for p, v in pairs.items()) < 0.03
 
 
 def test_unconstrained_chain_moves_one_donor(spark):
-    rows = C.run_unconstrained(M.kernel(M.pair_units(make_units(spark, n_r=1, n_d=5, sims=1))), 50).toPandas()
+    rows = C.run_unconstrained(M.sized(make_units(spark, n_r=1, n_d=5, sims=1)), 50).toPandas()
     sets = rows.groupby("iter").dp.apply(set).tolist()
     assert all(len(s) == 2 for s in sets) and all(len(a & b) >= 1 for a, b in itertools.pairwise(sets))
 
