@@ -9,37 +9,42 @@ Parsing runs over many texts at once: one step moves every text of a batch by
 one character in every language.  Each character of the samples is a symbol of
 its own.  Moves by the most frequent ones are a table of states by symbols;
 those by all others, of which a state has few, are looked up by state and
-symbol in a sorted list.  Whole texts are cut into blocks so that a long one is parsed beside
-short ones; a cut ends a phrase in every language alike.
+symbol in a sorted list.  A long text is parsed in blocks beside short ones:
+each block from its own start first, then again from the state in which the
+block before it ends, up to the place where both parses agree.  So the phrases
+are those of the whole text, wherever blocks begin.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.shared import table
 
-#: Bounds of the sample: texts a language, characters of a text.
-SAMPLE_TEXTS, SAMPLE_CHARS = 150, 300
+#: The sample of a language: at most so many texts, whole, and no further one when they have so many characters
+#: together.  Texts of at most SHORT characters are drawn before longer ones.
+SAMPLE_TEXTS, SAMPLE_CHARS, SHORT = 150, 45_000, 500
 #: Symbols with a column in the table of moves; results do not depend on it.
 COLUMNS = 62
-BLOCK = 512
+#: Characters of a block, and of its beginning, after which two parses of it mostly agree.
+BLOCK, MARK = 1024, 96
 #: Blocks parsed side by side.
 LANES = 2048
 _PHRASE = np.int32(1 << 30)
-_WORD = re.compile(r"[^\W\d_]+")
+#: A letter, then letters and the marks that belong to them.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 def letters_of(text: str | None) -> str:
-    """Runs of letters in lower case, parted by single spaces."""
+    """Runs of letters and their marks in lower case, parted by single spaces."""
     return " ".join(_WORD.findall(text.lower())) if text else ""
 
 
@@ -136,22 +141,60 @@ class CrossParser:
         return self.symbol[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
-        """A row for each text, a column for each language."""
+        """Phrases that each whole text needs: a row for each text, a column for each language."""
         out = np.zeros((len(texts), len(self.languages)), np.int64)
-        blocks, owner = [], []
+        blocks: list[np.ndarray] = []
+        owner: list[int] = []
         for i, t in enumerate(texts):
             s = self.symbols(t)
             for at in range(0, len(s), BLOCK):
                 blocks.append(s[at : at + BLOCK])
                 owner.append(i)
-        order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
+        if not blocks:
+            return out
+        n = len(blocks)
+        whose = np.array(owner)
+        idle = np.array(self.roots, np.int32)
+        begin = np.repeat(idle[:, None], n, axis=1)  # the state each block was parsed from
+        end, count, mark, upto = (np.zeros((len(idle), n), np.int32) for _ in range(4))
+
+        def whole(which: np.ndarray) -> None:
+            for mine, lane in self._lanes([blocks[b] for b in which]):
+                b = which[mine]
+                mark[:, b], upto[:, b] = self._parse(lane[:MARK], begin[:, b])
+                end[:, b], rest = self._parse(lane[MARK:], mark[:, b])
+                count[:, b] = upto[:, b] + rest
+
+        whole(np.arange(n))
+        follows = np.flatnonzero(whose[1:] == whose[:-1]) + 1
+        while True:
+            # Blocks whose predecessor has come to end elsewhere than they were parsed from.
+            changed = follows[(begin[:, follows] != end[:, follows - 1]).any(axis=0)]
+            if not len(changed):
+                break
+            begin[:, changed] = end[:, changed - 1]
+            again = []
+            for mine, lane in self._lanes([blocks[b][:MARK] for b in changed]):
+                b = changed[mine]
+                state, some = self._parse(lane, begin[:, b])
+                agrees = (state == mark[:, b]).all(axis=0)
+                at = b[agrees]
+                count[:, at] += some[:, agrees] - upto[:, at]
+                upto[:, at] = some[:, agrees]
+                again.append(b[~agrees])
+            whole(np.concatenate(again))
+        np.add.at(out, whose, count.T)
+        return out
+
+    def _lanes(self, blocks: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of like length side by side: their numbers, and symbols by place and block, padded at the end."""
+        order = np.array(sorted(range(len(blocks)), key=lambda k: -len(blocks[k])), np.int64)
         for at in range(0, len(order), LANES):
             mine = order[at : at + LANES]
             lane = np.full((len(blocks[mine[0]]), len(mine)), self.width - 1, np.int32)
             for k, b in enumerate(mine):
                 lane[: len(blocks[b]), k] = blocks[b]
-            np.add.at(out, [owner[b] for b in mine], self._parse(lane).T)
-        return out
+            yield mine, lane
 
     def _moved(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """The moves from ``state`` (languages by texts), some of them by symbols without a column."""
@@ -164,8 +207,8 @@ class CrossParser:
         moved[:, other] = np.where(self.keys[at] == key, self.targets[at], self.begins[:, s])
         return moved
 
-    def _parse(self, lane: np.ndarray) -> np.ndarray:
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], lane.shape[1], axis=1)
+    def _parse(self, lane: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From the given states: the states (languages by texts) after all places, and the phrases that began."""
         count = np.zeros(state.shape, np.int32)
         others = (lane >= self.width).any(axis=1)
         for symbols, some in zip(lane, others, strict=True):
@@ -175,25 +218,41 @@ class CrossParser:
                 moved = self.moves[state * np.int32(self.width) + symbols]
             count += moved >> np.int32(30)
             state = moved & (_PHRASE - np.int32(1))
-        return count
+        return state, count
 
 
-def training_sample(docs: DataFrame, trains: F.Column, lang: str = "lang", text: str = "text") -> dict[str, list[str]]:
-    """A bounded sample of the labelled rows for which ``trains`` holds.
+def training_sample(docs: DataFrame, trains: Column, lang: str = "lang", text: str = "text") -> dict[str, list[str]]:
+    """A bounded sample of the labelled rows for which ``trains`` holds, by language.
 
-    For each language, the SAMPLE_TEXTS different texts with the smallest hash,
-    and SAMPLE_CHARS characters of each, from a place that the hash draws too.
+    Different texts are drawn by their hash, those of at most SHORT characters
+    before longer ones, until there are SAMPLE_TEXTS of them or they have
+    SAMPLE_CHARS characters together.  Texts are taken whole.  Rows are counted
+    first, so that only those with a hash small enough to be drawn are ranked,
+    few of each language wherever they lie.
     """
-    hashed = docs.where(trains & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    start = F.pmod("h", F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
-    cut_out = hashed.select("lang", "h", F.substring("t", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("t"))
-    rank = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy("h"))
-    # A language's rows are ranked in parts first, so that few of them meet in one task.
-    few = cut_out.dropDuplicates(["lang", "h"]).withColumn("part", F.pmod("h", F.lit(64))).withColumn("k", rank("part")).where(F.col("k") <= SAMPLE_TEXTS)
-    ranked = few.withColumn("k", rank())
+    rows = docs.where(trains & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), (F.length(text) > SHORT).alias("long"), F.col(text).alias("t")
+    )
+    sizes = {(r["lang"], r["long"]): r["n"] for r in rows.groupBy("lang", "long").agg(F.count("*").alias("n")).collect()}
     out: dict[str, list[str]] = {}
-    for r in ranked.where(F.col("k") <= SAMPLE_TEXTS).orderBy("lang", "k").collect():
-        out.setdefault(r["lang"], []).append(r["t"])
+    share = 4.0 * SAMPLE_TEXTS
+    todo = sorted({k for k, _ in sizes})
+    while todo:
+        limits = [(k, x, min(share / n, 1.0)) for (k, x), n in sizes.items() if k in set(todo)]
+        known = docs.sparkSession.createDataFrame(limits, "lang string, long boolean, share double")
+        few = rows.join(F.broadcast(known), ["lang", "long"]).where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share")).drop("share")
+        ranked = few.dropDuplicates(["lang", "h"]).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h")))
+        drawn: dict[str, list[str]] = {k: [] for k in todo}
+        for r in ranked.where(F.col("k") <= SAMPLE_TEXTS).orderBy("lang", "k").collect():
+            if sum(map(len, drawn[r["lang"]])) < SAMPLE_CHARS:
+                drawn[r["lang"]].append(r["t"])
+        # Where copies left too few different texts below the limit, it is raised.
+        full = lambda k: len(drawn[k]) >= SAMPLE_TEXTS or sum(map(len, drawn[k])) >= SAMPLE_CHARS
+        whole = lambda k: all(x >= 1.0 for lang_, _, x in limits if lang_ == k)
+        done = [k for k in todo if full(k) or whole(k)]
+        out |= {k: drawn[k] for k in done}
+        todo = [k for k in todo if k not in done]
+        share *= 16
     return out
 
 
@@ -209,8 +268,11 @@ def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     letters, and all texts if there is nothing to learn from, get ``und`` and
     score 0.  Score is how much fewer phrases the language needs than the next
     best, as a share of the latter's (1 if there is one language only); ties go
-    to the language that sorts first.  Other columns are not read; an empty
-    table gives no rows.
+    to the language that sorts first.  Letters are those of the Unicode
+    categories L*, with the marks M* that follow them.  Texts are parsed whole,
+    very long ones in blocks whose phrases run over the cuts.  Rows that repeat
+    get a row each; other columns are not read; an empty table gives no rows.
+    Languages are as many as automata fit in a worker (about 15 MB each).
     """
     held_out = F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
     sample = docs.sparkSession.sparkContext.broadcast(training_sample(docs, ~held_out, lang, text))

@@ -93,8 +93,15 @@ def unpack(content: bytes) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def parse(record: bytes) -> dict:
-    """A record's fields; headers, lengths and digest are validated."""
+#: Records that archives have besides pages; fixed by the format.
+OTHER_TYPES = ("warcinfo", "request", "metadata", "resource", "conversion", "continuation")
+
+
+def parse(record: bytes) -> dict | None:
+    """The fields of a response or revisit record, None for one of OTHER_TYPES; headers, lengths and digest are validated.
+
+    Anything that is not as it should be is a ValueError.
+    """
     head, sep, rest = record.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
     if not sep or lines[0] not in ("WARC/1.0", "WARC/1.1"):
@@ -108,13 +115,23 @@ def parse(record: bytes) -> dict:
     missing = {"warc-type", "warc-record-id", "warc-date", "content-length"} - fields.keys()
     if missing:
         raise ValueError(f"header without {', '.join(sorted(missing))}")
+    if not fields["content-length"].isdecimal():
+        raise ValueError("Content-Length is no number")
     length = int(fields["content-length"])
     if rest[length:] != b"\r\n\r\n" or len(rest) != length + 4:
         raise ValueError("Content-Length is not the block's")
-    http, _, payload = rest[:length].partition(b"\r\n\r\n")
-    sizes = [int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-    digest = fields["warc-payload-digest"].removeprefix("sha256:")
     kind = fields["warc-type"]
+    if kind in OTHER_TYPES:
+        return None
+    if kind not in ("response", "revisit"):
+        raise ValueError(f"unknown record type {kind[:60]!r}")
+    http, _, payload = rest[:length].partition(b"\r\n\r\n")
+    lengths = [x.split(b":", 1)[1].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    if len(lengths) != 1 or not lengths[0].isdigit():
+        raise ValueError("the HTTP head has no length of the payload")
+    if "warc-payload-digest" not in fields:
+        raise ValueError("header without warc-payload-digest")
+    sizes, digest = [int(lengths[0])], fields["warc-payload-digest"].removeprefix("sha256:")
     if kind == "response" and (sizes != [len(payload)] or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError("the payload is not the one that was digested")
     if kind == "revisit" and (payload or "warc-refers-to" not in fields or fields.get("warc-profile") != PROFILE):
@@ -131,7 +148,10 @@ def parse(record: bytes) -> dict:
 
 
 def _page(urn: str) -> int | None:
-    number = urn.strip("<>").removeprefix("urn:page:")
+    text = urn.strip("<>")
+    number = text.removeprefix("urn:page:")
+    if number == text or (number and not number.removeprefix("-").isdecimal()):
+        raise ValueError(f"the id names no page: {text[:60]!r}")
     return int(number) if number else None
 
 
@@ -143,7 +163,11 @@ def write_archives(pages: DataFrame, archive_bytes: int = 8_000_000, key: str =
     empty payload; a null key is a response of its own; rows that repeat the
     smallest key are responses too.  Payloads meet by digest, one row for each
     digest on one side, so a hot payload is split by adaptive execution; what a
-    revisit repeats is dropped before anything is packed.
+    revisit repeats is dropped before anything is packed.  A payload of any
+    length is one record, and makes its archive longer.  Control characters of
+    a url read as spaces, and spaces around it are not kept, as a header line
+    can't have them.  Other columns are not read; an empty table gives no
+    archives.
     """
     rows = pages.select(
         F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8").alias("payload")
@@ -184,7 +208,11 @@ def write_archives(pages: DataFrame, archive_bytes: int = 8_000_000, key: str =
 
 
 def read_archives(archives: DataFrame, content: str = "content", payloads: bool = True) -> DataFrame:
-    """The records of archives; with ``payloads`` also what responses hold (a revisit's is its response's)."""
+    """Responses and revisits of archives; with ``payloads`` also what responses hold (a revisit's is its response's).
+
+    Other records are read over.  An archive is read by one task, record by
+    record, so what is held is its content and one batch of records.
+    """
     names = ["page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", *(["url", "payload"] if payloads else [])]
     kinds = {"record_type": pa.string(), "payload_digest": pa.string(), "url": pa.string(), "payload": pa.binary()}
     schema = ", ".join(x for x in RECORDS.split(", ") if x.split()[0] in names)
@@ -194,7 +222,9 @@ def read_archives(archives: DataFrame, content: str = "content", payloads: bool
             for archive in batch.column(0):
                 rows, size = [], 0
                 for record in unpack(archive.as_py()):
-                    rows.append(parse(record))
+                    if (row := parse(record)) is None:
+                        continue
+                    rows.append(row)
                     size += len(record)
                     if size >= 8_000_000:
                         yield out(rows)
