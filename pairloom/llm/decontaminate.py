@@ -1,27 +1,31 @@
 """Passages of benchmark items in documents, by a hash set of 10-word windows.
 
-The windows of a benchmark that fits ``most_bytes`` are broadcast as a sorted
-array of 64-bit hashes; each document's windows are looked up in it and every
-hit is verified on its words.  A larger benchmark is not broadcast: windows of
-both sides are joined by 128-bit hashes instead.
+A benchmark whose table of windows fits ``most_bytes`` is broadcast: its words
+as one array of 64-bit hashes, and for each window length the windows' hashes,
+sorted, with their places in it.  Each document's windows are looked up, first
+in a bit map of these hashes, and every hit is verified on its words.  A larger
+benchmark is not broadcast: windows of both sides are joined by 128-bit hashes
+instead.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.shared import cut, table
+from pairloom.llm.shingles import WordHashes
 
 WINDOW = 10
-#: Bytes of benchmark text up to which its windows are broadcast.
-MOST_BYTES = 32_000_000
+#: Bytes of the table of windows up to which it is broadcast; 22 for each word, so a benchmark of about 17 MB.
+MOST_BYTES = 64_000_000
+BYTES_A_WORD = 22
 _P = np.array([xxhash.xxh3_64_intdigest(b"window", seed=i) | 1 for i in range(WINDOW)], dtype=np.uint64)
 #: ASCII digits and letters, lower-cased, and everything beyond ASCII stay; all else parts words.
 _TABLE = bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or 48 <= i <= 57 or 97 <= i <= 122 else 32 for i in range(256))
@@ -32,47 +36,78 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_TABLE).split() if text else []
 
 
+def _sums(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words."""
+    n = len(words) - size + 1
+    total = words[:n] * _P[0]
+    for i in range(1, size):
+        total += words[i : n + i] * _P[i]
+    return total
+
+
+class _OfSize:
+    """The windows of one length: sorted hashes, their places in the word array, and a bit map of the hashes' first bits."""
+
+    def __init__(self, size: int, hashes: np.ndarray, places: np.ndarray) -> None:
+        order = np.argsort(hashes, kind="stable")
+        self.size, self.hashes, self.places = size, hashes[order], places[order]
+        self.shift = np.uint64(64 - max(6, int(8 * len(hashes)).bit_length()))
+        self.map = np.zeros(1 << int(61 - self.shift), np.uint8)
+        at = hashes >> self.shift
+        np.bitwise_or.at(self.map, at >> np.uint64(3), (1 << (at & np.uint64(7))).astype(np.uint8))
+
+    def maybe(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> self.shift
+        return np.flatnonzero(self.map[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+
+
 class Windows:
-    """The windows of all items, by length: sorted hashes, items of each hash, and the words to verify."""
+    """The windows of all items; items that repeat an id are one item."""
 
     def __init__(self, items: list[tuple[str, str | None]]) -> None:
-        self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set[str]]] = {}
+        hashes = WordHashes()
+        self.names: list[str] = []
+        own, begins, n = [], [], 0
+        numbers: dict[str, int] = {}
+        item, sizes = [], []
         for name, text in items:
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text))
-            size = min(WINDOW, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                found.setdefault(size, {}).setdefault(ids[i : i + size], set()).add(name)
+            words = words_of(text)
+            if words:
+                if name not in numbers:
+                    numbers[name] = len(self.names)
+                    self.names.append(name)
+                own.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+                begins.append(n)
+                item.append(numbers[name])
+                sizes.append(min(WINDOW, len(words)))
+                n += len(words)
+        self.words = np.concatenate(own) if own else np.empty(0, np.uint64)
+        self.begins, self.item = np.array(begins, np.uint32), np.array(item, np.uint32)
         self.by_size = []
-        for size, windows in sorted(found.items()):
-            words = np.array(list(windows), np.uint64).reshape(-1, size)
-            hashes = (words * _P[:size]).sum(axis=1, dtype=np.uint64)
-            order = np.argsort(hashes, kind="stable")
-            names = list(windows.values())
-            self.by_size.append((size, hashes[order], words[order], [names[i] for i in order]))
-
-    def find(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+        for size in sorted(set(sizes)):
+            mine = [(b, w) for b, w, s in zip(begins, own, sizes, strict=True) if s == size]
+            places = np.concatenate([np.arange(b, b + len(w) - size + 1, dtype=np.uint32) for b, w in mine])
+            self.by_size.append(_OfSize(size, np.concatenate([_sums(w, size) for _, w in mine]), places))
+
+    def find(self, words: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, set[str]]:
         """Which words are in an occurrence of a window, and the items whose windows occur."""
         n = len(words)
         hit, items = np.zeros(n, bool), set()
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for w in words), np.uint64, n)
-        unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-        for size, hashes, exact, names in self.by_size:
+        w = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
+        for known in self.by_size:
+            size = known.size
             if n < size:
                 continue
-            at = np.flatnonzero(unknown[size:] == unknown[: n - size + 1])
-            if not len(at):
-                continue
-            mine = ids[at[:, None] + np.arange(size)]
-            h = (mine * _P[:size]).sum(axis=1, dtype=np.uint64)
-            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            sums = _sums(w, size)
+            at = known.maybe(sums)
+            lo, hi = np.searchsorted(known.hashes, sums[at], "left"), np.searchsorted(known.hashes, sums[at], "right")
             for i in np.flatnonzero(lo < hi):
-                for j in range(lo[i], hi[i]):
-                    if (exact[j] == mine[i]).all():
-                        hit[at[i] : at[i] + size] = True
-                        items |= names[j]
-        return hit, items
+                places = known.places[lo[i] : hi[i]].astype(np.int64)
+                same = (self.words[places[:, None] + np.arange(size)] == w[at[i] : at[i] + size]).all(axis=1)
+                if same.any():
+                    hit[at[i] : at[i] + size] = True
+                    items.update(self.item[np.searchsorted(self.begins, places[same], "right") - 1].tolist())
+        return hit, {self.names[i] for i in items}
 
 
 def _emit(batch: pa.RecordBatch, rows: list[tuple[int, np.ndarray, list[str]]]) -> pa.RecordBatch:
@@ -94,8 +129,15 @@ def _broadcast_windows(benchmark: DataFrame, item: str, text: str):
     return benchmark.sparkSession.sparkContext.broadcast(Windows(sorted(((r["i"], r["t"]) for r in rows), key=str)))
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([len(words_of(t.as_py())) for t in batch.column(0)], pa.int64())], ["n"])
+
+
 def fits(benchmark: DataFrame, text: str, most_bytes: int) -> bool:
-    return (benchmark.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0) <= most_bytes
+    """Whether the table of windows is of at most ``most_bytes``."""
+    words = benchmark.select(text).mapInArrow(_count, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+    return words * BYTES_A_WORD <= most_bytes
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -103,7 +145,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
     Null and empty texts have no words; items without words have no windows;
     items that repeat an id are one item; a null item id reads as ''.  Keys may
-    be null and rows may repeat.  Other columns are not read.  Without items,
+    be null and rows may repeat, each is judged by its own text.  Very long
+    texts are gone over whole.  Other columns are not read.  Without items,
     nothing is hit; an empty table gives no rows.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text"))
@@ -112,11 +155,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     windows = _broadcast_windows(benchmark, item, text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             rows = []
             for t in batch.column(1):
                 words = words_of(t.as_py())
-                hit, items = windows.value.find(words)
+                hit, items = windows.value.find(words, hashes)
                 rows.append((len(words), hit, sorted(items)))
             yield _emit(batch, rows)
 
@@ -129,8 +173,13 @@ def _windows_of(words: list[bytes], sizes: list[int]) -> Iterator[tuple[int, int
             yield i, size, xxhash.xxh3_128_digest(b" ".join(words[i : i + size]))
 
 
-def _by_join(docs: DataFrame, benchmark: DataFrame, item: str, text: str) -> DataFrame:
-    """The same, for a benchmark of any size: windows meet in a join on their hash."""
+def _text_key(text: str) -> F.Column:
+    """128 bits that stand for a text; null for null."""
+    return F.unhex(F.md5(text))
+
+
+def _joined_hits(docs: DataFrame, benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """(doc_id, t, item, at, size) of the windows of ``docs`` (doc_id, t, _text) that are a benchmark's, whatever its size: windows meet in a join on their hash."""
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,23 +191,29 @@ def _by_join(docs: DataFrame, benchmark: DataFrame, item: str, text: str) -> Dat
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # ten values at most
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("h", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("t", pa.binary()), ("at", pa.int32()), ("size", pa.int32()), ("h", pa.binary())])
         for batch in batches:
             for doc, t, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out = [{"doc_id": doc, "t": t, "at": i, "size": s, "h": h} for i, s, h in _windows_of(words_of(whole), sizes)]
                 yield pa.RecordBatch.from_pylist(out, schema)
 
+    once = docs.where("t IS NOT NULL").dropDuplicates(["doc_id", "t"])
+    return cut(once.mapInArrow(of_docs, "doc_id long, t binary, at int, size int, h binary").join(known, ["size", "h"]).select("doc_id", "t", "item", "at", "size").distinct())
+
+
+def _by_join(docs: DataFrame, benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """What contamination gives, for a benchmark of any size."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = pa.array([len(words_of(t.as_py())) for t in batch.column(2)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], ["doc_id", "t", "n_words"])
 
-    tagged = docs.select("doc_id", F.xxhash64("_text").alias("t"), "_text")
-    thin = cut(tagged.mapInArrow(count, "doc_id long, t long, n_words long"))
-    once = tagged.dropDuplicates(["doc_id", "t"])
-    found = once.mapInArrow(of_docs, "doc_id long, t long, at int, size int, h binary").join(known, ["size", "h"])
-    found = cut(found.select("doc_id", "t", "item", F.sequence("at", F.col("at") + F.col("size") - 1).alias("places")).distinct())
-    hits = found.select("doc_id", "t", F.explode("places").alias("w")).distinct().groupBy("doc_id", "t").agg(F.array_sort(F.collect_list("w")).alias("hit_words"))
+    tagged = docs.select("doc_id", _text_key("_text").alias("t"), "_text")
+    thin = cut(tagged.mapInArrow(count, "doc_id long, t binary, n_words long"))
+    found = _joined_hits(tagged, benchmark, item, text)
+    places = found.select("doc_id", "t", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("w")).distinct()
+    hits = places.groupBy("doc_id", "t").agg(F.array_sort(F.collect_list("w")).alias("hit_words"))
     items = found.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("item")).alias("items"))
     both = hits.alias("x").join(items.alias("y"), F.expr("x.doc_id <=> y.doc_id AND x.t = y.t")).select("x.doc_id", "x.t", "hit_words", "items")
     return (
@@ -170,18 +225,22 @@ def _by_join(docs: DataFrame, benchmark: DataFrame, item: str, text: str) -> Dat
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", most_bytes: int = MOST_BYTES) -> DataFrame:
-    """The rows of ``docs`` without a word in any occurrence of a benchmark window, with all columns."""
+    """The rows of ``docs`` without a word in any occurrence of a benchmark window, with all columns.
+
+    Null and empty texts stay; rows that repeat stay or go alike; very long
+    texts are gone over whole; an empty table gives no rows.
+    """
     if not fits(benchmark, text, most_bytes):
-        tagged = docs.select(F.struct("*").alias("d"), F.xxhash64(text).alias("t"))
-        bad = _by_join(tagged.select(F.col("t").alias("doc_id"), F.col(f"d.`{text}`").alias("_text")), benchmark, item, text)
-        return tagged.join(bad.where("n_hit > 0").select(F.col("doc_id").alias("t")).distinct(), "t", "left_anti").select("d.*")
+        one = docs.select(F.lit(None).cast("long").alias("doc_id"), _text_key(text).alias("t"), F.col(text).alias("_text"))
+        bad = _joined_hits(one, benchmark, item, text).select(F.col("t").alias("_t")).distinct()
+        return docs.alias("d").join(bad.alias("b"), _text_key(f"d.`{text}`") == F.col("b._t"), "left_anti").select("d.*")
     windows = _broadcast_windows(benchmark, item, text)
 
     @F.pandas_udf("boolean")
-    def clean(texts):
-        import pandas as pd
-
-        return pd.Series([not windows.value.find(words_of(t))[0].any() for t in texts], dtype=bool)
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = WordHashes()
+        for texts in batches:
+            yield pd.Series([not windows.value.find(words_of(t), hashes)[0].any() for t in texts], dtype=bool)
 
     return docs.where(clean(text))
 

@@ -5,12 +5,16 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import subprocess
+import sys
+import tempfile
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 import zstandard
+from conftest import ROOT
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark import cloudpickle
@@ -412,10 +416,39 @@ def test_hits_by_broadcast_and_by_join(spark, docs, none, most_bytes):
         assert (r["n_words"], r["n_hit"], r["n_items"], ",".join(r["items"])) == plain_hits(text)
     clean = dec.decontaminate(docs, bench, most_bytes=most_bytes)
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {2, 3, 5, 6, 7, 8}
+    repeated = spark.createDataFrame([(1, "dog"), (1, "x y z"), (1, None), (1, "dog")], "doc_id long, text string")
+    assert Counter((r["n_words"], r["n_hit"]) for r in dec.contamination(repeated, bench, most_bytes=most_bytes).collect()) == {(1, 1): 2, (3, 0): 1, (0, 0): 1}
     assert dec.contamination(none, bench, most_bytes=most_bytes).count() == 0
     assert dec.decontaminate(docs, bench.where("false"), most_bytes=most_bytes).count() == len(DOCS)
 
 
+def test_memory_of_the_windows_at_the_limit():
+    """A worker gets the table by pickle; a process that makes it and one that loads it stay under 300 MB more."""
+    script = """
+import pickle, random, resource, sys
+from pairloom.llm import decontaminate as dec
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+rng = random.Random(1)
+words = [f"w{i:x}" for i in range(60000)]
+before = peak()
+n = dec.MOST_BYTES // dec.BYTES_A_WORD
+if sys.argv[1] == "make":
+    items = ((str(i), " ".join(rng.choices(words, k=120))) for i in range(n // 120))
+    windows = dec.Windows(items)
+    held = len(windows.words) * 8 + sum(x.hashes.nbytes + x.places.nbytes + x.map.nbytes for x in windows.by_size)
+    assert 0.6 * dec.MOST_BYTES < held <= 1.05 * dec.MOST_BYTES, held
+    pickle.dump(windows, open(sys.argv[2], "wb"))
+else:
+    windows = pickle.load(open(sys.argv[2], "rb"))
+    assert not windows.find(dec.words_of("none of these words are there in any of the items of it at all"), dec.WordHashes())[0].any()
+print(peak() - before)
+"""
+    with tempfile.TemporaryDirectory() as folder:
+        for what in ("make", "load"):
+            done = subprocess.run([sys.executable, "-c", script, what, f"{folder}/windows"], capture_output=True, text=True, cwd=ROOT, check=True)
+            assert float(done.stdout.split()[-1]) < 300, (what, done.stdout)
+
+
 # WARC
 
 
