@@ -2,7 +2,8 @@
 
 1. Each text becomes its set of five-word shingles, 128 minima of that set, 32
    band keys of 4 minima each, and the minima's low 4 bits packed in 8 longs.
-   Texts with equal sets are one class from here on, with the smallest doc_id.
+   Texts with equal sets are one class from here on, with a number of its own
+   (rows may repeat a doc_id with another text) and its smallest doc_id.
 2. Classes that share a band key are candidates.  A bucket is never expanded
    into all its pairs.  First its members are compared with its smallest one,
    and what is linked is joined.  Members of buckets that are not one component
@@ -17,8 +18,11 @@
    the threshold (0.2, which is over five standard errors), and its set sizes
    allow the threshold.  What is left is decided on the whole sets.
 
-With similarity 0.75, a pair shares no band with probability (1 - 0.75**4)**32,
-which is 5e-6.
+Two things can miss a link, both by chance of the minima: with similarity 0.75
+a pair shares no band with probability (1 - 0.75**4)**32, which is 5e-6, and
+its estimate (standard error 0.04) is below the threshold less 0.2 with a
+probability below 1e-6.  Pairs that the first step misses may still meet in the
+buckets of the second.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pairloom.llm.components import connected_components
 from pairloom.llm.shared import BROADCAST_ROWS, cut, table
 from pairloom.llm.shingles import MinHasher, WordHashes, shingle_set
 
-SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, sig array<long>, bands array<long>"
+SIGNED = "doc_id long, text_key long, n_shingles long, k1 long, k2 long, sig array<long>, bands array<long>"
 SETS = "id long, n long, shingles array<long>"
 #: Members up to which a bucket is compared pair by pair, and bytes of shingles broadcast at a time for larger ones.
 SMALL, BLOCK_BYTES = 50, 8_000_000
@@ -48,6 +52,12 @@ def _long_lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
 
 
+def _set_key(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    a, b = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
+    return int(a), int(b)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher, hashes, none = MinHasher(), WordHashes(), np.empty(0, np.int64)
     for batch in batches:
@@ -57,7 +67,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(found))
             if len(found):
                 low = hasher.minima(found)
-                keys.append(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64))
+                keys.append(_set_key(found))
                 sigs.append(hasher.packed(low))
                 bands.append(hasher.band_keys(low))
             else:
@@ -66,18 +76,22 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands.append(none)
         k = np.array(keys, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), _long_lists(sigs), _long_lists(bands)],
-            ["doc_id", "n_shingles", "k1", "k2", "sig", "bands"],
+            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), _long_lists(sigs), _long_lists(bands)],
+            ["doc_id", "text_key", "n_shingles", "k1", "k2", "sig", "bands"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of texts; those that are not their class's (of another row with the same doc_id) are left out."""
     hashes = WordHashes()
     for batch in batches:
-        sets = [shingle_set(text.as_py(), hashes) for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _long_lists(sets)], ["id", "n", "shingles"]
-        )
+        ids, sets = [], []
+        for id_, k1, k2, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+            found = shingle_set(text.as_py(), hashes)
+            if len(found) and _set_key(found) == (k1, k2):
+                ids.append(id_)
+                sets.append(found)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _long_lists(sets)], ["id", "n", "shingles"])
 
 
 def _estimate(bits: int = 4, k: int = 128) -> F.Column:
@@ -99,18 +113,18 @@ def _estimate(bits: int = 4, k: int = 128) -> F.Column:
 class _Store:
     """Shingle sets of classes, worked out from the texts when first asked for."""
 
-    def __init__(self, docs: DataFrame) -> None:
-        self.docs, self.parts = docs, []
+    def __init__(self, docs: DataFrame, classes: DataFrame) -> None:
+        self.docs, self.classes, self.parts = docs, classes, []
 
     def of(self, ids: DataFrame) -> DataFrame:
         """The sets of at least ``ids(id)``; ids that fit are broadcast, others are joined by shuffling."""
         for part in self.parts:
             ids = ids.join(part.select("id"), "id", "left_anti")
-        ids = cut(ids)
+        ids = cut(ids.join(self.classes, "id").select("id", "k1", "k2", "lo"))
         n = ids.count()
         if n or not self.parts:
-            keys = F.broadcast(ids) if n <= BROADCAST_ROWS else ids
-            read = self.docs.join(keys, self.docs["doc_id"] == keys["id"], "left_semi")
+            keys = F.broadcast(ids) if n <= BROADCAST_ROWS // 2 else ids
+            read = self.docs.join(keys, self.docs["doc_id"] == keys["lo"]).select("id", "k1", "k2", "_text")
             self.parts.append(cut(read.mapInArrow(_sets, SETS)))
         out = self.parts[0]
         for part in self.parts[1:]:
@@ -201,6 +215,7 @@ def _large_links(live: DataFrame, store: _Store, percent: int) -> list[DataFrame
 
         links = members.mapInArrow(run, "a long, b long, component long")
         found.append(cut(links.groupBy("a", "component").agg(F.min("b").alias("b")).select("a", "b")))
+        known.destroy()
     return found
 
 
@@ -248,30 +263,31 @@ def _verify(pairs: DataFrame, sigs: DataFrame, store: _Store, percent: int) -> D
     return cut(linked.select("a", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, text_key: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs``; with ``text_key`` also xxhash64 of its text.
 
     Rows are linked if 100 * intersection >= percent * union of their shingle
     sets; component_id is the smallest key reachable.  Null, empty and blank
     texts have no shingles and are linked with nothing.  Rows that repeat a key
     are judged each by its own text.  A null key is linked with nothing: its
-    component is null, and it is kept.  Other columns are not read; an empty
-    table gives no rows.
+    component is null, and it is kept.  Very long texts have as many shingles as
+    they have.  Other columns are not read; an empty table gives no rows.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    signed = cut(docs.mapInArrow(_sign, SIGNED))
-    classes = cut(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("id")))
+    signed = cut(docs.withColumn("text_key", F.xxhash64("_text")).mapInArrow(_sign, SIGNED))
+    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     nodes = cut(
-        signed.join(classes.select("k1", "k2", F.col("id").alias("doc_id")), ["k1", "k2", "doc_id"])
-        .select(F.col("doc_id").alias("id"), "k1", "k2", F.col("n_shingles").alias("n"), "sig", "bands")
-        .dropDuplicates(["id", "k1", "k2"])
+        signed.join(classes.select("k1", "k2", "id", F.col("lo").alias("doc_id")), ["k1", "k2", "doc_id"])
+        .select("id", F.col("n_shingles").alias("n"), "sig", "bands")
+        .dropDuplicates(["id"])
     )
     members = nodes.select("id", F.explode("bands").alias("bucket"))
     # Aggregates are staged before they are joined back: then the join has its own shuffle, and a bucket with many members is split.
     shared = cut(members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket"))
     members = cut(members.join(shared, "bucket"))
     sigs = nodes.select("id", "n", "sig")
-    store = _Store(docs)
+    store = _Store(docs, classes)
     edges = _verify(_first_pairs(members), sigs, store, percent)
     components = connected_components(edges)
     live = _with_component(_open_members(_with_component(members, components), store, percent), components)
@@ -281,10 +297,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     for links in more:
         edges = edges.union(links)
     components = connected_components(edges)
-    found = signed.join(classes, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("id")).alias("id"))
-    found = found.join(components, "id", "left").withColumn("id", F.coalesce("component", "id"))
-    component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("id")), F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # A component is named after its smallest doc_id.
+    roots = cut(components.join(classes.select("id", "lo"), "id").groupBy("component").agg(F.min("lo").alias("root")))
+    named = cut(classes.join(components.join(roots, "component").select("id", "root"), "id", "left").select("k1", "k2", F.coalesce("root", "lo").alias("root")))
+    found = signed.join(named, ["k1", "k2"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("root")), F.col("doc_id")))
+    columns = ["doc_id", "n_shingles", component.alias("component_id"), *(["text_key"] if text_key else [])]
+    return found.select(*columns).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:

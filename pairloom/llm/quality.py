@@ -146,7 +146,8 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     A row is kept if it passes the base (50 words or more, at most half of them
     in repeated three-word windows) and its posterior probability of being good
     is ``least`` or more.  Null and empty texts have no words and fail the base.
-    Null keys and repeated rows are judged like any others; other columns are
+    Null keys and repeated rows are judged like any others; a probability of
+    just ``least`` is kept; very long texts are counted whole; other columns are
     not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -163,7 +164,8 @@ def quality_filter(docs: DataFrame, text: str = "text", least: float = 0.5) -> D
     """The rows of ``docs`` that ``quality`` keeps, with all their columns.
 
     The texts are gone over twice, once to count votes and once to filter, and
-    never shuffled.
+    never shuffled.  Null, empty and blank texts go; rows that repeat stay or go
+    alike; an empty table gives no rows.
     """
 
     @F.pandas_udf("int")

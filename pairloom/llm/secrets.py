@@ -114,8 +114,9 @@ def findings(docs: DataFrame, ledger: str, key: str = "doc_id", text: str = "tex
     """doc_id, blob and spans of every row of ``docs``, of the present rule versions.
 
     Null counts as the empty text.  Rows that repeat, or share a text, each get
-    its spans; keys may be null; other columns are not read; an empty table
-    gives no rows.
+    its spans; spans with the same start are in the order of RULES; very long
+    texts are scanned whole; keys may be null; other columns are not read; an
+    empty table gives no rows.
     """
     update_ledger(docs, ledger, text)
     spans = cut(known_spans(docs.sparkSession, ledger))  # staged, so that the join can split a blob that many rows share

@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -289,14 +289,27 @@ class Chunks(dict):
         return len(ids), ",".join(map(str, ids)), model.decode(ids, first=False)
 
 
+#: A model's file, or a function that finds it where it is called, so that workers look in their own file system.
+ModelFile = str | Callable[[], str]
 _models: dict[str, PieceBpe] = {}
 
 
-def model_of(model_file: str) -> PieceBpe:
+def file_of(model_file: ModelFile) -> str:
+    return model_file if isinstance(model_file, str) else model_file()
+
+
+def public_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def model_of(model_file: ModelFile) -> PieceBpe:
     """One model for each worker process."""
-    if model_file not in _models:
-        _models[model_file] = PieceBpe(model_file)
-    return _models[model_file]
+    path = file_of(model_file)
+    if path not in _models:
+        _models[path] = PieceBpe(path)
+    return _models[path]
 
 
 def _sha(text: str) -> str:
@@ -310,11 +323,12 @@ def round_trip(model: PieceBpe, text: str) -> tuple[int, str, str]:
     return sum([f[0] for f in found]), ",".join([f[1] for f in found]), decoded[1:] if found else ""
 
 
-def piece_digests(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def piece_digests(docs: DataFrame, model_file: ModelFile, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Number of ids, and digests of the ids and of the decoded text, of every whole text.
 
     Null counts as empty: no ids, empty digests.  Keys may be null and rows may
-    repeat; other columns are not read; an empty table gives no rows.
+    repeat; very long texts are encoded whole, chunk by chunk; other columns are
+    not read; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,24 +343,24 @@ def piece_digests(docs: DataFrame, model_file: str, key: str = "doc_id", text: s
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, SCHEMA)
 
 
-def encode_column(docs: DataFrame, model_file: str, text: str = "text", into: str = "token_ids") -> DataFrame:
-    """``docs`` with the ids of each text in a further column ``into`` (replaced if it is there); null gives none."""
+def encode_column(docs: DataFrame, model_file: ModelFile, text: str = "text", into: str = "token_ids") -> DataFrame:
+    """``docs`` with the ids of each text in a further column ``into`` (replaced if it is there); null and empty texts give none."""
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = PieceBpe(model_file, most_chunks=60_000)  # one a task: the worker may go on with other stages
+        model = PieceBpe(file_of(model_file), most_chunks=60_000)  # one a task: the worker may go on with other stages
         for texts in batches:
             yield pd.Series([np.fromstring(round_trip(model, t)[1], np.int32, sep=",") if t else np.empty(0, np.int32) for t in texts])
 
     return docs.withColumn(into, ids(text))
 
 
-def decode_column(docs: DataFrame, model_file: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
+def decode_column(docs: DataFrame, model_file: ModelFile, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
     """``docs`` with the text of the ids in a further column ``into``; null gives the empty text."""
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = Decoder(model_file)
+        model = Decoder(file_of(model_file))
         for rows in batches:
             yield pd.Series([model.decode(r.tolist()) if r is not None else "" for r in rows], dtype=object)
 
@@ -355,6 +369,4 @@ def decode_column(docs: DataFrame, model_file: str, ids: str = "token_ids", into
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Ids and decoded texts of all documents."""
-    import public_tokenizers
-
-    return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_digests(table(spark, sf_dir, "documents"), public_model)

@@ -2,33 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from pairloom.plans.storage import shared_folder
+
+__all__ = ["BROADCAST_ROWS", "cut", "shared_folder", "table", "text_batches"]
+
 #: Rows above which a driver-built or broadcast table is not broadcast (16 bytes a row: 16 MB).
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see, where lineage is cut and tables are staged.
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send Python workers at most ``rows`` rows at a time: a batch of texts is held several times over, in the JVM and in Python.
 
-    It is the one named by ``spark.checkpoint.dir``.  Only a local master, where
-    driver and executors are one process, may fall back to a temporary folder.
+    Bytes of a batch are bounded by spark.sql.execution.arrow.maxBytesPerBatch
+    (64 MB).  The setting stays with the session, as plans run after the call.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="pairloom-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send Python workers at most ``rows`` rows at a time: a batch of texts is held several times over, in the JVM and in Python."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)

@@ -76,20 +76,29 @@ def attribute(begins: np.ndarray, ends: np.ndarray, starts: np.ndarray, length:
     return np.bincount(home, minlength=len(starts)), np.bincount(home[crossing], minlength=len(starts))
 
 
-def section_tokens(docs: DataFrame, ranks_file: str, pattern: str, rule: str = "first", sections: Callable[[str], np.ndarray] = line_sections, key: str = "doc_id", text: str = "text") -> DataFrame:
+def public_ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def section_tokens(docs: DataFrame, ranks_file: str | Callable[[], str], pattern: str, rule: str = "first", sections: Callable[[str], np.ndarray] = line_sections, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each section of each row of ``docs``: its span, its tokens, and those of them that cross a border.
 
     Null and empty texts have one empty section without tokens.  Keys may be
-    null and rows may repeat; other columns are not read; an empty table gives
-    no rows.
+    null and rows may repeat; very long texts are encoded whole; sections that
+    share a token's characters equally are decided between by ``rule``; other
+    columns are not read; an empty table gives no rows.  ``ranks_file`` is a
+    path, or a function that finds it in the worker.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if ranks_file not in _loaded:
-            _loaded[ranks_file] = ByteTokens(ranks_file, pattern)
-        tokens = _loaded[ranks_file]
+        path = ranks_file if isinstance(ranks_file, str) else ranks_file()
+        if path not in _loaded:
+            _loaded[path] = ByteTokens(path, pattern)
+        tokens = _loaded[path]
         for batch in batches:
             keys, parts = batch.column(0).to_pylist(), []
             owners: list[int | None] = []
@@ -113,4 +122,4 @@ def op10_token_counts(spark, sf_dir: str) -> DataFrame:
     """Tokens of every line of all documents; a token belongs to the line in which it begins."""
     import public_tokenizers
 
-    return section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "first")
+    return section_tokens(table(spark, sf_dir, "documents"), public_ranks, public_tokenizers.PATTERN, "first")

@@ -73,8 +73,9 @@ def test_the_whole_pipeline(spark):
 
 def test_stages_take_odd_rows(spark):
     clean = " ".join(f"Word{i}" for i in range(90)) + "."
-    rows = [(1, clean, "en", "a", 1), (1, clean, "en", "a", 1), (2, clean + " more", None, None, None), (None, clean.lower() + " x", "en", "a", 1), (3, None, None, None, None), (4, "", "en", "a", 0), (5, clean.replace("Word", "Other") + " token = abcdefgh", "en", "a", 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"_blob": F.lit(1), "kept": F.lit("x"), "_spans": F.lit(2)})
+    rows = [(1, clean, "en", "a", 1), (1, clean, "en", "a", 1), (2, clean + " more", None, None, None), (None, clean.lower() + " x", "en", "a", 1), (3, None, None, None, None), (4, "", "en", "a", 0), (5, clean.replace("Word", "Other") + " token = abcdefgh", "en", "a", 3),
+            (2, " ".join(f"long{i}" for i in range(60_000)), "en", "a", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"_blob": F.lit(1), "kept": F.lit("x"), "_spans": F.lit(2), "decoded": F.lit("own"), "text_key": F.lit(3)})
     for name, stage in corpus_pipeline.STAGES:
         before = docs.columns
         docs = stage(spark, docs, str(DATA))
@@ -82,5 +83,5 @@ def test_stages_take_odd_rows(spark):
         assert stage(spark, docs.where("false"), str(DATA)).count() == 0
         docs = docs.checkpoint()
     found = docs.collect()
-    assert sorted((r["doc_id"] or 0) for r in found) == [0, 1, 1, 5]
+    assert sorted((r["doc_id"] or 0) for r in found) == [0, 1, 1, 2, 5] and {r["decoded"] for r in found} == {"own"}
     assert next(r["text"] for r in found if r["doc_id"] == 5).endswith("[assign]") and all(r["decodes"] for r in found)

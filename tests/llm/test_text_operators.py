@@ -139,6 +139,14 @@ def test_near_duplicates_of_odd_rows(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_rows_that_repeat_a_key_with_another_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    copy = " ".join([*words[:-1], "x"])
+    rows = [(3, " ".join(words)), (7, "a text of its own that is like no other one here at all"), (7, copy), (7, copy), (9, copy + " y"), (2, "p q r s t u v w"), (9, "p q r s t u v w"), (9, None)]
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(3, 56, 3, True): 1, (7, 10, 7, True): 1, (7, 56, 3, False): 2, (9, 57, 3, False): 1, (2, 4, 2, True): 1, (9, 4, 2, False): 1, (9, 0, 9, True): 1})
+
+
 def test_estimate_is_close(spark):
     hasher, hashes = minhash.MinHasher(), WordHashes()
     rng = random.Random(1)
