@@ -11,12 +11,12 @@ from pairloom.llm.decontaminate import decontaminate
 from pairloom.llm.minhash import near_duplicates
 from pairloom.llm.quality import quality_filter
 from pairloom.llm.secrets import new_ledger, redact
-from pairloom.llm.sentencepiece_bpe import decode_column, encode_column
+from pairloom.llm.sentencepiece_bpe import decode_column, encode_column, public_model
 from pairloom.llm.shared import BROADCAST_ROWS, cut, shared_folder, table, text_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base or are more likely bad than good go."""
+    """Documents that fail the base or are more likely bad than good go; so do those without a text."""
     text_batches(spark)
     return quality_filter(docs)
 
@@ -25,23 +25,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the smallest doc_id stays.
 
     Texts without words are linked with nothing and stay, as do documents
-    without a doc_id.  Rows that repeat a kept doc_id all stay.
+    without a doc_id.  Rows that repeat a kept doc_id all stay if their texts
+    are linked; with other texts each is judged by its own.
     """
     text_batches(spark)
-    gone = cut(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
+    gone = cut(near_duplicates(docs, text_key=True).where(~F.col("kept")).select("doc_id", "text_key").distinct())
     # Few ids are broadcast, and texts stay where they are; many are joined by shuffling both sides.
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(side, "doc_id", "left_anti").select(*docs.columns)
+    side = (F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone).alias("g")
+    same = (F.col("d.doc_id") == F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.text_key"))
+    return docs.alias("d").join(side, same, "left_anti").select("d.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a benchmark item go."""
+    """Documents with a passage of a benchmark item go; those without a text stay."""
     text_batches(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts, and n_chars follows."""
+    """Secrets are replaced in the texts, and n_chars follows; a null text stays null."""
     text_batches(spark)
     found = redact(docs, new_ledger(spark))
     if "n_chars" not in found.columns:
@@ -50,15 +52,17 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with the ids of its text, and whether they decode to the text again."""
-    import public_tokenizers
+    """Each document with token_ids, the ids of its text, their number n_tokens, and decodes, whether they give the text again.
 
+    Null counts as the empty text.  Columns of ``docs`` with these three names
+    are replaced; all others stay.
+    """
     text_batches(spark)
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = decode_column(encode_column(docs, model), model)
+    decoded = f"decoded_{uuid.uuid4().hex}"
+    encoded = decode_column(encode_column(docs, public_model), public_model, into=decoded)
     # The space mark itself reads as a space after decoding.
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
-    return encoded.withColumns({"n_tokens": F.size("token_ids").cast("long"), "decodes": same}).drop("decoded")
+    same = F.col(decoded) == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
+    return encoded.withColumns({"n_tokens": F.size("token_ids").cast("long"), "decodes": same}).drop(decoded)
 
 
 STAGES = [
@@ -74,10 +78,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; each stage's result is written to the shared folder and read again."""
+    """All stages over the table documents; each stage's result is written to the shared folder and read again.
+
+    A stage's folder is given back when the next stage's is written.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{folder}/{name}"
     return docs
