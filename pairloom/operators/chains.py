@@ -16,6 +16,7 @@ recipient, K-sets with weight the product of alpha / (1 - alpha).
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -273,21 +274,31 @@ def start_matching(pdf: pd.DataFrame, kind: str, k: int, key: tuple, distance: s
     return state
 
 
+def trace_of(state: Matching, step: Step, n_steps: int, thin: int = 1) -> pd.DataFrame:
+    """The trace of one chain, with the seconds that its steps alone and all together have taken."""
+    rows, count, spent, began = [], 0, 0.0, time.perf_counter()
+    for t in range(n_steps + 1):
+        before = time.perf_counter()
+        accepted, name = step(state, t) if t else (0, "start")
+        spent += time.perf_counter() - before
+        count += accepted
+        if t % thin == 0 or t == n_steps:
+            size = state.cols.size
+            kept = (size - state.retained, state.retained / size, spent, time.perf_counter() - began)
+            rows.append((t, accepted, name, count, state.tau, state.distance, state.balance, *kept))
+    names = ["proposal", "accepted", "move_type", "accepted_count", "tau", "d_total", "balance_l2", "hamming", "fraction_retained", "sampler_seconds", "wall_seconds"]
+    return pd.DataFrame(rows, columns=names)
+
+
 def run_chains(units: DataFrame, step: Step, n_steps: int, k: int = 1, starts: tuple[str, ...] = ("greedy",), thin: int = 1) -> DataFrame:
     """A trace row for steps 0, every ``thin``-th and the last of each sim and chain; chain i has the i-th start."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sim, chain = int(key[0]), int(key[1])
         kind = starts[chain - 1]
-        state = start_matching(pdf, kind, k, (sim, chain))
-        rows, count = [], 0
-        for t in range(n_steps + 1):
-            accepted, name = step(state, t) if t else (0, "start")
-            count += accepted
-            if t % thin == 0 or t == n_steps:
-                size = state.cols.size
-                rows.append((sim, chain, kind, t, accepted, name, count, state.tau, state.distance, state.balance, size - state.retained, state.retained / size))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in TRACE.split(", ")])
+        rows = trace_of(start_matching(pdf, kind, k, (sim, chain)), step, n_steps, thin)
+        names = [c.split()[0] for c in TRACE.split(", ")]
+        return rows.assign(sim=sim, chain=chain, start=kind)[names]
 
     chains = units.withColumn("chain", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(len(starts)).cast("long"))))
     return deal(covariates(chains).select("sim", "chain", "g", "p", "x", "y"), "sim", "chain").groupBy("sim", "chain").applyInPandas(run, TRACE)

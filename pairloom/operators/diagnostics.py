@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.functions import finite
+from pairloom.functions import finite, ratio
 
 
 def running_mean(trace: DataFrame, *chain: str) -> DataFrame:
@@ -61,19 +61,60 @@ def ess(trace: DataFrame, max_lag: int, *chain: str) -> DataFrame:
     return rows.select(*chain, "n", "iact", size.alias("ess"), (F.col("sd") / F.sqrt(size)).alias("mcse"), "mean", "sd")
 
 
-def split_rhat(trace: DataFrame, group: str, chain: str) -> DataFrame:
+def split_rhat(trace: DataFrame, group: str | list[str], chain: str) -> DataFrame:
     """Split R-hat of the chains of each group; null for under two chains of four values, or without spread.
 
-    Chains are cut to the even length of the shortest and halved.
+    Chains are cut to the even length of the shortest and halved.  Lengths are
+    counted by chain first, so values are only ever ordered within their chain.
     """
-    sizes = Window.partitionBy(group, chain)
-    rows = trace.withColumn("_n", F.count("*").over(sizes)).where((F.col("_n") >= 4) & finite(F.col("v")))
-    rows = rows.withColumn("_i", F.row_number().over(sizes.orderBy("i"))).withColumn("_m", F.count("*").over(sizes))
-    half = F.floor(F.min("_m").over(Window.partitionBy(group)) / 2)
-    rows = rows.withColumn("_h", half).where(F.col("_i") <= 2 * F.col("_h"))
-    halves = rows.groupBy(group, chain, F.when(F.col("_i") <= F.col("_h"), 0).otherwise(1).alias("half")).agg(
+    by = [group] if isinstance(group, str) else list(group)
+    sizes = trace.groupBy(*by, chain).agg(F.count("*").alias("_n"), F.count_if(finite(F.col("v"))).alias("_m")).where("_n >= 4 AND _m > 0")
+    half = sizes.groupBy(*by).agg(F.floor(F.min("_m") / 2).alias("_h"))
+    kept = trace.where(finite(F.col("v"))).join(sizes.select(*by, chain).join(half, by), [*by, chain])
+    place = F.row_number().over(Window.partitionBy(*by, chain).orderBy("i"))
+    rows = kept.withColumn("_i", place).where(F.col("_i") <= 2 * F.col("_h"))
+    halves = rows.groupBy(*by, chain, F.when(F.col("_i") <= F.col("_h"), 0).otherwise(1).alias("half")).agg(
         F.avg("v").alias("mu"), F.var_samp("v").alias("s2"), F.first("_h").cast("double").alias("h")
     )
     w, b, h = F.avg("s2"), F.first("h") * F.var_samp("mu"), F.first("h")
     value = F.sqrt(((h - 1) / h * w + b / h) / w)
-    return halves.groupBy(group).agg((F.count("*") / 2).cast("long").alias("n_chains"), F.when((w > 0) & (h >= 2) & (F.count("*") >= 4), value).alias("rhat"))
+    return halves.groupBy(*by).agg((F.count("*") / 2).cast("long").alias("n_chains"), F.when((w > 0) & (h >= 2) & (F.count("*") >= 4), value).alias("rhat"))
+
+
+#: What is monitored of a chain.
+VARIABLES = ("tau", "d_total", "log_target", "balance_l2")
+
+
+def trace_summary(trace: DataFrame, keys: list[str], variables: tuple[str, ...] = VARIABLES, max_lag: int = 200) -> DataFrame:
+    """A row for each setting (``keys``) and variable: R-hat, and means over its chains.
+
+    ``trace`` has the keys, chain, i, the variables and, for effective sizes a
+    second of sampling, sampler_seconds.
+    """
+    long = trace.unpivot([*keys, "chain", "i"], list(variables), "variable", "v")
+    sizes = ess(long, max_lag, *keys, "variable", "chain")
+    more = []
+    if "sampler_seconds" in trace.columns:
+        spent = trace.groupBy(*keys, "chain").agg(F.max("sampler_seconds").alias("_s"))
+        sizes = sizes.join(spent, [*keys, "chain"])
+        more = [F.avg(F.when(F.col("_s") > 0, F.col("ess") / F.col("_s"))).alias("mean_ess_per_sampler_sec")]
+    means = sizes.groupBy(*keys, "variable").agg(
+        F.avg("ess").alias("mean_ess"), F.min("ess").alias("min_ess"), F.avg("iact").alias("mean_iact"), F.avg("mcse").alias("mean_mcse"),
+        F.avg("mean").alias("mean_value"), F.avg("sd").alias("mean_chain_sd"), *more,
+    )
+    return means.join(split_rhat(long, [*keys, "variable"], "chain").withColumnRenamed("rhat", "rhat_split"), [*keys, "variable"], "left")
+
+
+def chain_summary(trace: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each setting and chain: rows and proposals, rates, times and the last values; times a unit are null for none."""
+    last = F.max_by(F.struct("start", "sweep", "running_acceptance", *VARIABLES, "fraction_retained"), "proposal")
+    rows = trace.groupBy(*keys, "chain").agg(
+        last.alias("_last"), F.count("*").alias("n_saved"), F.max("proposal").alias("n_proposals"),
+        F.max("sampler_seconds").alias("sampler_seconds"), F.max("wall_seconds").alias("wall_seconds"),
+    )
+    at = lambda name: F.col(f"_last.{name}")
+    return rows.select(
+        *keys, "chain", at("start"), "n_saved", "n_proposals", at("sweep").alias("final_sweep"), "sampler_seconds", "wall_seconds",
+        at("running_acceptance").alias("acceptance_rate"), ratio(F.col("sampler_seconds"), F.col("n_proposals")).alias("time_per_proposal"),
+        ratio(F.col("sampler_seconds"), at("sweep")).alias("time_per_sweep"), *[at(v).alias(f"final_{v}") for v in (*VARIABLES, "fraction_retained")],
+    )

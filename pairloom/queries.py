@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +16,8 @@ from pairloom.operators import diagnostics as D
 from pairloom.operators import estimators as E
 from pairloom.operators import matching as M
 from pairloom.operators import summaries as S
+from pairloom.operators.paths import BETAS
+from pairloom.operators.paths import beta_path as beta_path_of
 from pairloom.plans.storage import shared_folder
 from pairloom.plans.tables import DRAWS, INDEXED, KERNEL, KNN, PAIRS, UNITS, indexed, table, uniform_sql, units
 from pairloom.sources import draw_outcomes, next_names, read_results, write_results
@@ -638,6 +641,31 @@ def diag_block(spark, d):
     return _diagnostic(spark, d, lambda s, t: C.block_mh(s, t, 1.0, 2) if len(s.free) >= 2 else (0, "block_pool_none"))
 
 
+_SUMMED = """long AS (SELECT sim, chain, t AS i, name AS variable, v FROM (SELECT sim, chain, t, tau, dist AS d_total, -dist AS log_target, bal AS balance_l2 FROM values_) UNPIVOT (v FOR name IN (tau, d_total, log_target, balance_l2))),
+cent AS (SELECT *, v - avg(v) OVER w AS x, count(*) OVER w AS n, row_number() OVER (PARTITION BY sim, variable, chain ORDER BY i) AS p FROM long WINDOW w AS (PARTITION BY sim, variable, chain)),
+lags AS (SELECT a.sim, a.variable, a.chain, b.p - a.p AS lag, any_value(a.n) AS n, sum(a.x * b.x) AS s FROM cent a JOIN cent b ON a.sim = b.sim AND a.variable = b.variable AND a.chain = b.chain AND b.p - a.p BETWEEN 0 AND 20 GROUP BY 1, 2, 3, 4),
+acf AS (SELECT *, s / first_value(s) OVER (PARTITION BY sim, variable, chain ORDER BY lag) AS rho FROM lags),
+stop AS (SELECT sim, variable, chain, min(lag) FILTER (lag > 0 AND rho <= 0) AS fs FROM acf GROUP BY ALL),
+times AS (SELECT sim, variable, chain, any_value(n) AS n, greatest(1.0, 1 + 2 * coalesce(sum(rho) FILTER (lag > 0 AND (fs IS NULL OR lag < fs)), 0)) AS iact FROM acf JOIN stop USING (sim, variable, chain) GROUP BY ALL),
+ess AS (SELECT sim, variable, chain, n / iact AS ess, iact, sd / sqrt(n / iact) AS mcse, mean, sd FROM times JOIN (SELECT sim, variable, chain, stddev_samp(v) AS sd, avg(v) AS mean FROM long GROUP BY ALL) USING (sim, variable, chain)),
+halves AS (SELECT sim, variable, chain, CASE WHEN p <= h THEN 0 ELSE 1 END AS half, avg(v) AS mu, var_samp(v) AS s2, any_value(h)::DOUBLE AS h FROM (SELECT *, floor(n / 2) AS h FROM cent) WHERE p <= 2 * h GROUP BY 1, 2, 3, 4),
+rhat AS (SELECT sim, variable, (count(*) // 2)::BIGINT AS n_chains, sqrt(((any_value(h) - 1) / any_value(h) * avg(s2) + var_samp(mu)) / avg(s2)) AS rhat FROM halves GROUP BY 1, 2)
+SELECT sim, variable, n_chains, round(rhat, 6) AS rhat_split, round(avg(ess), 6) AS mean_ess, round(min(ess), 6) AS min_ess, round(avg(iact), 6) AS mean_iact, round(avg(mcse), 6) AS mean_mcse,
+  round(avg(mean), 6) AS mean_value, round(avg(sd), 6) AS mean_chain_sd FROM ess JOIN rhat USING (sim, variable) GROUP BY sim, variable, n_chains, rhat"""
+
+
+@query(f"""WITH RECURSIVE {_STARTS},
+chain AS (SELECT sim, chain, 0::BIGINT AS t, mt, un, 0::BIGINT AS ok, 0::BIGINT AS total, 'start' AS move_type FROM start UNION ALL {_MH_STEP}),
+values_ AS (SELECT c.sim, c.chain, c.t, list_sum(list_transform(c.mt, lambda v, i: dm[(i - 1) % n + 1][v])) AS dist, rbar - list_avg(list_transform(c.mt, lambda v: dyl[v])) AS tau,
+  sqrt((r1 - list_avg(list_transform(c.mt, lambda v: d1l[v]))) ** 2 + (r2 - list_avg(list_transform(c.mt, lambda v: d2l[v]))) ** 2) AS bal FROM chain c JOIN start s USING (sim, chain)), {_SUMMED}""")
+def diag_summary(spark, d):
+    """Convergence of four chains of each replication from different starts, for each monitored variable."""
+    trace = C.run_chains(_ix(spark, d), lambda s, t: C.local_mh(s, t, 1.0, 0.5), N_STEPS, k=2, starts=C.STARTS)
+    trace = trace.withColumns({"log_target": -1.0 * F.col("d_total"), "i": F.col("proposal")})
+    found = D.trace_summary(trace, ["sim"], max_lag=MAX_LAG)
+    return found.select("sim", "variable", "n_chains", *map(r6, ("rhat_split", "mean_ess", "min_ess", "mean_iact", "mean_mcse", "mean_value", "mean_chain_sd")))
+
+
 # Traces: users of events are chains
 
 
@@ -660,7 +688,8 @@ SELECT chain, i, n1::BIGINT AS n_type1, round(a::DOUBLE / i, 6) AS rate, CASE WH
 def type_rates(spark, d):
     """Running acceptance, overall and by type; a value over the median stands for an accepted proposal."""
     rows = _trace(spark, d)
-    middle = rows.agg(F.median("v").alias("mid"))
+    # Values are counted before they are put in order, so what one task sorts is the different values.
+    middle = rows.groupBy("v").agg(F.count("*").alias("n")).agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("mid"))
     own = Window.partitionBy("chain").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     one, ok = (F.col("event_type") == "purchase").cast("int"), (F.col("v") > F.col("mid")).cast("int")
     sums = rows.join(F.broadcast(middle)).select("chain", "i", F.sum(one).over(own).alias("n_type1"), F.sum(one * ok).over(own).alias("a1"), F.sum(ok).over(own).alias("a"))
@@ -790,6 +819,22 @@ def add_ci(spark, d):
 # Comparisons and experiments
 
 
+def _normal_sql(*key: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {uniform_sql(*key, 'r')})) * cos(2 * pi() * {uniform_sql(*key, 'a')}))"
+
+
+_GEN = f"""gen AS (SELECT c_nationkey::BIGINT AS sim, c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS g,
+  {', '.join(_normal_sql('7', f'x{i}', '(c_nationkey)', '(c_custkey)') + f" + CASE WHEN c_mktsegment = 'BUILDING' THEN 0.1 ELSE 0 END AS x{i + 1}" for i in range(4))},
+  {_normal_sql('7', 'e', '(c_nationkey)', '(c_custkey)')} AS e FROM customer)"""
+
+
+def _generated(spark: SparkSession, d: str, model: str) -> DataFrame:
+    """A replication for each nation: its customers are units of a drawn data set."""
+    g = F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(0)
+    keys = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("sim"), F.col("c_custkey").cast("long").alias("unit"), g.alias("g"))
+    return draw_outcomes(keys, 0.1, 1.0, model, seed=7)
+
+
 @query(f"""WITH {_TRACE}, p AS (SELECT chain, i % 20 AS k, first(v ORDER BY i) FILTER (event_type = 'view') AS a, first(v ORDER BY i) FILTER (event_type = 'click') AS b FROM trace GROUP BY 1, 2),
 m AS (SELECT k, avg(a - b) AS mean_diff FROM p WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY k)
 SELECT p.chain, p.k, round(a, 6) AS a, round(b, 6) AS b, round(a - b, 6) AS diff, round(mean_diff, 6) AS mean_diff FROM p LEFT JOIN m USING (k) WHERE a IS NOT NULL AND b IS NOT NULL""")
@@ -801,8 +846,6 @@ def sampler_pivot_diff(spark, d):
     return wide.join(means, "k", "left").select("chain", "k", r6("a"), r6("b"), r6(F.col("a") - F.col("b"), "diff"), r6("mean_diff"))
 
 
-#: Penalties of the regularisation path.
-BETAS = (0.0, 0.5, 1.0, 2.0, 5.0, 20.0, 200.0)
 _PATH = f"""WITH {PAIRS}, betas AS (SELECT unnest([{', '.join(f'{b}::DOUBLE' for b in BETAS)}]) AS beta),
 l AS (SELECT beta, sim, rp, ry, dy, rx1, rx2, dx1, dx2, -beta * ln(dist + min(dist) OVER (PARTITION BY beta, sim, rp)) AS lw FROM pairs, betas),
 x AS (SELECT *, exp(lw - max(lw) OVER (PARTITION BY beta, sim, rp)) AS e FROM l),
@@ -814,12 +857,10 @@ path AS (SELECT s.*, tau_nn, abs(tau - tau_nn) AS to_nn FROM s JOIN nn USING (si
 
 def _path(spark: SparkSession, d: str) -> DataFrame:
     """(beta, sim): posterior mean effect and gap, with the nearest-neighbour effect and the distance to it."""
-    pairs = _pairs(spark, d)
-    grid = M.kernel(pairs.withColumn("beta", F.explode(F.array(*map(F.lit, BETAS)))), F.col("beta"), "beta")
     gap = ((F.col("rx1") - F.col("dx1")) + (F.col("rx2") - F.col("dx2"))) / 2
-    own = grid.groupBy("beta", "sim", "rp").agg((F.first("ry") - F.sum(F.col("alpha") * F.col("dy"))).alias("tau"), F.sum(F.col("alpha") * gap).alias("gap"))
-    sims = own.groupBy("beta", "sim").agg(F.avg("tau").alias("tau"), F.abs(F.avg("tau")).alias("abs_bias"), F.avg("gap").alias("x_gap"))
-    near = pairs.groupBy("sim", "rp").agg((F.first("ry") - F.min_by("dy", F.struct("dist", "dp"))).alias("t")).groupBy("sim").agg(F.avg("t").alias("tau_nn"))
+    rows = beta_path_of(_pairs(spark, d), (*BETAS, math.inf), x_gap=gap)
+    near = rows.where(F.col("beta") == math.inf).select("sim", F.col("tau").alias("tau_nn"))
+    sims = rows.where(F.col("beta") < math.inf).withColumn("abs_bias", F.abs("tau"))
     return sims.join(near, "sim").withColumn("to_nn", F.abs(F.col("tau") - F.col("tau_nn")))
 
 
@@ -836,6 +877,34 @@ def best_beta(spark, d):
     return _path(spark, d).groupBy("sim").agg(F.min_by("beta", F.struct("abs_bias", "beta")).alias("best_beta"), r6(F.min("abs_bias"), "abs_bias"))
 
 
+_DRAWN_PATH = """x AS (SELECT beta, sim, rp, t, exp(lw - max(lw) OVER (PARTITION BY beta, sim, rp)) AS e, dy, xg, gg FROM l),
+r AS (SELECT beta, sim, rp, any_value(t) - sum(e * dy) / sum(e) AS tau, sum(e * xg) / sum(e) AS x_gap, sum(e * gg) / sum(e) AS g0_gap FROM x GROUP BY 1, 2, 3),
+s AS (SELECT beta, sim, avg(tau) AS tau, avg(x_gap) AS x_gap, avg(g0_gap) AS g0_gap FROM r GROUP BY 1, 2),
+nn AS (SELECT 'inf'::DOUBLE AS beta, sim, avg(t) AS tau, avg(xg) AS x_gap, avg(gg) AS g0_gap FROM (SELECT sim, rp, any_value(t) - arg_min(dy, (dist, dp)) AS t, arg_min(xg, (dist, dp)) AS xg, arg_min(gg, (dist, dp)) AS gg FROM pairs GROUP BY 1, 2) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_GEN}, m AS (SELECT *, g0 + g + e AS y FROM (SELECT *, 18 + exp(0.1 * x1 + 0.2 * x2 + 0.2 * x3 + 0.1 * x4) / 10 AS g0 FROM gen)),
+fit AS (SELECT sim FROM m GROUP BY sim HAVING count(*) FILTER (g = 1) >= 2 AND count(*) FILTER (g = 0) >= 2 * count(*) FILTER (g = 1)),
+pairs AS (SELECT r.sim, r.c_custkey AS rp, d.c_custkey AS dp, r.y AS t, d.y AS dy, ((r.x1 - d.x1) + (r.x2 - d.x2) + (r.x3 - d.x3) + (r.x4 - d.x4)) / 4 AS xg, r.g0 - d.g0 AS gg,
+  sqrt((r.x1 - d.x1) ** 2 + (r.x2 - d.x2) ** 2 + (r.x3 - d.x3) ** 2 + (r.x4 - d.x4) ** 2) AS dist FROM m r JOIN m d ON r.sim = d.sim AND r.g = 1 AND d.g = 0 JOIN fit ON fit.sim = r.sim),
+l AS (SELECT beta, pairs.*, -beta * ln(dist + min(dist) OVER (PARTITION BY beta, sim, rp)) AS lw FROM pairs, (SELECT unnest([{', '.join(f'{b}::DOUBLE' for b in BETAS)}]) AS beta)), {_DRAWN_PATH},
+path AS (SELECT a.*, abs(a.tau - 1) AS abs_bias, abs(a.tau - nn.tau) AS to_nn FROM (SELECT * FROM s UNION ALL SELECT beta, sim, tau, x_gap, g0_gap FROM nn) a JOIN nn ON nn.sim = a.sim)
+SELECT CASE WHEN isinf(beta) THEN 'inf' WHEN beta = floor(beta) THEN beta::BIGINT::VARCHAR ELSE beta::VARCHAR END AS beta, count(*) AS n_reps,
+  {', '.join(f"round(avg({c}), 6) AS mean_{c}, round(coalesce(stddev_samp({c}), 0) / sqrt(count(*)), 6) AS se_{c}" for c in ("tau", "abs_bias", "g0_gap", "x_gap", "to_nn"))} FROM path GROUP BY beta""")
+def beta_path_drawn(spark, d):
+    """The path over drawn outcomes, where the effect is 1 and a donor's mean outcome is known; inf is the nearest donor."""
+    place = F.row_number().over(Window.partitionBy("sim", "g").orderBy("unit")).cast("long")
+    sized = M.sized(_generated(spark, d, "nonlinear")).where("n_r >= 2 AND n_d >= 2 * n_r").withColumn("p", place)
+    # g0 goes along as a covariate that the distance leaves out.
+    pairs = M.pair_units(sized.withColumn("x", F.concat("x", F.array("g0"))), dims=4)
+    x_gap = sum((F.col("rx")[i] - F.col("dx")[i] for i in range(4)), F.lit(0.0)) / 4
+    rows = beta_path_of(pairs, (*BETAS, math.inf), x_gap=x_gap, g0_gap=F.col("rx")[4] - F.col("dx")[4])
+    near = rows.where(F.col("beta") == math.inf).select("sim", F.col("tau").alias("tau_nn"))
+    rows = rows.join(near, "sim").withColumns({"abs_bias": F.abs(F.col("tau") - 1), "to_nn": F.abs(F.col("tau") - F.col("tau_nn"))})
+    found = S.path_summary(rows, "beta", ["tau", "abs_bias", "g0_gap", "x_gap", "to_nn"])
+    return found.select(float_label(F.col("beta")).alias("beta"), "n_reps", *[r6(c) for c in found.columns if c not in ("beta", "n_reps")])
+
+
 @query(f"""{_PATH}, n AS (SELECT sim, count(*) // 20 * 20 AS size FROM ix GROUP BY sim)
 SELECT beta, size, count(*) AS n_reps, round(avg(tau), 6) AS mean_tau, round(avg(tau) - 0.1, 6) AS bias, round(abs(avg(tau) - 0.1), 6) AS abs_bias, round(coalesce(stddev_samp(tau), 0), 6) AS sd_tau,
   round(coalesce(stddev_samp(tau), 0) / sqrt(count(*)), 6) AS mc_se_bias, round(avg(x_gap), 6) AS mean_x_gap FROM path JOIN n USING (sim) GROUP BY beta, size""")
@@ -916,22 +985,6 @@ def list_parse(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("key"), F.array_join(items(F.replace("p_name", F.lit(" "), F.lit(" ,"))), "|").alias("items"))
 
 
-def _normal_sql(*key: str) -> str:
-    return f"(sqrt(-2 * ln(1 - {uniform_sql(*key, 'r')})) * cos(2 * pi() * {uniform_sql(*key, 'a')}))"
-
-
-_GEN = f"""gen AS (SELECT c_nationkey::BIGINT AS sim, c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS g,
-  {', '.join(_normal_sql('7', f'x{i}', '(c_nationkey)', '(c_custkey)') + f" + CASE WHEN c_mktsegment = 'BUILDING' THEN 0.1 ELSE 0 END AS x{i + 1}" for i in range(4))},
-  {_normal_sql('7', 'e', '(c_nationkey)', '(c_custkey)')} AS e FROM customer)"""
-
-
-def _generated(spark: SparkSession, d: str, model: str) -> DataFrame:
-    """A replication for each nation: its customers are units of a drawn data set."""
-    g = F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(0)
-    keys = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("sim"), F.col("c_custkey").cast("long").alias("unit"), g.alias("g"))
-    return draw_outcomes(keys, 0.1, 1.0, model, seed=7)
-
-
 def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("sim", "g").agg(F.count("*").alias("n"), r6(F.avg(F.col("x")[0]), "mean_x1"), r6(F.avg("y"), "mean_y"), r6(F.var_samp("y"), "var_y"), r6(F.avg("g0"), "mean_g0"))
 

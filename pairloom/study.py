@@ -67,9 +67,10 @@ def place_units(units: DataFrame, k: int = 1) -> DataFrame:
     told = (
         F.when(F.col("_odd") > 0, " has groups other than 0 and 1").when(F.col("_bad") > 0, " has values that are not finite").when(few, " has too few recipients or donors")
     )
-    checked = F.when(told.isNotNull(), F.raise_error(F.concat(F.lit("sim "), F.col("sim").cast("string"), told)).cast("long")).otherwise(F.col("n_r"))
+    # The check hangs on the mean, as every outcome needs it.
+    checked = F.when(told.isNotNull(), F.raise_error(F.concat(F.lit("sim "), F.col("sim").cast("string"), told)).cast("double")).otherwise(F.col("_mean"))
     place = F.row_number().over(Window.partitionBy("sim", "g").orderBy("unit")).cast("long")
-    sizes = sizes.withColumn("n_r", checked).select("sim", "n_r", "n_d", "_mean")
+    sizes = sizes.withColumn("_mean", checked).select("sim", "n_r", "n_d", "_mean")
     return units.join(sizes, "sim").withColumns({"p": place, "y": F.col("y") - F.col("_mean")}).drop("_mean")
 
 
