@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -367,6 +368,24 @@ def decode_column(docs: DataFrame, model_file: ModelFile, ids: str = "token_ids"
     return docs.withColumn(into, text(ids))
 
 
+def round_trip_columns(docs: DataFrame, model_file: ModelFile, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with the ids of each text and the text that these ids give, in one pass, so with one worker and one model a core.
+
+    Null and empty texts have no ids and give the empty text; columns of these names are replaced.
+    """
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = PieceBpe(file_of(model_file), most_chunks=30_000, most_pairs=150_000)  # one a task: the worker may go on with other stages
+        for texts in batches:
+            found = [np.fromstring(round_trip(model, t)[1], np.int32, sep=",") if t else np.empty(0, np.int32) for t in texts]
+            yield pd.DataFrame({"ids": found, "decoded": [model.decode(i.tolist()) for i in found]})
+
+    pair = f"_pair_{uuid.uuid4().hex}"
+    rows = docs.withColumn(pair, both(text))
+    return rows.withColumns({ids: F.col(f"{pair}.ids"), decoded: F.col(f"{pair}.decoded")}).drop(pair)
+
+
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Ids and decoded texts of all documents."""
     return piece_digests(table(spark, sf_dir, "documents"), public_model)

@@ -256,8 +256,13 @@ def test_piece_digests_of_odd_rows(pieces, docs, none):
         want[doc, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids))] += 1
     assert Counter(tuple(r) for r in got) == want
     assert sentencepiece_bpe.piece_digests(none, path).count() == 0
-    columns = sentencepiece_bpe.decode_column(sentencepiece_bpe.encode_column(docs, path), path).select("text", "token_ids", "decoded").collect()
-    assert all(r["decoded"] == library.decode(library.encode(r["text"] or "")) for r in columns)
+    apart = sentencepiece_bpe.decode_column(sentencepiece_bpe.encode_column(docs, path), path)
+    for columns in (apart, sentencepiece_bpe.round_trip_columns(docs, path)):
+        assert columns.columns == [*docs.columns, "token_ids", "decoded"]
+        rows = columns.select("text", "token_ids", "decoded").collect()
+        assert all(r["token_ids"] == library.encode(r["text"] or "") and r["decoded"] == library.decode(library.encode(r["text"] or "")) for r in rows)
+    plan = sentencepiece_bpe.round_trip_columns(docs, path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
 
 
 # Secrets
