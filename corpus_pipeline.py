@@ -11,7 +11,7 @@ from pairloom.llm.decontaminate import decontaminate
 from pairloom.llm.minhash import near_duplicates
 from pairloom.llm.quality import quality_filter
 from pairloom.llm.secrets import new_ledger, redact
-from pairloom.llm.sentencepiece_bpe import decode_column, encode_column, public_model
+from pairloom.llm.sentencepiece_bpe import public_model, round_trip_columns
 from pairloom.llm.shared import BROADCAST_ROWS, cut, shared_folder, table, text_batches
 
 
@@ -59,7 +59,7 @@ def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     text_batches(spark)
     decoded = f"decoded_{uuid.uuid4().hex}"
-    encoded = decode_column(encode_column(docs, public_model), public_model, into=decoded)
+    encoded = round_trip_columns(docs, public_model, decoded=decoded)
     # The space mark itself reads as a space after decoding.
     same = F.col(decoded) == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
     return encoded.withColumns({"n_tokens": F.size("token_ids").cast("long"), "decodes": same}).drop(decoded)
