@@ -42,9 +42,13 @@ def autocorrelation(trace: DataFrame, max_lag: int, *chain: str) -> DataFrame:
     )
 
 
+#: What a sum that is 0 may come out as.
+ROUNDING = 1e-12
+
+
 def iact(acf: DataFrame, *chain: str) -> DataFrame:
-    """Integrated autocorrelation time: 1 + 2 * the sum of rho up to the first that is not positive; 1 at least."""
-    stop = F.min(F.when((F.col("lag") > 0) & (F.col("rho") <= 0), F.col("lag"))).over(Window.partitionBy(*chain))
+    """Integrated autocorrelation time: 1 + 2 * the sum of rho up to the first that is not positive (beyond rounding); 1 at least."""
+    stop = F.min(F.when((F.col("lag") > 0) & (F.col("rho") <= ROUNDING), F.col("lag"))).over(Window.partitionBy(*chain))
     used = (F.col("lag") > 0) & (F.col("_stop").isNull() | (F.col("lag") < F.col("_stop")))
     return (
         acf.withColumn("_stop", stop)

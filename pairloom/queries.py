@@ -645,7 +645,7 @@ _SUMMED = """long AS (SELECT sim, chain, t AS i, name AS variable, v FROM (SELEC
 cent AS (SELECT *, v - avg(v) OVER w AS x, count(*) OVER w AS n, row_number() OVER (PARTITION BY sim, variable, chain ORDER BY i) AS p FROM long WINDOW w AS (PARTITION BY sim, variable, chain)),
 lags AS (SELECT a.sim, a.variable, a.chain, b.p - a.p AS lag, any_value(a.n) AS n, sum(a.x * b.x) AS s FROM cent a JOIN cent b ON a.sim = b.sim AND a.variable = b.variable AND a.chain = b.chain AND b.p - a.p BETWEEN 0 AND 20 GROUP BY 1, 2, 3, 4),
 acf AS (SELECT *, s / first_value(s) OVER (PARTITION BY sim, variable, chain ORDER BY lag) AS rho FROM lags),
-stop AS (SELECT sim, variable, chain, min(lag) FILTER (lag > 0 AND rho <= 0) AS fs FROM acf GROUP BY ALL),
+stop AS (SELECT sim, variable, chain, min(lag) FILTER (lag > 0 AND rho <= 1e-12) AS fs FROM acf GROUP BY ALL),
 times AS (SELECT sim, variable, chain, any_value(n) AS n, greatest(1.0, 1 + 2 * coalesce(sum(rho) FILTER (lag > 0 AND (fs IS NULL OR lag < fs)), 0)) AS iact FROM acf JOIN stop USING (sim, variable, chain) GROUP BY ALL),
 ess AS (SELECT sim, variable, chain, n / iact AS ess, iact, sd / sqrt(n / iact) AS mcse, mean, sd FROM times JOIN (SELECT sim, variable, chain, stddev_samp(v) AS sd, avg(v) AS mean FROM long GROUP BY ALL) USING (sim, variable, chain)),
 halves AS (SELECT sim, variable, chain, CASE WHEN p <= h THEN 0 ELSE 1 END AS half, avg(v) AS mu, var_samp(v) AS s2, any_value(h)::DOUBLE AS h FROM (SELECT *, floor(n / 2) AS h FROM cent) WHERE p <= 2 * h GROUP BY 1, 2, 3, 4),
@@ -714,7 +714,7 @@ def checkpoint_quantiles(spark, d):
 _ACF = f"""{_TRACE}, c AS (SELECT chain, i, v - avg(v) OVER (PARTITION BY chain) AS x, count(*) OVER (PARTITION BY chain) AS n FROM trace),
 lags AS (SELECT a.chain, b.i - a.i AS lag, any_value(a.n) AS n, sum(a.x * b.x) AS s FROM c a JOIN c b ON a.chain = b.chain AND b.i - a.i BETWEEN 0 AND {MAX_LAG} GROUP BY 1, 2),
 acf AS (SELECT chain, lag, n, s / first_value(s) OVER (PARTITION BY chain ORDER BY lag) AS rho FROM lags)"""
-_IACT = f"""{_ACF}, stop AS (SELECT chain, min(lag) FILTER (lag > 0 AND rho <= 0) AS fs FROM acf GROUP BY chain),
+_IACT = f"""{_ACF}, stop AS (SELECT chain, min(lag) FILTER (lag > 0 AND rho <= 1e-12) AS fs FROM acf GROUP BY chain),
 iact AS (SELECT chain, any_value(n) AS n, greatest(1.0, 1 + 2 * coalesce(sum(rho) FILTER (lag > 0 AND (fs IS NULL OR lag < fs)), 0)) AS iact FROM acf JOIN stop USING (chain) GROUP BY chain),
 ess AS (SELECT chain, iact.n, iact, iact.n / iact AS ess, sd / sqrt(iact.n / iact) AS mcse, mean, sd FROM iact JOIN (SELECT chain, stddev_samp(v) AS sd, avg(v) AS mean FROM trace GROUP BY chain) USING (chain))"""
 
