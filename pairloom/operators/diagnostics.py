@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pairloom.functions import finite, ratio
 
 
+#: What 0 may come out as, as a share of what was added up.
+ROUNDING = 1e-12
+
+
 def running_mean(trace: DataFrame, *chain: str) -> DataFrame:
     own = Window.partitionBy(*chain).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     return trace.withColumn("running", F.avg("v").over(own))
@@ -30,7 +34,10 @@ def autocorrelation(trace: DataFrame, max_lag: int, *chain: str) -> DataFrame:
     """
     kept = trace.where(finite(F.col("v"))).select(*chain, "i", "v")
     by = Window.partitionBy(*chain)
-    ranked = kept.withColumn("v", F.col("v") - F.avg("v").over(by))
+    # Values that differ by rounding alone are constant; their differences would correlate somehow.
+    low, high = F.min("v").over(by), F.max("v").over(by)
+    constant = high - low <= ROUNDING * F.greatest(F.abs(low), F.abs(high))
+    ranked = kept.withColumn("v", F.when(constant, 0.0).otherwise(F.col("v") - F.avg("v").over(by)))
     ordered = by.orderBy("i").rowsBetween(-max_lag, 0)
     lags = ranked.withColumn("before", F.reverse(F.collect_list("v").over(ordered)))
     products = lags.select(*chain, F.col("v").alias("now"), F.posexplode("before").alias("lag", "then"))
@@ -42,10 +49,6 @@ def autocorrelation(trace: DataFrame, max_lag: int, *chain: str) -> DataFrame:
     )
 
 
-#: What a sum that is 0 may come out as.
-ROUNDING = 1e-12
-
-
 def iact(acf: DataFrame, *chain: str) -> DataFrame:
     """Integrated autocorrelation time: 1 + 2 * the sum of rho up to the first that is not positive (beyond rounding); 1 at least."""
     stop = F.min(F.when((F.col("lag") > 0) & (F.col("rho") <= ROUNDING), F.col("lag"))).over(Window.partitionBy(*chain))

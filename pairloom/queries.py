@@ -642,9 +642,9 @@ def diag_block(spark, d):
 
 
 _SUMMED = """long AS (SELECT sim, chain, t AS i, name AS variable, v FROM (SELECT sim, chain, t, tau, dist AS d_total, -dist AS log_target, bal AS balance_l2 FROM values_) UNPIVOT (v FOR name IN (tau, d_total, log_target, balance_l2))),
-cent AS (SELECT *, v - avg(v) OVER w AS x, count(*) OVER w AS n, row_number() OVER (PARTITION BY sim, variable, chain ORDER BY i) AS p FROM long WINDOW w AS (PARTITION BY sim, variable, chain)),
+cent AS (SELECT *, CASE WHEN max(v) OVER w - min(v) OVER w <= 1e-12 * greatest(abs(min(v) OVER w), abs(max(v) OVER w)) THEN 0 ELSE v - avg(v) OVER w END AS x, count(*) OVER w AS n, row_number() OVER (PARTITION BY sim, variable, chain ORDER BY i) AS p FROM long WINDOW w AS (PARTITION BY sim, variable, chain)),
 lags AS (SELECT a.sim, a.variable, a.chain, b.p - a.p AS lag, any_value(a.n) AS n, sum(a.x * b.x) AS s FROM cent a JOIN cent b ON a.sim = b.sim AND a.variable = b.variable AND a.chain = b.chain AND b.p - a.p BETWEEN 0 AND 20 GROUP BY 1, 2, 3, 4),
-acf AS (SELECT *, s / first_value(s) OVER (PARTITION BY sim, variable, chain ORDER BY lag) AS rho FROM lags),
+acf AS (SELECT *, CASE WHEN s0 > 0 THEN s / s0 ELSE (lag = 0)::INTEGER END AS rho FROM (SELECT *, first_value(s) OVER (PARTITION BY sim, variable, chain ORDER BY lag) AS s0 FROM lags)),
 stop AS (SELECT sim, variable, chain, min(lag) FILTER (lag > 0 AND rho <= 1e-12) AS fs FROM acf GROUP BY ALL),
 times AS (SELECT sim, variable, chain, any_value(n) AS n, greatest(1.0, 1 + 2 * coalesce(sum(rho) FILTER (lag > 0 AND (fs IS NULL OR lag < fs)), 0)) AS iact FROM acf JOIN stop USING (sim, variable, chain) GROUP BY ALL),
 ess AS (SELECT sim, variable, chain, n / iact AS ess, iact, sd / sqrt(n / iact) AS mcse, mean, sd FROM times JOIN (SELECT sim, variable, chain, stddev_samp(v) AS sd, avg(v) AS mean FROM long GROUP BY ALL) USING (sim, variable, chain)),
