@@ -2,8 +2,8 @@
 
 1. Each text becomes its set of five-word shingles, 128 minima of that set, 32
    band keys of 4 minima each, and the minima's low 4 bits packed in 8 longs.
-   Texts with equal sets are one class from here on, with a number of its own
-   (rows may repeat a doc_id with another text) and its smallest doc_id.
+   Texts with equal sets are one class from here on, with the smallest doc_id;
+   where rows repeat a doc_id with other texts, further classes get a number.
 2. Classes that share a band key are candidates.  A bucket is never expanded
    into all its pairs.  First its members are compared with its smallest one,
    and what is linked is joined.  Members of buckets that are not one component
@@ -40,7 +40,7 @@ from pairloom.llm.shared import BROADCAST_ROWS, cut, table
 from pairloom.llm.shingles import MinHasher, WordHashes, shingle_set
 
 SIGNED = "doc_id long, text_key long, n_shingles long, k1 long, k2 long, sig array<long>, bands array<long>"
-SETS = "id long, n long, shingles array<long>"
+SETS = "id long, k1 long, k2 long, n long, shingles array<long>"
 #: Members up to which a bucket is compared pair by pair, and bytes of shingles broadcast at a time for larger ones.
 SMALL, BLOCK_BYTES = 50, 8_000_000
 
@@ -82,16 +82,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of texts; those that are not their class's (of another row with the same doc_id) are left out."""
     hashes = WordHashes()
     for batch in batches:
-        ids, sets = [], []
-        for id_, k1, k2, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-            found = shingle_set(text.as_py(), hashes)
-            if len(found) and _set_key(found) == (k1, k2):
-                ids.append(id_)
-                sets.append(found)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _long_lists(sets)], ["id", "n", "shingles"])
+        sets = [shingle_set(text.as_py(), hashes) for text in batch.column(1)]
+        k = np.array([_set_key(s) for s in sets], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array([len(s) for s in sets], pa.int64()), _long_lists(sets)], ["id", "k1", "k2", "n", "shingles"]
+        )
 
 
 def _estimate(bits: int = 4, k: int = 128) -> F.Column:
@@ -113,19 +110,27 @@ def _estimate(bits: int = 4, k: int = 128) -> F.Column:
 class _Store:
     """Shingle sets of classes, worked out from the texts when first asked for."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame) -> None:
-        self.docs, self.classes, self.parts = docs, classes, []
+    def __init__(self, docs: DataFrame, repeated: DataFrame | None) -> None:
+        self.docs, self.repeated, self.parts = docs, repeated, []
 
     def of(self, ids: DataFrame) -> DataFrame:
         """The sets of at least ``ids(id)``; ids that fit are broadcast, others are joined by shuffling."""
         for part in self.parts:
             ids = ids.join(part.select("id"), "id", "left_anti")
-        ids = cut(ids.join(self.classes, "id").select("id", "k1", "k2", "lo"))
+        ids = cut(ids)
         n = ids.count()
         if n or not self.parts:
-            keys = F.broadcast(ids) if n <= BROADCAST_ROWS // 2 else ids
-            read = self.docs.join(keys, self.docs["doc_id"] == keys["lo"]).select("id", "k1", "k2", "_text")
-            self.parts.append(cut(read.mapInArrow(_sets, SETS)))
+            at = ids if self.repeated is None else ids.join(self.repeated, "id", "left").select(F.coalesce("doc_id", "id").alias("id")).distinct()
+            keys = F.broadcast(at) if n <= BROADCAST_ROWS else at
+            read = self.docs.join(keys, self.docs["doc_id"] == keys["id"], "left_semi").mapInArrow(_sets, SETS)
+            if self.repeated is not None:
+                # Of the texts of a repeated doc_id only those that are a class's own; each has its class's number.
+                own = self.repeated.withColumnRenamed("id", "_own")
+                whose = self.repeated.select("doc_id").distinct()
+                once = read.join(whose, read["id"] == whose["doc_id"], "left_anti")
+                more = read.join(own, (read["id"] == own["doc_id"]) & (read["k1"] == own["k1"]) & (read["k2"] == own["k2"]))
+                read = once.unionByName(more.select(F.col("_own").alias("id"), read["k1"], read["k2"], "n", "shingles"))
+            self.parts.append(cut(read.select("id", "n", "shingles")))
         out = self.parts[0]
         for part in self.parts[1:]:
             out = out.union(part)
@@ -275,8 +280,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text"))
     signed = cut(docs.withColumn("text_key", F.xxhash64("_text")).mapInArrow(_sign, SIGNED))
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"))
-    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
+    known = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = cut(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo")))
+    key = F.struct("k1", "k2")
+    several = cut(known.groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select(F.col("doc_id").alias("lo")))
+    repeated = None
+    if not several.isEmpty():
+        # The first class of a repeated doc_id is called by it, the others by a hash.
+        place = F.row_number().over(Window.partitionBy("lo").orderBy("k1", "k2"))
+        mine = classes.join(several, "lo", "left_semi").withColumn("id", F.when(place == 1, F.col("lo")).otherwise(F.xxhash64("lo", "k1", "k2")))
+        repeated = cut(mine.select(F.col("lo").alias("doc_id"), "k1", "k2", "id"))
+        others = repeated.select("k1", "k2", "id")
+        classes = cut(classes.join(others, ["k1", "k2"], "left").withColumn("id", F.coalesce("id", "lo")))
+    else:
+        classes = classes.withColumn("id", F.col("lo"))
     nodes = cut(
         signed.join(classes.select("k1", "k2", "id", F.col("lo").alias("doc_id")), ["k1", "k2", "doc_id"])
         .select("id", F.col("n_shingles").alias("n"), "sig", "bands")
@@ -287,7 +304,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     shared = cut(members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket"))
     members = cut(members.join(shared, "bucket"))
     sigs = nodes.select("id", "n", "sig")
-    store = _Store(docs, classes)
+    store = _Store(docs, repeated)
     edges = _verify(_first_pairs(members), sigs, store, percent)
     components = connected_components(edges)
     live = _with_component(_open_members(_with_component(members, components), store, percent), components)
@@ -297,10 +314,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     for links in more:
         edges = edges.union(links)
     components = connected_components(edges)
-    # A component is named after its smallest doc_id.
-    roots = cut(components.join(classes.select("id", "lo"), "id").groupBy("component").agg(F.min("lo").alias("root")))
-    named = cut(classes.join(components.join(roots, "component").select("id", "root"), "id", "left").select("k1", "k2", F.coalesce("root", "lo").alias("root")))
-    found = signed.join(named, ["k1", "k2"], "left")
+    if repeated is not None:  # a component is named after its smallest doc_id, not its smallest number
+        roots = cut(components.join(classes.select("id", "lo"), "id").groupBy("component").agg(F.min("lo").alias("root")))
+        components = cut(components.join(roots, "component").select("id", F.col("root").alias("component")))
+    found = signed.join(classes.select("k1", "k2", "id", "lo"), ["k1", "k2"], "left").join(components, "id", "left").withColumn("root", F.coalesce("component", "lo"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("root")), F.col("doc_id")))
     columns = ["doc_id", "n_shingles", component.alias("component_id"), *(["text_key"] if text_key else [])]
     return found.select(*columns).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
