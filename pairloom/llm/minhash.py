@@ -9,10 +9,10 @@
    and what is linked is joined.  Members of buckets that are not one component
    after that are dealt into new buckets, by the rare shingles that any link
    between them has to share (_open_members).  Small buckets are compared pair
-   by pair across components; in large ones all members run past an index of
-   those that are not in the bucket's main component, block by block.  So every
-   pair of candidates is compared, or linked through others, or cannot be
-   linked.
+   by pair across components; in large ones those outside the bucket's main
+   component are cut into blocks, and all members are compared with them in
+   groups of bounded size.  So every pair of candidates is compared, or linked
+   through others, or cannot be linked.
 3. A candidate pair is kept if its estimated similarity, from the bit counts
    of the packed signatures corrected for chance collisions, is not far below
    the threshold (0.2, which is over five standard errors), and its set sizes
@@ -41,8 +41,10 @@ from pairloom.llm.shingles import MinHasher, WordHashes, shingle_set
 
 SIGNED = "doc_id long, text_key long, n_shingles long, k1 long, k2 long, sig array<long>, bands array<long>"
 SETS = "id long, k1 long, k2 long, n long, shingles array<long>"
-#: Members up to which a bucket is compared pair by pair, and bytes of shingles broadcast at a time for larger ones.
+#: Members up to which a bucket is compared pair by pair, and bytes of sets on either side of a group for larger ones.
 SMALL, BLOCK_BYTES = 50, 8_000_000
+#: How far below the threshold an estimate may be.
+SLACK = 0.2
 
 
 def _long_lists(rows: list[np.ndarray]) -> pa.Array:
@@ -183,71 +185,82 @@ def _small_pairs(live: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def _large_links(live: DataFrame, store: _Store, percent: int) -> list[DataFrame]:
+def _large_links(live: DataFrame, sigs: DataFrame, store: _Store, percent: int) -> DataFrame:
     """Links between the components of larger buckets.
 
-    Each bucket's most frequent component is its main one.  Members of all
-    others are the query set: in blocks of about BLOCK_BYTES of shingles they
-    are broadcast as an inverted index, and the sets of all members of large
-    buckets run past it.  Whole sets are compared, so a link is a link.  Rows
-    are members, not pairs.
+    Each bucket's most frequent component is its main one; members of all
+    others are odd.  Odd members are dealt into blocks of about BLOCK_BYTES, by
+    a main component that they meet, so that a block meets few others.  A member
+    goes to the blocks that have odd members of its buckets, once to each, and
+    the members of a block are split by a salt, with a copy of the block for
+    each part.  A group is one block and one part, so it is bounded, and it
+    returns links, at most one for an odd member and a component; rows are
+    members, not pairs.
     """
-    large = live.where(F.col("m") > SMALL)
+    large = live.where(F.col("m") > SMALL).select("bucket", "id", "component", "n")
     parts = large.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     main = cut(parts.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main")))
-    odd = cut(large.join(main, "bucket").where("component <> main").select("id", "component", "n").distinct())
-    total = odd.agg(F.sum("n")).first()[0]
-    if not total:
-        return []
-    sets = store.of(large.select("id").distinct()).dropDuplicates(["id"])
-    members = cut(large.select("id", "component").distinct().join(sets, "id").select("id", "component", "shingles"))
-    blocks = -(-total * 8 // BLOCK_BYTES)
-    found = []
-    for block in range(blocks):
-        queries = odd.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).join(members.select("id", "shingles"), "id")
-        index = _Index([(r["id"], r["component"], r["shingles"]) for r in queries.select("id", "component", "shingles").collect()], percent)
-        known = live.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                a, b, component = [], [], []
-                for id_, own, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    linked = known.value.links(own, shingles.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                    a += linked.tolist()
-                    b += [id_] * len(linked)
-                    component += [own] * len(linked)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, component)], ["a", "b", "component"])
-
-        links = members.mapInArrow(run, "a long, b long, component long")
-        found.append(cut(links.groupBy("a", "component").agg(F.min("b").alias("b")).select("a", "b")))
-        known.destroy()
-    return found
-
-
-class _Index:
-    """Shingle to the query sets that have it."""
-
-    def __init__(self, queries: list[tuple[int, int, list[int]]], percent: int) -> None:
-        self.percent = percent
-        self.ids = np.array([i for i, _, _ in queries], np.int64)
-        self.components = np.array([c for _, c, _ in queries], np.int64)
-        sets = [np.array(s, np.int64).view(np.uint64) for _, _, s in queries]
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        shingles = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        order = np.argsort(shingles, kind="stable")
-        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
-        self.keys, first = np.unique(shingles[order], return_index=True)
-        self.first = np.append(first, len(shingles))
-
-    def links(self, component: int, shingles: np.ndarray) -> np.ndarray:
-        """Ids of the queries of other components that are linked with the set."""
-        at = np.searchsorted(self.keys, shingles)
-        at = at[(at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == shingles)] if len(self.keys) else at[:0]
-        if not len(at):
-            return self.ids[:0]
-        both = np.bincount(np.concatenate([self.owner[self.first[i] : self.first[i + 1]] for i in at]), minlength=len(self.ids))
-        linked = (both * 100 >= (self.sizes + len(shingles) - both) * self.percent) & (self.components != component)
-        return self.ids[linked]
+    odd = cut(large.join(main, "bucket").where("component <> main"))
+    parts_of = lambda n: F.ceil(F.sum(n * 8 + 100) / BLOCK_BYTES)  # noqa: E731  (8 bytes a shingle, and the signature)
+    homes = cut(odd.groupBy("id").agg(F.min("main").alias("home"), F.max("n").alias("n")))
+    homes = homes.join(homes.groupBy("home").agg(parts_of(F.col("n")).alias("cuts")), "home")
+    blocks = cut(homes.select("id", F.xxhash64("home", F.pmod(F.xxhash64("id"), "cuts")).alias("block")))
+    wanted = cut(odd.join(blocks, "id").select("bucket", "block").distinct())
+    runs = cut(large.join(wanted, "bucket").select("id", "n", "block").distinct())
+    salts = cut(runs.groupBy("block").agg(parts_of(F.col("n")).alias("salts")))
+    sets = store.of(runs.select("id").distinct()).dropDuplicates(["id"]).select("id", "shingles")
+    rows = cut(large.select("id", "component").distinct().join(sets, "id").join(sigs.select("id", "sig"), "id"))
+    copies = blocks.join(salts, "block").select("id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    split = runs.join(salts, "block").select("id", "block", F.pmod(F.hash("id").cast("long"), "salts").alias("salt"))
+
+    names = ["block", "salt", "id", "component", "sig", "shingles"]
+
+    def group(at: DataFrame, side: str):
+        named = rows.select(*(F.col(c).alias(f"{side}_{c}") for c in rows.columns))
+        at = at.select(*(F.col(c).alias(f"{side}_{c}") for c in ("id", "block", "salt")))
+        return at.join(named, f"{side}_id").select(*(f"{side}_{c}" for c in names)).groupBy(f"{side}_block", f"{side}_salt")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _links_between(left.rename_columns(names), right.rename_columns(names), percent)
+
+    links = group(copies, "a").cogroup(group(split, "b")).applyInArrow(compare, "a long, b long, component long")
+    return cut(links.groupBy("a", "component").agg(F.min("b").alias("b")).select("a", "b"))
+
+
+def _links_between(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
+    """Rows of ``left`` linked with rows of ``right`` of other components: by size and estimate, then on whole sets."""
+    ids, components = left["id"].to_numpy(), left["component"].to_numpy()
+    sets, others = _arrays(left["shingles"]), _arrays(right["shingles"])
+    sizes = np.array([len(s) for s in sets], np.int64)
+    sigs = np.array(_arrays(left["sig"])).reshape(len(sets), -1)
+    found: dict[tuple[int, int], int] = {}
+    for id_, component, sig, own in zip(right["id"].to_pylist(), right["component"].to_pylist(), _arrays(right["sig"]), others, strict=True):
+        likely = (components != component) & (np.minimum(sizes, len(own)) * 100 >= np.maximum(sizes, len(own)) * percent)
+        at = np.flatnonzero(likely)
+        at = at[_similar(sigs[at], sig) >= percent / 100 - SLACK]
+        for i in at.tolist():
+            if (i, component) not in found:
+                both = len(np.intersect1d(sets[i], own, assume_unique=True))
+                if both * 100 >= (sizes[i] + len(own) - both) * percent:
+                    found[i, component] = id_
+    a = ids[[i for i, _ in found]] if found else ids[:0]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(list(found.values()), pa.int64()), "component": pa.array([c for _, c in found], pa.int64())})
+
+
+def _arrays(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    return [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in lists]
+
+
+def _similar(sigs: np.ndarray, sig: np.ndarray, bits: int = 4, k: int = 128) -> np.ndarray:
+    """What _estimate gives, of each row of ``sigs`` with one signature."""
+    x = sigs ^ sig
+    shift = 1
+    while shift < bits:
+        x = x | (x >> np.uint64(shift))
+        shift *= 2
+    differ = np.bitwise_count(x & np.uint64(sum(1 << j for j in range(0, 64, bits)))).sum(axis=1, dtype=np.int64)
+    chance = 1.0 / (1 << bits)
+    return ((k - differ) / k - chance) / (1 - chance)
 
 
 def _verify(pairs: DataFrame, sigs: DataFrame, store: _Store, percent: int) -> DataFrame:
@@ -257,7 +270,7 @@ def _verify(pairs: DataFrame, sigs: DataFrame, store: _Store, percent: int) -> D
         pairs.join(side("a"), "a")
         .join(side("b"), "b")
         .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        .where(_estimate() >= percent / 100 - 0.2)
+        .where(_estimate() >= percent / 100 - SLACK)
         .select("a", "b")
         .distinct()
     )
@@ -310,9 +323,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     live = _with_component(_open_members(_with_component(members, components), store, percent), components)
     sizes = cut(live.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"))
     live = cut(live.join(sizes.select("bucket", "m"), "bucket"))
-    more = [_verify(_small_pairs(live, percent), sigs, store, percent), *_large_links(live, store, percent)]
-    for links in more:
-        edges = edges.union(links)
+    edges = edges.union(_verify(_small_pairs(live, percent), sigs, store, percent))
+    if not live.where(F.col("m") > SMALL).isEmpty():
+        edges = edges.union(_large_links(live, sigs, store, percent))
     components = connected_components(edges)
     if repeated is not None:  # a component is named after its smallest doc_id, not its smallest number
         roots = cut(components.join(classes.select("id", "lo"), "id").groupBy("component").agg(F.min("lo").alias("root")))

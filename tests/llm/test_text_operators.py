@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from conftest import ROOT
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pairloom.llm import decontaminate as dec
 from pairloom.llm import langid, minhash, quality, secrets, sentencepiece_bpe, sharding, token_counts, urls, warc
 from pairloom.llm.components import connected_components
-from pairloom.llm.shingles import WordHashes
+from pairloom.llm.shingles import WordHashes, shingle_set
 
 LONG = "lorem ipsum dolor sit amet " * 8000
 DOCS = [
@@ -121,12 +122,47 @@ def test_components_are_those_of_all_pairs(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_large_buckets_run_past_an_index_in_blocks(spark, monkeypatch):
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", 3)
     monkeypatch.setattr(minhash, "BLOCK_BYTES", 4000)
-    rows = made_copies(3, 40, 7)
+    found = []
+    plain = minhash._large_links
+
+    def seen(*args):
+        links = plain(*args)
+        found.append(links.count())
+        return links
+
+    monkeypatch.setattr(minhash, "_large_links", seen)
+    # The copies meet in no band without one of many longer documents of smaller ids, which are linked with nothing.
+    base = [f"w{i}" for i in range(60)]
+    longer = [(i, " ".join([*base, *(f"x{i}_{j}" for j in range(20))])) for i in range(1, 90)]
+    copies = [(100 + i, " ".join([*base, f"y{i}"])) for i in range(12)]
+    rows = [*made_copies(3, 40, 7), *((1000 + i, t) for i, t in [*longer, *copies])]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+    assert found and found[0] > 0
+
+
+def test_links_between_two_groups_are_those_of_all_pairs():
+    hasher, hashes = minhash.MinHasher(), WordHashes()
+    rows = made_copies(4, 15, 11)
+    sets = {i: shingle_set(t, hashes) for i, t in rows}
+    part = lambda ids, shift: pa.table(
+        {
+            "id": ids,
+            "component": [i % 3 + shift for i in ids],
+            "sig": pa.array([hasher.packed(hasher.minima(sets[i])).tolist() for i in ids], pa.list_(pa.int64())),
+            "shingles": pa.array([sets[i].view(np.int64).tolist() for i in ids], pa.list_(pa.int64())),
+        }
+    )
+    left, right = sorted(sets)[::2], sorted(sets)[1::2]
+    got = minhash._links_between(part(left, 0), part(right, 1), 75).to_pylist()
+    alike = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))
+    want = {(a, b % 3 + 1) for a in left for b in right if a % 3 != b % 3 + 1 and alike(a, b)}
+    assert want and {(x["a"], x["component"]) for x in got} == want and len(got) == len(want)
+    assert all(alike(x["a"], x["b"]) for x in got)
+    assert minhash._links_between(part(left, 0), part([], 0), 75).num_rows == 0
 
 
 def test_near_duplicates_of_odd_rows(docs, none):
@@ -157,7 +193,10 @@ def test_estimate_is_close(spark):
         b = np.array(sorted(common + [rng.getrandbits(64) for _ in range(n - len(common))]), np.uint64)
         row = spark.createDataFrame([(hasher.packed(hasher.minima(a)).tolist(), hasher.packed(hasher.minima(b)).tolist())], "sig_a array<long>, sig_b array<long>")
         exact = len(common) / (2 * n - len(common))
-        assert row.select(minhash._estimate()).first()[0] == pytest.approx(exact, abs=0.15)
+        estimate = row.select(minhash._estimate()).first()[0]
+        assert estimate == pytest.approx(exact, abs=0.15)
+        sig_a, sig_b = (hasher.packed(hasher.minima(x)).view(np.uint64) for x in (a, b))
+        assert minhash._similar(sig_a[None, :], sig_b)[0] == pytest.approx(estimate)
     assert len(hashes) == 0
 
 
