@@ -190,29 +190,28 @@ def _large_links(live: DataFrame, sigs: DataFrame, store: _Store, percent: int)
 
     Each bucket's most frequent component is its main one; members of all
     others are odd.  Odd members are dealt into blocks of about BLOCK_BYTES, by
-    a main component that they meet, so that a block meets few others.  A member
-    goes to the blocks that have odd members of its buckets, once to each, and
-    the members of a block are split by a salt, with a copy of the block for
-    each part.  A group is one block and one part, so it is bounded, and it
+    that bucket of theirs which has most, so that a block meets few others.  A
+    member goes to the blocks that have odd members of its buckets, once to
+    each, and the members of a block are split by a salt, with a copy of the
+    block for each part.  A group is one block and one part, so it is bounded, and it
     returns links, at most one for an odd member and a component; rows are
     members, not pairs.
     """
     large = live.where(F.col("m") > SMALL).select("bucket", "id", "component", "n")
-    parts = large.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-    main = cut(parts.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main")))
-    odd = cut(large.join(main, "bucket").where("component <> main"))
-    parts_of = lambda n: F.ceil(F.sum(n * 8 + 100) / BLOCK_BYTES)  # noqa: E731  (8 bytes a shingle, and the signature)
-    homes = cut(odd.groupBy("id").agg(F.min("main").alias("home"), F.max("n").alias("n")))
-    homes = homes.join(homes.groupBy("home").agg(parts_of(F.col("n")).alias("cuts")), "home")
-    blocks = cut(homes.select("id", F.xxhash64("home", F.pmod(F.xxhash64("id"), "cuts")).alias("block")))
-    wanted = cut(odd.join(blocks, "id").select("bucket", "block").distinct())
+    size = F.col("n") * 8 + 100  # the bytes of a set and its signature
+    parts = large.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum(size).alias("bytes"))
+    most = F.struct("k", "component")
+    main = cut(parts.groupBy("bucket").agg(F.max_by("component", most).alias("main"), (F.sum("bytes") - F.max_by("bytes", most)).alias("odd")))
+    odd = large.join(main, "bucket").where("component <> main")
+    odd = cut(odd.select("bucket", "id", "odd", F.xxhash64("bucket", F.pmod(F.xxhash64("id"), F.ceil(F.col("odd") / BLOCK_BYTES))).alias("block")))
+    blocks = odd.groupBy("id").agg(F.max_by("block", F.struct("odd", "bucket")).alias("block"))
+    wanted = cut(odd.select("bucket", "id").join(blocks, "id").select("bucket", "block").distinct())
     runs = cut(large.join(wanted, "bucket").select("id", "n", "block").distinct())
-    salts = cut(runs.groupBy("block").agg(parts_of(F.col("n")).alias("salts")))
+    salts = runs.groupBy("block").agg(F.ceil(F.sum(size) / BLOCK_BYTES).alias("salts"))
     sets = store.of(runs.select("id").distinct()).dropDuplicates(["id"]).select("id", "shingles")
     rows = cut(large.select("id", "component").distinct().join(sets, "id").join(sigs.select("id", "sig"), "id"))
     copies = blocks.join(salts, "block").select("id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     split = runs.join(salts, "block").select("id", "block", F.pmod(F.hash("id").cast("long"), "salts").alias("salt"))
-
     names = ["block", "salt", "id", "component", "sig", "shingles"]
 
     def group(at: DataFrame, side: str):
@@ -323,14 +322,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     live = _with_component(_open_members(_with_component(members, components), store, percent), components)
     sizes = cut(live.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"))
     live = cut(live.join(sizes.select("bucket", "m"), "bucket"))
-    edges = edges.union(_verify(_small_pairs(live, percent), sigs, store, percent))
-    if not live.where(F.col("m") > SMALL).isEmpty():
-        edges = edges.union(_large_links(live, sigs, store, percent))
-    components = connected_components(edges)
+    links = _verify(_small_pairs(live, percent), sigs, store, percent)
+    if not sizes.where(F.col("m") > SMALL).isEmpty():
+        links = links.union(_large_links(live, sigs, store, percent))
+    # Only links between components are left, so only components are joined now.
+    of = lambda s: components.select(F.col("id").alias(s), F.col("component").alias(f"{s}_at"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_at", "a").alias("a"), F.coalesce("b_at", "b").alias("b"))
+    joined = connected_components(between).withColumnsRenamed({"id": "at", "component": "end"})
+    merged = classes.select("k1", "k2", "id", "lo").join(components, "id", "left").withColumn("at", F.coalesce("component", "id"))
+    merged = merged.join(joined, "at", "left").select("k1", "k2", "lo", F.coalesce("end", "at").alias("root"))
     if repeated is not None:  # a component is named after its smallest doc_id, not its smallest number
-        roots = cut(components.join(classes.select("id", "lo"), "id").groupBy("component").agg(F.min("lo").alias("root")))
-        components = cut(components.join(roots, "component").select("id", F.col("root").alias("component")))
-    found = signed.join(classes.select("k1", "k2", "id", "lo"), ["k1", "k2"], "left").join(components, "id", "left").withColumn("root", F.coalesce("component", "lo"))
+        merged = cut(merged)
+        roots = cut(merged.groupBy("root").agg(F.min("lo").alias("least")))
+        merged = merged.join(roots, "root").select("k1", "k2", F.col("least").alias("root"))
+    found = signed.join(merged.select("k1", "k2", "root"), ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("root")), F.col("doc_id")))
     columns = ["doc_id", "n_shingles", component.alias("component_id"), *(["text_key"] if text_key else [])]
     return found.select(*columns).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
