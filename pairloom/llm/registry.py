@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pairloom.llm.decontaminate import OP7_SQL, op7_decontamination
 from pairloom.llm.langid import op9_langid
+from pairloom.llm.merkle import OP13_SQL, op13_merkle
 from pairloom.llm.minhash import OP2_SQL, op2_minhash
 from pairloom.llm.quality import op6_quality
 from pairloom.llm.secrets import OP5_SQL, op5_secrets
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_langid": op9_langid,
     "op10_token_counts": op10_token_counts,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE_SQL = {
@@ -33,4 +35,5 @@ ORACLE_SQL = {
     "op5_secrets": OP5_SQL,
     "op7_decontamination": OP7_SQL,
     "op8_warc": OP8_SQL,
+    "op13_merkle": OP13_SQL,
 }
