@@ -6,6 +6,7 @@ from pairloom.llm.decontaminate import OP7_SQL, op7_decontamination
 from pairloom.llm.langid import op9_langid
 from pairloom.llm.merkle import OP13_SQL, op13_merkle
 from pairloom.llm.minhash import OP2_SQL, op2_minhash
+from pairloom.llm.periodic import op12_periodic
 from pairloom.llm.quality import op6_quality
 from pairloom.llm.secrets import OP5_SQL, op5_secrets
 from pairloom.llm.sentencepiece_bpe import op4_sentencepiece
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_langid": op9_langid,
     "op10_token_counts": op10_token_counts,
+    "op12_periodic": op12_periodic,
     "op13_merkle": op13_merkle,
 }
 
