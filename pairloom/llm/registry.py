@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pairloom.llm.context_tree import op11_context_tree
 from pairloom.llm.decontaminate import OP7_SQL, op7_decontamination
 from pairloom.llm.langid import op9_langid
 from pairloom.llm.merkle import OP13_SQL, op13_merkle
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_langid": op9_langid,
     "op10_token_counts": op10_token_counts,
+    "op11_context_tree": op11_context_tree,
     "op12_periodic": op12_periodic,
     "op13_merkle": op13_merkle,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.plans.storage import shared_folder
 
-__all__ = ["BROADCAST_ROWS", "cut", "shared_folder", "table", "text_batches"]
+__all__ = ["BROADCAST_ROWS", "cut", "shared_folder", "spread", "table", "text_batches"]
 
 #: Rows above which a driver-built or broadcast table is not broadcast (16 bytes a row: 16 MB).
 BROADCAST_ROWS = 1_000_000
@@ -31,3 +31,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt out evenly where they come in fewer parts than there are cores, as a table of one file does.
+
+    Only a table that is small beside the cluster is moved.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
