@@ -5,14 +5,19 @@ Input is a long table (keys..., chain, i, v) with i counting from 1 in each chai
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from pairloom.functions import finite, ratio
-
+from pairloom.plans.storage import staged
 
 #: What 0 may come out as, as a share of what was added up.
 ROUNDING = 1e-12
+#: Values of a chain that are transformed at once.
+BLOCK = 1 << 18
 
 
 def running_mean(trace: DataFrame, *chain: str) -> DataFrame:
@@ -26,27 +31,51 @@ def thinned(trace: DataFrame, thin: int, *chain: str) -> DataFrame:
     return trace.where(finite(F.col("v"))).withColumn("_last", last).where((F.col("i") % thin == 0) | (F.col("i") == F.col("_last"))).drop("_last")
 
 
+def _lag_sums(values: np.ndarray, before: int, max_lag: int) -> np.ndarray:
+    """For lags from 0: the sum of each value from place ``before`` on times the one so many places earlier.
+
+    The product of the zero-padded Fourier transforms, so n log n.
+    """
+    own = values[before:]
+    size = 1 << (len(values) + len(own)).bit_length()
+    products = np.fft.irfft(np.fft.rfft(own, size) * np.conj(np.fft.rfft(values, size)), size)
+    return products[np.arange(min(max_lag, len(values) - 1) + 1) - before]
+
+
 def autocorrelation(trace: DataFrame, max_lag: int, *chain: str) -> DataFrame:
     """(chain..., lag, n, rho): biased, centred, divided by lag 0; a constant chain has 1, 0, 0, ...
 
-    A value meets the values before it through one window of lags, so chains are
-    sorted once and rows are values times lags; nothing is joined.
+    A chain is cut into blocks of BLOCK values, each with the max_lag values
+    before it; a block's sums of products by lag come from Fourier transforms in
+    one task, and are added by lag.  So rows are values, and a task's memory is
+    that of a block however long the chain.
     """
-    kept = trace.where(finite(F.col("v"))).select(*chain, "i", "v")
+    block = max(BLOCK, 2 * max_lag)
     by = Window.partitionBy(*chain)
+    kept = trace.where(finite(F.col("v"))).select(*chain, "i", "v")
     # Values that differ by rounding alone are constant; their differences would correlate somehow.
     low, high = F.min("v").over(by), F.max("v").over(by)
     constant = high - low <= ROUNDING * F.greatest(F.abs(low), F.abs(high))
-    ranked = kept.withColumn("v", F.when(constant, 0.0).otherwise(F.col("v") - F.avg("v").over(by)))
-    ordered = by.orderBy("i").rowsBetween(-max_lag, 0)
-    lags = ranked.withColumn("before", F.reverse(F.collect_list("v").over(ordered)))
-    products = lags.select(*chain, F.col("v").alias("now"), F.posexplode("before").alias("lag", "then"))
-    sums = products.groupBy(*chain, "lag").agg(F.sum(F.col("now") * F.col("then")).alias("s"), F.count("*").alias("m"))
-    at0 = by.orderBy("lag")
-    s0, n = F.first("s").over(at0), F.first("m").over(at0)
-    return sums.select(
-        *chain, F.col("lag").cast("long").alias("lag"), n.alias("n"), F.when(s0 > 0, F.col("s") / s0).otherwise(F.when(F.col("lag") == 0, 1.0).otherwise(0.0)).alias("rho")
-    )
+    placed = kept.withColumns({"_v": F.when(constant, 0.0).otherwise(F.col("v") - F.avg("v").over(by)), "_at": F.row_number().over(by.orderBy("i")) - 1})
+    own = F.floor(F.col("_at") / block)
+    blocks = F.when(F.col("_at") % block >= block - max_lag, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = placed.select(*chain, F.col("_at").cast("long").alias("_at"), "_v", F.explode(blocks).alias("_block"))
+    fields = [f for f in rows.schema.fields if f.name in chain]
+    schema = StructType([*fields, StructField("lag", LongType()), StructField("s", DoubleType()), StructField("m", LongType())])
+
+    def sums(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_at")
+        before = int(np.count_nonzero(group["_at"].to_numpy() // block < group["_block"][0].as_py()))
+        found = _lag_sums(group["_v"].to_numpy(), before, max_lag) if before < len(group) else np.zeros(0)
+        keys = group.select(list(chain)).take(pa.array(np.zeros(len(found), np.int64)))
+        for name, values in {"lag": np.arange(len(found)), "s": found, "m": np.full(len(found), len(group) - before)}.items():
+            keys = keys.append_column(name, pa.array(values))
+        return keys
+
+    parts = rows.groupBy(*chain, "_block").applyInArrow(sums, schema).groupBy(*chain, "lag").agg(F.sum("s").alias("s"), F.sum("m").alias("n"))
+    s0 = F.first("s").over(by.orderBy("lag"))
+    rho = F.when(s0 > 0, F.col("s") / s0).otherwise(F.when(F.col("lag") == 0, 1.0).otherwise(0.0))
+    return parts.select(*chain, "lag", "n", rho.alias("rho"))
 
 
 def iact(acf: DataFrame, *chain: str) -> DataFrame:
@@ -96,8 +125,10 @@ def trace_summary(trace: DataFrame, keys: list[str], variables: tuple[str, ...]
     """A row for each setting (``keys``) and variable: R-hat, and means over its chains.
 
     ``trace`` has the keys, chain, i, the variables and, for effective sizes a
-    second of sampling, sampler_seconds.
+    second of sampling, sampler_seconds.  It is staged, so that what makes it, a
+    sampler perhaps, runs once, and seconds belong to the values beside them.
     """
+    trace = staged(trace.select(*keys, "chain", "i", *variables, *[c for c in ("sampler_seconds",) if c in trace.columns]))
     long = trace.unpivot([*keys, "chain", "i"], list(variables), "variable", "v")
     sizes = ess(long, max_lag, *keys, "variable", "chain")
     more = []

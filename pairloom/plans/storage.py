@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
             folder = tempfile.mkdtemp(prefix="pairloom-")
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared folder, so that what reads them again doesn't work them out again."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -16,6 +16,7 @@ from pairloom.operators import diagnostics as D
 from pairloom.operators import estimators as E
 from pairloom.operators import matching as M
 from pairloom.operators import summaries as S
+from pairloom.operators.metric import nearest_join, of_units
 from pairloom.operators.paths import BETAS
 from pairloom.operators.paths import beta_path as beta_path_of
 from pairloom.plans.storage import shared_folder
@@ -138,18 +139,20 @@ def dist_embed(spark, d):
 
 @query(f"WITH {_VEC} SELECT rid, did, rank, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY dist, did) AS rank FROM e) WHERE rank <= 3")
 def knn_embed(spark, d):
-    rank = F.row_number().over(Window.partitionBy("rid").orderBy("dist", "did")).cast("long")
-    return _vector_pairs(spark, d).withColumn("rank", rank).where("rank <= 3").select("rid", "did", "rank", r6("dist"))
+    """The three nearest of other labels for each vector of label 1."""
+    v = table(spark, d, "embeddings").select(F.lit(1).alias("sim"), "vec_id", "label", F.col("embedding").alias("x"))
+    found = nearest_join(v.where("label = 1").withColumnRenamed("vec_id", "rid"), v.where("label <> 1").withColumnRenamed("vec_id", "did"), 3)
+    return found.select("rid", "did", F.col("slot").alias("rank"), r6("dist"))
 
 
 @query(f"WITH {PAIRS} SELECT sim, rp, arg_min(dp, (dist, dp)) AS dp, round(min(dist), 6) AS dist FROM pairs GROUP BY sim, rp")
 def nn_join(spark, d):
-    return _pairs(spark, d).groupBy("sim", "rp").agg(F.min_by("dp", F.struct("dist", "dp")).alias("dp"), r6(F.min("dist"), "dist"))
+    return nearest_join(*of_units(_ix(spark, d), [F.col("x1"), F.col("x2")]), 1).select("sim", F.col("rid").alias("rp"), F.col("did").alias("dp"), r6("dist"))
 
 
 @query(f"WITH {KNN} SELECT sim, rp, slot, dp, round(dist, 6) AS dist FROM knn")
 def knn_join(spark, d):
-    return M.nearest(_pairs(spark, d), 2).select("sim", "rp", F.col("slot").cast("long").alias("slot"), "dp", r6("dist"))
+    return nearest_join(*of_units(_ix(spark, d), [F.col("x1"), F.col("x2")]), 2).select("sim", F.col("rid").alias("rp"), "slot", F.col("did").alias("dp"), r6("dist"))
 
 
 @query(f"WITH {PAIRS} SELECT sim, rp, dp, row_number() OVER (PARTITION BY sim, rp ORDER BY dist, dp) AS rank, row_number() OVER (PARTITION BY sim, rp ORDER BY dist DESC, dp DESC) AS rank_from_far FROM pairs")
