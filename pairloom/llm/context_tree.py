@@ -11,7 +11,8 @@ a bit's probability is a mixture of the estimates of all depths.
 Counts are of grams: DEPTH bytes and the one that follows.  They are gathered in
 blocks of the input, a block's distinct grams once, and summed by gram; no task
 and no driver has them all, and they grow with the corpus.  Weights go up the
-trees, one aggregate a level, and probabilities come down, one join a level.
+trees and probabilities come down again: over grams with the same nearest bytes
+in one task, and over the levels above by one aggregate and one join a level.
 Each block then gets the probabilities of its own grams, and its texts are read
 against these.  Grams that no training text has take part with counts of zero,
 so they need no rule of their own.
@@ -26,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ from pairloom.llm.shared import cut, shared_folder, spread, table, text_batches
 
 #: Bytes of context; with the byte that follows, a gram is a long.
 DEPTH = 5
+#: Bytes of context that all grams of a subtree share.
+TOP = 3
 #: Closes a text; no word has it.  It also stands for what precedes a text.
 END = b"\n"
 #: Bytes that are looked up at once.
@@ -131,84 +135,135 @@ def _spans(streams: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield given()
 
 
-def log_kt(zeros: Column, ones: Column) -> Column:
-    """Natural logarithm of the Krichevsky-Trofimov probability of a sequence with so many zeros and ones."""
+def log_kt(zeros, ones, log):
+    """Natural logarithm of the Krichevsky-Trofimov probability of a sequence with so many zeros and ones.
 
-    def log_gamma(x: Column) -> Column:
+    Of columns or of arrays, with their function ``log``.
+    """
+
+    def log_gamma(x):
         # Stirling's series at x + 8, and back by the recurrence.
-        z = x + 8
-        series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+        z = x + 8.0
+        series = (z - 0.5) * log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12.0 * z) - 1 / (360.0 * z * z * z) + 1 / (1260.0 * z * z * z * z * z)
         below = x
         for i in range(1, 8):
-            below = below * (x + i)
-        return series - F.log(below)
+            below = below * (x + float(i))
+        return series - log(below)
 
-    exact = log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
-    return F.when(zeros + ones == 0, F.lit(0.0)).otherwise(exact)
+    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-def _node(depth: int, gram: Column, bits: Column) -> Column:
-    """A node's key: ``depth`` bytes of context and the bits decided, led by a one."""
-    context = F.shiftright(gram, 8).bitwiseAND(F.lit(256**depth - 1))
-    return F.shiftleft(context, 8).bitwiseOR(bits)
+class Subtrees:
+    """The nodes, TOP to DEPTH deep, over some grams that are all that have their TOP nearest bytes.
 
+    A node's key is its context and, in the lowest byte, the bits decided, led by a one.
+    """
 
-def _decisions(grams: DataFrame) -> DataFrame:
-    """Eight rows for each gram: bits decided before, and the bit decided."""
-    symbol = F.col("gram").bitwiseAND(F.lit(255))
-    j = F.posexplode(F.array(*[F.lit(i) for i in range(8)])).alias("j", "_")
-    rows = grams.select("*", j)
-    return rows.withColumns(
-        {
-            "node": _node(DEPTH, F.col("gram"), F.expr("shiftleft(1L, j)").bitwiseOR(F.call_function("shiftright", symbol, 8 - F.col("j")))),
-            "bit": F.call_function("shiftright", symbol, 7 - F.col("j")).bitwiseAND(F.lit(1)),
-        }
-    ).drop("j", "_")
+    def __init__(self, grams: np.ndarray, seen: np.ndarray) -> None:
+        symbol, context = grams & 255, grams >> 8
+        eight = [((context << 8) | (1 << j) | (symbol >> (8 - j)), (symbol >> (7 - j)) & 1) for j in range(8)]
+        keys, self.bits = np.concatenate([k for k, _ in eight]), np.concatenate([b for _, b in eight])
+        keys, self.at = np.unique(keys, return_inverse=True)
+        many = np.tile(seen, 8)
+        zeros = np.bincount(self.at, np.where(self.bits == 0, many, 0), len(keys))
+        ones = np.bincount(self.at, np.where(self.bits == 1, many, 0), len(keys))
+        #: From DEPTH up: zeros, ones, the share of a node's own estimate, and the node's place among those one byte less deep.
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        stays, whole = np.ones(len(keys)), log_kt(zeros, ones, np.log)
+        for depth in range(DEPTH, TOP, -1):
+            above, up = np.unique(keys & (256**depth - 1), return_inverse=True)
+            self.levels.append((zeros, ones, stays, up))
+            deeper = np.bincount(up, whole, len(above))
+            zeros, ones = np.bincount(up, zeros, len(above)), np.bincount(up, ones, len(above))
+            own, keys = log_kt(zeros, ones, np.log), above
+            stays = 1 / (1 + np.exp(np.minimum(deeper - own, 700)))
+            whole = np.logaddexp(own, deeper) - math.log(2)
+        self.keys, self.zeros, self.ones, self.deeper = keys, zeros, ones, deeper
+
+    def log10p(self, p0: np.ndarray, p1: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Each gram's probability, from the mixtures down to TOP of ``self.keys`` and what is left to deeper nodes."""
+        for zeros, ones, stays, up in reversed(self.levels):
+            share, total = rest[up] * stays, zeros + ones + 1
+            p0, p1 = p0[up] + share * (zeros + 0.5) / total, p1[up] + share * (ones + 0.5) / total
+            rest = rest[up] * (1 - stays)
+        return np.log10(np.where(self.bits == 0, p0[self.at], p1[self.at])).reshape(8, -1).sum(axis=0)
+
+
+def _near(gram: Column) -> Column:
+    """The TOP nearest bytes of a gram's context."""
+    return F.shiftright(gram, 8).bitwiseAND(F.lit(256**TOP - 1))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows ordered by their first column, near, some SPAN at a time and never with a part of those that share it."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= SPAN:
+            rows = pa.Table.from_batches(held)
+            near = rows.column(0).to_numpy()
+            begin = int(np.searchsorted(near, near[-1]))
+            if begin:
+                yield rows.slice(0, begin)
+            held = rows.slice(begin).to_batches()
+            n = len(rows) - begin
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _whole(batches):
+        t = Subtrees(rows["gram"].to_numpy(), rows["seen"].to_numpy())
+        yield from pa.table({"node": t.keys, "n0": t.zeros, "n1": t.ones, "deeper": t.deeper}).to_batches(SPAN)
+
+
+def _down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _whole(batches):
+        of_gram = pc.is_valid(rows["gram"])
+        own, above = rows.filter(of_gram), rows.filter(pc.invert(of_gram))
+        t = Subtrees(own["gram"].to_numpy(), own["seen"].to_numpy())
+        order = np.argsort(above["node"].to_numpy())
+        mixed = [above[c].to_numpy()[order] for c in ("p0", "p1", "rest")]
+        yield from pa.table({"gram": own["gram"], "log10p": t.log10p(*mixed)}).to_batches(SPAN)
 
 
 def gram_scores(counts: DataFrame) -> DataFrame:
-    """gram and log10p, the probability of its last byte after the others, from ``counts``: gram, seen (0 and more), each gram once."""
-    level = (
-        _decisions(counts)
-        .groupBy("node")
-        .agg(F.sum(F.when(F.col("bit") == 0, F.col("seen")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("seen")).otherwise(0)).alias("n1"))
-        .withColumn("deeper", F.lit(None).cast("double"))
-    )
+    """gram and log10p, the probability of its last byte after the others, from ``counts``: gram, seen (0 and more), each gram once.
+
+    Grams that share their TOP nearest bytes are in one task, a small share of
+    all, which works out their subtrees; the levels above are aggregates and joins.
+    """
+    near = counts.withColumn("near", _near(F.col("gram")))
+    ordered = near.select("near", "gram", "seen").repartition("near").sortWithinPartitions("near")
+    level = ordered.mapInArrow(_up, "node long, n0 double, n1 double, deeper double")
     levels: list[DataFrame] = []
-    for depth in range(DEPTH, -1, -1):
-        own = level.withColumn("own", log_kt(F.col("n0").cast("double"), F.col("n1").cast("double")))
-        if depth < DEPTH:
-            gap = F.col("own") - F.col("deeper")
-            own = own.withColumns(
-                {
-                    "stays": 1 / (1 + F.exp(-gap)),
-                    "all": F.greatest("own", "deeper") + F.log1p(F.exp(-F.abs(gap))) - math.log(2),
-                }
-            )
-        else:
-            own = own.withColumns({"stays": F.lit(1.0), "all": F.col("own")})
-        levels.append(cut(own.drop("own", "deeper")))
+    for depth in range(TOP, -1, -1):
+        own = level.withColumn("own", log_kt(F.col("n0"), F.col("n1"), F.log))
+        gap = F.col("own") - F.col("deeper")
+        whole = F.greatest("own", "deeper") + F.log1p(F.exp(-F.abs(gap))) - math.log(2)
+        levels.append(cut(own.select("node", "n0", "n1", (1 / (1 + F.exp(-gap))).alias("stays"), whole.alias("whole"))))
         if depth:
             # The oldest byte of the context goes.
             parent = F.col("node").bitwiseAND(F.lit(256**depth - 1))
-            level = levels[-1].groupBy(parent.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("all").alias("deeper"))
+            level = levels[-1].groupBy(parent.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("whole").alias("deeper"))
     above = None
     for depth, level in enumerate(reversed(levels)):
-        total = F.col("n0") + F.col("n1") + 1.0
-        here = level.withColumns({"e0": (F.col("n0") + 0.5) / total, "e1": (F.col("n1") + 0.5) / total})
         if above is None:
-            mixed = here.withColumns({"p0": F.lit(0.0), "p1": F.lit(0.0), "rest": F.lit(1.0)})
+            mixed = level.withColumns({"p0": F.lit(0.0), "p1": F.lit(0.0), "rest": F.lit(1.0)})
         else:
-            mixed = here.withColumn("up", F.col("node").bitwiseAND(F.lit(256**depth - 1))).join(above.withColumnRenamed("node", "up"), "up")
-        share = F.col("rest") * F.col("stays")
+            mixed = level.withColumn("up", F.col("node").bitwiseAND(F.lit(256**depth - 1))).join(above.withColumnRenamed("node", "up"), "up")
+        share, total = F.col("rest") * F.col("stays"), F.col("n0") + F.col("n1") + 1.0
         above = mixed.select(
             "node",
-            (F.col("p0") + share * F.col("e0")).alias("p0"),
-            (F.col("p1") + share * F.col("e1")).alias("p1"),
+            (F.col("p0") + share * (F.col("n0") + 0.5) / total).alias("p0"),
+            (F.col("p1") + share * (F.col("n1") + 0.5) / total).alias("p1"),
             (F.col("rest") * (1 - F.col("stays"))).alias("rest"),
         )
-    bits = _decisions(counts.select("gram")).join(above, "node")
-    return bits.groupBy("gram").agg(F.sum(F.log10(F.when(F.col("bit") == 0, F.col("p0")).otherwise(F.col("p1")))).alias("log10p"))
+    both = near.unionByName(above.withColumn("near", _near(F.col("node"))), allowMissingColumns=True)
+    both = both.select("near", "gram", "seen", "node", "p0", "p1", "rest").repartition("near").sortWithinPartitions("near")
+    return both.mapInArrow(_down, "gram long, log10p double")
 
 
 def _tables(blocks: DataFrame) -> DataFrame:
@@ -265,16 +320,10 @@ def _same(ids: np.ndarray) -> list[tuple[int, int]]:
     return [(int(b), int(e)) for b, e in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)] if len(ids) else []
 
 
-def _packed(rows: DataFrame, item: str, value: str) -> DataFrame:
-    """Rows of block, item and value as some arrays a block."""
-    piece = F.pmod(F.xxhash64(item), F.lit(64))
-    return rows.groupBy("block", piece.alias("_piece")).agg(F.collect_list(F.struct(F.col(item).alias("item"), F.col(value).alias("value"))).alias(item)).drop("_piece")
-
-
 def _read(key: str, kind: str, tokens: int, distinct: int, ends: int) -> tuple[Callable, str]:
     """Reads blocks: first a block's table, then its texts, scored against it."""
 
-    def scored(keys: pa.Array, held: pa.Array, texts: pa.Array, grams: GramTable, logs: np.ndarray, words: dict[bytes, int]) -> pa.RecordBatch:
+    def scored(keys: pa.Array, held: pa.Array, texts: pa.Array, grams: GramTable, logs: np.ndarray, words: dict[bytes, float]) -> pa.RecordBatch:
         rows = [(t.as_py() or "").encode().lower().split() for t in texts]
         score = np.zeros(len(rows))
         streams = [stream_of(row) for row in rows]
@@ -282,7 +331,7 @@ def _read(key: str, kind: str, tokens: int, distinct: int, ends: int) -> tuple[C
             score += np.bincount(owner, logs[grams.find(some)], minlength=len(rows))
         known, base = [], []
         for row in rows:
-            seen = np.fromiter(map(words.__getitem__, row), np.int64, len(row))
+            seen = np.fromiter(map(words.__getitem__, row), float, len(row))
             known.append(int((seen > 0).sum()) + (ends > 0))
             base.append(float(np.log10(seen + 1).sum() + math.log10(ends + 1) - (len(row) + 1) * math.log10(tokens + distinct + 1)))
         columns = [
@@ -298,24 +347,25 @@ def _read(key: str, kind: str, tokens: int, distinct: int, ends: int) -> tuple[C
         return pa.RecordBatch.from_arrays(columns, [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, grams, logs, words = None, GramTable(), np.zeros(0), {}
+        of, parts, words = None, [], {}
+        grams, logs = GramTable(), np.zeros(0)
         for batch in batches:
-            blocks = np.asarray(batch.column(0))
-            for begin, end in _same(blocks * 2 + np.asarray(batch.column(1))):
+            blocks = np.asarray(batch["block"])
+            for begin, end in _same(blocks * 2 + np.asarray(batch["kind"])):
                 if blocks[begin] != of:
-                    of, grams, logs, words = blocks[begin], GramTable(), np.zeros(0), {}
+                    of, parts, words = blocks[begin], [], {}
                 part = batch.slice(begin, end - begin)
-                if part.column(1)[0].as_py():
-                    yield scored(part.column(2), part.column(3), part.column(4), grams, logs, words)
+                if not part["kind"][0].as_py():
+                    is_gram = part["gram"].is_valid()
+                    parts.append((part["gram"].filter(is_gram).to_numpy(), part["value"].filter(is_gram).to_numpy()))
+                    other = pc.invert(is_gram)
+                    words.update(zip(part["word"].filter(other).to_pylist(), part["value"].filter(other).to_pylist(), strict=True))
                     continue
-                pairs = part.column(5).flatten()
-                found = np.asarray(pairs.field(0)) if len(pairs) else np.zeros(0, np.int64)
-                new, first = np.unique(found, return_index=True)
-                fresh = grams.find(new) < 0
-                grams.add(new[fresh])
-                logs = np.concatenate([logs, np.asarray(pairs.field(1))[first[fresh]] if len(pairs) else np.zeros(0)])
-                pairs = part.column(6).flatten()
-                words.update(zip(pairs.field(0).to_pylist(), pairs.field(1).to_pylist(), strict=True))
+                if parts:
+                    found, first = np.unique(np.concatenate([g for g, _ in parts]), return_index=True)
+                    grams, logs, parts = GramTable(), np.concatenate([v for _, v in parts])[first], []
+                    grams.add(found)
+                yield scored(part["_key"], part["held_out"], part["text"], grams, logs, words)
 
     return run, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
@@ -341,9 +391,10 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     frame = spread(docs.select(F.col(key).alias("_key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text")))
     kind = frame.schema["_key"].dataType.simpleString()
     folder = f"{shared_folder(spark)}/context-tree-{uuid.uuid4().hex}"
-    frame.withColumn("block", F.spark_partition_id().cast("long")).write.parquet(folder)
-    blocks = spark.read.parquet(folder)
-    tables = cut(_tables(blocks))
+    frame.withColumn("block", F.spark_partition_id().cast("long")).write.parquet(f"{folder}/texts")
+    blocks = spark.read.parquet(f"{folder}/texts")
+    _tables(blocks).write.parquet(f"{folder}/tables")
+    tables = spark.read.parquet(f"{folder}/tables")
     grams = tables.where(F.col("gram").isNotNull()).select("block", "gram", "seen")
     words = tables.where(F.col("word").isNotNull()).select("block", "word", "seen")
     scores = gram_scores(cut(grams.groupBy("gram").agg(F.sum("seen").alias("seen"))))
@@ -351,16 +402,12 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     total = counts.agg(F.sum("count").alias("n"), F.count_if(F.col("count") > 0).alias("v")).first()
     ends = blocks.where(~F.col("held_out")).count()
     run, schema = _read(key, kind, (total["n"] or 0) + ends, total["v"] + (ends > 0), ends)
-    of_grams = _packed(grams.select("block", "gram").join(scores, "gram"), "gram", "log10p")
-    of_words = _packed(words.select("block", "word").join(counts, "word"), "word", "count")
-    rows = blocks.withColumn("kind", F.lit(1)).unionByName(
-        of_grams.unionByName(of_words, allowMissingColumns=True).withColumn("kind", F.lit(0)), allowMissingColumns=True
-    )
-    # Arrays that are missing are empty, so that their entries can be read at once.
-    full = {c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in ("gram", "word")}
+    of_grams = grams.select("block", "gram").join(scores, "gram").withColumnRenamed("log10p", "value")
+    of_words = words.select("block", "word").join(counts, "word").withColumn("value", F.col("count").cast("double")).drop("count")
+    known = of_grams.unionByName(of_words, allowMissingColumns=True).withColumn("kind", F.lit(0))
+    rows = blocks.withColumn("kind", F.lit(1)).unionByName(known, allowMissingColumns=True)
     return (
-        rows.withColumns(full)
-        .select("block", "kind", "_key", "held_out", "text", "gram", "word")
+        rows.select("block", "kind", "_key", "held_out", "text", "gram", "word", "value")
         .repartition("block")
         .sortWithinPartitions("block", "kind")
         .mapInArrow(run, schema)
