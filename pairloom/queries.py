@@ -17,6 +17,7 @@ from pairloom.operators import estimators as E
 from pairloom.operators import matching as M
 from pairloom.operators import summaries as S
 from pairloom.operators.metric import nearest_join, of_units
+from pairloom.operators.ordered import quantiles, running_sums
 from pairloom.operators.paths import BETAS
 from pairloom.operators.paths import beta_path as beta_path_of
 from pairloom.plans.storage import shared_folder
@@ -691,11 +692,10 @@ SELECT chain, i, n1::BIGINT AS n_type1, round(a::DOUBLE / i, 6) AS rate, CASE WH
 def type_rates(spark, d):
     """Running acceptance, overall and by type; a value over the median stands for an accepted proposal."""
     rows = _trace(spark, d)
-    # Values are counted before they are put in order, so what one task sorts is the different values.
-    middle = rows.groupBy("v").agg(F.count("*").alias("n")).agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("mid"))
+    middle = quantiles(rows, [], "v", {"mid": 0.5}).first()
     own = Window.partitionBy("chain").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    one, ok = (F.col("event_type") == "purchase").cast("int"), (F.col("v") > F.col("mid")).cast("int")
-    sums = rows.join(F.broadcast(middle)).select("chain", "i", F.sum(one).over(own).alias("n_type1"), F.sum(one * ok).over(own).alias("a1"), F.sum(ok).over(own).alias("a"))
+    one, ok = (F.col("event_type") == "purchase").cast("int"), (F.col("v") > F.lit(middle["mid"] if middle else None)).cast("int")
+    sums = rows.select("chain", "i", F.sum(one).over(own).alias("n_type1"), F.sum(one * ok).over(own).alias("a1"), F.sum(ok).over(own).alias("a"))
     return sums.select("chain", "i", "n_type1", r6(F.col("a") / F.col("i"), "rate"), r6(ratio(F.col("a1"), F.col("n_type1")), "type1_rate"))
 
 
@@ -920,9 +920,10 @@ def bias_by_n(spark, d):
 @query(f"""{_PATH} SELECT beta, sim, round(avg(tau) OVER w, 6) AS running_mean_tau, round(avg(tau) OVER w - 0.1, 6) AS running_bias, round(abs(avg(tau) OVER w - 0.1), 6) AS running_abs_bias
 FROM path WINDOW w AS (PARTITION BY beta ORDER BY sim ROWS UNBOUNDED PRECEDING)""")
 def bias_by_rep(spark, d):
-    own = Window.partitionBy("beta").orderBy("sim").rowsBetween(Window.unboundedPreceding, 0)
-    mean = F.avg("tau").over(own)
-    return _path(spark, d).select("beta", "sim", r6(mean, "running_mean_tau"), r6(mean - 0.1, "running_bias"), r6(F.abs(mean - 0.1), "running_abs_bias"))
+    """The bias of the first replications, as their number grows."""
+    rows = running_sums(_path(spark, d).select("beta", "sim", "tau"), ["beta"], ["sim"], total=F.col("tau"), n=F.lit(1))
+    mean = F.col("total") / F.col("n")
+    return rows.select("beta", "sim", r6(mean, "running_mean_tau"), r6(mean - 0.1, "running_bias"), r6(F.abs(mean - 0.1), "running_abs_bias"))
 
 
 # Settings, text and generated data
