@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ TOP = 3
 END = b"\n"
 #: Bytes that are looked up at once.
 SPAN = 1 << 20
+#: Bytes of a scan's parts that are put together in a block.
+BLOCK_BYTES = 64 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,7 +96,7 @@ class GramTable:
         """Number grams, all different and none of them known, onwards."""
         self.grams = np.concatenate([self.grams, grams])
         if 2 * len(self.grams) > self._mask:
-            self._room(1 << (4 * len(self.grams)).bit_length())
+            self._room(1 << (2 * len(self.grams)).bit_length())
             grams = self.grams
         first = len(self.grams) - len(grams)
         at, left = self._home(grams), np.arange(len(grams))
@@ -266,52 +269,47 @@ def gram_scores(counts: DataFrame) -> DataFrame:
     return both.mapInArrow(_down, "gram long, log10p double")
 
 
-def _tables(blocks: DataFrame) -> DataFrame:
-    """What the blocks have: rows of block, kind (0: grams, 1: words), gram or word, seen in training texts."""
+INDEXED = pa.schema(
+    [("block", pa.int64()), ("kind", pa.int32()), ("gram", pa.int64()), ("word", pa.binary()), ("seen", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string())]
+)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, grams, seen, words, train = None, GramTable(), np.zeros(0, np.int64), Counter(), Counter()
-
-        def given() -> Iterator[pa.RecordBatch]:
-            names = ["block", "gram", "word", "seen"]
-            for at in range(0, len(grams.grams), SPAN):
-                some = grams.grams[at : at + SPAN]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(some), of)), pa.array(some), pa.nulls(len(some), pa.binary()), pa.array(seen[at : at + SPAN])], names
-                )
-            known = list(words)
-            for at in range(0, len(known), SPAN):
-                some = known[at : at + SPAN]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(some), of)), pa.nulls(len(some), pa.int64()), pa.array(some, pa.binary()), pa.array([train[w] for w in some], pa.int64())], names
-                )
 
-        for batch in batches:
-            ids = np.asarray(batch.column(0))
-            for begin, end in _same(ids):
-                if of is not None and ids[begin] != of:
-                    yield from given()
-                    grams, seen, words, train = GramTable(), np.zeros(0, np.int64), Counter(), Counter()
-                of = int(ids[begin])
-                for held in (False, True):
-                    texts = [t.as_py() for t, h in zip(batch.column(2)[begin:end], batch.column(1)[begin:end], strict=True) if h.as_py() == held]
-                    rows = [(t or "").encode().lower().split() for t in texts]
-                    for row in rows:
-                        (words if held else train).update(row)
-                    for some, _ in _spans([stream_of(row) for row in rows]):
-                        at = grams.find(some)
-                        new = np.unique(some[at < 0])
-                        if len(new):
-                            grams.add(new)
-                            seen = np.concatenate([seen, np.zeros(len(new), np.int64)])
-                            at = np.where(at < 0, grams.find(some), at)
-                        if not held:
-                            seen += np.bincount(at, minlength=len(seen))
-        if of is not None:
-            words.update(train)
-            yield from given()
-
-    return blocks.select("block", "held_out", "text").mapInArrow(run, "block long, gram long, word binary, seen long")
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts (kind 1) of one task, which are a block, and after them its distinct grams and words (kind 0), with how often texts that aren't held out have them."""
+    block = TaskContext.get().partitionId()
+    grams, seen, words, train = GramTable(), np.zeros(0, np.int64), set(), Counter()
+
+    def rows(n: int, kind: int, **columns: pa.Array) -> pa.RecordBatch:
+        given = {"block": pa.array(np.full(n, block)), "kind": pa.array(np.full(n, kind, np.int32))} | columns
+        schema = pa.schema([*INDEXED, pa.field("_key", key)])
+        return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    key = pa.null()
+    for batch in batches:
+        key = batch.schema.field(0).type
+        yield rows(len(batch), 1, _key=batch.column(0), held_out=batch.column(1), text=batch.column(2).cast(pa.string()))
+        held = batch.column(1).to_pylist()
+        all_rows = [(t.as_py() or "").encode().lower().split() for t in batch.column(2)]
+        for is_held in (False, True):
+            own = [row for row, h in zip(all_rows, held, strict=True) if h == is_held]
+            for row in own:
+                (words if is_held else train).update(row)
+            for some, _ in _spans([stream_of(row) for row in own]):
+                at = grams.find(some)
+                new = np.unique(some[at < 0])
+                if len(new):
+                    grams.add(new)
+                    seen = np.concatenate([seen, np.zeros(len(new), np.int64)])
+                    at = np.where(at < 0, grams.find(some), at)
+                if not is_held:
+                    seen += np.bincount(at, minlength=len(seen))
+    for at in range(0, len(grams.grams), SPAN):
+        some = grams.grams[at : at + SPAN]
+        yield rows(len(some), 0, gram=pa.array(some), seen=pa.array(seen[at : at + SPAN]))
+    known = list(words | train.keys())
+    for at in range(0, len(known), SPAN):
+        some = known[at : at + SPAN]
+        yield rows(len(some), 0, word=pa.array(some, pa.binary()), seen=pa.array([train[w] for w in some], pa.int64()))
 
 
 def _same(ids: np.ndarray) -> list[tuple[int, int]]:
@@ -391,21 +389,25 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     frame = spread(docs.select(F.col(key).alias("_key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text")))
     kind = frame.schema["_key"].dataType.simpleString()
     folder = f"{shared_folder(spark)}/context-tree-{uuid.uuid4().hex}"
-    frame.withColumn("block", F.spark_partition_id().cast("long")).write.parquet(f"{folder}/texts")
-    blocks = spark.read.parquet(f"{folder}/texts")
-    _tables(blocks).write.parquet(f"{folder}/tables")
-    tables = spark.read.parquet(f"{folder}/tables")
-    grams = tables.where(F.col("gram").isNotNull()).select("block", "gram", "seen")
-    words = tables.where(F.col("word").isNotNull()).select("block", "word", "seen")
+    # Parts that are small are put together, so that a block's grams, most of which all blocks have, are not too many for its texts.
+    parts = frame.rdd.getNumPartitions()
+    together = max(1, BLOCK_BYTES // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if parts > spark.sparkContext.defaultParallelism and together > 1:
+        frame = frame.coalesce(-(-parts // together))
+    frame.mapInArrow(_indexed, f"block long, kind int, gram long, word binary, seen long, held_out boolean, text string, _key {kind}").write.parquet(folder)
+    indexed = spark.read.parquet(folder)
+    texts, known = indexed.where("kind = 1"), indexed.where("kind = 0")
+    grams = known.where(F.col("gram").isNotNull()).select("block", "gram", "seen")
+    words = known.where(F.col("word").isNotNull()).select("block", "word", "seen")
     scores = gram_scores(cut(grams.groupBy("gram").agg(F.sum("seen").alias("seen"))))
     counts = cut(words.groupBy("word").agg(F.sum("seen").alias("count")))
     total = counts.agg(F.sum("count").alias("n"), F.count_if(F.col("count") > 0).alias("v")).first()
-    ends = blocks.where(~F.col("held_out")).count()
+    ends = texts.where(~F.col("held_out")).count()
     run, schema = _read(key, kind, (total["n"] or 0) + ends, total["v"] + (ends > 0), ends)
     of_grams = grams.select("block", "gram").join(scores, "gram").withColumnRenamed("log10p", "value")
     of_words = words.select("block", "word").join(counts, "word").withColumn("value", F.col("count").cast("double")).drop("count")
-    known = of_grams.unionByName(of_words, allowMissingColumns=True).withColumn("kind", F.lit(0))
-    rows = blocks.withColumn("kind", F.lit(1)).unionByName(known, allowMissingColumns=True)
+    table_rows = of_grams.unionByName(of_words, allowMissingColumns=True).withColumn("kind", F.lit(0))
+    rows = texts.select("block", "kind", "_key", "held_out", "text").unionByName(table_rows, allowMissingColumns=True)
     return (
         rows.select("block", "kind", "_key", "held_out", "text", "gram", "word", "value")
         .repartition("block")
