@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom import study
+from pairloom import compare, study
 from pairloom.functions import finite, float_label, items, missing_to_null, ratio, size_map
 from pairloom.operators import chains as C
 from pairloom.operators import diagnostics as D
@@ -441,8 +441,12 @@ _MH_TRACE = f" SELECT c.sim, c.t AS iter, {_STATE}, c.ok AS accepted, c.total AS
 
 
 def _gibbs_sql(k: int) -> str:
-    return f"""WITH RECURSIVE {_start_sql(k)},
-chain AS (
+    return f"WITH RECURSIVE {_start_sql(k)}, {_gibbs_chain(k, 5)}"
+
+
+def _gibbs_chain(k: int, n_sweeps: int, name: str = "chain") -> str:
+    """``name``, a row for each slot that is sampled, and ``sweeps``, a row for each sweep."""
+    return f"""{name} AS (
   SELECT sim, 0::BIGINT AS j, mt, un, 0::BIGINT AS total FROM start
   UNION ALL
   SELECT sim, j + 1, CASE WHEN slot = 1 THEN mt ELSE list_transform(mt, lambda v, i: CASE WHEN i = x THEN un[slot - 1] ELSE v END) END,
@@ -453,8 +457,8 @@ chain AS (
                     FROM (SELECT *, list_transform(list_prepend(mt[x], un), lambda v: dr[v]) AS dd
                           FROM (SELECT sim, j, mt, un, total, (s0 * n + r)::INTEGER AS x, dm[r] AS dr, {uniform_sql("(sim)", "1", "(t)", "g", "(r)", "(s0 + 1)")} AS u
                                 FROM (SELECT c.*, s.dm, s.n, (c.j // {k} % s.n + 1)::INTEGER AS r, c.j % {k} AS s0, c.j // ({k} * s.n) + 1 AS t
-                                      FROM chain c JOIN start s USING (sim) WHERE c.j < 5 * {k} * s.n))))))),
-sweeps AS (SELECT c.sim, c.j // ({k} * s.n) AS t, c.mt, c.total, c.total - lag(c.total) OVER (PARTITION BY c.sim ORDER BY c.j) AS ok FROM chain c JOIN start s USING (sim) WHERE c.j % ({k} * s.n) = 0)"""
+                                      FROM {name} c JOIN start s USING (sim) WHERE c.j < {n_sweeps} * {k} * s.n))))))),
+sweeps AS (SELECT c.sim, c.j // ({k} * s.n) AS t, c.mt, c.total, c.total - lag(c.total) OVER (PARTITION BY c.sim ORDER BY c.j) AS ok FROM {name} c JOIN start s USING (sim) WHERE c.j % ({k} * s.n) = 0)"""
 
 
 _GIBBS_TRACE = f" SELECT c.sim, c.t AS iter, {_STATE}, c.total AS accepted_count FROM sweeps c JOIN start s USING (sim)"
@@ -551,6 +555,75 @@ for _name, (_n, _rows) in _STUDIES.items():
     SQL[f"run_{_name}"] = _study_sql(_rows, _how.within, _how.variances, _how.counts, _how.difference)
 
 
+# Two samplers on one replication
+
+
+def _points_sql(n: int, every: int) -> str:
+    """From both (sim, t, ta, tb, ...): running means ra, rb at checkpoints ``at``, and the errors ea, eb, ed of batch means."""
+    return f"""pts AS (SELECT unnest({list(range(every, n + 1, every))})::BIGINT AS at_),
+run AS (SELECT sim, at_, avg(ta) AS ra, avg(tb) AS rb, avg((ka > 0)::INTEGER) AS pa, avg((kb > 0)::INTEGER) AS pb, sum(na) / (at_ * any_value(n)) AS qa, sum(nb) / (at_ * any_value(n)) AS qb FROM both_, pts WHERE t <= at_ GROUP BY 1, 2),
+bat AS (SELECT sim, at_, (t - 1) // b AS g, avg(ta) AS ma, avg(tb) AS mb FROM (SELECT *, floor(sqrt(at_))::BIGINT AS b FROM both_, pts) WHERE t <= at_ // b * b GROUP BY 1, 2, 3),
+err AS (SELECT sim, at_, sqrt(var_samp(ma) / count(*)) AS ea, sqrt(var_samp(mb) / count(*)) AS eb, sqrt(var_samp(ma - mb) / count(*)) AS ed FROM bat GROUP BY 1, 2)"""
+
+
+def _compared_sql(a: str, b: str, more: str = "") -> str:
+    off = lambda x, name: f"floor(({x}) * 1e6 + 0.381966) / 1e6 AS {name}"
+    return f"""SELECT sim, at_ AS mcmc_iter, {off("ra", f"running_tau_{a}")}, {off("rb", f"running_tau_{b}")}, {off("ra - rb", "tau_diff")}, round(ea, 6) AS mc_error_{a}, round(eb, 6) AS mc_error_{b},
+  round(ed, 6) AS mc_error_diff, round(pa, 6) AS moved_rate_{a}, round(pb, 6) AS moved_rate_{b}, round(qa, 6) AS row_rate_{a}, round(qb, 6) AS row_rate_{b}{more} FROM run JOIN err USING (sim, at_)"""
+
+
+def _compared(found: DataFrame, samplers: tuple[str, ...], *more: str) -> DataFrame:
+    one = [c for s in samplers for c in (off_ties(f"running_tau_{s}"), r6(f"mc_error_{s}"), r6(f"moved_rate_{s}"), r6(f"row_rate_{s}"))]
+    return found.select("sim", "mcmc_iter", *one, off_ties("tau_diff"), r6("mc_error_diff"), *map(r6, more))
+
+
+def _both_constrained(k: int) -> str:
+    tau = "s.rbar - list_avg(list_transform(c.mt, lambda v: s.dyl[v]))"
+    far = "list_sum(list_transform(c.mt, lambda v, i: s.dm[(i - 1) % s.n + 1][v]))"
+    return f"""{_mh_sql(k)}, {_gibbs_chain(k, N_DRAWS, "slots")},
+both_ AS (SELECT a.*, tb, fb, kb, kb AS nb FROM (SELECT c.sim, c.t, s.n, {tau} AS ta, {far} AS fa, c.ok AS ka, c.ok AS na FROM chain c JOIN start s USING (sim) WHERE c.t BETWEEN 1 AND {N_DRAWS}) a
+  JOIN (SELECT c.sim, c.t, {tau} AS tb, {far} AS fb, c.ok AS kb FROM sweeps c JOIN start s USING (sim) WHERE c.t > 0) b USING (sim, t)), {_points_sql(N_DRAWS, 5)}"""
+
+
+_FAR = "JOIN (SELECT sim, t AS at_, fa, fb FROM both_) USING (sim, at_)"
+
+
+def _compare_constrained(k: int) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        found = compare.compared(_units_x(spark, d), True, k, study.Options(n_iter=N_DRAWS, k=k), 5)
+        return _compared(found, compare.CONSTRAINED, "distance_mcmc", "distance_gibbs")
+
+    return run
+
+
+for _name, _k in (("compare_c1to1", 1), ("compare_c1tok", 2)):
+    QUERIES[_name] = _compare_constrained(_k)
+    SQL[_name] = f"{_both_constrained(_k)} {_compared_sql('mcmc', 'gibbs', ', round(fa, 6) AS distance_mcmc, round(fb, 6) AS distance_gibbs')} {_FAR}"
+
+
+_BOTH_FREE = f"""{_CHAINED}, {_TWO.removeprefix(f"WITH {KERNEL}, ")},
+both_ AS (SELECT a.sim, a.iter AS t, ta, tb, ka, na, n, 0 AS kb, 0 AS nb FROM (SELECT sim, iter, avg(ry) - avg(dy) AS ta FROM long GROUP BY 1, 2) a
+  JOIN (SELECT sim, iter, avg(ry) - avg((y1 + y2) / 2) AS tb FROM two WHERE iter <= 10 GROUP BY 1, 2) b USING (sim, iter)
+  JOIN (SELECT sim, t AS iter, max(ok) AS ka, sum(ok) AS na, count(*) AS n FROM chain WHERE t > 0 GROUP BY 1, 2) USING (sim, iter)), {_points_sql(10, 5)}"""
+
+
+@query(f"{_BOTH_FREE} {_compared_sql('mcmc', 'monte_carlo')}")
+def compare_u1tok(spark, d):
+    """Chains of sets against exact draws of them."""
+    return _compared(compare.compared(_units_x(spark, d), False, 2, study.Options(n_iter=10), 5), compare.UNCONSTRAINED)
+
+
+@query(f"""{_BOTH_FREE}, long_ AS (SELECT 'mcmc' AS sampler, at_, sim, ra AS tau FROM run UNION ALL SELECT 'monte_carlo', at_, sim, rb FROM run),
+gap AS (SELECT at_, avg(ra - rb) AS d, max(abs(ra - rb)) AS m, avg((abs(ra - rb) <= 2 * ed)::INTEGER) AS agree FROM run JOIN err USING (sim, at_) GROUP BY 1)
+SELECT sampler, at_ AS mcmc_iter, count(*) AS n_sim, round(avg(tau), 6) AS mean_tau, round(stddev_samp(tau), 6) AS sd_tau, round(quantile_cont(tau, 0.05), 6) AS q05_tau, round(quantile_cont(tau, 0.95), 6) AS q95_tau,
+  round(avg(tau) - 0.1, 6) AS bias, round(abs(avg(tau) - 0.1), 6) AS abs_bias, round(stddev_samp(tau) / sqrt(count(*)), 6) AS se_tau, round(any_value(d), 6) AS mean_tau_diff, round(any_value(m), 6) AS max_abs_tau_diff, round(any_value(agree), 6) AS agree
+FROM long_ JOIN gap USING (at_) GROUP BY sampler, at_""")
+def compare_u1tok_summary(spark, d):
+    points = compare.compared(_units_x(spark, d), False, 2, study.Options(n_iter=10), 5)
+    found = compare.comparison_summary(points, False, 0.1)
+    return found.select(*[r6(c) if kind == "double" else F.col(c) for c, kind in found.dtypes])
+
+
 #: Four chains of two slots a replication, one for each kind of start.
 _STARTS = f"""{_MAT}, {_greedy_sql("2 * m.n", _NEAR)}, {_greedy_sql("2 * m.n", _FAR, "far")}, {_perturbed_sql("4")},
 dealt AS (SELECT sim, p::INTEGER AS dp, row_number() OVER (PARTITION BY sim ORDER BY {uniform_sql("(sim)", "2", "start", "(p)")}, p) AS i FROM ix WHERE g = 0),
