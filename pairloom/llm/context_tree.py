@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,6 +44,9 @@ SPAN = 1 << 20
 #: Bytes of a scan's parts that are put together in a block.
 BLOCK_BYTES = 64 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: A number for each byte at each of 64 places, and the bit that words have and grams don't.
+_BYTES = np.random.default_rng(11).integers(0, 1 << 64, (64, 256), dtype=np.uint64)
+_WORD = np.uint64(1 << 62)
 
 
 def stream_of(words: list[bytes]) -> bytes:
@@ -110,25 +112,58 @@ class GramTable:
             at[left] = (at[left] + 1) & self._mask
 
 
-def _spans(streams: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Grams of the streams, some SPAN at a time, and the stream that each belongs to."""
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin in streams one after another, and a number for each, the sum of one for each byte at its place.
+
+    Numbers are of 61 bits, above all grams; of n different words two have the
+    same number with odds below n * n / 2**62.
+    """
+    ends = (data == 32) | (data == END[0])
+    begins = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1]) if len(data) else np.zeros(0, np.int64)
+    place = np.arange(len(data)) - np.repeat(begins, np.diff(np.append(begins, len(data))))
+    values = np.where(ends, np.uint64(0), _BYTES[place & 63, data])
+    far = place > 63
+    if far.any():
+        values[far] *= np.power(_MIX, (place[far] >> 6).astype(np.uint64))
+    sums = np.add.reduceat(values, begins) if len(begins) else np.zeros(0, np.uint64)
+    some = ~ends[begins]
+    return begins[some], ((sums[some] >> np.uint64(3)) | _WORD).astype(np.int64)
+
+
+def _pieces(stream: bytes) -> Iterator[tuple[int, int]]:
+    """Begin and end of pieces of about SPAN bytes that end where a word does."""
+    at = 0
+    while at < len(stream):
+        to = at + SPAN
+        if to < len(stream):
+            to = (stream.rfind(b" ", at, to) + 1) or (stream.find(b" ", to) + 1) or len(stream)
+        else:
+            to = len(stream)
+        yield at, to
+        at = to
+
+
+def _spans(streams: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of about SPAN bytes of the streams at a time: grams, the stream of each, numbers of words, the stream of each."""
     parts: list[bytes] = []
     owners: list[int] = []
     held = 0
 
-    def given() -> tuple[np.ndarray, np.ndarray]:
-        # Grams that end in what precedes a part are of no stream.
+    def given() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         ends = np.cumsum([len(p) for p in parts])
-        grams = grams_of(np.frombuffer(b"".join(parts), np.uint8))
+        data = np.frombuffer(b"".join(parts), np.uint8)
         at = np.arange(DEPTH, ends[-1])
         part = np.searchsorted(ends, at, side="right")
-        own = at - (ends[part] - np.array([len(p) for p in parts])[part]) >= DEPTH
-        return grams[own], np.array(owners)[part[own]]
+        # What precedes a part belongs to it as context alone.
+        own = at - np.concatenate([[0], ends[:-1]])[part] >= DEPTH
+        owner = np.array(owners)[part[own]]
+        begins, words = words_of(data[at[own]])
+        return grams_of(data)[own], owner, words, owner[begins]
 
     for i, s in enumerate(streams):
         whole = END * DEPTH + s
-        for at in range(0, len(s), SPAN):
-            parts.append(whole[at : at + SPAN + DEPTH])
+        for at, to in _pieces(s):
+            parts.append(whole[at : to + DEPTH])
             owners.append(i)
             held += len(parts[-1])
             if held >= SPAN:
@@ -269,47 +304,39 @@ def gram_scores(counts: DataFrame) -> DataFrame:
     return both.mapInArrow(_down, "gram long, log10p double")
 
 
-INDEXED = pa.schema(
-    [("block", pa.int64()), ("kind", pa.int32()), ("gram", pa.int64()), ("word", pa.binary()), ("seen", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string())]
-)
+INDEXED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("item", pa.int64()), ("seen", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string())])
+
+
+def _streams(texts: pa.Array) -> list[bytes]:
+    return [stream_of(t.as_py().encode().lower().split() if t.is_valid else []) for t in texts]
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts (kind 1) of one task, which are a block, and after them its distinct grams and words (kind 0), with how often texts that aren't held out have them."""
-    block = TaskContext.get().partitionId()
-    grams, seen, words, train = GramTable(), np.zeros(0, np.int64), set(), Counter()
+    """The texts (kind 1) of one task, which are a block, and then its items (kind 0): distinct grams and words, with how often texts that aren't held out have them."""
+    block, key = TaskContext.get().partitionId(), pa.null()
+    items, seen = GramTable(), np.zeros(0, np.int64)
 
     def rows(n: int, kind: int, **columns: pa.Array) -> pa.RecordBatch:
         given = {"block": pa.array(np.full(n, block)), "kind": pa.array(np.full(n, kind, np.int32))} | columns
         schema = pa.schema([*INDEXED, pa.field("_key", key)])
         return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-    key = pa.null()
     for batch in batches:
         key = batch.schema.field(0).type
         yield rows(len(batch), 1, _key=batch.column(0), held_out=batch.column(1), text=batch.column(2).cast(pa.string()))
-        held = batch.column(1).to_pylist()
-        all_rows = [(t.as_py() or "").encode().lower().split() for t in batch.column(2)]
-        for is_held in (False, True):
-            own = [row for row, h in zip(all_rows, held, strict=True) if h == is_held]
-            for row in own:
-                (words if is_held else train).update(row)
-            for some, _ in _spans([stream_of(row) for row in own]):
-                at = grams.find(some)
+        learns = ~batch.column(1).to_numpy(zero_copy_only=False)
+        for grams, owner, words, word_owner in _spans(_streams(batch.column(2))):
+            for some, whose in ((grams, owner), (words, word_owner)):
+                at = items.find(some)
                 new = np.unique(some[at < 0])
                 if len(new):
-                    grams.add(new)
+                    items.add(new)
                     seen = np.concatenate([seen, np.zeros(len(new), np.int64)])
-                    at = np.where(at < 0, grams.find(some), at)
-                if not is_held:
-                    seen += np.bincount(at, minlength=len(seen))
-    for at in range(0, len(grams.grams), SPAN):
-        some = grams.grams[at : at + SPAN]
-        yield rows(len(some), 0, gram=pa.array(some), seen=pa.array(seen[at : at + SPAN]))
-    known = list(words | train.keys())
-    for at in range(0, len(known), SPAN):
-        some = known[at : at + SPAN]
-        yield rows(len(some), 0, word=pa.array(some, pa.binary()), seen=pa.array([train[w] for w in some], pa.int64()))
+                    at = np.where(at < 0, items.find(some), at)
+                seen += np.bincount(at[learns[whose]], minlength=len(seen))
+    for at in range(0, len(items.grams), SPAN):
+        some = items.grams[at : at + SPAN]
+        yield rows(len(some), 0, item=pa.array(some), seen=pa.array(seen[at : at + SPAN]))
 
 
 def _same(ids: np.ndarray) -> list[tuple[int, int]]:
@@ -321,49 +348,44 @@ def _same(ids: np.ndarray) -> list[tuple[int, int]]:
 def _read(key: str, kind: str, tokens: int, distinct: int, ends: int) -> tuple[Callable, str]:
     """Reads blocks: first a block's table, then its texts, scored against it."""
 
-    def scored(keys: pa.Array, held: pa.Array, texts: pa.Array, grams: GramTable, logs: np.ndarray, words: dict[bytes, float]) -> pa.RecordBatch:
-        rows = [(t.as_py() or "").encode().lower().split() for t in texts]
-        score = np.zeros(len(rows))
-        streams = [stream_of(row) for row in rows]
-        for some, owner in _spans(streams):
-            score += np.bincount(owner, logs[grams.find(some)], minlength=len(rows))
-        known, base = [], []
-        for row in rows:
-            seen = np.fromiter(map(words.__getitem__, row), float, len(row))
-            known.append(int((seen > 0).sum()) + (ends > 0))
-            base.append(float(np.log10(seen + 1).sum() + math.log10(ends + 1) - (len(row) + 1) * math.log10(tokens + distinct + 1)))
+    def scored(part: pa.RecordBatch, items: GramTable, values: np.ndarray) -> pa.RecordBatch:
+        streams = _streams(part["text"])
+        n, known, base, score = np.zeros((4, len(streams)))
+        for grams, owner, words, word_owner in _spans(streams):
+            score += np.bincount(owner, values[items.find(grams)], minlength=len(n))
+            seen = values[items.find(words)]
+            n += np.bincount(word_owner, minlength=len(n))
+            known += np.bincount(word_owner, seen > 0, minlength=len(n))
+            base += np.bincount(word_owner, np.log10(seen + 1), minlength=len(n))
+        base += math.log10(ends + 1) - (n + 1) * math.log10(tokens + distinct + 1)
         columns = [
-            keys,
-            held,
-            pa.array([len(row) + 1 for row in rows], pa.int64()),
-            pa.array(known, pa.int64()),
-            pa.array(np.full(len(rows), tokens)),
-            pa.array(base, pa.float64()),
+            part["_key"],
+            part["held_out"],
+            pa.array((n + 1).astype(np.int64)),
+            pa.array((known + (ends > 0)).astype(np.int64)),
+            pa.array(np.full(len(n), tokens)),
+            pa.array(base),
             pa.array(score),
             pa.array(-score / math.log10(2) / np.array([len(s) for s in streams])),
         ]
         return pa.RecordBatch.from_arrays(columns, [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, parts, words = None, [], {}
-        grams, logs = GramTable(), np.zeros(0)
+        of, parts, items, values = None, [], GramTable(), np.zeros(0)
         for batch in batches:
             blocks = np.asarray(batch["block"])
             for begin, end in _same(blocks * 2 + np.asarray(batch["kind"])):
                 if blocks[begin] != of:
-                    of, parts, words = blocks[begin], [], {}
+                    of, parts = blocks[begin], []
                 part = batch.slice(begin, end - begin)
                 if not part["kind"][0].as_py():
-                    is_gram = part["gram"].is_valid()
-                    parts.append((part["gram"].filter(is_gram).to_numpy(), part["value"].filter(is_gram).to_numpy()))
-                    other = pc.invert(is_gram)
-                    words.update(zip(part["word"].filter(other).to_pylist(), part["value"].filter(other).to_pylist(), strict=True))
+                    parts.append((part["item"].to_numpy(), part["value"].to_numpy()))
                     continue
                 if parts:
-                    found, first = np.unique(np.concatenate([g for g, _ in parts]), return_index=True)
-                    grams, logs, parts = GramTable(), np.concatenate([v for _, v in parts])[first], []
-                    grams.add(found)
-                yield scored(part["_key"], part["held_out"], part["text"], grams, logs, words)
+                    found, values, items = np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts]), GramTable()
+                    items.add(found)
+                    parts = []
+                yield scored(part, items, values)
 
     return run, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
@@ -394,22 +416,20 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     together = max(1, BLOCK_BYTES // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     if parts > spark.sparkContext.defaultParallelism and together > 1:
         frame = frame.coalesce(-(-parts // together))
-    frame.mapInArrow(_indexed, f"block long, kind int, gram long, word binary, seen long, held_out boolean, text string, _key {kind}").write.parquet(folder)
+    frame.mapInArrow(_indexed, f"block long, kind int, item long, seen long, held_out boolean, text string, _key {kind}").write.parquet(folder)
     indexed = spark.read.parquet(folder)
-    texts, known = indexed.where("kind = 1"), indexed.where("kind = 0")
-    grams = known.where(F.col("gram").isNotNull()).select("block", "gram", "seen")
-    words = known.where(F.col("word").isNotNull()).select("block", "word", "seen")
-    scores = gram_scores(cut(grams.groupBy("gram").agg(F.sum("seen").alias("seen"))))
-    counts = cut(words.groupBy("word").agg(F.sum("seen").alias("count")))
-    total = counts.agg(F.sum("count").alias("n"), F.count_if(F.col("count") > 0).alias("v")).first()
+    texts, items = indexed.where("kind = 1"), indexed.where("kind = 0").select("block", "item", "seen")
+    counts = cut(items.groupBy("item").agg(F.sum("seen").alias("seen")))
+    is_word = F.col("item") >= int(_WORD)
+    total = counts.where(is_word).agg(F.sum("seen").alias("n"), F.count_if(F.col("seen") > 0).alias("v")).first()
     ends = texts.where(~F.col("held_out")).count()
     run, schema = _read(key, kind, (total["n"] or 0) + ends, total["v"] + (ends > 0), ends)
-    of_grams = grams.select("block", "gram").join(scores, "gram").withColumnRenamed("log10p", "value")
-    of_words = words.select("block", "word").join(counts, "word").withColumn("value", F.col("count").cast("double")).drop("count")
-    table_rows = of_grams.unionByName(of_words, allowMissingColumns=True).withColumn("kind", F.lit(0))
-    rows = texts.select("block", "kind", "_key", "held_out", "text").unionByName(table_rows, allowMissingColumns=True)
+    grams = gram_scores(counts.where(~is_word).withColumnRenamed("item", "gram")).select(F.col("gram").alias("item"), F.col("log10p").alias("value"))
+    values = grams.unionByName(counts.where(is_word).select("item", F.col("seen").cast("double").alias("value")))
+    known = items.select("block", "item").join(values, "item").withColumn("kind", F.lit(0))
+    rows = texts.select("block", "kind", "_key", "held_out", "text").unionByName(known, allowMissingColumns=True)
     return (
-        rows.select("block", "kind", "_key", "held_out", "text", "gram", "word", "value")
+        rows.select("block", "kind", "_key", "held_out", "text", "item", "value")
         .repartition("block")
         .sortWithinPartitions("block", "kind")
         .mapInArrow(run, schema)
