@@ -90,12 +90,12 @@ def traces(
     """A row for steps 0, every ``thin``-th and the last of each chain, with its setting's columns.
 
     A sweep is as many proposals as there are slots.  Chain i has the i-th kind
-    of start, from the first again when there are more chains than kinds.
+    of start; chains beyond the kinds start at random, each by its own numbers.
     """
     if not settings or n_chains < 1 or n_sweeps <= 0 or thin < 1 or not starts:
         raise ValueError("settings, at least one chain, n_sweeps > 0 and thin >= 1 are asked for")
     by_id = {x.name: x for x in settings}
-    kinds = [starts[i % len(starts)] for i in range(n_chains)]
+    kinds = [starts[i] if i < len(starts) else "random" for i in range(n_chains)]
     sets: dict[tuple, list[str]] = {}
     for name, x in by_id.items():
         sets.setdefault((x.data_model, x.n_r, x.k, x.rho), []).append(name)

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom import compare, study
+from pairloom import bias, compare, diagnose, study
 from pairloom.functions import finite, float_label, items, missing_to_null, ratio, size_map
 from pairloom.operators import chains as C
 from pairloom.operators import diagnostics as D
@@ -20,6 +20,7 @@ from pairloom.operators.metric import nearest_join, of_units
 from pairloom.operators.ordered import quantiles, running_sums
 from pairloom.operators.paths import BETAS
 from pairloom.operators.paths import beta_path as beta_path_of
+from pairloom.operators.paths import with_nearest
 from pairloom.plans.storage import shared_folder
 from pairloom.plans.tables import DRAWS, INDEXED, KERNEL, KNN, PAIRS, UNITS, indexed, table, uniform_sql, units
 from pairloom.sources import draw_outcomes, next_names, read_results, write_results
@@ -585,7 +586,7 @@ both_ AS (SELECT a.*, tb, fb, kb, kb AS nb FROM (SELECT c.sim, c.t, s.n, {tau} A
   JOIN (SELECT c.sim, c.t, {tau} AS tb, {far} AS fb, c.ok AS kb FROM sweeps c JOIN start s USING (sim) WHERE c.t > 0) b USING (sim, t)), {_points_sql(N_DRAWS, 5)}"""
 
 
-_FAR = "JOIN (SELECT sim, t AS at_, fa, fb FROM both_) USING (sim, at_)"
+_LAST = "JOIN (SELECT sim, t AS at_, fa, fb FROM both_) USING (sim, at_)"
 
 
 def _compare_constrained(k: int) -> Query:
@@ -598,7 +599,7 @@ def _compare_constrained(k: int) -> Query:
 
 for _name, _k in (("compare_c1to1", 1), ("compare_c1tok", 2)):
     QUERIES[_name] = _compare_constrained(_k)
-    SQL[_name] = f"{_both_constrained(_k)} {_compared_sql('mcmc', 'gibbs', ', round(fa, 6) AS distance_mcmc, round(fb, 6) AS distance_gibbs')} {_FAR}"
+    SQL[_name] = f"{_both_constrained(_k)} {_compared_sql('mcmc', 'gibbs', ', round(fa, 6) AS distance_mcmc, round(fb, 6) AS distance_gibbs')} {_LAST}"
 
 
 _BOTH_FREE = f"""{_CHAINED}, {_TWO.removeprefix(f"WITH {KERNEL}, ")},
@@ -743,6 +744,22 @@ def diag_summary(spark, d):
     return found.select("sim", "variable", "n_chains", *map(r6, ("rhat_split", "mean_ess", "min_ess", "mean_iact", "mean_mcse", "mean_value", "mean_chain_sd")))
 
 
+@query(f"""WITH RECURSIVE {_STARTS},
+chain AS (SELECT sim, chain, 0::BIGINT AS t, mt, un, 0::BIGINT AS ok, 0::BIGINT AS total, 'start' AS move_type FROM start UNION ALL {_MH_STEP}),
+last AS (SELECT c.*, s.n, s.start, list_sum(list_transform(c.mt, lambda v, i: dm[(i - 1) % n + 1][v])) AS dist, floor((rbar - list_avg(list_transform(c.mt, lambda v: dyl[v]))) * 1e6 + 0.381966) / 1e6 AS tau,
+  sqrt((r1 - list_avg(list_transform(c.mt, lambda v: d1l[v]))) ** 2 + (r2 - list_avg(list_transform(c.mt, lambda v: d2l[v]))) ** 2) AS bal FROM chain c JOIN start s USING (sim, chain) WHERE c.t = {N_STEPS})
+SELECT sim, chain, start, {N_STEPS + 1}::BIGINT AS n_saved, t AS n_proposals, round(t / (2 * n), 6) AS final_sweep, round(total / t, 6) AS acceptance_rate, tau AS final_tau, round(dist, 6) AS final_d_total,
+  round(-dist, 6) AS final_log_target, round(bal, 6) AS final_balance_l2 FROM last""")
+def diag_chain_summary(spark, d):
+    """What each of four chains of a replication has come to."""
+    ix = _ix(spark, d)
+    trace = C.run_chains(ix, lambda s, t: C.local_mh(s, t, 1.0, 0.5), N_STEPS, k=2, starts=C.STARTS).join(ix.select("sim", "n_r").distinct(), "sim")
+    trace = diagnose.derived(trace.withColumns({"k": F.lit(2), "beta": F.lit(1.0), "sampler_seconds": F.lit(0.0), "wall_seconds": F.lit(0.0)}))
+    found = D.chain_summary(trace, ["sim"])
+    rounded = map(r6, ("final_sweep", "acceptance_rate", "final_d_total", "final_log_target", "final_balance_l2"))
+    return found.select("sim", "chain", "start", "n_saved", "n_proposals", off_ties("final_tau"), *rounded)
+
+
 # Traces: users of events are chains
 
 
@@ -865,6 +882,19 @@ def result_summary(spark, d):
     return found.select(*[r6(c) if kind == "double" else F.col(c) for c, kind in found.dtypes])
 
 
+@query("""WITH m AS (SELECT o_orderpriority AS file, avg(o_totalprice / 1000000) AS a, avg(o_totalprice / 3000000) AS b, avg(o_custkey % 7 / 7) AS c FROM orders GROUP BY 1)
+SELECT file, lpad('mean_time_setup', 35, ' ') AS name, round(a, 6) AS value FROM m UNION ALL SELECT file, lpad('mean_time_mcmc_total', 35, ' '), round(b, 6) FROM m
+UNION ALL SELECT file, lpad('mean_share_sampling_in_method', 35, ' '), round(c, 6) FROM m""")
+def report_profile(spark, d):
+    """The runtime profile of result files, a line for each file and value; orders' prices stand for seconds."""
+    price = F.col("o_totalprice").cast("double")
+    rows = table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("file"), (price / 100000).alias("est"), (price / 1000000).alias("time_setup"), (price / 3000000).alias("time_mcmc_total"),
+        (F.col("o_custkey") % 7 / 7).alias("share_sampling_in_method"),
+    )
+    return S.report(S.summarize_results(rows, "file", 1.0))[1]
+
+
 @query(f"WITH {_RESULTS} SELECT file, method, round(avg(coalesce(ll <= 1.5 AND 1.5 <= ul, false)::INTEGER), 6) AS coverage FROM results GROUP BY file, method")
 def coverage(spark, d):
     return _results(spark, d).groupBy("file", "method").agg(r6(S.coverage(1.5), "coverage"))
@@ -935,9 +965,8 @@ def _path(spark: SparkSession, d: str) -> DataFrame:
     """(beta, sim): posterior mean effect and gap, with the nearest-neighbour effect and the distance to it."""
     gap = ((F.col("rx1") - F.col("dx1")) + (F.col("rx2") - F.col("dx2"))) / 2
     rows = beta_path_of(_pairs(spark, d), (*BETAS, math.inf), x_gap=gap)
-    near = rows.where(F.col("beta") == math.inf).select("sim", F.col("tau").alias("tau_nn"))
-    sims = rows.where(F.col("beta") < math.inf).withColumn("abs_bias", F.abs("tau"))
-    return sims.join(near, "sim").withColumn("to_nn", F.abs(F.col("tau") - F.col("tau_nn")))
+    sims = with_nearest(rows).where(F.col("beta") < math.inf)
+    return sims.withColumns({"abs_bias": F.abs("tau"), "to_nn": F.abs(F.col("tau") - F.col("tau_nn"))})
 
 
 @query(f"""{_PATH} SELECT CASE WHEN beta = floor(beta) THEN beta::BIGINT::VARCHAR ELSE beta::VARCHAR END AS beta, count(*) AS n_reps, round(avg(tau), 6) AS mean_tau, round(coalesce(stddev_samp(tau), 0) / sqrt(count(*)), 6) AS se_tau,
@@ -948,6 +977,27 @@ def beta_path(spark, d):
     return found.select(float_label(F.col("beta")).alias("beta"), "n_reps", *[r6(c) for c in found.columns if c not in ("beta", "n_reps")])
 
 
+_RAGGED = f"""WITH RECURSIVE sizes AS (SELECT 40 + 20 * (s_suppkey % 4) AS n, count(*) AS reps FROM supplier GROUP BY 1),
+sims AS (SELECT n, floor(0.3 * n)::BIGINT AS n_r, before + unnest(range(1, reps + 1)) AS sim FROM (SELECT *, sum(reps) OVER (ORDER BY n) - reps AS before FROM sizes)),
+keys AS (SELECT *, (unit <= n_r)::INTEGER AS g FROM (SELECT sim::BIGINT AS sim, n, n_r, unnest(range(1, n + 1)) AS unit FROM sims)),
+ix AS (SELECT *, 18 + 0.1 * x1 + 0.2 * x2 + 0.2 * x3 + 0.1 * x4 + g + e AS y, CASE WHEN g = 1 THEN unit ELSE unit - n_r END AS p
+  FROM (SELECT *, {', '.join(_normal_sql('7', f'x{i}', '(sim)', '(unit)') + f" + g * 0.1 AS x{i + 1}" for i in range(4))}, {_normal_sql('7', 'e', '(sim)', '(unit)')} AS e FROM keys)),
+pairs AS (SELECT r.sim, r.p AS rp, d.p AS dp, r.y AS ry, d.y AS dy, (r.x1 + r.x2 + r.x3 + r.x4) / 4 AS rz, (d.x1 + d.x2 + d.x3 + d.x4) / 4 AS dz,
+  sqrt((r.x1 - d.x1) ** 2 + (r.x2 - d.x2) ** 2 + (r.x3 - d.x3) ** 2 + (r.x4 - d.x4) ** 2) AS dist FROM ix r JOIN ix d ON r.sim = d.sim AND r.g = 1 AND d.g = 0)"""
+_BY_SIZE = f"""{_RAGGED}{KERNEL.removeprefix(PAIRS)}{_U1TOK.removeprefix(f"WITH RECURSIVE {KERNEL}")},
+reps AS (SELECT c.sim, avg(k.ry) - avg(k.dy) AS tau, avg(k.rz) - avg(k.dz) AS x_gap FROM (SELECT c.*, l.dl, unnest([1, 2]) AS s FROM chain c JOIN lists l USING (sim, rp) WHERE t > 0) c
+  JOIN kernel k ON k.sim = c.sim AND k.rp = c.rp AND k.dp = c.dl[c.ord[c.s]] GROUP BY c.sim)"""
+
+
+@query(f"""{_BY_SIZE} SELECT n, count(*) AS n_reps, round(avg(tau), 6) AS mean_tau, round(avg(tau) - 1, 6) AS bias, round(abs(avg(tau) - 1), 6) AS abs_bias, round(coalesce(stddev_samp(tau), 0), 6) AS sd_tau,
+  round(coalesce(stddev_samp(tau), 0) / sqrt(count(*)), 6) AS mc_se_bias, round(avg(x_gap), 6) AS mean_x_gap FROM reps JOIN sims USING (sim) GROUP BY n""")
+def bias_by_size(spark, d):
+    """Drawn replications of four sizes, as many of each as there are suppliers in a quarter."""
+    counted = table(spark, d, "supplier").groupBy((40 + 20 * (F.col("s_suppkey") % 4)).alias("n")).count().collect()
+    found = bias.bias_by_size(spark, {int(r["n"]): int(r["count"]) for r in counted}, study.Options(n_iter=10), seed=7)
+    return found.select("n", "n_reps", *map(r6, ("mean_tau", "bias", "abs_bias", "sd_tau", "mc_se_bias", "mean_x_gap")))
+
+
 @query(f"{_PATH} SELECT sim, arg_min(beta, (abs_bias, beta)) AS best_beta, round(min(abs_bias), 6) AS abs_bias FROM path GROUP BY sim")
 def best_beta(spark, d):
     return _path(spark, d).groupBy("sim").agg(F.min_by("beta", F.struct("abs_bias", "beta")).alias("best_beta"), r6(F.min("abs_bias"), "abs_bias"))
@@ -975,8 +1025,7 @@ def beta_path_drawn(spark, d):
     pairs = M.pair_units(sized.withColumn("x", F.concat("x", F.array("g0"))), dims=4)
     x_gap = sum((F.col("rx")[i] - F.col("dx")[i] for i in range(4)), F.lit(0.0)) / 4
     rows = beta_path_of(pairs, (*BETAS, math.inf), x_gap=x_gap, g0_gap=F.col("rx")[4] - F.col("dx")[4])
-    near = rows.where(F.col("beta") == math.inf).select("sim", F.col("tau").alias("tau_nn"))
-    rows = rows.join(near, "sim").withColumns({"abs_bias": F.abs(F.col("tau") - 1), "to_nn": F.abs(F.col("tau") - F.col("tau_nn"))})
+    rows = with_nearest(rows).withColumns({"abs_bias": F.abs(F.col("tau") - 1), "to_nn": F.abs(F.col("tau") - F.col("tau_nn"))})
     found = S.path_summary(rows, "beta", ["tau", "abs_bias", "g0_gap", "x_gap", "to_nn"])
     return found.select(float_label(F.col("beta")).alias("beta"), "n_reps", *[r6(c) for c in found.columns if c not in ("beta", "n_reps")])
 
