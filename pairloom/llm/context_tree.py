@@ -40,7 +40,7 @@ TOP = 3
 #: Closes a text; no word has it.  It also stands for what precedes a text.
 END = b"\n"
 #: Bytes that are looked up at once.
-SPAN = 1 << 20
+SPAN = 1 << 18
 #: Bytes of a scan's parts that are put together in a block.
 BLOCK_BYTES = 64 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -75,7 +75,7 @@ class GramTable:
         self._shift = np.uint64(64 - (room.bit_length() - 1))
         self._mask = room - 1
         self._keys = np.full(room, -1, np.int64)
-        self._slots = np.zeros(room, np.int64)
+        self._slots = np.zeros(room, np.int32)
 
     def _home(self, grams: np.ndarray) -> np.ndarray:
         return ((grams.view(np.uint64) * _MIX) >> self._shift).astype(np.int64)
@@ -84,8 +84,9 @@ class GramTable:
         """The number of each gram, -1 where it has none."""
         at = self._home(grams)
         seen = self._keys[at]
-        out = np.where(seen == grams, self._slots[at], -1)
-        left = np.flatnonzero((seen != grams) & (seen != -1))
+        found = seen == grams
+        out = np.where(found, self._slots[at], np.int32(-1))
+        left = np.flatnonzero(~found & (seen != -1))
         while len(left):
             at[left] = (at[left] + 1) & self._mask
             seen = self._keys[at[left]]
@@ -97,8 +98,8 @@ class GramTable:
     def add(self, grams: np.ndarray) -> None:
         """Number grams, all different and none of them known, onwards."""
         self.grams = np.concatenate([self.grams, grams])
-        if 2 * len(self.grams) > self._mask:
-            self._room(1 << (2 * len(self.grams)).bit_length())
+        if 10 * len(self.grams) > 7 * self._mask:
+            self._room(1 << (10 * len(self.grams) // 7).bit_length())
             grams = self.grams
         first = len(self.grams) - len(grams)
         at, left = self._home(grams), np.arange(len(grams))
