@@ -4,8 +4,8 @@ A benchmark whose table of windows fits ``most_bytes`` is broadcast: its words
 as one array of 64-bit hashes, and for each window length the windows' hashes,
 sorted, with their places in it.  Each document's windows are looked up, first
 in a bit map of these hashes, and every hit is verified on its words.  A larger
-benchmark is not broadcast: windows of both sides are joined by 128-bit hashes
-instead.
+benchmark is not broadcast, but for a map of its windows' bits; windows that
+pass it, few but the benchmark's own, are joined by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ from pairloom.llm.shingles import WordHashes
 WINDOW = 10
 #: Bytes of the table of windows up to which it is broadcast; 22 for each word, so a benchmark of about 17 MB.
 MOST_BYTES = 64_000_000
-BYTES_A_WORD = 22
+BYTES_A_WORD, BYTES_AN_ITEM = 22, 100
+#: Bits of the map that windows of documents pass before they are joined: 8 for each window of the benchmark, within these.
+LEAST_BITS, MOST_BITS = 1 << 18, 1 << 29
 _P = np.array([xxhash.xxh3_64_intdigest(b"window", seed=i) | 1 for i in range(WINDOW)], dtype=np.uint64)
 #: ASCII digits and letters, lower-cased, and everything beyond ASCII stay; all else parts words.
 _TABLE = bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or 48 <= i <= 57 or 97 <= i <= 122 else 32 for i in range(256))
@@ -135,9 +137,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fits(benchmark: DataFrame, text: str, most_bytes: int) -> bool:
-    """Whether the table of windows is of at most ``most_bytes``."""
+    """Whether the items' texts, and the table of their windows, are of at most ``most_bytes`` together."""
     words = benchmark.select(text).mapInArrow(_count, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
-    return words * BYTES_A_WORD <= most_bytes
+    held = benchmark.agg(F.sum(F.octet_length(text)).alias("bytes"), F.count("*").alias("n")).first()
+    return words * BYTES_A_WORD + (held["bytes"] or 0) + held["n"] * BYTES_AN_ITEM <= most_bytes
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -167,10 +170,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     return docs.mapInArrow(scan, SCHEMA)
 
 
-def _windows_of(words: list[bytes], sizes: list[int]) -> Iterator[tuple[int, int, bytes]]:
+def _windows_of(words: list[bytes], hashes: WordHashes, sizes: list[int], bits: int, passes: np.ndarray | None = None) -> Iterator[tuple[int, int, int, bytes]]:
+    """Place, size, bit and 128-bit hash of the windows, of those that ``passes`` lets through if it is given."""
+    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     for size in sizes:
-        for i in range(len(words) - size + 1):
-            yield i, size, xxhash.xxh3_128_digest(b" ".join(words[i : i + size]))
+        if len(words) >= size:
+            bit = (_sums(w, size) * _P[size - 1] >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+            at = np.arange(len(bit)) if passes is None else np.flatnonzero(passes[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            for i in at.tolist():
+                yield i, size, int(bit[i]), xxhash.xxh3_128_digest(b" ".join(words[i : i + size]))
+
+
+def _bit_map(known: DataFrame, bits: int) -> np.ndarray:
+    """The bits of all windows: set in Spark, a row for each 32,768 of them, so at most ``bits`` / 8 bytes come to the driver."""
+    place = F.col("bit") + 1  # the functions number from 1
+    rows = known.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("b"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        part = np.frombuffer(bytes(r["b"]), np.uint8)
+        begin = (r["k"] - 1) * len(part)
+        out[begin : begin + len(part)] = part[: len(out) - begin]
+    return out
 
 
 def _text_key(text: str) -> F.Column:
@@ -181,24 +201,34 @@ def _text_key(text: str) -> F.Column:
 def _joined_hits(docs: DataFrame, benchmark: DataFrame, item: str, text: str) -> DataFrame:
     """(doc_id, t, item, at, size) of the windows of ``docs`` (doc_id, t, _text) that are a benchmark's, whatever its size: windows meet in a join on their hash."""
 
+    n_words = benchmark.select(text).mapInArrow(_count, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+    bits = min(max(1 << (8 * n_words).bit_length(), LEAST_BITS), MOST_BITS)
+
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, schema = WordHashes(), pa.schema([("item", pa.string()), ("size", pa.int32()), ("bit", pa.int64()), ("h", pa.binary())])
         for batch in batches:
-            out = [(name, size, h) for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (w := words_of(t)) for _, size, h in _windows_of(w, [min(WINDOW, len(w))])]
-            yield pa.RecordBatch.from_pylist([{"item": a, "size": b, "h": c} for a, b, c in out], pa.schema([("item", pa.string()), ("size", pa.int32()), ("h", pa.binary())]))
+            out = []
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(t)
+                out += [(name, size, bit, h) for _, size, bit, h in _windows_of(words, hashes, [min(WINDOW, len(words))] if words else [], bits)]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema)
 
     named = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("_text"))
-    known = cut(named.mapInArrow(of_items, "item string, size int, h binary").distinct())
+    known = cut(named.mapInArrow(of_items, "item string, size int, bit long, h binary").distinct())
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # ten values at most
+    passes = docs.sparkSession.sparkContext.broadcast(_bit_map(known, bits))
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("t", pa.binary()), ("at", pa.int32()), ("size", pa.int32()), ("h", pa.binary())])
+        hashes, schema = WordHashes(), pa.schema([("doc_id", pa.int64()), ("t", pa.binary()), ("at", pa.int32()), ("size", pa.int32()), ("h", pa.binary())])
         for batch in batches:
             for doc, t, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out = [{"doc_id": doc, "t": t, "at": i, "size": s, "h": h} for i, s, h in _windows_of(words_of(whole), sizes)]
-                yield pa.RecordBatch.from_pylist(out, schema)
+                out = [{"doc_id": doc, "t": t, "at": i, "size": s, "h": h} for i, s, _, h in _windows_of(words_of(whole), hashes, sizes, bits, passes.value)]
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema)
 
-    once = docs.where("t IS NOT NULL").dropDuplicates(["doc_id", "t"])
-    return cut(once.mapInArrow(of_docs, "doc_id long, t binary, at int, size int, h binary").join(known, ["size", "h"]).select("doc_id", "t", "item", "at", "size").distinct())
+    # Few windows but those of the benchmark pass the map, so texts aren't compared for repeats before they are read.
+    likely = docs.where("t IS NOT NULL").mapInArrow(of_docs, "doc_id long, t binary, at int, size int, h binary")
+    return cut(likely.join(known.drop("bit"), ["size", "h"]).select("doc_id", "t", "item", "at", "size").distinct())
 
 
 def _by_join(docs: DataFrame, benchmark: DataFrame, item: str, text: str) -> DataFrame:

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.shared import table
 
-#: The sample of a language: at most so many texts, whole, and no further one when they have so many characters
-#: together.  Texts of at most SHORT characters are drawn before longer ones.
-SAMPLE_TEXTS, SAMPLE_CHARS, SHORT = 150, 45_000, 500
+#: The sample of a language: pieces of at most so many texts, of so many characters each, and no further one when they
+#: have so many characters together.
+SAMPLE_TEXTS, PIECE, SAMPLE_CHARS = 150, 500, 45_000
 #: Symbols with a column in the table of moves; results do not depend on it.
 COLUMNS = 62
 #: Characters of a block, and of its beginning, after which two parses of it mostly agree.
@@ -224,31 +224,33 @@ class CrossParser:
 def training_sample(docs: DataFrame, trains: Column, lang: str = "lang", text: str = "text") -> dict[str, list[str]]:
     """A bounded sample of the labelled rows for which ``trains`` holds, by language.
 
-    Different texts are drawn by their hash, those of at most SHORT characters
-    before longer ones, until there are SAMPLE_TEXTS of them or they have
-    SAMPLE_CHARS characters together.  Texts are taken whole.  Rows are counted
-    first, so that only those with a hash small enough to be drawn are ranked,
-    few of each language wherever they lie.
+    Different texts are drawn by their hash, whatever their length, and of a
+    longer one a piece of PIECE characters from a place that the hash names, until
+    there are SAMPLE_TEXTS of them or they have SAMPLE_CHARS characters together.
+    Rows are counted first, so that only those with a hash small enough to be
+    drawn are ranked, few of each language wherever they lie.
     """
+    h = F.xxhash64(text)
+    begin = F.pmod(h, F.greatest(F.length(text) - PIECE, F.lit(0)) + 1) + 1
     rows = docs.where(trains & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), (F.length(text) > SHORT).alias("long"), F.col(text).alias("t")
+        F.col(lang).alias("lang"), h.alias("h"), F.substr(text, begin.cast("int"), F.lit(PIECE)).alias("t")
     )
-    sizes = {(r["lang"], r["long"]): r["n"] for r in rows.groupBy("lang", "long").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     out: dict[str, list[str]] = {}
     share = 4.0 * SAMPLE_TEXTS
-    todo = sorted({k for k, _ in sizes})
+    todo = sorted(sizes)
     while todo:
-        limits = [(k, x, min(share / n, 1.0)) for (k, x), n in sizes.items() if k in set(todo)]
-        known = docs.sparkSession.createDataFrame(limits, "lang string, long boolean, share double")
-        few = rows.join(F.broadcast(known), ["lang", "long"]).where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share")).drop("share")
-        ranked = few.dropDuplicates(["lang", "h"]).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h")))
+        limits = {k: min(share / sizes[k], 1.0) for k in todo}
+        known = docs.sparkSession.createDataFrame(list(limits.items()), "lang string, share double")
+        few = rows.join(F.broadcast(known), "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share")).drop("share")
+        ranked = few.dropDuplicates(["lang", "h"]).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
         drawn: dict[str, list[str]] = {k: [] for k in todo}
         for r in ranked.where(F.col("k") <= SAMPLE_TEXTS).orderBy("lang", "k").collect():
             if sum(map(len, drawn[r["lang"]])) < SAMPLE_CHARS:
                 drawn[r["lang"]].append(r["t"])
         # Where copies left too few different texts below the limit, it is raised.
         full = lambda k: len(drawn[k]) >= SAMPLE_TEXTS or sum(map(len, drawn[k])) >= SAMPLE_CHARS
-        whole = lambda k: all(x >= 1.0 for lang_, _, x in limits if lang_ == k)
+        whole = lambda k: limits[k] >= 1.0
         done = [k for k in todo if full(k) or whole(k)]
         out |= {k: drawn[k] for k in done}
         todo = [k for k in todo if k not in done]

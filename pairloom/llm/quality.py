@@ -88,7 +88,7 @@ def base_failed(counts: dict[str, int]) -> bool:
     return counts["n_words"] < 50 or 100 * counts["n_repeat_words"] > 50 * counts["n_words"]
 
 
-def posteriors(patterns: list[tuple[int, int]], rounds: int = 300) -> dict[int, float]:
+def posteriors(patterns: list[tuple[int, int]], settled: float = 1e-9) -> dict[int, float]:
     """P(good | votes) for each pattern of ``patterns`` (pattern, documents), by expectation-maximisation.
 
     A document is good or of one of as many bad kinds as there are rules.  Given
@@ -99,7 +99,8 @@ def posteriors(patterns: list[tuple[int, int]], rounds: int = 300) -> dict[int,
     documents.  Bad votes that no other rule bears out are errors, and a falls
     as low as they say (to 0.5, as below it a vote would turn against its own
     meaning).  PRIOR has what is believed before any document is seen; it weighs
-    as much as a few documents and so gives way to the data.
+    as much as a few documents and so gives way to the data.  Each round makes
+    the data likelier; it ends when no estimate moves by more than ``settled``.
     """
     patterns = sorted(patterns)
     if not patterns:
@@ -113,7 +114,9 @@ def posteriors(patterns: list[tuple[int, int]], rounds: int = 300) -> dict[int,
     b_docs = np.where(own, own_docs, docs)
     b_bad = np.where(own, own_mean, mean) * b_docs
     share, a, b = np.array([0.8, *[0.2 / n] * n]), np.full(n, a_mean), np.where(own, 0.9, 0.3)
-    for _ in range(rounds):
+    moved = 1.0
+    while moved > settled:
+        before = np.concatenate([share, a, b.ravel()])
         log_good = good @ np.log(a) + bad @ np.log(1 - a)
         log_bad = good @ np.log(1 - b).T + bad @ np.log(b).T
         log_p = np.log(share) + np.column_stack([log_good, log_bad])
@@ -123,6 +126,7 @@ def posteriors(patterns: list[tuple[int, int]], rounds: int = 300) -> dict[int,
         share = (of.sum(axis=0) + 1) / (weight.sum() + n + 1)
         a = np.clip((of[:, 0] @ good + a_mean * a_docs) / (of[:, 0] @ (good + bad) + a_docs), 0.5, 0.999)
         b = np.clip((of[:, 1:].T @ bad + b_bad) / (of[:, 1:].T @ (good + bad) + b_docs), 0.01, 0.99)
+        moved = np.abs(np.concatenate([share, a, b.ravel()]) - before).max()
     return dict(zip(code.tolist(), p[:, 0].tolist(), strict=True))
 
 

@@ -9,7 +9,7 @@ from pairloom.llm.merkle import OP13_SQL, op13_merkle
 from pairloom.llm.minhash import OP2_SQL, op2_minhash
 from pairloom.llm.periodic import op12_periodic
 from pairloom.llm.quality import op6_quality
-from pairloom.llm.secrets import OP5_SQL, op5_secrets
+from pairloom.llm.secrets import OP5_SQL, op5_secrets, secrets_second_scan
 from pairloom.llm.sentencepiece_bpe import op4_sentencepiece
 from pairloom.llm.sharding import OP1_SQL, op1_sharding
 from pairloom.llm.token_counts import op10_token_counts
@@ -30,6 +30,7 @@ QUERIES = {
     "op11_context_tree": op11_context_tree,
     "op12_periodic": op12_periodic,
     "op13_merkle": op13_merkle,
+    "secrets_second_scan": secrets_second_scan,
 }
 
 ORACLE_SQL = {
@@ -40,4 +41,5 @@ ORACLE_SQL = {
     "op7_decontamination": OP7_SQL,
     "op8_warc": OP8_SQL,
     "op13_merkle": OP13_SQL,
+    "secrets_second_scan": OP5_SQL,
 }
