@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.shared import table
 
-#: The sample of a language: pieces of at most so many texts, of so many characters each, and no further one when they
+#: The sample of a language: at most so many texts, of longer ones a piece of so many characters, and no further one when they
 #: have so many characters together.
-SAMPLE_TEXTS, PIECE, SAMPLE_CHARS = 150, 500, 45_000
+SAMPLE_TEXTS, PIECE, SAMPLE_CHARS = 150, 3_000, 45_000
 #: Symbols with a column in the table of moves; results do not depend on it.
 COLUMNS = 62
 #: Characters of a block, and of its beginning, after which two parses of it mostly agree.

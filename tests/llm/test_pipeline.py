@@ -9,8 +9,8 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pairloom.llm import quality, secrets
-from pairloom.llm.shingles import WordHashes
+
+import plain
 
 
 def lower(text):
@@ -56,16 +56,15 @@ def test_the_whole_pipeline(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     docs = [r.asDict() for r in spark.read.parquet(str(DATA / "documents.parquet")).collect()]
     items = [r["text"] for r in spark.read.parquet(str(DATA / "benchmark.parquet")).collect()]
-    hashes = WordHashes()
-    counts = [quality.counts_of(d["text"], hashes) for d in docs]
-    good = quality.posteriors(list(Counter(map(quality.votes_of, counts)).items()))
-    docs = [d for d, c in zip(docs, counts, strict=True) if not quality.base_failed(c) and good[quality.votes_of(c)] >= 0.5]
+    counts = [plain.counts(d["text"]) for d in docs]
+    good = plain.good_probability(Counter(map(plain.votes, counts)))
+    docs = [d for d, c in zip(docs, counts, strict=True) if not plain.base_failed(c) and good[plain.votes(c)] >= 0.5]
     docs = one_of_each(docs)
     known = windows(items)
     docs = [d for d in docs if is_clean(d["text"], known)]
     want = {}
     for d in docs:
-        text = secrets.cover(d["text"], secrets.find(d["text"], set(secrets.rule_names())))
+        text = plain.redacted(d["text"])
         want[d["doc_id"]] = (text, len(text), d["lang"], d["source"], library.encode(text), True)
     got = {r["doc_id"]: (r["text"], r["n_chars"], r["lang"], r["source"], r["token_ids"], r["decodes"]) for r in corpus_pipeline.run(spark, str(DATA)).collect()}
     assert got == want and 0 < len(got) < 200
