@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from pairloom.functions import uniform
+from pairloom.plans.storage import staged
 
 RECIPIENT = ("sim", "rp")
 #: Pairs of a replication that go to one join task.
 PAIRS_A_TASK = 4_000_000
+#: Donors of a recipient that are in one row.
+BLOCK_DONORS = 1024
 
 
 def covariate_columns(units: DataFrame, dims: int | None = None) -> list[Column]:
@@ -177,6 +180,37 @@ def draw_one(cumulated: DataFrame, n_draws: int, tag: str = "u1") -> DataFrame:
     return rows.select("sim", "rp", F.col("iter").cast("long").alias("iter"), chosen["dp"].alias("dp"), "ry", chosen["dy"].alias("dy"))
 
 
+def draw_one_in_blocks(pairs: DataFrame, n_draws: int, beta: float = 1.0, block: int = BLOCK_DONORS, tag: str = "u1") -> DataFrame:
+    """What draw_one gives of the kernel's weights, for recipients with more donors than one task should hold.
+
+    A recipient's donors are in blocks of ``block`` places.  A draw first picks a
+    block, by the blocks' summed weights, and then a donor by the weights within
+    that block, with what is left of its number.  So a row has a block of donors,
+    or a weight for each block, and never all donors.
+    """
+    near = pairs.groupBy(*RECIPIENT).agg(F.min("dist").alias("_least"), F.first("ry").alias("ry"))
+    checked = F.when(F.col("_least") > 0, F.col("_least")).otherwise(F.raise_error(F.lit("a donor at distance 0 has no weight")).cast("double"))
+    # The nearest donor has the largest weight, which is 1 here, so no further pass looks for it.
+    weight = F.exp(-beta * F.log((F.col("dist") + checked) / (2 * F.col("_least"))))
+    rows = pairs.drop("ry").join(near, list(RECIPIENT)).withColumns({"_w": weight, "_block": F.floor((F.col("dp") - 1) / block)})
+    blocks = staged(
+        rows.groupBy(*RECIPIENT, "_block").agg(F.first("ry").alias("ry"), F.sum("_w").alias("_sum"), F.array_sort(F.collect_list(F.struct("dp", "_w", "dy"))).alias("_donors"))
+    )
+    upto = F.sum("_sum").over(Window.partitionBy(*RECIPIENT).orderBy("_block"))
+    ends = blocks.select(*RECIPIENT, "ry", "_block", (upto - F.col("_sum")).alias("before"), upto.alias("cdf"))
+    lists = ends.groupBy(*RECIPIENT).agg(F.first("ry").alias("ry"), F.max("cdf").alias("_total"), F.array_sort(F.collect_list(F.struct("_block", "cdf", "before"))).alias("_blocks"))
+    draws = lists.withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
+    draws = draws.withColumn("_target", uniform(tag, F.col("sim"), F.col("rp"), F.col("iter")) * F.col("_total"))
+    at = F.element_at("_blocks", F.least(_reached("_blocks", "cdf", F.col("_target")) + 1, F.size("_blocks")))
+    picked = draws.select(*RECIPIENT, "ry", "iter", at["_block"].alias("_block"), (F.col("_target") - at["before"]).alias("_left"))
+    empty = F.array().cast("array<double>")
+    sums = F.aggregate("_donors", empty, lambda done, d: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)) + d["_w"])))
+    within = blocks.select(*RECIPIENT, "_block", F.arrays_zip(F.col("_donors.dp").alias("dp"), F.col("_donors.dy").alias("dy"), sums.alias("cdf")).alias("_donors"))
+    found = picked.join(within, [*RECIPIENT, "_block"])
+    donor = F.element_at("_donors", F.least(_reached("_donors", "cdf", F.col("_left")) + 1, F.size("_donors")))
+    return found.select("sim", "rp", F.col("iter").cast("long").alias("iter"), donor["dp"].alias("dp"), "ry", donor["dy"].alias("dy"))
+
+
 def draw_many(weighted: DataFrame, n_draws: int, k: int = 2) -> DataFrame:
     """Exact draws of k different donors (d1, ..., dk with outcomes y1, ..., yk), with weight the product of alpha / (1 - alpha).
 

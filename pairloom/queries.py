@@ -212,6 +212,12 @@ def inverse_cdf_draw(spark, d):
     return _draws(spark, d).select("sim", "rp", "iter", "dp")
 
 
+@query(f"WITH {DRAWS} SELECT sim, rp, iter, dp FROM draws")
+def inverse_cdf_in_blocks(spark, d):
+    """The same draws with a recipient's donors in blocks of eight."""
+    return M.draw_one_in_blocks(_pairs(spark, d), N_DRAWS, block=8).select("sim", "rp", "iter", "dp")
+
+
 _TWO = f"""WITH {KERNEL}, w AS (SELECT *, alpha / (1 - alpha) AS w FROM kernel),
 s AS (SELECT *, sum(w) OVER (PARTITION BY sim, rp ORDER BY dp ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - w AS tail,
              sum(w) OVER (PARTITION BY sim, rp ORDER BY dp ROWS UNBOUNDED PRECEDING) AS cw FROM w),
