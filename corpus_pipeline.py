@@ -16,7 +16,11 @@ from pairloom.llm.shared import BROADCAST_ROWS, cut, shared_folder, table, text_
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base or are more likely bad than good go; so do those without a text."""
+    """Documents that fail the base or are more likely bad than good go; so do those without a text.
+
+    Rows that repeat stay or go alike; very long texts are counted whole; an
+    empty table gives no rows; further columns, whatever their names, stay.
+    """
     text_batches(spark)
     return quality_filter(docs)
 
@@ -26,7 +30,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words are linked with nothing and stay, as do documents
     without a doc_id.  Rows that repeat a kept doc_id all stay if their texts
-    are linked; with other texts each is judged by its own.
+    are linked; with other texts each is judged by its own.  Very long texts have
+    as many shingles as they have; an empty table gives no rows; further columns,
+    whatever their names, stay.
     """
     text_batches(spark)
     gone = cut(near_duplicates(docs, text_key=True).where(~F.col("kept")).select("doc_id", "text_key").distinct())
@@ -37,13 +43,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a benchmark item go; those without a text stay."""
+    """Documents with a passage of a benchmark item go; those without a text stay.
+
+    Rows that repeat stay or go alike; very long texts are gone over whole; an
+    empty table gives no rows, an empty benchmark loses none; further columns,
+    whatever their names, stay.
+    """
     text_batches(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts, and n_chars follows; a null text stays null."""
+    """Secrets are replaced in the texts, and n_chars follows; a null text stays null.
+
+    Each row stays, also one that repeats; of spans that overlap the first one's
+    kind is named; very long texts are scanned whole; an empty table gives no
+    rows; further columns, whatever their names, stay.
+    """
     text_batches(spark)
     found = redact(docs, new_ledger(spark))
     if "n_chars" not in found.columns:
@@ -55,7 +71,8 @@ def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Each document with token_ids, the ids of its text, their number n_tokens, and decodes, whether they give the text again.
 
     Null counts as the empty text.  Columns of ``docs`` with these three names
-    are replaced; all others stay.
+    are replaced; all others stay.  Each row stays, also one that repeats; very
+    long texts are encoded whole; an empty table gives no rows.
     """
     text_batches(spark)
     decoded = f"decoded_{uuid.uuid4().hex}"
@@ -77,19 +94,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """All stages over the table documents; each stage's result is written to the shared folder and read again.
 
-    A stage's folder is given back when the next stage's is written.
+    With ``folder`` (of the same tables) a run that was ended goes on behind the
+    last stage that was done, and all stages' results stay there.  Without it a
+    stage's folder is given back when the next stage's is written.
     """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    own = folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(own).getFileSystem(spark._jsc.hadoopConfiguration())
     before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-        if before:
-            path = spark._jvm.org.apache.hadoop.fs.Path(before)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        before = f"{folder}/{name}"
+        if not files.exists(hadoop(f"{own}/{name}/_SUCCESS")):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{own}/{name}")
+        docs = spark.read.parquet(f"{own}/{name}")
+        if before and not folder:
+            files.delete(hadoop(before), True)
+        before = f"{own}/{name}"
     return docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
@@ -84,3 +85,19 @@ def test_stages_take_odd_rows(spark):
     found = docs.collect()
     assert sorted((r["doc_id"] or 0) for r in found) == [0, 1, 1, 2, 5] and {r["decoded"] for r in found} == {"own"}
     assert next(r["text"] for r in found if r["doc_id"] == 5).endswith("[assign]") and all(r["decodes"] for r in found)
+
+
+def test_a_run_that_was_ended_goes_on(spark, tmp_path, monkeypatch):
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    stages = list(corpus_pipeline.STAGES)
+    cut_short = [*stages[:2], ("benchmark_decontamination", killed)]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", cut_short)
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, str(DATA), str(tmp_path / "run"))
+    # The stages that were done are not called again.
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(stages[0][0], killed), (stages[1][0], killed), *stages[2:]])
+    got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(DATA), str(tmp_path / "run")).collect()}
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    assert got == {r["doc_id"] for r in corpus_pipeline.run(spark, str(DATA)).collect()} and got
