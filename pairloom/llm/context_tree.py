@@ -431,7 +431,7 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     rows = texts.select("block", "kind", "_key", "held_out", "text").unionByName(known, allowMissingColumns=True)
     return (
         rows.select("block", "kind", "_key", "held_out", "text", "item", "value")
-        .repartition("block")
+        .repartitionById(max(1, frame.rdd.getNumPartitions()), F.col("block").cast("int"))
         .sortWithinPartitions("block", "kind")
         .mapInArrow(run, schema)
     )
