@@ -88,6 +88,7 @@ def _assigned(donors: DataFrame, cells: DataFrame, metric: str) -> DataFrame:
     def work(rows: pa.Table, pivot: pa.Table) -> pa.Table:
         if not len(rows):
             return rows.select(["sim", "did", "x"]).append_column("cell", pa.array([], pa.int64())).append_column("away", pa.array([], pa.float64()))
+        pivot = pivot.sort_by("cell")
         x, p = _rows(rows["x"]), _rows(pivot["x"])
         cell, away = np.zeros(len(x), np.int64), np.zeros(len(x))
         for at in _chunks(len(x), len(p)):
@@ -105,6 +106,8 @@ def _visits(recipients: DataFrame, cells: DataFrame, k: int, metric: str) -> Dat
     bounded = "bound" in recipients.columns
 
     def work(rows: pa.Table, cell: pa.Table) -> pa.Table:
+        # In one order, so that of pivots equally near both rounds take the same ones first.
+        cell = cell.sort_by("cell")
         names, sizes = cell["cell"].to_numpy(), cell["n"].to_numpy()
         radius, p = cell["radius"].to_numpy(), _rows(cell["x"]) if len(cell) else np.zeros((0, 0))
         who, which = [], []

@@ -42,6 +42,15 @@ def test_nearest_join_is_that_of_all_pairs(spark, kind, monkeypatch):
         assert [d for _, d, _ in got] == [d for _, d in want] and np.allclose([d for _, _, d in got], [d for d, _ in want])
 
 
+def test_pivots_in_one_place_are_taken_in_one_order(spark, monkeypatch):
+    monkeypatch.setattr(metric, "ROWS", 30)
+    donors = spark.range(200).select(F.lit(0).alias("sim"), F.col("id").alias("did"), F.array((F.col("id") % 3).cast("double")).alias("x")).repartition(7)
+    recipients = spark.range(40).select(F.lit(0).alias("sim"), F.col("id").alias("rid"), F.array(F.lit(1.0)).alias("x"))
+    for _ in range(3):
+        found = metric.nearest_join(recipients, donors, 5).groupBy("rid").agg(F.array_sort(F.collect_list("did")).alias("d")).select("d").distinct().collect()
+        assert [r["d"] for r in found] == [[1, 4, 7, 10, 13]]
+
+
 def test_nearest_join_visits_few(spark):
     _, recipients = _points(spark, 300, 3, "rid", sims=1, spread=20.0)
     _, donors = _points(spark, 3000, 4, "did", sims=1, spread=20.0)
