@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,15 @@ def staged(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder, so that what reads them again doesn't work them out again."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to a Parquet table of their own in the shared folder and read again.
+
+    For loops: a checkpointed DataFrame keeps the size that was guessed for its
+    plan, so guesses multiply from round to round until planning itself doesn't
+    end; a table that is read has the size of its files.  Tables stay.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
