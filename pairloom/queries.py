@@ -21,6 +21,7 @@ from pairloom.operators.ordered import quantiles, running_sums
 from pairloom.operators.paths import BETAS
 from pairloom.operators.paths import beta_path as beta_path_of
 from pairloom.operators.paths import with_nearest
+from pairloom.operators.rounds import greedy_in_rounds
 from pairloom.plans.storage import shared_folder
 from pairloom.plans.tables import DRAWS, INDEXED, KERNEL, KNN, PAIRS, UNITS, indexed, table, uniform_sql, units
 from pairloom.sources import draw_outcomes, next_names, read_results, write_results
@@ -372,6 +373,12 @@ def greedy_init(spark, d):
     return C.matchings(_ix(spark, d), "greedy")
 
 
+@query(_start_rows(_greedy_sql("2 * m.n", "m.dm[g.i % m.n + 1][j] < m.dm[g.i % m.n + 1][b]")))
+def greedy_rounds(spark, d):
+    """The greedy matching without a task that holds a replication."""
+    return greedy_in_rounds(_ix(spark, d), 2)
+
+
 @query(_start_rows(_greedy_sql("2 * m.n", "m.dm[g.i % m.n + 1][j] >= m.dm[g.i % m.n + 1][b]")))
 def greedy_largest(spark, d):
     return C.matchings(_ix(spark, d), "high_distance")
