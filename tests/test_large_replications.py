@@ -13,7 +13,7 @@ def _no_pairs(*_, **__):
     raise AssertionError("all pairs are formed")
 
 
-@pytest.mark.parametrize("name", ["cluster_se", "ols_slope_var", "paired_var", "wls_slope_var", "estdiff"])
-def test_effects_of_nearest_donors_form_no_pairs(spark, same_as_sql, monkeypatch, name):
+@pytest.mark.parametrize("name", ["cluster_se", "ols_slope_var", "paired_var", "wls_slope_var", "estdiff", "knn_tau", "outcome_gather", "x_gap", "balance_l2", "unmatched_anti"])
+def test_nearest_donors_form_no_pairs(spark, same_as_sql, monkeypatch, name):
     monkeypatch.setattr(M, "pair_units", _no_pairs)
     same_as_sql(QUERIES[name](spark, str(DATA)), SQL[name])
