@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import duckdb
 import pytest
 from conftest import DATA
 
+from pairloom.operators import by_recipient as R
 from pairloom.operators import matching as M
 from pairloom.queries import QUERIES, SQL
 
@@ -17,3 +21,40 @@ def _no_pairs(*_, **__):
 def test_nearest_donors_form_no_pairs(spark, same_as_sql, monkeypatch, name):
     monkeypatch.setattr(M, "pair_units", _no_pairs)
     same_as_sql(QUERIES[name](spark, str(DATA)), SQL[name])
+
+
+@pytest.mark.parametrize("name", ["donor_rank", "alpha_kernel", "log_kernel_beta_grid", "cdf_prefix", "inverse_cdf_draw", "mc_u1tok_draws", "mc_u1tok_draws_of_three", "beta_path", "beta_path_drawn"])
+def test_weights_and_ranks_shuffle_no_pairs(spark, same_as_sql, monkeypatch, name):
+    monkeypatch.setattr(M, "pair_units", _no_pairs)
+    monkeypatch.setattr(R, "CELLS", 20)
+    monkeypatch.setattr(R, "ROWS", 30)
+    same_as_sql(QUERIES[name](spark, str(DATA)), SQL[name])
+
+
+@pytest.fixture(scope="module")
+def met(tmp_path_factory):
+    """Tables of sf0.01 in which a recipient and two donors of nation 3 share a place, and DuckDB over them."""
+    folder, con = tmp_path_factory.mktemp("met"), duckdb.connect()
+    own = "c_nationkey = 3 AND (c_mktsegment = 'BUILDING') = {} ORDER BY c_custkey LIMIT {}"
+    for p in Path("/root/testdata/sf0.01").glob("*.parquet"):
+        con.execute(f"CREATE TABLE {p.stem} AS FROM '{p}'")
+    con.execute(f"CREATE TABLE three AS (SELECT c_custkey FROM customer WHERE {own.format('true', 1)}) UNION ALL (SELECT c_custkey FROM customer WHERE {own.format('false', '2 OFFSET 3')})")
+    con.execute("UPDATE customer SET c_acctbal = 1234.5 WHERE c_custkey IN (FROM three)")
+    con.execute("DELETE FROM orders WHERE o_custkey IN (FROM three)")
+    for name in ("customer", "orders"):
+        con.execute(f"COPY {name} TO '{folder}/{name}.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["alpha_kernel", "beta_path", "best_beta", "bias_by_n", "bias_by_rep", "cdf_prefix", "inverse_cdf_draw", "inverse_cdf_in_blocks", "mc_u1tok_draws", "mc_u1tok_draws_of_three", "mh_u1tok", "compare_u1tok", "compare_u1tok_summary", "log_kernel_beta_grid", "run_unconstrained_1tok", "study_u1to1"],
+)
+def test_a_donor_at_distance_zero_gives_what_sql_gives(spark, met, name):
+    folder, con = met
+    got, want = QUERIES[name](spark, folder).toPandas(), con.execute(SQL[name]).df()
+    columns = sorted(want.columns)
+    assert columns == sorted(got.columns) and len(got) == len(want)
+    cell = lambda v: "null" if v is None or v != v else repr(float(v) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    rows = lambda x: sorted(tuple(map(cell, r)) for r in x[columns].astype(object).itertuples(index=False))
+    assert rows(got) == rows(want)
