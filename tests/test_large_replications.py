@@ -5,11 +5,16 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from pairloom.operators import by_recipient as R
+from pairloom.operators import chains as C
+from pairloom.operators import draws
 from pairloom.operators import matching as M
+from pairloom.operators import metric
 from pairloom.queries import QUERIES, SQL
 
 
@@ -58,3 +63,40 @@ def test_a_donor_at_distance_zero_gives_what_sql_gives(spark, met, name):
     cell = lambda v: "null" if v is None or v != v else repr(float(v) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     rows = lambda x: sorted(tuple(map(cell, r)) for r in x[columns].astype(object).itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+def test_distance_spread_of_parts(spark, monkeypatch):
+    """Parts of both sides meet; a replication without donors gives no row."""
+    monkeypatch.setattr(metric, "ROWS", 7)
+    monkeypatch.setattr(metric, "CELLS", 30)
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(20, 3)), rng.normal(size=(33, 3))
+    frame = lambda rows, key: spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(rows)] + [(2 if key == "rid" else 3, 0, [0.0] * 3)], f"sim long, {key} long, x array<double>")
+    found = {r["rid"]: r for r in metric.distance_spread(frame(x, "rid"), frame(y, "did")).collect()}
+    far = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    assert sorted(found) == list(range(20))
+    for i, r in found.items():
+        assert r["sim"] == 1 and r["n_pairs"] == 33
+        assert np.allclose([r["mean_dist"], r["min_dist"], r["max_dist"]], [far[i].mean(), far[i].min(), far[i].max()])
+
+
+def test_visits_are_made_by_few_recipients(spark, monkeypatch):
+    """No task makes the visits of all recipients of a replication."""
+    sizes = []
+    monkeypatch.setattr(metric, "VISITORS", 10)
+    own = metric._parted
+    monkeypatch.setattr(metric, "_parted", lambda rows, key, size=None: sizes.append((key, size)) or own(rows, key, size))
+    points = lambda n, key: spark.createDataFrame([(1, i, [float(i * i % 17), float(i)]) for i in range(n)], f"sim long, {key} long, x array<double>")
+    found = metric.nearest_join(points(50, "rid"), points(60, "did"), 2)
+    assert ("rid", 10) in sizes and found.count() == 100
+
+
+def test_distances_by_columns_are_those_by_rows():
+    rng = np.random.default_rng(4)
+    for dims in (1, 2, 4, 9):
+        x, y = rng.normal(size=(5, dims)), rng.normal(size=(40, dims))
+        some = rng.permutation(40)[:13]
+        for kind in ("l1", "l2", "l2_squared"):
+            got, want = C.Distances(x, y, kind), draws.distances(x[:, None, :], y[None, :, :], kind)
+            for r in range(5):
+                assert (got[r, :] == want[r]).all() and (got[r, some] == want[r, some]).all() and got[r, 3] == want[r, 3]
