@@ -6,6 +6,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -100,3 +101,42 @@ def test_distances_by_columns_are_those_by_rows():
             got, want = C.Distances(x, y, kind), draws.distances(x[:, None, :], y[None, :, :], kind)
             for r in range(5):
                 assert (got[r, :] == want[r]).all() and (got[r, some] == want[r, some]).all() and got[r, 3] == want[r, 3]
+
+
+def _states(x_r, x_d, kind, k):
+    """The same start with distances as a matrix and as a large replication has them."""
+    rng = np.random.default_rng(1)
+    y_r, y_d = rng.normal(size=len(x_r)), rng.normal(size=len(x_d))
+    for dist in (draws.distances(x_r[:, None, :], x_d[None, :, :], "l2"), C.Distances(x_r, x_d, "l2")):
+        shared = C.Shared(dist, x_d) if isinstance(dist, C.Distances) else None
+        yield C.Matching(dist, y_r, y_d, x_r, x_d, C.greedy(dist, k, kind == "high_distance", shared), (5, 1), True, shared)
+
+
+@pytest.mark.parametrize(("k", "n_d", "places"), [(1, 60, 3), (2, 60, 4), (2, 40, 3), (2, 60, 0), (3, 400, 5)])
+@pytest.mark.parametrize("kind", ["greedy", "high_distance"])
+def test_donors_that_share_a_place_are_matched_and_drawn_as_by_a_matrix(k, n_d, places, kind):
+    """Few places with ties between them, all donors in use (40), and no two donors in one place (0); moves of other samplers between sweeps."""
+    rng = np.random.default_rng(k + places)
+    point = lambda n: rng.integers(-places, places, (n, 2)) / 2 if places else rng.normal(size=(n, 2))
+    x_r, x_d = point(20), point(n_d)
+    one, other = _states(x_r, x_d, kind, k)
+    assert (one.cols == other.cols).all()
+    for t in range(1, 6):
+        steps = [C.gibbs_sweep(s, t, 1.5) + C.gibbs_slot(s, 100 + t, 0.0) + C.local_mh(s, 200 + t, 0.1, 0.3) for s in (one, other)]
+        steps += [[C.block_mh(s, 300 + t, 0.1, 2) for s in (one, other)]] if len(one.free) else []
+        assert steps[0] == steps[1] and (one.cols == other.cols).all() and (one.free == other.free).all()
+        C.perturb(one, 5), C.perturb(other, 5)
+    assert (one.cols == other.cols).all() and np.isclose(one.distance, other.distance)
+
+
+@pytest.mark.parametrize("step", [lambda s, t: C.gibbs_sweep(s, t, 1.0), lambda s, t: C.block_mh(s, t, 1.0, 2)])
+def test_turns_and_draws_of_a_large_replication_work_out_places(monkeypatch, step):
+    """No turn of a start and no draw works out the distances of all donors, if donors share places."""
+    worked, own = [], C.Distances.__getitem__
+    monkeypatch.setattr(C.Distances, "__getitem__", lambda self, at: worked.append(np.size(found := own(self, at))) or found)
+    monkeypatch.setattr(draws, "CELLS", 100)
+    rng = np.random.default_rng(2)
+    rows = [{"g": int(i < 30), "p": i + 1 if i < 30 else i - 29, "x": x, "y": 0.0} for i, x in enumerate(rng.integers(0, 4, (530, 2)).astype(float))]
+    state = C.start_matching(pd.DataFrame(rows), "greedy", 2, (1, 1))
+    C.trace_of(state, step, 3)
+    assert max(worked) <= 16
