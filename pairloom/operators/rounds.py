@@ -11,6 +11,8 @@ Turns are dealt by ranges of their number into parts of a bounded number of list
 rows; a part settles its own turns in order, and the parts' proposals meet in an
 aggregate by donor.  The first part with open turns is settled by each round, so
 there are at most as many rounds as parts, beside those in which lists end.
+Tables of turns, donors and lists meet by shuffles: broadcast, each would pass
+the driver in every round.
 A list that ends is made anew from the donors that the earliest such turn of
 the replication may still get: all others reject every one of them.
 """
@@ -40,17 +42,22 @@ def _settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sim": int(key[0]), "dp": list(taken.keys()), "turn": list(taken.values())}, dtype="int64")
 
 
+def _meet(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join that never becomes a broadcast, however small the right side is."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _open(turns: DataFrame, lists: DataFrame, held: DataFrame) -> DataFrame:
     """The list rows of turns whose donor is free or held by a later turn."""
-    rows = turns.join(lists, ["sim", "turn"]).join(held.withColumnRenamed("turn", "holder"), ["sim", "dp"], "left")
+    rows = _meet(_meet(turns, lists, ["sim", "turn"]), held.withColumnRenamed("turn", "holder"), ["sim", "dp"], "left")
     return rows.where(F.col("holder").isNull() | (F.col("holder") > F.col("turn"))).select("sim", "turn", "place", "dp")
 
 
 def _lists(turns: DataFrame, recipients: DataFrame, donors: DataFrame, length: int, metric: str) -> DataFrame:
     """(sim, turn, place, dp): the nearest ``length`` donors of each turn's recipient."""
-    asking = recipients.join(turns.select("sim", "rid").distinct(), ["sim", "rid"], "left_semi")
+    asking = _meet(recipients, turns.select("sim", "rid").distinct(), ["sim", "rid"], "left_semi")
     near = nearest_join(asking, donors, length, metric).select("sim", "rid", F.col("slot").alias("place"), F.col("did").alias("dp"))
-    return written(turns.join(near, ["sim", "rid"]).select("sim", "turn", "place", "dp"), "greedy")
+    return written(_meet(turns, near, ["sim", "rid"]).select("sim", "turn", "place", "dp"), "greedy")
 
 
 def greedy_in_rounds(units: DataFrame, k: int = 1, metric: str = "l2", length: int = LIST, rows: int = ROWS) -> DataFrame:
@@ -77,19 +84,19 @@ def greedy_in_rounds(units: DataFrame, k: int = 1, metric: str = "l2", length: i
     lists = _lists(turns, recipients, donors, length, metric)
     held = units.sparkSession.createDataFrame([], "sim long, dp long, turn long")
     while True:
-        free = written(turns.join(held, ["sim", "turn"], "left_anti"), "greedy")
+        free = written(_meet(turns, held, ["sim", "turn"], "left_anti"), "greedy")
         if free.isEmpty():
             break
         asked = written(_open(free.select("sim", "turn"), lists, held), "greedy")
-        stuck = written(free.join(asked, ["sim", "turn"], "left_anti"), "greedy")
+        stuck = written(_meet(free, asked, ["sim", "turn"], "left_anti"), "greedy")
         if not stuck.isEmpty():
             length = min(2 * length, max(length, LONGEST))
             first = stuck.groupBy("sim").agg(F.min("turn").alias("first"))
-            left = donors.join(first, "sim").join(held.select("sim", F.col("dp").alias("did"), F.col("turn").alias("holder")), ["sim", "did"], "left")
+            left = _meet(donors.join(first, "sim"), held.select("sim", F.col("dp").alias("did"), F.col("turn").alias("holder")), ["sim", "did"], "left")
             anew = _lists(stuck, recipients, left.where(F.col("holder").isNull() | (F.col("holder") > F.col("first"))).select("sim", "did", "x"), length, metric)
-            lists = written(lists.join(stuck, ["sim", "turn"], "left_anti").unionByName(anew), "greedy")
+            lists = written(_meet(lists, stuck, ["sim", "turn"], "left_anti").unionByName(anew), "greedy")
             asked = asked.unionByName(_open(stuck.select("sim", "turn"), anew, held))
         part = F.floor(F.col("turn") / max(1, rows // length)).alias("part")
         proposed = asked.select("*", part).groupBy("sim", "part").applyInPandas(_settle, "sim long, dp long, turn long")
         held = written(held.unionByName(proposed).groupBy("sim", "dp").agg(F.min("turn").alias("turn")), "greedy")
-    return held.join(turns, ["sim", "turn"]).select("sim", F.col("rid").alias("rp"), "slot", "dp")
+    return _meet(held, turns, ["sim", "turn"]).select("sim", F.col("rid").alias("rp"), "slot", "dp")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -36,3 +38,13 @@ def test_rounds_with_odd_replications(spark):
         rounds.greedy_in_rounds(_units(spark, [(3, 5)]), 2)
     assert rounds.greedy_in_rounds(_units(spark, [(0, 4)])).isEmpty()
     assert rounds.greedy_in_rounds(_units(spark, [(2, 4)]).where(F.lit(False))).isEmpty()
+
+
+def test_no_round_sends_its_tables_through_the_driver(spark, monkeypatch):
+    """Tables of turns, donors and lists are never broadcast; one row a replication may be."""
+    plans, own = [], rounds.written
+    monkeypatch.setattr(rounds, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, name))
+    found = rounds.greedy_in_rounds(_units(spark, [(10, 20), (4, 9)]), 2, length=6, rows=40)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [j for p in plans for j in re.findall(r"Broadcast\w*Join \[[^\]]*,[^\]]*\]", p)]
