@@ -7,6 +7,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -66,6 +67,54 @@ def test_a_donor_at_distance_zero_gives_what_sql_gives(spark, met, name):
     assert rows(got) == rows(want)
 
 
+@pytest.fixture(scope="module")
+def copied(tmp_path_factory):
+    """Tables of sf0.01 three times over: customers with shifted keys, orders with the keys they had; so later copies have no orders, and in nation 3 both sides share a place there."""
+    folder, con = tmp_path_factory.mktemp("copied"), duckdb.connect()
+    for name, key, n in (("customer", "c_custkey", 1500), ("orders", "o_orderkey", 15000)):
+        con.execute(f"CREATE TABLE {name} AS SELECT t.* REPLACE ({key} + i * {n} AS {key}) FROM '/root/testdata/sf0.01/{name}.parquet' t, (SELECT unnest(range(3)) AS i)")
+    own = "c_custkey < 1500 AND c_nationkey = 3 AND (c_mktsegment = 'BUILDING') = {} ORDER BY c_custkey LIMIT 1"
+    con.execute(f"CREATE TABLE two AS (SELECT c_custkey AS k FROM customer WHERE {own.format('true')}) UNION ALL (SELECT c_custkey FROM customer WHERE {own.format('false')})")
+    con.execute("UPDATE customer SET c_acctbal = 1234.5 WHERE c_custkey % 1500 IN (SELECT k FROM two)")
+    for name in ("customer", "orders"):
+        con.execute(f"COPY {name} TO '{folder}/{name}.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", ["beta_path", "best_beta", "bias_by_n", "compare_u1tok", "bias_by_rep", "cdf_prefix", "compare_u1tok_summary"])
+def test_copies_of_customers_without_their_orders_give_what_sql_gives(spark, copied, name):
+    test_a_donor_at_distance_zero_gives_what_sql_gives(spark, copied, name)
+
+
+def test_penalty_paths_work_out_a_spot_once():
+    """Donors with the same covariates are one column, in order of their first donors; covariates beyond dims tell none apart."""
+    rng = np.random.default_rng(8)
+    x = [[0.0, 1.0, 7.0], [2.0, 1.0, 7.0], [-0.0, 1.0, 8.0], [2.0, 0.5, 7.0]]
+    spots = [int(i) for i in np.append([3, 0, 1, 2], rng.integers(0, 4, 56))]
+    rows = [{"sim": 5, "g": 1, "p": i + 1, "x": rng.normal(size=3).tolist(), "y": 0.0} for i in range(6)]
+    rows += [{"sim": 5, "g": 0, "p": i + 1, "x": x[at], "y": float(i)} for i, at in enumerate(spots)]
+    (block,), (whole,) = (list(R._blocks(pa.Table.from_pylist(rows), 2, by_spot)) for by_spot in (True, False))
+    assert block.dist.shape == (6, 3) and whole.dist.shape == (6, 60)
+    assert (block.dist[:, block.spot] == whole.dist).all() and block.spot.tolist() == [{3: 0, 0: 1, 1: 2, 2: 1}[at] for at in spots]
+
+
+def test_penalty_paths_of_shared_spots_are_those_of_all_pairs(spark):
+    """Copies of donors, with outcomes and a gap of their own, and nearest spots that tie."""
+    rng = np.random.default_rng(9)
+    x_r, x_d = rng.integers(0, 4, (7, 3)) + 0.5, rng.integers(0, 4, (40, 3)).astype(float)
+    y_r, y_d = rng.normal(size=7), rng.normal(size=40)
+    rows = [(1, g, i + 1, 7, v.tolist(), float(w)) for g, x, y in ((1, x_r, y_r), (0, x_d, y_d)) for i, (v, w) in enumerate(zip(x, y, strict=True))]
+    units = spark.createDataFrame(rows, "sim long, g int, p long, n_r long, x array<double>, y double")
+    found = {r["beta"]: r for r in R.beta_path(units, (0.0, 2.0, 50.0, np.inf), 2, gap=lambda x: x[:, 2]).collect()}
+    far = np.sqrt(((x_r[:, None, :2] - x_d[None, :, :2]) ** 2).sum(axis=2))
+    for beta, row in found.items():
+        near = np.eye(40)[far.argmin(axis=1)]
+        w = near if np.isinf(beta) else ((far + far.min(axis=1, keepdims=True)) / far.min(axis=1, keepdims=True)) ** -beta
+        w = w / w.sum(axis=1, keepdims=True)
+        assert np.isclose(row["tau"], (y_r - w @ y_d).mean()) and np.isclose(row["gap"], (x_r[:, 2] - w @ x_d[:, 2]).mean())
+    assert sorted(found) == [0.0, 2.0, 50.0, np.inf]
+
+
 def test_distance_spread_of_parts(spark, monkeypatch):
     """Parts of both sides meet; a replication without donors gives no row."""
     monkeypatch.setattr(metric, "ROWS", 7)
