@@ -115,6 +115,26 @@ def test_penalty_paths_of_shared_spots_are_those_of_all_pairs(spark):
     assert sorted(found) == [0.0, 2.0, 50.0, np.inf]
 
 
+def test_recipients_of_a_spot_share_weights_and_order(monkeypatch):
+    """Chains are those of each recipient's own row, in chunks that split spots; a spot's weights are worked out once a chunk."""
+    rng = np.random.default_rng(10)
+    x_r, x_d = rng.integers(0, 2, (24, 2)) + 0.5, rng.integers(0, 5, (50, 2)).astype(float)
+    rows = [{"g": g, "p": i + 1, "x": v, "y": float(i)} for g, x in ((1, x_r), (0, x_d)) for i, v in enumerate(x)]
+    weighed, own = [], draws.kernel
+    monkeypatch.setattr(draws, "kernel", lambda dist, beta: weighed.append(len(dist)) or own(dist, beta))
+    monkeypatch.setattr(draws, "CELLS", 50 * 9)
+    found = {}
+    for places, y_r, _, steps in C.chains_of_part(pd.DataFrame(rows), 3, 6, 2, 1.0, "l2"):
+        assert (y_r == places - 1).all()
+        sets = [(s.copy(), m) for s, m in steps]
+        found |= {p: [(s[i].tolist(), bool(m[i])) for s, m in sets] for i, p in enumerate(places.tolist())}
+    assert sorted(found) == list(range(1, 25)) and sum(weighed) <= 4 + 2
+    far = draws.distances(x_r[:, None, :], x_d[None], "l2")
+    for p, chain in found.items():
+        want = draws.k_set_chains(far[p - 1 : p], 1.0, 3, np.array([p]), 6, 2)
+        assert chain == [(s[0].tolist(), bool(m[0])) for s, m in want]
+
+
 def test_distance_spread_of_parts(spark, monkeypatch):
     """Parts of both sides meet; a replication without donors gives no row."""
     monkeypatch.setattr(metric, "ROWS", 7)
