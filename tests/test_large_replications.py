@@ -12,6 +12,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
+from pairloom.functions import rounded
 from pairloom.operators import by_recipient as R
 from pairloom.operators import chains as C
 from pairloom.operators import draws
@@ -227,3 +228,18 @@ def test_a_perturbed_start_keeps_up_no_sums(monkeypatch):
     monkeypatch.setattr(C, "perturb", lambda state, edits: tracked.append((state.track, edits)) or own(state, edits))
     state = C.start_matching(pd.DataFrame(rows), "perturbed_greedy", 2, (3, 1))
     assert tracked == [(False, 120)] and state.track and np.isclose(state.distance, sum(state.dist[r, row].sum() for r, row in enumerate(state.cols)))
+
+
+def test_cumulated_weights_are_rounded_in_their_task(spark, met):
+    """Spark rounds by a decimal for each cell, longer than the weights take; its plan has no rounding of pairs."""
+    plan = QUERIES["cdf_prefix"](spark, met[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "round(" not in plan
+
+
+def test_numbers_are_rounded_as_in_sql():
+    """Halves of the last digit, which a decimal takes up and a double may have below them; halves that a double has; NaN."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.random(5000), (rng.integers(0, 10**8, 5000) + 0.5) / 1e8, np.arange(512) / 512, [0.0, 1.0, np.nan]])
+    for digits in (2, 8):
+        want = duckdb.sql(f"SELECT round(x, {digits}) AS x FROM (SELECT unnest(?) AS x)", params=[x.tolist()]).fetchnumpy()["x"]
+        assert np.array_equal(rounded(x, digits), want, equal_nan=True)
