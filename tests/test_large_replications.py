@@ -243,3 +243,24 @@ def test_numbers_are_rounded_as_in_sql():
     for digits in (2, 8):
         want = duckdb.sql(f"SELECT round(x, {digits}) AS x FROM (SELECT unnest(?) AS x)", params=[x.tolist()]).fetchnumpy()["x"]
         assert np.array_equal(rounded(x, digits), want, equal_nan=True)
+
+
+@pytest.mark.parametrize("cells", [30, 250_000])
+def test_draws_by_blocks_shuffle_no_pairs(spark, same_as_sql, monkeypatch, cells):
+    monkeypatch.setattr(M, "pair_units", _no_pairs)
+    monkeypatch.setattr(R, "CELLS", cells)
+    monkeypatch.setattr(R, "MANY", 3)
+    same_as_sql(QUERIES["inverse_cdf_in_blocks"](spark, str(DATA)), SQL["inverse_cdf_in_blocks"])
+
+
+def test_recipients_of_a_spot_are_one_row_of_distances(monkeypatch):
+    """Also where a spot's recipients are several blocks."""
+    monkeypatch.setattr(R, "MANY", 5)
+    rng = np.random.default_rng(12)
+    x_r, x_d = rng.integers(0, 2, (24, 2)) + 0.5, rng.normal(size=(9, 2))
+    rows = [{"sim": 5, "g": g, "p": i + 1, "x": v.tolist(), "y": float(i)} for g, x in ((1, x_r), (0, x_d)) for i, v in enumerate(x)]
+    blocks, far, seen = list(R._blocks(pa.Table.from_pylist(rows), 2)), draws.distances(x_r[:, None], x_d[None], "l2"), []
+    for block in blocks:
+        assert block.dist.shape == (4, 9) and len(block.rp) <= 5 and (block.dist[block.row] == far[block.rp - 1]).all() and (block.y_r == block.rp - 1).all()
+        seen += block.rp.tolist()
+    assert sorted(seen) == list(range(1, 25))
