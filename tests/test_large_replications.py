@@ -264,3 +264,13 @@ def test_recipients_of_a_spot_are_one_row_of_distances(monkeypatch):
         assert block.dist.shape == (4, 9) and len(block.rp) <= 5 and (block.dist[block.row] == far[block.rp - 1]).all() and (block.y_r == block.rp - 1).all()
         seen += block.rp.tolist()
     assert sorted(seen) == list(range(1, 25))
+
+
+@pytest.mark.parametrize(("pairs", "most"), [(R.ranks, 1.0), (lambda units: R.cumulated(units, digits=8), 1.5)], ids=["donor_rank", "cdf_prefix"])
+def test_a_file_of_pairs_keeps_what_a_spot_shares_once(spark, tmp_path, pairs, most):
+    """Bytes a row, over recipients of five spots: those of a spot stand in a row, donor after donor."""
+    rng = np.random.default_rng(13)
+    x_r, x_d = rng.integers(0, 5, 200) + 0.5, rng.normal(size=(1000, 2))
+    rows = [(1, 1, i + 1, 200, [float(v), 0.5], 0.0) for i, v in enumerate(x_r)] + [(1, 0, i + 1, 200, v.tolist(), 0.0) for i, v in enumerate(x_d)]
+    pairs(spark.createDataFrame(rows, "sim long, g int, p long, n_r long, x array<double>, y double")).coalesce(1).write.parquet(str(tmp_path / "pairs"))
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < most * 200_000
