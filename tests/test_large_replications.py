@@ -18,6 +18,7 @@ from pairloom.operators import chains as C
 from pairloom.operators import draws
 from pairloom.operators import matching as M
 from pairloom.operators import metric
+from pairloom.operators.paths import BETAS
 from pairloom.queries import QUERIES, SQL
 
 
@@ -274,3 +275,35 @@ def test_a_file_of_pairs_keeps_what_a_spot_shares_once(spark, tmp_path, pairs, m
     rows = [(1, 1, i + 1, 200, [float(v), 0.5], 0.0) for i, v in enumerate(x_r)] + [(1, 0, i + 1, 200, v.tolist(), 0.0) for i, v in enumerate(x_d)]
     pairs(spark.createDataFrame(rows, "sim long, g int, p long, n_r long, x array<double>, y double")).coalesce(1).write.parquet(str(tmp_path / "pairs"))
     assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < most * 200_000
+
+
+def test_penalty_paths_deal_out_spots(spark, monkeypatch):
+    """Copies of units are dealt out once for each spot, and the path is that of the units."""
+    dealt, own = [], C.parts
+    monkeypatch.setattr(C, "parts", lambda units, *more: dealt.append(units.count()) or own(units, *more))
+    rng = np.random.default_rng(14)
+    x_r, x_d = rng.integers(0, 3, (30, 2)) + 0.5, rng.integers(0, 4, (70, 2)).astype(float)
+    y_r, y_d = rng.normal(size=30), rng.normal(size=70)
+    rows = [(1, g, i + 1, 30, v.tolist(), float(w)) for g, x, y in ((1, x_r, y_r), (0, x_d, y_d)) for i, (v, w) in enumerate(zip(x, y, strict=True))]
+    units = spark.createDataFrame(rows, "sim long, g int, p long, n_r long, x array<double>, y double")
+    found = {r["beta"]: r for r in R.beta_path(units, (0.0, 0.25, 3.0, 0.7, np.inf), gap=lambda x: x.sum(axis=1)).collect()}
+    assert dealt == [len(np.unique(x_r, axis=0)) + len(np.unique(x_d, axis=0))]
+    far = draws.distances(x_r[:, None], x_d[None], "l2")
+    for beta, row in found.items():
+        w = np.eye(70)[far.argmin(axis=1)] if np.isinf(beta) else (far + far.min(axis=1, keepdims=True)) ** -beta
+        w = w / w.sum(axis=1, keepdims=True)
+        assert np.isclose(row["tau"], (y_r - w @ y_d).mean()) and np.isclose(row["gap"], (x_r.sum(axis=1) - w @ x_d.sum(axis=1)).mean())
+
+
+def test_weights_of_penalties_follow_from_each_other(monkeypatch):
+    """The path's penalties take no exponential; others are worked out by themselves; a donor at distance 0 leaves NaN."""
+    rng = np.random.default_rng(15)
+    dist, totals = rng.random((5, 300)) + 1e-3, rng.normal(size=(300, 2))
+    dist[3, 7] = 0.0
+    assert all(a is not None for _, a, _ in R._powers([b for b in BETAS if b]))
+    for betas in (BETAS, (0.3, 0.1, 7.0, 0.0, 2.5, 1e-3)):
+        least = dist.min(axis=1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            want = np.stack([np.exp(-b * np.log((dist + least) / (2 * least))) @ totals for b in betas])
+        got = R._weighed(dist, betas, totals)
+        assert np.isnan(got[:, 3]).all() and np.allclose(np.delete(got, 3, axis=1), np.delete(want, 3, axis=1), rtol=1e-10, atol=1e-12)
