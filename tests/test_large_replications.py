@@ -307,3 +307,24 @@ def test_weights_of_penalties_follow_from_each_other(monkeypatch):
             want = np.stack([np.exp(-b * np.log((dist + least) / (2 * least))) @ totals for b in betas])
         got = R._weighed(dist, betas, totals)
         assert np.isnan(got[:, 3]).all() and np.allclose(np.delete(got, 3, axis=1), np.delete(want, 3, axis=1), rtol=1e-10, atol=1e-12)
+
+
+def test_chains_hold_the_places_that_they_see(monkeypatch):
+    """A spot's recipients are weighed at once, however many, and chains of few steps are those that hold all donors in order."""
+    rng = np.random.default_rng(16)
+    x_r, x_d = rng.integers(0, 2, (24, 2)) + 0.5, rng.integers(0, 5, (11, 2)).astype(float)
+    rows = [{"g": g, "p": i + 1, "x": v, "y": float(i)} for g, x in ((1, x_r), (0, x_d)) for i, v in enumerate(x)]
+    weighed, own, found = [], draws.kernel, []
+    monkeypatch.setattr(draws, "kernel", lambda dist, beta: weighed.append(len(dist)) or own(dist, beta))
+    for cells in (24 * 8 * 30, 11 * 9):
+        monkeypatch.setattr(draws, "CELLS", cells)
+        chunks = C.chains_of_part(pd.DataFrame(rows), 3, 30, 2, 1.0, "l2")
+        found.append(dict(sorted((p, [(s[i].tolist(), bool(m[i])) for s, m in kept]) for places, _, _, steps in chunks for kept in [[(s.copy(), m) for s, m in steps]] for i, p in enumerate(places.tolist()))))
+        assert cells == 11 * 9 or weighed == [4]
+    assert found[0] == found[1] and len(found[0]) == 24
+
+
+def test_the_place_of_a_value_is_where_it_stands_first():
+    rng = np.random.default_rng(17)
+    seen = rng.integers(0, 6, (9, 40))
+    assert draws._first_seen(seen).tolist() == [[seen[:, c].tolist().index(v) for c, v in enumerate(row)] for row in seen.tolist()]
