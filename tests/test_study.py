@@ -192,3 +192,20 @@ def test_cache_and_archive(spark, tmp_path):
     np.savez(tmp_path / "bad.npz", X=x, Y=y)
     with pytest.raises(Exception, match="lacks"):
         sources.read_npz(spark, str(tmp_path / "bad.npz")).collect()
+
+
+def test_a_comparison_is_summed_up_from_one_run(spark):
+    """Two aggregates read the checkpoints; what makes these runs once."""
+    from pairloom import compare
+
+    rows = [(s, t, 0.1 * s, 0.2 * s, 0.01, 0.02) for s in range(5) for t in (5, 10)]
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            ran.add(len(b))
+            yield b
+
+    schema = "sim long, mcmc_iter long, running_tau_mcmc double, running_tau_monte_carlo double, tau_diff double, mc_error_diff double"
+    found = compare.comparison_summary(spark.createDataFrame(rows, schema).mapInPandas(counted, schema), False).collect()
+    assert len(found) == 4 and ran.value == len(rows)
