@@ -328,3 +328,40 @@ def test_the_place_of_a_value_is_where_it_stands_first():
     rng = np.random.default_rng(17)
     seen = rng.integers(0, 6, (9, 40))
     assert draws._first_seen(seen).tolist() == [[seen[:, c].tolist().index(v) for c, v in enumerate(row)] for row in seen.tolist()]
+
+
+@pytest.mark.parametrize(("renewed", "least_sum"), [(3, 1e-3), (10**6, 1e-3), (4096, 20.0)])
+def test_sums_that_are_kept_up_draw_as_a_matrix(monkeypatch, renewed, least_sum):
+    """Sums made anew often or never, and sums that are too small for some rows; once a table is there, draws and moves work out no distances."""
+    monkeypatch.setattr(C, "RENEWED", renewed)
+    monkeypatch.setattr(C, "LEAST_SUM", least_sum)
+    rng = np.random.default_rng(18)
+    x_r, x_d = rng.integers(-3, 3, (20, 2)) / 2, rng.integers(-4, 4, (90, 2)) / 2
+    one, other = _states(x_r, x_d, "greedy", 2)
+    assert other.shared.table.shape == (len(np.unique(x_r, axis=0)), other.shared.n)
+    worked, own = [], C.Distances.__getitem__
+    monkeypatch.setattr(C.Distances, "__getitem__", lambda self, at: worked.append(at) or own(self, at))
+    for t in range(1, 8):
+        assert C.gibbs_sweep(one, t, 1.5) == C.gibbs_sweep(other, t, 1.5) and (one.cols == other.cols).all() and (one.free == other.free).all()
+    assert not worked and np.isclose(one.distance, other.distance)
+
+
+def test_few_replications_are_dealt_to_a_task_each(spark):
+    from pairloom.plans.deal import deal_ranges
+
+    rows = spark.range(11 * 40).select((F.col("id") % 11).alias("sim"))
+    held = deal_ranges(rows, "sim").select("sim", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(held) == 11 and len({r["task"] for r in held}) == 11
+
+
+def test_samplers_with_one_start_are_those_alone(spark):
+    """The start of a constrained comparison is worked out once a replication, and neither sampler moves the other's."""
+    from pairloom import compare, study
+
+    rng = np.random.default_rng(19)
+    rows = [{"sim": 4, "g": int(i < 5), "p": i + 1 if i < 5 else i - 4, "x": rng.normal(size=2).tolist(), "y": float(i)} for i in range(25)]
+    frame, o = spark.createDataFrame(rows, "sim long, g int, p long, x array<double>, y double"), study.Options(n_iter=6)
+    both = compare._constrained(frame, ("mcmc", "gibbs"), 2, o).orderBy("iter").toPandas()
+    for name in ("mcmc", "gibbs"):
+        alone = compare._constrained(frame, (name,), 2, o).orderBy("iter").toPandas()
+        assert (both[f"tau_{name}"] == alone[f"tau_{name}"]).all() and (both[f"distance_{name}"] == alone[f"distance_{name}"]).all()
